@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 #: Documents of a source per slice of its random order: what one task sorts at a time.
-SLICE = 20_000
+SLICE = 2_000
 
 
 def count_words(text: Column) -> Column:
