@@ -44,8 +44,10 @@ def drop_common_lines(
         .select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.hash("_key").alias("_h2")),
         "lines",
     )
-    common = (
-        lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h1", "_h2")
+    # written, so that the join below deals lines anew and can split those of one hot key
+    common = materialise(
+        lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h1", "_h2"),
+        "common-lines",
     )
     dropped = (
         lines.join(common, ["_h1", "_h2"], "left_semi")
