@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_documents
 from .license_scan import scan_licenses
 from .line_dedup import drop_common_lines
 from .mixture import mix_sources
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .storage import shared_dir
 from .token_files import read_token_shards, write_token_shards
@@ -53,6 +54,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every document and its edited text."""
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
@@ -77,7 +83,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_line_dedup, op5_fingerprints, op8_best_fit_packing, op9_token_files, op10_top_k)
+    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op8_best_fit_packing, op9_token_files, op10_top_k)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
