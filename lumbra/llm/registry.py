@@ -15,6 +15,7 @@ from .mixture import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data
+from .quality import score_quality, train_quality
 from .storage import shared_dir
 from .token_files import read_token_shards, write_token_shards
 from .tokens import vocabulary
@@ -65,6 +66,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document from co-trained text and page classifiers."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = find_personal_data(_table(spark, sf_dir, "documents"))
@@ -98,7 +105,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op7_pii, op8_best_fit_packing, op9_token_files, op10_top_k)
+    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op6_quality, op7_pii, op8_best_fit_packing, op9_token_files, op10_top_k)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
