@@ -1,10 +1,64 @@
-"""A training corpus from ``documents``: five stages, each written and read again."""
+"""A training corpus from ``documents`` in five stages, each written as Parquet and read again.
+
+Documents of bad quality go, then lines that many documents share, then all but one of each
+group of near-duplicates; what is left is mixed by source and packed into sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumbra.llm.line_dedup import drop_common_lines
+from lumbra.llm.mixture import draw_mixture
+from lumbra.llm.near_dedup import keep_one_of_each
+from lumbra.llm.packing import pack_documents
+from lumbra.llm.quality import keep_good, train_quality
+from lumbra.llm.storage import shared_dir
+from lumbra.llm.tokens import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier accepts."""
+    return keep_good(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines found in ten or more; one that had only such lines goes."""
+    kept = drop_common_lines(docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_dropped") == 0))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    size = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("n_chars"))
+    return kept.withColumns({"text": text, "n_chars": size.cast("long")}).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of near-duplicates."""
+    return keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return draw_mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into sequences of 4096 tokens."""
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
+
+#: No SQL: classifiers, signatures and packing can't be expressed; tests hold stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
