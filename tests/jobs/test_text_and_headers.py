@@ -1,0 +1,132 @@
+"""Text functions and headers on rows made by hand."""
+
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from lumbra.functions import text as X
+from lumbra.operators import catalog, headers, retrieval, tfidf, validate
+
+
+def values(spark, rows, *columns):
+    frame = spark.createDataFrame([(r,) for r in rows], "t string")
+    return [tuple(r) for r in frame.select(*columns).collect()]
+
+
+def test_normalise_equals_python(spark):
+    rows = ["Grande Florianópolis", "  a   b\t\n", "São José ÑÜ", "ÀÉÎõç", "Ǻ ệ Ω ё", "", None]
+
+    def plain(t):
+        if t is None:
+            return None
+        kept = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        return " ".join(kept.lower().split())
+
+    want = [plain(t) for t in rows]
+    assert [r[0] for r in values(spark, rows, X.normalise(F.col("t")))] == want
+    assert [r[0] for r in values(spark, rows, X.normalise(F.col("t"), exact=True))] == want
+    hangul = ["한글 é"]
+    assert values(spark, hangul, X.normalise(F.col("t"), exact=True)) == [(plain(hangul[0]),)]
+
+
+def test_ascii_name_keeps_case_and_names_null(spark):
+    assert [r[0] for r in values(spark, ["São João", "1º", "ß", None], X.ascii_name(F.col("t")))] == ["Sao Joao", "1o", "", "nan"]
+
+
+def test_codes_and_numbers(spark):
+    assert [r[0] for r in values(spark, [" 42.0 ", "42", "4.05", ""], X.municipality_code(F.col("t")))] == ["42", "42", "4.05", ""]
+    assert [r[0] for r in values(spark, ["1234567", "12"], X.thousands(F.col("t").cast("long")))] == ["1.234.567", "12"]
+
+
+def test_note_tokens_add_singulars(spark):
+    [(got,)] = values(spark, ["Regras municipais das flores"], X.note_tokens(F.col("t"), ["das"]))
+    assert {"regras", "regra", "municipais", "municipal", "flores", "flor"} <= set(got) and "das" not in got
+
+
+def test_header_split(spark):
+    rows = ["---\nano: 2020\n---\ncorpo", "---\nano: 1\n--- \n", "sem", "\n---\na: 1\n---\n", "---\nx: 1\n---\na\n---\nb"]
+    got = values(spark, rows, headers.has_header(F.col("t")), headers.header_block(F.col("t")), headers.body(F.col("t")))
+    assert got == [(True, "ano: 2020", "corpo"), (True, "ano: 1", ""), (False, "", "sem"), (False, "", "\n---\na: 1\n---\n"), (True, "x: 1", "a\n---\nb")]
+
+
+def test_title_and_year_fall_back(spark):
+    rows = [
+        ("a/x.md", "---\ntitle: T\nano: 2020\n---\n# H"),
+        ("a/b_c.md", "---\ntitulo: U\nyear: 1999\n---\n"),
+        ("a/estudo 2018.md", "# Cabeçalho #\ntexto"),
+        ("a/d_e.md", "sem"),
+        ("a/f.md", "# Visão 2031"),
+        ("a/g.md", "---\nano: dois mil\n---\n"),
+        ("a/h.md", "---\n[1, 2]\n---\n"),
+        ("a/i.md", "---\na: b: c\n---\n"),
+    ]
+    got = {r["chave"]: (r["titulo"], r["ano"]) for r in headers.parse_documents(spark.createDataFrame(rows, "chave string, conteudo string")).collect()}
+    assert got == {
+        "a/x.md": ("T", 2020), "a/b_c.md": ("U", 1999), "a/estudo 2018.md": ("Cabeçalho", 2018), "a/d_e.md": ("d e", None), "a/f.md": ("Visão 2031", 2031),
+        "a/g.md": ("g", None), "a/h.md": ("h", None), "a/i.md": ("i", None),
+    }
+
+
+def test_citation_drops_repeated_title(spark):
+    rows = spark.createDataFrame([("T", 2020, "T > A"), ("T", None, "T"), ("T", 0, ""), ("T", 2021, "B")], "t string, y int, h string")
+    got = [r[0] for r in rows.select(retrieval.citation(F.col("t"), F.col("y"), F.col("h"))).collect()]
+    assert got == ["T — 2020 — A", "T", "T", "T — 2021 — B"]
+
+
+def test_question_region_is_substring_and_longest(spark):
+    rows = ["consultoria", "no extremo OESTE", "em lugar nenhum"]
+    assert [r[0] for r in values(spark, rows, retrieval.question_region(F.col("t")))] == ["Sul", "Extremo Oeste", None]
+
+
+def test_reference_period(spark):
+    rows = ["set-2026", "março 2024", "boletim T1", "4º trimestre", "nada"]
+    got = [r[0] for r in values(spark, rows, catalog.reference_period(F.col("t"), F.lit("x"), F.lit(2025)))]
+    assert got == ["2026-09", "2025", "2025-Q1", "2025-Q4", "2025"]
+    assert values(spark, ["boletim T1"], catalog.reference_period(F.col("t"), F.lit("x"), F.lit(None).cast("int"))) == [(None,)]
+
+
+def test_places_drop_regions_and_parts(spark):
+    rows = ["vale do itajai e itajai", "balneario camboriu", "jaragua do sul"]
+    got = [r[0] for r in values(spark, rows, catalog.catalog_places(F.col("t"), ["Itajaí", "Camboriú", "Balneário Camboriú", "Jaraguá do Sul"]))]
+    assert got == [["Itajaí"], ["Balneário Camboriú"], []]
+
+
+def test_reply_json(spark):
+    rows = ['{"a": 1}', '```json\n{"a": 1}\n```', 'ok {"a": 1} fim', "nada", None]
+    assert [r[0] for r in values(spark, rows, tfidf.reply_json(F.col("t")))] == ['{"a": 1}', '{"a": 1}', '{"a": 1}', None, None]
+
+
+def test_diagnosis_of_each_fault(spark):
+    good = "---\ntitle: T\nano: 2020\ntema: x\nregional: Sul\nfonte: f\ndata_referencia: 2020\n---\n# H\ntexto"
+    rows = {
+        "ok": good,
+        "bom": "﻿" + good,
+        "blank": "\n" + good,
+        "dashes": "--\ntitle: T\n--\n",
+        "open": "---\ntitle: T\n",
+        "none": "texto",
+        "colon": "---\ntitle: a: b\nano: 2020\n---\n# H\nx",
+        "tab": "---\n\ttitle: T\n---\nx",
+        "quote": "---\ntitle: \"T\nano: 2\n---\nx",
+        "list": "---\n- a\n---\nx",
+        "notitle": good.replace("title: T\n", ""),
+        "alias": good.replace("title", "titulo").replace("\nano", "\nyear"),
+        "y1800": good.replace("ano: 2020", "ano: 1800"),
+        "ytext": good.replace("ano: 2020", "ano: cedo"),
+        "region": good.replace("Sul", "Lua"),
+        "state": good.replace("Sul", "sc"),
+        "empty": good.split("# H")[0],
+    }
+    docs = spark.createDataFrame(list(rows.items()), "chave string, conteudo string")
+    got = {r["arquivo"]: r for r in validate.diagnose(docs).collect()}
+    status = {k: r["status"] for k, r in got.items()}
+    assert {k for k, s in status.items() if s == "ok"} == {"ok", "alias", "state"}
+    assert {k for k, s in status.items() if s == "sem_frontmatter"} == {"bom", "blank", "dashes", "open", "none"}
+    assert {k for k, s in status.items() if s == "yaml_invalido"} == {"colon", "tab", "quote", "list"}
+    assert status["notitle"] == "erro" and got["notitle"]["campos_ausentes"] == ["title"]
+    assert {k for k, s in status.items() if s == "aviso"} == {"y1800", "ytext", "region", "empty"}
+    assert "TAB" in got["tab"]["erro"] and "':'" in got["colon"]["erro"] and "BOM" in got["bom"]["erro"] and "fechado" in got["open"]["erro"]
+    fixed = {r["arquivo"]: r for r in validate.diagnose(docs, repair=True).collect()}
+    assert {k for k, r in fixed.items() if r["corrigido"]} == {"bom", "blank", "colon", "tab"}
+    assert fixed["bom"]["status"] == "ok" and fixed["colon"]["status"] == "aviso"
+    assert [r["bloqueantes"] for r in validate.diagnosis_totals(validate.diagnose(docs)).collect()] == [10]
