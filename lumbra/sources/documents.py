@@ -28,8 +28,7 @@ def document_uri(base: str, key: Column, prefix: str = "") -> Column:
 def list_documents(spark: SparkSession, root: str, base: str = "", prefix: str = "") -> DataFrame:
     """Markdown files below a folder, at any depth: ``chave, origem_uri, etag, tamanho``; contents are not read."""
     files = _files(spark, root).where(F.col("path").rlike(MARKDOWN))
-    start = F.lit(root.rstrip("/") + "/")
-    below = F.substring_index(F.col("path"), start, -1)
+    below = F.substring_index("path", root.rstrip("/") + "/", -1)
     key = document_key(below, prefix)
     return files.select(
         key.alias("chave"),
@@ -47,7 +46,7 @@ def decoded(content: Column) -> Column:
 def read_documents(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Contents of Markdown files: ``chave, conteudo``, and hashes of the bytes and of the text, from one pass."""
     files = _files(spark, root).where(F.col("path").rlike(MARKDOWN))
-    below = F.substring_index(F.col("path"), F.lit(root.rstrip("/") + "/"), -1)
+    below = F.substring_index("path", root.rstrip("/") + "/", -1)
     text = decoded(F.col("content"))
     return files.select(
         document_key(below, prefix).alias("chave"), text.alias("conteudo"), F.sha2("content", 256).alias("hash_bruto"), F.sha2(text, 256).alias("conteudo_hash")
@@ -56,7 +55,7 @@ def read_documents(spark: SparkSession, root: str, prefix: str = "") -> DataFram
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """Rule notes: ``path, conteudo`` of ``*.md`` below a folder, without hidden paths and undecodable files."""
-    below = F.substring_index(F.col("path"), F.lit(root.rstrip("/") + "/"), -1)
+    below = F.substring_index("path", root.rstrip("/") + "/", -1)
     files = _files(spark, root).where(F.col("path").endswith(".md") & ~below.rlike(r"(^|/)\."))
     return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(below.alias("path"), F.col("content").cast("string").alias("conteudo"))
 
