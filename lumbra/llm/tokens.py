@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Unicode's White_Space; Python's ``\s`` holds four characters more.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 #: Pieces in each of the two generations that a worker remembers, and the longest of them.
 _REMEMBERED, _LONGEST = 125_000, 48
