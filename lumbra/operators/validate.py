@@ -34,7 +34,7 @@ _SPECIAL = re.compile(r"[:@`|>{}\[\]#&*!%]")
 
 def missing_header_reason(text: Column) -> Column:
     """Why a text has no header that can be read, the first reason that applies."""
-    mark = "﻿"
+    mark = "\ufeff"
     first = F.trim(F.regexp_extract(text, r"\A([^\n\r]*)", 1))
     return (
         F.when(text.startswith(mark), "Arquivo começa com BOM antes do '---'. Salve como UTF-8 sem BOM.")
@@ -120,7 +120,7 @@ def field_rules(metadata: Column, text: Column, regions: list[str] = REGIONS, st
             F.when(number.isNull() & year.isNotNull(), F.concat(F.lit("Ano não numérico: '"), year, F.lit("'"))),
             F.when(~number.between(1990, 2100), F.concat(F.lit("Ano fora de faixa plausível: "), year)),
             F.when((region != "") & ~F.lower(region).isin(known), F.concat(F.lit("Regional '"), metadata["regional"], F.lit("' não está entre as oficiais nem indica abrangência estadual."))),
-            F.when(text.startswith("﻿"), "Arquivo contém BOM; prefira UTF-8 sem BOM."),
+            F.when(text.startswith("\ufeff"), "Arquivo contém BOM; prefira UTF-8 sem BOM."),
             F.when(~after.rlike(r"(?U)\S"), "Documento sem conteúdo após o frontmatter."),
             F.when(~after.rlike(r"(?m)^[ \t]*#{1,6}[ \t]+\S"), "Nenhum heading (#) no corpo: o chunking recursivo perde a hierarquia de seções."),
         )

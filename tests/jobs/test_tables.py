@@ -101,7 +101,7 @@ def test_registry_columns_by_position(spark, tmp_path):
 def test_listing_reading_and_notes(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / ".hidden").mkdir()
-    (tmp_path / "a" / "X.MD").write_bytes("﻿título".encode())
+    (tmp_path / "a" / "X.MD").write_bytes("\ufefftítulo".encode())
     (tmp_path / "b.markdown").write_bytes(b"bad \xff")
     (tmp_path / "n.md").write_text("nota")
     (tmp_path / ".hidden" / "h.md").write_text("x")

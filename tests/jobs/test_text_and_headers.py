@@ -100,7 +100,7 @@ def test_diagnosis_of_each_fault(spark):
     good = "---\ntitle: T\nano: 2020\ntema: x\nregional: Sul\nfonte: f\ndata_referencia: 2020\n---\n# H\ntexto"
     rows = {
         "ok": good,
-        "bom": "﻿" + good,
+        "bom": "\ufeff" + good,
         "blank": "\n" + good,
         "dashes": "--\ntitle: T\n--\n",
         "open": "---\ntitle: T\n",
