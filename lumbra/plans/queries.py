@@ -224,17 +224,19 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sources and the index
 
-_LISTING = "SELECT 'd' || doc_id AS chave, nullif(sha256(text), '') AS etag FROM documents WHERE doc_id % 5 <> 0"
-_STATE = "SELECT 'd' || doc_id AS documento_chave, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN sha256(text) ELSE sha256(text || 'x') END AS origem_etag FROM documents WHERE doc_id % 3 <> 0"
+_LISTING = "SELECT 'd' || doc_id AS chave, nullif(sha256(text), '') AS etag FROM documents"
+_STATE = "SELECT 'd' || CASE WHEN lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END AS documento_chave, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN sha256(text) ELSE sha256(text || 'x') END AS origem_etag FROM documents"
+# in the index state, documents in one language have other keys: as if renamed since
+_OLD_KEY = "concat('d', CASE WHEN lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END)"
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").selectExpr("concat('d', doc_id) AS chave", "sha2(text, 256) AS etag")
+    return table(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) AS chave", "sha2(text, 256) AS etag")
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN sha2(text, 256) ELSE sha2(concat(text, 'x'), 256) END"
-    return table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").selectExpr("concat('d', doc_id) AS documento_chave", f"{tag} AS origem_etag")
+    return table(spark, sf_dir, "documents").selectExpr(f"{_OLD_KEY} AS documento_chave", f"{tag} AS origem_etag")
 
 
 @query(f"+ listing AS ({_LISTING}), state AS ({_STATE}) SELECT chave, etag, etag IS NULL OR etag IS DISTINCT FROM origem_etag AS pendente FROM listing LEFT JOIN state ON chave = documento_chave")
@@ -249,16 +251,16 @@ def orphan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.removed_documents(_listing(spark, sf_dir), _state(spark, sf_dir))
 
 
-_SYNC = """+ mine AS (SELECT 'd' || doc_id AS chave, sha256(text) AS h, sha256(source) AS b FROM documents WHERE doc_id % 5 <> 0),
-theirs AS (SELECT 'd' || doc_id AS chave, CASE doc_id % 4 WHEN 0 THEN sha256(source) WHEN 1 THEN sha256(text) END AS r FROM documents WHERE doc_id % 3 <> 0),
+_SYNC = """+ mine AS (SELECT 'd' || doc_id AS chave, sha256(text) AS h, sha256(source) AS b FROM documents),
+theirs AS (SELECT 'd' || CASE WHEN lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END AS chave, CASE doc_id % 4 WHEN 0 THEN sha256(source) WHEN 1 THEN sha256(text) END AS r FROM documents),
 plan AS (SELECT coalesce(mine.chave, theirs.chave) AS chave, CASE WHEN mine.chave IS NULL THEN 'removido' WHEN theirs.chave IS NULL THEN 'enviado' WHEN r IN (h, b) THEN 'inalterado' ELSE 'atualizado' END AS status
   FROM mine FULL JOIN theirs ON mine.chave = theirs.chave) """
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mine = docs.where("doc_id % 5 <> 0").selectExpr("concat('d', doc_id) AS chave", "sha2(source, 256) AS hash_bruto", "sha2(text, 256) AS conteudo_hash")
-    theirs = docs.where("doc_id % 3 <> 0").selectExpr("concat('d', doc_id) AS chave", "CASE doc_id % 4 WHEN 0 THEN sha2(source, 256) WHEN 1 THEN sha2(text, 256) END AS remoto_hash")
+    mine = docs.selectExpr("concat('d', doc_id) AS chave", "sha2(source, 256) AS hash_bruto", "sha2(text, 256) AS conteudo_hash")
+    theirs = docs.selectExpr(f"{_OLD_KEY} AS chave", "CASE doc_id % 4 WHEN 0 THEN sha2(source, 256) WHEN 1 THEN sha2(text, 256) END AS remoto_hash")
     return S.sync_plan(mine, theirs, remove=True)
 
 
@@ -274,56 +276,59 @@ def sync_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.status_totals(_plan(spark, sf_dir))
 
 
-def _docs_table(spark: SparkSession, sf_dir: str, rest: int, suffix: str) -> DataFrame:
-    columns = ["concat('d', doc_id) AS documento_chave", f"concat(source, '{suffix}') AS titulo", "sha2(text, 256) AS conteudo_hash", "CAST(2000 + doc_id % 30 AS INT) AS ano"]
-    return table(spark, sf_dir, "documents").where(f"doc_id % {rest} <> 0").selectExpr(*columns)
+def _docs_table(spark: SparkSession, sf_dir: str, key: str, suffix: str) -> DataFrame:
+    columns = [f"{key} AS documento_chave", f"concat(source, '{suffix}') AS titulo", "sha2(text, 256) AS conteudo_hash", "CAST(2000 + doc_id % 30 AS INT) AS ano"]
+    return table(spark, sf_dir, "documents").selectExpr(*columns)
 
 
 @query(
-    """SELECT 'd' || doc_id AS documento_chave, source || CASE WHEN doc_id % 4 <> 0 THEN '-novo' ELSE '' END AS titulo, sha256(text) AS conteudo_hash, (2000 + doc_id % 30)::INTEGER AS ano,
-  CASE WHEN doc_id % 3 <> 0 THEN '2025' ELSE '2026' END AS criado_em, CASE WHEN doc_id % 4 <> 0 THEN '2026' ELSE '2025' END AS atualizado_em,
-  CASE WHEN doc_id % 4 <> 0 THEN '2026' ELSE '2025' END AS ingerido_em FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 <> 0"""
+    """SELECT 'd' || doc_id AS documento_chave, source || '-novo' AS titulo, sha256(text) AS conteudo_hash, (2000 + doc_id % 30)::INTEGER AS ano,
+  CASE WHEN lang = 'de' THEN '2026' ELSE '2025' END AS criado_em, '2026' AS atualizado_em, '2026' AS ingerido_em FROM documents
+UNION ALL SELECT 'd' || (doc_id + 1000000000), source, sha256(text), (2000 + doc_id % 30)::INTEGER, '2025', '2025', '2025' FROM documents WHERE lang = 'de'"""
 )
 def doc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table after new and changed ones."""
     stamps = {c: F.lit("2025") for c in ("criado_em", "atualizado_em", "ingerido_em")}
-    return index.upsert_documents(_docs_table(spark, sf_dir, 3, "").withColumns(stamps), _docs_table(spark, sf_dir, 4, "-novo"), F.lit("2026"))
+    return index.upsert_documents(_docs_table(spark, sf_dir, _OLD_KEY, "").withColumns(stamps), _docs_table(spark, sf_dir, "concat('d', doc_id)", "-novo"), F.lit("2026"))
 
 
-def _lines(spark: SparkSession, sf_dir: str, rest: int, mark: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(f"doc_id % {rest} <> 0")
-    lines = docs.select(F.concat(F.lit("d"), "doc_id").alias("documento_chave"), F.posexplode(F.split("text", "\n")).alias("chunk_indice", "chunk_texto"), F.lit(mark).alias("lote"))
+def _lines(spark: SparkSession, sf_dir: str, key: str, mark: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select(F.expr(key).alias("documento_chave"), F.posexplode(F.split("text", "\n")).alias("chunk_indice", "chunk_texto"), F.lit(mark).alias("lote"))
     return lines.withColumn("chunk_hash", X.content_hash(F.col("documento_chave"), F.col("chunk_indice"), F.col("chunk_texto"))).drop("chunk_texto")
 
 
-def _lines_sql(rest: int, mark: str) -> str:
+def _lines_sql(key: str, mark: str) -> str:
     return f"""SELECT documento_chave, chunk_indice, '{mark}' AS lote, sha256(documento_chave || '|' || chunk_indice || '|' || t) AS chunk_hash FROM (
-  SELECT 'd' || doc_id AS documento_chave, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS chunk_indice FROM documents WHERE doc_id % {rest} <> 0)"""
+  SELECT {key} AS documento_chave, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS chunk_indice FROM documents)"""
+
+
+_NEW_KEY = "concat('d', doc_id)"
 
 
-@query(f"+ old AS ({_lines_sql(3, 'a')}), new AS ({_lines_sql(4, 'b')}) SELECT * FROM new UNION ALL SELECT * FROM old WHERE documento_chave NOT IN (SELECT documento_chave FROM new)")
+@query(f"+ old AS ({_lines_sql(_OLD_KEY, 'a')}), new AS ({_lines_sql(_NEW_KEY, 'b')}) SELECT * FROM new UNION ALL SELECT * FROM old WHERE documento_chave NOT IN (SELECT documento_chave FROM new)")
 def chunk_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks table after documents were processed again."""
-    new = _lines(spark, sf_dir, 4, "b")
-    return index.replace_chunks(_lines(spark, sf_dir, 3, "a"), new, new)
+    new = _lines(spark, sf_dir, _NEW_KEY, "b")
+    return index.replace_chunks(_lines(spark, sf_dir, _OLD_KEY, "a"), new, new)
 
 
-@query(f"+ old AS ({_lines_sql(3, 'a')}) SELECT * FROM old WHERE documento_chave NOT IN (SELECT 'd' || doc_id FROM documents WHERE doc_id % 7 = 0)")
+@query(f"+ old AS ({_lines_sql(_NEW_KEY, 'a')}) SELECT * FROM old WHERE documento_chave NOT IN (SELECT 'd' || doc_id FROM documents WHERE source = 'src7')")
 def doc_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks table without removed documents."""
-    gone = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").selectExpr("concat('d', doc_id) AS documento_chave")
-    return index.remove_documents(_lines(spark, sf_dir, 3, "a"), gone)
+    """The chunks table without the documents of a source."""
+    gone = table(spark, sf_dir, "documents").where("source = 'src7'").selectExpr("concat('d', doc_id) AS documento_chave")
+    return index.remove_documents(_lines(spark, sf_dir, _NEW_KEY, "a"), gone)
 
 
 def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
+    docs = table(spark, sf_dir, "documents").where("lang <> 'es'")
     return docs.select(F.concat(F.lit("d"), "doc_id").alias("documento_chave"), F.explode(F.split("text", "\n")).alias("t"), "lang").select(
         "documento_chave", F.length("t").alias("n_caracteres"), F.when(F.length("t") % 2 == 0, F.col("lang")).alias("palavras_chave"), F.col("lang").alias("modelo_llm"), F.lit("m").alias("modelo_embedding")
     )
 
 
 @query(
-    """+ c AS (SELECT 'd' || doc_id AS documento_chave, unnest(string_split(text, chr(10))) AS t, lang FROM documents WHERE doc_id % 3 <> 0)
+    """+ c AS (SELECT 'd' || doc_id AS documento_chave, unnest(string_split(text, chr(10))) AS t, lang FROM documents WHERE lang <> 'es')
 SELECT 'd' || d.doc_id AS documento_chave, d.source AS titulo, count(t) AS total_chunks, count(*) FILTER (length(t) % 2 = 0) AS chunks_enriquecidos, avg(length(t)) AS media_caracteres,
   max(c.lang) AS modelo_llm, max(CASE WHEN t IS NOT NULL THEN 'm' END) AS modelo_embedding FROM documents d LEFT JOIN c ON documento_chave = 'd' || d.doc_id GROUP BY d.doc_id, d.source"""
 )
@@ -335,7 +340,7 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""+ listing AS ({_LISTING}), state AS ({_STATE}), j AS (SELECT etag IS DISTINCT FROM origem_etag AS p FROM listing LEFT JOIN state ON chave = documento_chave)
-SELECT (SELECT count(*) FROM j WHERE p) AS documentos, (SELECT count(*) FROM j WHERE NOT p) AS inalterados, (SELECT sum(len(string_split(text, chr(10))))::BIGINT FROM documents WHERE doc_id % 3 <> 0) AS chunks,
+SELECT (SELECT count(*) FROM j WHERE p) AS documentos, (SELECT count(*) FROM j WHERE NOT p) AS inalterados, (SELECT sum(len(string_split(text, chr(10))))::BIGINT FROM documents WHERE lang <> 'es') AS chunks,
   (SELECT count(*) FROM state WHERE documento_chave NOT IN (SELECT chave FROM listing)) AS removidos"""
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,21 +393,21 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(headers.parse_documents(documents(spark, sf_dir)))
 
 
-_ASOF = "p AS (SELECT o_custkey AS doc, o_orderkey AS posicao FROM orders), h AS (SELECT o_custkey AS doc, o_orderkey AS inicio, o_orderpriority AS caminho FROM orders WHERE o_orderkey % 3 = 0)"
+_ASOF = "p AS (SELECT o_custkey AS doc, o_orderkey AS posicao FROM orders), h AS (SELECT o_custkey AS doc, o_orderkey AS inicio, o_orderpriority AS caminho FROM orders WHERE o_orderstatus = 'F')"
 
 
 @query(f"+ {_ASOF} SELECT p.doc, posicao, coalesce(arg_max(caminho, inicio), '') AS caminho FROM p LEFT JOIN h ON p.doc = h.doc AND inicio <= posicao GROUP BY 1, 2")
 def heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last heading (here every third order) at or before each position (order) of a document (customer)."""
+    """The last heading (here a finished order) at or before each position (order) of a document (customer)."""
     orders = table(spark, sf_dir, "orders")
     positions = orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("posicao"))
-    heads = orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("inicio"), F.col("o_orderpriority").alias("caminho"))
+    heads = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("inicio"), F.col("o_orderpriority").alias("caminho"))
     return chunking.heading_asof(positions, heads)
 
 
 # Terms
 
-_TERMS_SQL = """+ chunks AS (SELECT doc_id, list_slice(regexp_split_to_array(text, '[.,]'), 1, 12) AS termos FROM documents),
+_TERMS_SQL = """+ chunks AS (SELECT doc_id, regexp_split_to_array(text, '[.,]') AS termos FROM documents),
 terms AS (SELECT doc_id, regexp_replace(unnest(termos), '^\\s+|\\s+$', '', 'g') AS term, generate_subscripts(termos, 1) AS pos FROM chunks),
 toks AS (SELECT doc_id, term, pos, unnest(regexp_extract_all(lower(strip_accents(term)), '[a-z0-9_]{3,}')) AS token FROM terms WHERE term <> ''),
 kept AS (SELECT * FROM toks WHERE token NOT IN ('para','com','por','dos','das','nos','nas','que','uma','sobre','como','mais','seus','suas','pelo','pela','entre','ser','foi','sao','tem','pode','deve','essa','esse','isso','the','and','for','are','this','that','from','with')),
@@ -410,7 +415,7 @@ df AS (SELECT token, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM chunks)
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.filter(F.transform(F.slice(F.split("text", "[.,]"), 1, 12), lambda t: X.strip(t)), lambda t: t != "")
+    terms = F.filter(F.transform(F.split("text", "[.,]"), lambda t: X.strip(t)), lambda t: t != "")
     return table(spark, sf_dir, "documents").select("doc_id", terms.alias("termos"))
 
 
@@ -459,14 +464,14 @@ def vector_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """+ m AS (SELECT vec_id - 1 AS vec_id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0),
+    """+ m AS (SELECT vec_id - 1 AS vec_id, embedding AS e FROM embeddings),
 b AS (SELECT a.vec_id, CASE WHEN e IS NULL THEN [x::DOUBLE FOR x IN embedding] ELSE [0.9 * embedding[i]::DOUBLE + 0.1 * e[i]::DOUBLE FOR i IN range(1, len(embedding) + 1)] END AS v FROM embeddings a LEFT JOIN m USING (vec_id))
 SELECT vec_id, round(v[1] / n, 6) AS primeiro, round(v[-1] / n, 6) AS ultimo FROM (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM b)"""
 )
 def vector_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector blended with its neighbour's, where there is one."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vetor"))
-    meta = rows.where("vec_id % 2 = 0").withColumn("vec_id", F.col("vec_id") - 1)
+    meta = rows.withColumn("vec_id", F.col("vec_id") - 1)
     both = vectors.blend_tables(rows, meta, ["vec_id"])
     return both.select("vec_id", F.round(F.element_at("embedding", 1), 6).alias("primeiro"), F.round(F.element_at("embedding", -1), 6).alias("ultimo"))
 
@@ -519,7 +524,7 @@ _FORMS = "list_distinct([f FOR f IN flatten([[t, CASE WHEN length(t) > 3 AND t L
 @query(
     f"""+ q AS (SELECT question_id, unnest({_FORMS.format("text")}) AS token FROM turns),
 n AS (SELECT item_id, 'n' || item_id || '.md' AS path, text FROM benchmark),
-k AS (SELECT path, unnest({_FORMS.format("'n' || item_id || ' ' || text[:60]")}) AS token, 3 AS w FROM n UNION ALL SELECT path, unnest({_FORMS.format("text")}), 1 FROM n),
+k AS (SELECT path, unnest({_FORMS.format("'n' || item_id || ' caderno'")}) AS token, 3 AS w FROM n UNION ALL SELECT path, unnest({_FORMS.format("text")}), 1 FROM n),
 s AS (SELECT question_id, path, sum(w)::BIGINT AS pontos FROM q JOIN k USING (token) GROUP BY 1, 2)
 SELECT question_id, path, pontos, r::INTEGER AS posicao FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pontos DESC, path) AS r FROM s) WHERE r <= 5"""
 )
@@ -527,7 +532,7 @@ def note_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes (here benchmark texts) that share most words with each turn."""
     stop = ["the", "and"]
     rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("n"), "item_id").alias("stem"), "text")
-    keywords = X.note_tokens(F.concat_ws(" ", "stem", F.substring("text", 1, 60)), stop)
+    keywords = X.note_tokens(F.concat_ws(" ", "stem", F.lit("caderno")), stop)
     notes = rows.select(F.concat("stem", F.lit(".md")).alias("path"), keywords.alias("keywords"), X.note_tokens(F.col("text"), stop).alias("body_tokens"))
     return retrieval.rank_notes(turns(spark, sf_dir), notes, stop)
 
@@ -576,7 +581,7 @@ def catalog_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue fields of every document, some completed from a second table."""
     docs = documents(spark, sf_dir)
-    more = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr(f"{KEY} AS chave", "array(lang) AS tema")
+    more = table(spark, sf_dir, "documents").where("lang <> 'es'").selectExpr(f"{KEY} AS chave", "array(lang) AS tema")
     found = C.catalog_fields(docs, "fonte própria", ["Itajaí", "Lages"], more)
     return found.withColumn("origem_campos", F.to_json("origem_campos"))
 
