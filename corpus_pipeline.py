@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines found in ten or more; one that had only such lines goes."""
-    kept = drop_common_lines(docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_dropped") == 0))
+    """All documents without the lines found in ten or more; one that had only such lines is empty, which the next stage sees to."""
+    kept = drop_common_lines(docs)
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
     size = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("n_chars"))
     return kept.withColumns({"text": text, "n_chars": size.cast("long")}).select(*docs.columns)
