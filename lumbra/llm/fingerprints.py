@@ -2,8 +2,8 @@
 
 A term is a distinct word.  The lexicon holds the terms whose document frequency lies in a
 band (so whose inverse document frequency does): neither words that nearly all documents
-share nor rare ones.  Each of 64 lexicon subsets keeps a random part of the lexicon, at
-eight rates from 1/2 to 1/256; a document's sorted distinct terms within a subset are hashed
+share nor rare ones.  Each of 88 lexicon subsets keeps a random part of the lexicon, at
+eleven rates from 1/2 to 1/2048; a document's sorted distinct terms within a subset are hashed
 to 16 bits.  Sparse subsets tell how alike long documents are, dense ones short documents.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 from .words import hash_words, mix, words_of
 
-RATES, PER_RATE = 8, 8
+RATES, PER_RATE = 11, 8
 SUBSETS = RATES * PER_RATE
 #: The band as shares of all documents; a document of fewer terms in it uses all its terms.
 BAND, FEWEST = (0.0005, 0.05), 8
@@ -48,7 +48,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
 
 
 class Fingerprinter:
-    """Fingerprints of texts against a lexicon: arrays of 64 hashes, 0 where a subset has none of the terms."""
+    """Fingerprints of texts against a lexicon: arrays of 88 hashes, 0 where a subset has none of the terms."""
 
     def __init__(self, terms: np.ndarray) -> None:
         self.terms = terms
@@ -76,7 +76,7 @@ _LANES = np.arange(1, RATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 
 
 def to_text(print_: np.ndarray) -> str:
-    """A fingerprint as 256 hexadecimal digits."""
+    """A fingerprint as 352 hexadecimal digits."""
     return print_.astype(">u2").tobytes().hex()
 
 
