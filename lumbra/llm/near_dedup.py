@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -23,6 +23,9 @@ WIDTH, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares one of 25 bands of 5 registers but for a chance of 5e-5.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Pairs whose registers agree in a smaller part are not compared: four standard deviations below 0.8,
+#: so that a pair of 0.8 is lost as rarely as by banding.
+LIKELY = 0.66
 #: Documents whose signatures are computed together, and members that meet a leader in one group.
 TOGETHER, GROUP = 128, 200
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -69,14 +72,14 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     return holds.reshape(n, registers)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of each signature; keys of different bands differ."""
-    n = len(signatures)
-    parts = signatures.reshape(n, BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN, (n, BANDS)).copy()
-    for r in range(ROWS):
-        keys = mix(keys ^ parts[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
-    return keys.view(np.int64)
+def short_signatures(signatures: np.ndarray) -> list[bytes]:
+    """Signatures by 16 bits of each register, which differ for different elements but for a chance of 2**-16."""
+    return [row.tobytes() for row in (signatures >> np.uint64(48)).astype("<u2")]
+
+
+def _bucket(band: Column) -> Column:
+    """Key of a band (from 0) of the column ``sig``."""
+    return F.xxhash64(band, F.substring(F.col("sig"), (band * (2 * ROWS) + 1).cast("int"), F.lit(2 * ROWS)))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -100,16 +103,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, ``_th`` (hash of the text), ``tid`` (128-bit identity of its words) and keys of bands.
+    """Per row: id, ``_th`` (hash of the text), ``tid`` (128-bit identity of its words) and ``sig``.
 
-    Texts without words are identified by the text itself and have no keys.
+    Texts without words are identified by the text itself and have no signature.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            tids, keys = [], []
+            tids, sigs = [], []
             for start in range(0, len(texts), TOGETHER):
                 sets = []
                 for text in texts[start : start + TOGETHER]:
@@ -118,14 +121,35 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sets.append(np.unique(shingles(hash_words(words), WIDTH), return_counts=True))
                 sizes = np.array([len(s[0]) for s in sets])
                 elements, weights = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float)
-                signatures = prob_minhash(elements, weights, np.repeat(np.arange(len(sets)), sizes), len(sets)) if len(elements) else np.zeros((len(sets), REGISTERS), np.uint64)
-                bands = band_keys(signatures)
-                keys += [k if n else k[:0] for k, n in zip(bands, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_col, "_th", "tid", "keys"])
+                short = short_signatures(prob_minhash(elements, weights, np.repeat(np.arange(len(sets)), sizes), len(sets))) if len(elements) else [b""] * len(sets)
+                sigs += [sig if n else None for sig, n in zip(short, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tids, pa.binary()), pa.array(sigs, pa.binary())], [id_col, "_th", "tid", "sig"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(id_col, F.xxhash64(text).alias("_th"), text.alias("_text"))
-    return materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, _th long, tid binary, keys array<long>"), "minhash")
+    return materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, _th long, tid binary, sig binary"), "minhash")
+
+
+def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs ``leader, tid`` those whose registers agree often enough to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= LIKELY))
+
+    sig = texts.select("tid", "sig")
+    both = pairs.join(sig.select(F.col("tid").alias("leader"), F.col("sig").alias("_a")), "leader").join(sig.withColumnRenamed("sig", "_b"), "tid")
+    return materialise(both.select("leader", "tid", "_a", "_b").mapInArrow(run, "leader binary, tid binary"), "likely-pairs")
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``tid, _text`` of the texts in pairs; of equal rows of ``docs`` one is read."""
+    wanted = pairs.select("tid").unionByName(pairs.select(F.col("leader").alias("tid"))).distinct()
+    pick = materialise(texts.join(wanted, "tid").select("tid", "_p._id", F.col("_p._th").alias("_h")), "wanted")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(id_col, F.xxhash64(text).alias("_th"), text.alias("_text"))
+    return materialise(rows.join(pick, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("tid", "_text").dropDuplicates(["tid"]), "wanted-texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -156,64 +180,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return materialise(rows.mapInArrow(run, "a binary, b binary"), "verified")
 
 
-def _candidate_texts(docs: DataFrame, marks: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``tid, _text``: one text of each candidate."""
-    wanted = shared.select("tid").distinct()
-    pick = marks.join(wanted, "tid").groupBy("tid").agg(F.min(F.struct(F.col(id_col).alias("_id"), "_th")).alias("_p")).select("tid", "_p._id", F.col("_p._th").alias("_h"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(id_col, F.xxhash64(text).alias("_th"), text.alias("_text")).dropDuplicates([id_col, "_th"])
-    return materialise(rows.join(pick.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("tid", "_text"), "candidate-texts")
-
-
-def _linked(docs: DataFrame, marks: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
-    """``node, root`` of texts that have a near-duplicate, or None if there are no candidates.
+def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
+    """``node, root`` of texts that have a near-duplicate, or None if there are none.
 
-    In each bucket (texts with one key) a leader meets all other texts, in the first round
-    the smallest; a leader then leaves the bucket, since all its links there are known.  A
-    bucket is done when its remaining texts are in one component, for their links could
-    connect nothing new.  Each round has eight times as many leaders as the one before.
+    In each bucket (texts with one key) a leader meets all other texts; it then leaves the
+    bucket, since all its links there are known.  A bucket is done when its remaining texts
+    are in one component, for their links could connect nothing new.  Leaders are those whose
+    buckets hold most texts: copies that were edited in different places share buckets with
+    their original rather than with each other, so the original leads.  Each round has eight
+    times as many leaders as the one before, so every bucket is done after a few.
     """
-    nodes = materialise(marks.select("tid", "keys").dropDuplicates(["tid"]), "texts")
-    keys = nodes.select("tid", F.explode("keys").alias("bucket"))
-    several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket"), "buckets")
-    shared = materialise(keys.join(several, "bucket"), "members")
-    if shared.isEmpty():
-        return None
-    texts = _candidate_texts(docs, marks, shared, id_col, text_col)
-    leaders = materialise(shared.groupBy("bucket").agg(F.min("tid").alias("leader")), "leaders")
-    pairs = materialise(shared.join(leaders, "bucket").where("tid <> leader").select("leader", "tid").distinct(), "pairs")
-    tested, links, count = pairs, _verified(pairs, texts, threshold), 1
-    left = shared.join(leaders, "bucket").where("tid <> leader").select("bucket", "tid")
-    while True:
-        roots = connected_components(links)
-        named = left.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
+    keys = texts.where("sig IS NOT NULL").select("tid", F.explode(F.array(*[_bucket(F.lit(b)) for b in range(BANDS)])).alias("bucket"))
+    several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
+    found_in = materialise(keys.join(several, "bucket"), "found-in")
+    fame = materialise(found_in.groupBy("tid").agg((-F.sum("_n")).alias("_fame")), "fame")
+    left = materialise(found_in.join(fame, "tid").select("bucket", F.struct("_fame", "tid").alias("who")), "members")
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+    count = 1
+    while not left.isEmpty():
+        if roots is None:
+            first = materialise(left.groupBy("bucket").agg(F.min("who").alias("_lead")), "leaders")
+            met = left.join(first, "bucket").where("who <> _lead")
+            pairs = met.select(F.col("_lead.tid").alias("leader"), "who.tid").distinct()
+            left = met.select("bucket", "who")
+        else:
+            ranked = left.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy("who")))
+            lead = ranked.where(F.col("_rank") <= count).select("bucket", F.col("who.tid").alias("leader"), F.col("root").alias("_root"), F.col("_rank").alias("_first"))
+            pairs = ranked.join(lead, "bucket").where("_first < _rank and root <> _root").select("leader", "who.tid").distinct()
+            left = ranked.where(F.col("_rank") > count).select("bucket", "who")
+        likely = _likely(pairs, texts)
+        new = roots is None
+        if not likely.isEmpty():
+            found = _verified(likely, _texts_of(likely, texts, docs, id_col, text_col), threshold)
+            new = new or not found.isEmpty()
+            links = found if links is None else links.unionByName(found)
+        if new and links is not None:
+            roots = connected_components(links)
+        elif roots is None:
+            roots = texts.select(F.col("tid").alias("node"), F.col("tid").alias("root")).limit(0)
+        named = materialise(left.join(roots, F.col("who.tid") == F.col("node"), "left").select("bucket", "who", F.coalesce("root", "who.tid").alias("root")), "named-members")
         mixed = named.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-        left = materialise(named.join(materialise(mixed, "mixed"), "bucket"), "left")
-        if left.isEmpty():
-            return roots
+        left = materialise(named.join(mixed, "bucket"), "left")
         count *= 8
-        ranked = left.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy("tid")))
-        lead = ranked.where(F.col("_rank") <= count).select("bucket", F.col("tid").alias("leader"), F.col("root").alias("_root"), F.col("_rank").alias("_first"))
-        met = ranked.join(lead, "bucket").where("_first < _rank and root <> _root").select("leader", "tid").distinct()
-        new = materialise(met.join(tested, ["leader", "tid"], "left_anti"), "pairs")
-        left = materialise(ranked.where(F.col("_rank") > count).select("bucket", "tid"), "left")
-        if not new.isEmpty():
-            links = links.unionByName(_verified(new, texts, threshold))
-            tested = tested.unionByName(new)
+    return roots
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, ``_th, class_id, class_size`` and ``_keep_th`` (the text hash of the one to keep)."""
     marks = _marks(docs, id_col, text_col)
-    per_text = marks.groupBy("tid").agg(F.min(F.struct(F.col(id_col).alias("_id"), "_th")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    roots = _linked(docs, marks, threshold, id_col, text_col)
-    rooted = per_text.withColumn("root", F.col("tid"))
+    one = F.min(F.struct(F.col(id_col).alias("_id"), "_th")).alias("_p")
+    texts = materialise(marks.groupBy("tid").agg(one, F.count(F.lit(1)).alias("_n"), F.first("sig").alias("sig")), "texts")
+    roots = _linked(docs, texts, threshold, id_col, text_col)
+    rooted = texts.select("tid", "_p", "_n", F.col("tid").alias("root"))
     if roots is not None:
-        rooted = per_text.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        rooted = rooted.drop("root").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     rooted = materialise(rooted, "rooted")
-    classes = rooted.groupBy("root").agg(F.min("_p").alias("_c"), F.sum("_n").alias("class_size"))
-    named = materialise(rooted.select("tid", "root").join(materialise(classes, "classes"), "root").select("tid", F.col("_c._id").alias("class_id"), F.col("_c._th").alias("_keep_th"), "class_size"), "named")
-    return marks.drop("keys").join(named, "tid").drop("tid")
+    classes = materialise(rooted.groupBy("root").agg(F.min("_p").alias("_c"), F.sum("_n").alias("class_size")), "classes")
+    named = materialise(rooted.select("tid", "root").join(classes, "root").select("tid", F.col("_c._id").alias("class_id"), F.col("_c._th").alias("_keep_th"), "class_size"), "named")
+    return marks.drop("sig").join(named, "tid").drop("tid")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
