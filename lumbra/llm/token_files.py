@@ -28,7 +28,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
 from .tokens import encoder
 
 _HEAD = struct.Struct("<8sIIIIQQ")
