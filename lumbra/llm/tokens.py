@@ -10,37 +10,87 @@ pieces.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Unicode's White_Space; Python's ``\s`` holds four characters more.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
-#: Pieces in each of the two generations that a worker remembers, and the longest of them.
+#: A word of Latin letters, perhaps after one space, with signs after it but no apostrophe: each
+#: of the two is a token group of its own, whatever the vocabulary's splitting pattern.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Entries in each of the two generations of what a worker remembers, and the longest piece.
 _REMEMBERED, _LONGEST = 125_000, 48
 
 
-class Encoder(dict):
-    """Maps pieces to their ids' bytes."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+class _Remembered(dict):
+    """Values by key, as many as two generations hold: the older one goes when the younger is full."""
 
+    def __init__(self) -> None:
         super().__init__()
-        self._tokenizer = Tokenizer.from_file(path)
         self._older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._older.get(piece)
-        if ids is None:
-            [found] = self._tokenizer.encode_batch_fast([piece], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-        if len(piece) <= _LONGEST:
+    def __missing__(self, key: str) -> bytes:
+        value = self._older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= _LONGEST:
             if len(self) >= _REMEMBERED:
                 self._older = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = value
+        return value
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Words(_Remembered):
+    """Ids of words and of runs of signs as ``_PLAIN`` finds them, by the vocabulary's merges alone.
+
+    Each is one token group, so splitting it only spells its bytes in the vocabulary's
+    alphabet; that spelling is asked of the splitter once for each character.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self._model = tokenizer.model
+        plain = [chr(c) for c in (*range(33, 127), *range(0xC0, 0x100))]
+        self._spelling = {ord(c): "".join(g for g, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in plain}
+        [(spaced, _)] = tokenizer.pre_tokenizer.pre_tokenize_str(" a")
+        self._spelling[32] = spaced.removesuffix("a")
+
+    def make(self, key: str) -> bytes:
+        return _packed([t.id for t in self._model.tokenize(key.translate(self._spelling))])
+
+
+class Encoder(_Remembered):
+    """Maps pieces to their ids' bytes."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self._tokenizer = Tokenizer.from_file(path)
+        self._words = _Words(self._tokenizer)
+        self._folds = self._tokenizer.normalizer is not None and self._tokenizer.normalizer.normalize_str("A") == "a"
+
+    def make(self, piece: str) -> bytes:
+        plain = _PLAIN(piece)
+        if plain:
+            word, signs = plain.groups()
+            if self._folds:
+                word = word.lower().lstrip()
+            return self._words[word] + self._words[signs] if signs else self._words[word]
+        [found] = self._tokenizer.encode_batch_fast([piece], add_special_tokens=False)
+        return _packed(found.ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; null counts as empty."""
