@@ -20,7 +20,7 @@ _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 #: of the two is a token group of its own, whatever the vocabulary's splitting pattern.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Entries in each of the two generations of what a worker remembers, and the longest piece.
-_REMEMBERED, _LONGEST = 125_000, 48
+_REMEMBERED, _LONGEST = 250_000, 48
 
 
 class _Remembered(dict):
