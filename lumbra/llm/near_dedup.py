@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -26,8 +26,8 @@ REGISTERS = BANDS * ROWS
 #: Pairs whose registers agree in a smaller part are not compared: four standard deviations below 0.8,
 #: so that a pair of 0.8 is lost as rarely as by banding.
 LIKELY = 0.66
-#: Documents whose signatures are computed together, and members that meet a leader in one group.
-TOGETHER, GROUP = 128, 200
+#: Documents whose signatures are computed together, texts per block that meet another block's.
+TOGETHER, BLOCK = 128, 300
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,78 +152,119 @@ def _texts_of(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str,
     return materialise(rows.join(pick, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("tid", "_text").dropDuplicates(["tid"]), "wanted-texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs ``leader, tid`` those of exact similarity at ``threshold`` or above, as ``a, b``.
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Of distinct pairs ``leader, tid`` those of exact similarity at ``threshold`` or above, as ``a, b``.
 
-    Members of a leader are dealt to groups of bounded size, each with a copy of the leader's
-    text; a task reads its groups one after another and keeps the leader's shingles only.
+    Texts are dealt to blocks of bounded size by their hash; a group is the pairs between two
+    blocks with the texts these need, so a text goes to each group once, not once a pair.
     """
-    groups = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_groups"))
-    dealt = materialise(pairs.join(groups, "leader").select("leader", "tid", F.pmod(F.hash("tid"), F.col("_groups")).alias("_g")), "dealt-pairs")
-    heads = dealt.select("leader", "_g").distinct().join(texts.withColumnRenamed("tid", "leader"), "leader").select("leader", "_g", F.lit(None).cast("binary").alias("tid"), "_text")
-    members = dealt.join(texts, "tid").select("leader", "_g", "tid", "_text")
-    rows = heads.unionByName(members).repartition("leader", "_g").sortWithinPartitions("leader", "_g", F.col("tid").asc_nulls_first())
+    bodies = _texts_of(pairs, texts, docs, id_col, text_col)
+    n = max(1, -(-bodies.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = pairs.select(block(F.col("leader")).alias("x"), block(F.col("tid")).alias("y"), "leader", "tid")
+    needed = dealt.select("x", "y", F.explode(F.array("leader", "tid")).alias("tid")).distinct()
+    shipped = needed.join(bodies, "tid").select("x", "y", "tid", F.lit(None).cast("binary").alias("other"), "_text")
+    rows = shipped.unionByName(dealt.select("x", "y", "tid", F.col("leader").alias("other"), F.lit(None).cast("string").alias("_text")))
+    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, head = None, None
+        group, held = None, {}
         for batch in batches:
             a, b = [], []
-            for leader, tid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = weighted_shingles(text)
-                if tid is None:
-                    of, head = leader, own
-                elif leader == of and similarity(head, own) >= threshold:
-                    a.append(leader)
+            for x, y, tid, other, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (x, y):
+                    group, held = (x, y), {}
+                if other is None:
+                    held[tid] = weighted_shingles(text)
+                elif similarity(held[tid], held[other]) >= threshold:
+                    a.append(other)
                     b.append(tid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return materialise(rows.mapInArrow(run, "a binary, b binary"), "verified")
+    return materialise(rows.select("x", "y", "tid", "other", "_text").mapInArrow(run, "a binary, b binary"), "verified")
+
+
+def _across(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Likely pairs ``leader, tid`` of texts of different components in the same buckets (``bucket, band, tid, root``).
+
+    All pairs of a bucket are looked at, by their registers only, in blocks of bounded size:
+    a bucket of more texts than a block is dealt to several, and each two of them meet in a
+    group of their own.  A pair is reported in the first band that it shares, so once.
+    """
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")
+    dealt = left.join(sizes, "bucket").withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("_own", "_k").alias("x"), F.greatest("_own", "_k").alias("y"), "_own", "band", "tid", "root")
+    rows = dealt.join(texts.select("tid", "sig"), "tid").select("bucket", "x", "y", "_own", "band", "tid", "root", "sig")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "tid")
+
+    def pairs(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        _, x, y, _, band, *_ = group[0]
+        sigs = np.frombuffer(b"".join(r[7] for r in group), "<u2").reshape(-1, REGISTERS)
+        roots = np.unique([r[6] for r in group], return_inverse=True)[1]
+        if roots.max() == 0:
+            return
+        side = np.array([r[3] for r in group])
+        for i in range(len(group) - 1):
+            same = sigs[i + 1 :] == sigs[i]
+            keep = (same.mean(1) >= LIKELY) & (roots[i + 1 :] != roots[i])
+            if x != y:
+                keep &= side[i + 1 :] != side[i]
+            for j in np.flatnonzero(keep):
+                if same[j].reshape(BANDS, ROWS).all(1).argmax() == band:
+                    yield group[i][5], group[i + 1 + j][5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    found += pairs(group)
+                    group = []
+                group.append(row)
+            yield _pairs_batch(found)
+        if group:
+            yield _pairs_batch(list(pairs(group)))
+
+    return materialise(rows.mapInArrow(run, "leader binary, tid binary"), "likely-pairs")
+
+
+def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["leader", "tid"])
 
 
 def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
     """``node, root`` of texts that have a near-duplicate, or None if there are none.
 
-    In each bucket (texts with one key) a leader meets all other texts; it then leaves the
-    bucket, since all its links there are known.  A bucket is done when its remaining texts
-    are in one component, for their links could connect nothing new.  Leaders are those whose
-    buckets hold most texts: copies that were edited in different places share buckets with
-    their original rather than with each other, so the original leads.  Each round has eight
-    times as many leaders as the one before, so every bucket is done after a few.
+    In each bucket (texts with one key) a leader meets all other texts.  Leaders are those
+    whose buckets hold most texts: copies that were edited in different places share buckets
+    with their original rather than with each other, so the original leads and large groups
+    of copies become components by as many comparisons as they have members.  Then texts of
+    one bucket that are in different components still are compared with each other.
     """
-    keys = texts.where("sig IS NOT NULL").select("tid", F.explode(F.array(*[_bucket(F.lit(b)) for b in range(BANDS)])).alias("bucket"))
+    keys = texts.where("sig IS NOT NULL").select("tid", F.posexplode(F.array(*[_bucket(F.lit(b)) for b in range(BANDS)])).alias("band", "bucket"))
     several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
     found_in = materialise(keys.join(several, "bucket"), "found-in")
     fame = materialise(found_in.groupBy("tid").agg((-F.sum("_n")).alias("_fame")), "fame")
-    left = materialise(found_in.join(fame, "tid").select("bucket", F.struct("_fame", "tid").alias("who")), "members")
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    count = 1
-    while not left.isEmpty():
-        if roots is None:
-            first = materialise(left.groupBy("bucket").agg(F.min("who").alias("_lead")), "leaders")
-            met = left.join(first, "bucket").where("who <> _lead")
-            pairs = met.select(F.col("_lead.tid").alias("leader"), "who.tid").distinct()
-            left = met.select("bucket", "who")
-        else:
-            ranked = left.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy("who")))
-            lead = ranked.where(F.col("_rank") <= count).select("bucket", F.col("who.tid").alias("leader"), F.col("root").alias("_root"), F.col("_rank").alias("_first"))
-            pairs = ranked.join(lead, "bucket").where("_first < _rank and root <> _root").select("leader", "who.tid").distinct()
-            left = ranked.where(F.col("_rank") > count).select("bucket", "who")
-        likely = _likely(pairs, texts)
-        new = roots is None
-        if not likely.isEmpty():
-            found = _verified(likely, _texts_of(likely, texts, docs, id_col, text_col), threshold)
-            new = new or not found.isEmpty()
-            links = found if links is None else links.unionByName(found)
-        if new and links is not None:
-            roots = connected_components(links)
-        elif roots is None:
-            roots = texts.select(F.col("tid").alias("node"), F.col("tid").alias("root")).limit(0)
-        named = materialise(left.join(roots, F.col("who.tid") == F.col("node"), "left").select("bucket", "who", F.coalesce("root", "who.tid").alias("root")), "named-members")
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-        left = materialise(named.join(mixed, "bucket"), "left")
-        count *= 8
-    return roots
+    members = materialise(found_in.join(fame, "tid").select("bucket", "band", F.struct("_fame", "tid").alias("who")), "members")
+    first = materialise(members.groupBy("bucket").agg(F.min("who").alias("_lead")), "leaders")
+    met = members.join(first, "bucket").where("who <> _lead")
+    likely = _likely(met.select(F.col("_lead.tid").alias("leader"), "who.tid").distinct(), texts)
+    links = None if likely.isEmpty() else _verified(likely, texts, docs, threshold, id_col, text_col)
+    rest = met.select("bucket", "band", "who.tid")
+    if links is not None:
+        roots = connected_components(links).withColumnRenamed("node", "tid")
+        rest = rest.join(roots, "tid", "left").select("bucket", "band", "tid", F.coalesce("root", "tid").alias("root"))
+    else:
+        rest = rest.withColumn("root", F.col("tid"))
+    rest = materialise(rest, "rest")
+    mixed = rest.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+    across = _across(materialise(rest.join(mixed, "bucket"), "mixed"), texts)
+    if not across.isEmpty():
+        more = _verified(across, texts, docs, threshold, id_col, text_col)
+        links = more if links is None else links.unionByName(more)
+    return None if links is None else connected_components(links)
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
