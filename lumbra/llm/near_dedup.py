@@ -143,10 +143,9 @@ def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.select("leader", "tid", "_a", "_b").mapInArrow(run, "leader binary, tid binary"), "likely-pairs")
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``tid, _text`` of the texts in pairs; of equal rows of ``docs`` one is read."""
-    wanted = pairs.select("tid").unionByName(pairs.select(F.col("leader").alias("tid"))).distinct()
-    pick = materialise(texts.join(wanted, "tid").select("tid", "_p._id", F.col("_p._th").alias("_h")), "wanted")
+def _texts_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``tid, _text`` of the texts of some ``tid``; of equal rows of ``docs`` one is read."""
+    pick = materialise(texts.join(nodes.distinct(), "tid").select("tid", "_p._id", F.col("_p._th").alias("_h")), "wanted")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(id_col, F.xxhash64(text).alias("_th"), text.alias("_text"))
     return materialise(rows.join(pick, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("tid", "_text").dropDuplicates(["tid"]), "wanted-texts")
@@ -158,7 +157,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, threshold: fl
     Texts are dealt to blocks of bounded size by their hash; a group is the pairs between two
     blocks with the texts these need, so a text goes to each group once, not once a pair.
     """
-    bodies = _texts_of(pairs, texts, docs, id_col, text_col)
+    bodies = _texts_of(pairs.select("tid").unionByName(pairs.select(F.col("leader").alias("tid"))), texts, docs, id_col, text_col)
     n = max(1, -(-bodies.count() // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     dealt = pairs.select(block(F.col("leader")).alias("x"), block(F.col("tid")).alias("y"), "leader", "tid")
@@ -184,54 +183,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, threshold: fl
     return materialise(rows.select("x", "y", "tid", "other", "_text").mapInArrow(run, "a binary, b binary"), "verified")
 
 
-def _across(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """Likely pairs ``leader, tid`` of texts of different components in the same buckets (``bucket, band, tid, root``).
+def _likely_in(group: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Places of likely pairs of different components in a group of rows ``bucket, x, y, own, band, tid, root, sig``.
 
-    All pairs of a bucket are looked at, by their registers only, in blocks of bounded size:
-    a bucket of more texts than a block is dealt to several, and each two of them meet in a
-    group of their own.  A pair is reported in the first band that it shares, so once.
+    A pair counts in the first band that it shares, so in one bucket; between two blocks only
+    pairs of both count.
+    """
+    _, x, y, _, band, *_ = group[0]
+    roots = np.unique([r[6] for r in group], return_inverse=True)[1]
+    if roots.max() == 0:
+        return
+    sigs = np.frombuffer(b"".join(r[7] for r in group), "<u2").reshape(-1, REGISTERS)
+    side = np.array([r[3] for r in group])
+    for i in range(len(group) - 1):
+        same = sigs[i + 1 :] == sigs[i]
+        keep = (same.mean(1) >= LIKELY) & (roots[i + 1 :] != roots[i])
+        if x != y:
+            keep &= side[i + 1 :] != side[i]
+        for j in np.flatnonzero(keep):
+            if same[j].reshape(BANDS, ROWS).all(1).argmax() == band:
+                yield i, i + 1 + int(j)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Neighbouring rows of equal ``bucket, x, y``."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and group[0][:3] != row[:3]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+_ROW = ["bucket", "x", "y", "_own", "band", "tid", "root", "sig"]
+
+
+def _links_across(left: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
+    """Links ``a, b`` between texts of different components in the same buckets (``bucket, band, tid, root``), or None.
+
+    All pairs of a bucket are looked at by their registers, in blocks of bounded size: a
+    bucket of more texts than a block is dealt to several, and each two of them meet in a
+    group of their own.  Texts that have a likely partner there are then brought to the same
+    groups and compared exactly; pairs themselves are never written, and what a group has
+    connected it doesn't compare again.
     """
     sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")
     dealt = left.join(sizes, "bucket").withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("bucket", F.least("_own", "_k").alias("x"), F.greatest("_own", "_k").alias("y"), "_own", "band", "tid", "root")
-    rows = dealt.join(texts.select("tid", "sig"), "tid").select("bucket", "x", "y", "_own", "band", "tid", "root", "sig")
-    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "tid")
-
-    def pairs(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        _, x, y, _, band, *_ = group[0]
-        sigs = np.frombuffer(b"".join(r[7] for r in group), "<u2").reshape(-1, REGISTERS)
-        roots = np.unique([r[6] for r in group], return_inverse=True)[1]
-        if roots.max() == 0:
-            return
-        side = np.array([r[3] for r in group])
-        for i in range(len(group) - 1):
-            same = sigs[i + 1 :] == sigs[i]
-            keep = (same.mean(1) >= LIKELY) & (roots[i + 1 :] != roots[i])
-            if x != y:
-                keep &= side[i + 1 :] != side[i]
-            for j in np.flatnonzero(keep):
-                if same[j].reshape(BANDS, ROWS).all(1).argmax() == band:
-                    yield group[i][5], group[i + 1 + j][5]
+    rows = dealt.join(texts.select("tid", "sig"), "tid").select(*_ROW).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "tid")
+    kinds = [rows.schema[c].dataType.simpleString() for c in _ROW]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    found += pairs(group)
-                    group = []
-                group.append(row)
-            yield _pairs_batch(found)
-        if group:
-            yield _pairs_batch(list(pairs(group)))
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            some = sorted({k for pair in _likely_in(group) for k in pair})
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([group[k][c] for k in some], t) for c, t in enumerate(_ARROW)], _ROW)
+
+    found = materialise(rows.mapInArrow(partnered, ", ".join(f"{c} {t}" for c, t in zip(_ROW, kinds, strict=True))), "partnered")
+    if found.isEmpty():
+        return None
+    bodies = _texts_of(found.select("tid"), texts, docs, id_col, text_col)
+    met = found.join(bodies, "tid").select(*_ROW, "_text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "tid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            sets = [weighted_shingles(r[8]) for r in group]
+            to: dict[bytes, bytes] = {}
+
+            def root(node: bytes, to: dict[bytes, bytes] = to) -> bytes:
+                while node in to:
+                    node = to[node]
+                return node
+
+            links = []
+            for i, j in _likely_in([r[:8] for r in group]):
+                one, other = root(group[i][6]), root(group[j][6])
+                if one != other and similarity(sets[i], sets[j]) >= threshold:
+                    to[max(one, other)] = min(one, other)
+                    links.append((group[i][5], group[j][5]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    return materialise(rows.mapInArrow(run, "leader binary, tid binary"), "likely-pairs")
+    return materialise(met.mapInArrow(compare, "a binary, b binary"), "links-across")
 
 
-def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["leader", "tid"])
+_ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
@@ -260,9 +299,8 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, te
         rest = rest.withColumn("root", F.col("tid"))
     rest = materialise(rest, "rest")
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-    across = _across(materialise(rest.join(mixed, "bucket"), "mixed"), texts)
-    if not across.isEmpty():
-        more = _verified(across, texts, docs, threshold, id_col, text_col)
+    more = _links_across(materialise(rest.join(mixed, "bucket"), "mixed"), texts, docs, threshold, id_col, text_col)
+    if more is not None:
         links = more if links is None else links.unionByName(more)
     return None if links is None else connected_components(links)
 
