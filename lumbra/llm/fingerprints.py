@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,8 +113,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprint every whole text, the text edited with the next one's start, and compare them.
 
     The edited text has its last ``floor(n_chars / 4)`` code points replaced by the first as
-    many (or all) of the next document's, in ascending order of id (ties: of text; null ids
-    first), after the last the first.  Returns id, ``n_chars, edited_sha256, fingerprint,
+    many (or all) of the next document's, in ascending order of id (ties: in a fixed order;
+    null ids first), after the last the first.  Returns id, ``n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``.  Null counts as empty; texts without words
     have a fingerprint of zeros; equal texts have equal fingerprints; an empty table gives no
     rows; other columns are not read.
@@ -124,15 +125,24 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     terms = spark.sparkContext.broadcast(lexicon(docs, text_col, band))
     kind = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).repartitionByRange(id_col).sortWithinPartitions(id_col, "_text")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], [id_col, "_packed"])
+
+    # texts are shuffled compressed one by one, which takes less disk than the shuffle's own compression
+    packed = docs.select(id_col, text_col).mapInArrow(squeeze, f"`{id_col}` {kind}, _packed binary")
+    ordered = packed.repartitionByRange(id_col).sortWithinPartitions(id_col, "_packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, part = Fingerprinter(terms.value), TaskContext.get().partitionId()
+        prints, part, unpack = Fingerprinter(terms.value), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         held = None
         for batch in batches:
             rows: list[tuple] = []
             keys = batch.column(0)
-            for n, text in enumerate(batch.column(1).to_pylist()):
+            for n, data in enumerate(batch.column(1).to_pylist()):
+                text = unpack.decompress(data).decode()
                 key, own = keys[n].as_py(), prints(text)
                 if held is None:
                     rows.append((part, "first", key, text, *[None] * 6))
