@@ -1,8 +1,9 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
 The similarity is the probability Jaccard of weighted shingles: a text's shingles (runs of
-five words) weigh their number of occurrences.  For texts without repeated shingles it is
-the Jaccard index of their shingle sets.
+five words) weigh their number of occurrences; or the Jaccard index of their shingle sets, if that
+is larger.  For texts without repeated shingles both are the same, so only other texts have a
+second signature, over the same shingles of weight 1, and are banded by both.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ WIDTH, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares one of 25 bands of 5 registers but for a chance of 5e-5.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+_BYTES = 2 * REGISTERS
 #: Pairs whose registers agree in a smaller part are not compared: four standard deviations below 0.8,
 #: so that a pair of 0.8 is lost as rarely as by banding.
 LIKELY = 0.66
@@ -72,14 +74,51 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     return holds.reshape(n, registers)
 
 
+def signatures_of(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes | None]:
+    """Short signatures of weighted sets: by weights, then by weights of 1 where some weight is not; None for empty sets."""
+
+    def short(some: list[tuple[np.ndarray, np.ndarray]], plain: bool) -> list[bytes]:
+        if not some:
+            return []
+        elements, weights = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some]).astype(float)
+        weights = np.ones(len(weights)) if plain else weights
+        return short_signatures(prob_minhash(elements, weights, np.repeat(np.arange(len(some)), [len(s[0]) for s in some]), len(some)))
+
+    full = [n for n, s in enumerate(sets) if len(s[0])]
+    repeating = [n for n in full if sets[n][1].max() > 1]
+    out: list[bytes | None] = [None] * len(sets)
+    for n, sig in zip(full, short([sets[n] for n in full], False), strict=True):
+        out[n] = sig
+    for n, sig in zip(repeating, short([sets[n] for n in repeating], True), strict=True):
+        out[n] += sig
+    return out
+
+
+def _both(sigs: list[bytes]) -> np.ndarray:
+    """Registers of texts by weights and by weights of 1 (n x 2 x registers; n x 1 x registers if none differ)."""
+    if all(len(s) == _BYTES for s in sigs):
+        return np.frombuffer(b"".join(sigs), "<u2").reshape(-1, 1, REGISTERS)
+    return np.frombuffer(b"".join(s if len(s) > _BYTES else s + s for s in sigs), "<u2").reshape(-1, 2, REGISTERS)
+
+
+def _first_band(a: np.ndarray, b: np.ndarray) -> int:
+    """The first band in which two texts share a bucket, by whichever of their signatures."""
+    return int((a[:, None] == b[None, :]).reshape(-1, BANDS, ROWS).all(2).any(0).argmax())
+
+
 def short_signatures(signatures: np.ndarray) -> list[bytes]:
     """Signatures by 16 bits of each register, which differ for different elements but for a chance of 2**-16."""
     return [row.tobytes() for row in (signatures >> np.uint64(48)).astype("<u2")]
 
 
-def _bucket(band: Column) -> Column:
-    """Key of a band (from 0) of the column ``sig``."""
-    return F.xxhash64(band, F.substring(F.col("sig"), (band * (2 * ROWS) + 1).cast("int"), F.lit(2 * ROWS)))
+def _buckets() -> Column:
+    """Structs ``band, bucket`` of the column ``sig``; both signatures of a text share the keys, each of which it has once."""
+
+    def keys(start: int) -> Column:
+        key = lambda b: F.xxhash64(F.lit(b), F.substring(F.col("sig"), start + b * 2 * ROWS + 1, 2 * ROWS))
+        return F.array(*[F.struct(F.lit(b).alias("band"), key(b).alias("bucket")) for b in range(BANDS)])
+
+    return F.when(F.length("sig") > _BYTES, F.array_distinct(F.concat(keys(0), keys(_BYTES)))).otherwise(keys(0))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -119,10 +158,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     words = words_of(text)
                     tids.append(xxh3_128_digest(b" ".join(words) if words else b"\0" + text.encode("utf-8", "replace")))
                     sets.append(np.unique(shingles(hash_words(words), WIDTH), return_counts=True))
-                sizes = np.array([len(s[0]) for s in sets])
-                elements, weights = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float)
-                short = short_signatures(prob_minhash(elements, weights, np.repeat(np.arange(len(sets)), sizes), len(sets))) if len(elements) else [b""] * len(sets)
-                sigs += [sig if n else None for sig, n in zip(short, sizes, strict=True)]
+                sigs += signatures_of(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tids, pa.binary()), pa.array(sigs, pa.binary())], [id_col, "_th", "tid", "sig"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -131,12 +167,12 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs ``leader, tid`` those whose registers agree often enough to be compared."""
+    """Of pairs ``leader, tid`` those whose registers agree often enough, by weights or by weights of 1, to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= LIKELY))
+            a, b = (_both(batch.column(c).to_pylist()) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(2).max(1) >= LIKELY))
 
     sig = texts.select("tid", "sig")
     both = pairs.join(sig.select(F.col("tid").alias("leader"), F.col("sig").alias("_a")), "leader").join(sig.withColumnRenamed("sig", "_b"), "tid")
@@ -193,15 +229,15 @@ def _likely_in(group: list[tuple]) -> Iterator[tuple[int, int]]:
     roots = np.unique([r[6] for r in group], return_inverse=True)[1]
     if roots.max() == 0:
         return
-    sigs = np.frombuffer(b"".join(r[7] for r in group), "<u2").reshape(-1, REGISTERS)
+    sigs = _both([r[7] for r in group])
     side = np.array([r[3] for r in group])
     for i in range(len(group) - 1):
         same = sigs[i + 1 :] == sigs[i]
-        keep = (same.mean(1) >= LIKELY) & (roots[i + 1 :] != roots[i])
+        keep = (same.mean(2).max(1) >= LIKELY) & (roots[i + 1 :] != roots[i])
         if x != y:
             keep &= side[i + 1 :] != side[i]
         for j in np.flatnonzero(keep):
-            if same[j].reshape(BANDS, ROWS).all(1).argmax() == band:
+            if _first_band(sigs[i], sigs[i + 1 + j]) == band:
                 yield i, i + 1 + int(j)
 
 
@@ -282,7 +318,7 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, te
     of copies become components by as many comparisons as they have members.  Then texts of
     one bucket that are in different components still are compared with each other.
     """
-    keys = texts.where("sig IS NOT NULL").select("tid", F.posexplode(F.array(*[_bucket(F.lit(b)) for b in range(BANDS)])).alias("band", "bucket"))
+    keys = texts.where("sig IS NOT NULL").select("tid", F.inline(_buckets()))
     several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
     found_in = materialise(keys.join(several, "bucket"), "found-in")
     fame = materialise(found_in.groupBy("tid").agg((-F.sum("_n")).alias("_fame")), "fame")

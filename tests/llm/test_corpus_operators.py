@@ -102,6 +102,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rng = random.Random(12)
+    prose = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
+    rows = []
+    for n in range(12):
+        passage, rest = prose(), prose()
+        rows += [(3 * n, f"{passage} {rest}"), (3 * n + 1, f"{passage} " * 10 + rest), (3 * n + 2, prose())]
+    assert all(similarity(weighted_shingles(rows[3 * n][1]), weighted_shingles(rows[3 * n + 1][1])) > 0.9 for n in range(12))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {k: k - (k % 3 == 1) for k in range(36)}
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(n, n + 1) for n in range(50)] + [(100, n) for n in range(101, 160)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)]
