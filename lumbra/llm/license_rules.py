@@ -9,45 +9,46 @@ licences' own wording.  Order is priority: earlier rules win over later ones of
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-#: label: (keyword that every match holds, pattern of its names)
+#: label: (words of which every match holds one, glued spellings included; pattern of its names)
 NAMES: dict[str, tuple[str, str]] = {
-    "apache-2": ("apache", r"apache(?: software)?(?: license| licence)?(?: v| version)? ?2(?: 0)?"),
-    "apache-1.1": ("apache", r"apache(?: software)?(?: license| licence)?(?: v| version)? ?1 1"),
+    "apache-2": ("apache apache2", r"apache(?: software)?(?: license| licence)?(?: v| version)? ?2(?: 0)?"),
+    "apache-1.1": ("apache apache1", r"apache(?: software)?(?: license| licence)?(?: v| version)? ?1 1"),
     "mit": ("mit", r"mit(?: x11| expat)?"),
     "mit-0": ("mit", r"mit (?:0|no attribution)"),
     "x11": ("x11", r"x11"),
     "expat": ("expat", r"expat"),
     "isc": ("isc", r"isc"),
-    "bsd-2-clause": ("bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd)"),
+    "bsd-2-clause": ("bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd)"),
     "bsd-3-clause": ("bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd|three clause bsd)"),
     "bsd-4-clause": ("bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd|four clause bsd)"),
     "0bsd": ("0bsd", r"0bsd"),
     "bsd": ("bsd", r"bsd(?: style)?"),
     "agpl-3": ("affero", r"(?:gnu )?affero(?: gnu)? general public licen[cs]e(?: as published by the free software foundation)?(?: v| version)? ?3(?: 0)?"),
-    "agpl-3-id": ("agpl", r"agpl ?v? ?3(?: 0)?"),
+    "agpl-3-id": ("agpl agplv agpl3 agplv3", r"agpl ?v? ?3(?: 0)?"),
     "gpl-2": ("general", r"(?:gnu )?(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?2(?: 0)?"),
     "gpl-3": ("general", r"(?:gnu )?(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?3(?: 0)?"),
-    "gpl-2-id": ("gpl", r"gpl ?v? ?2(?: 0)?"),
-    "gpl-3-id": ("gpl", r"gpl ?v? ?3(?: 0)?"),
+    "gpl-2-id": ("gpl gplv gpl2 gplv2", r"gpl ?v? ?2(?: 0)?"),
+    "gpl-3-id": ("gpl gplv gpl3 gplv3", r"gpl ?v? ?3(?: 0)?"),
     "gpl-2-glued": ("gplv2", r"gplv2"),
     "gpl-3-glued": ("gplv3", r"gplv3"),
     "agpl-3-glued": ("agplv3", r"agplv3"),
     "lgpl-2.1": ("lesser", r"(?:gnu )?lesser general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?2 1"),
     "lgpl-3": ("lesser", r"(?:gnu )?lesser general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?3(?: 0)?"),
     "lgpl-2": ("library", r"(?:gnu )?library general public licen[cs]e(?: v| version)? ?2(?: 0)?"),
-    "lgpl-2.1-id": ("lgpl", r"lgpl ?v? ?2 1"),
-    "lgpl-3-id": ("lgpl", r"lgpl ?v? ?3(?: 0)?"),
+    "lgpl-2.1-id": ("lgpl lgplv lgpl2 lgplv2", r"lgpl ?v? ?2 1"),
+    "lgpl-3-id": ("lgpl lgplv lgpl3 lgplv3", r"lgpl ?v? ?3(?: 0)?"),
     "gfdl-1.3": ("documentation", r"(?:gnu )?free documentation licen[cs]e(?: v| version)? ?1 3"),
     "gfdl-1.2": ("documentation", r"(?:gnu )?free documentation licen[cs]e(?: v| version)? ?1 2"),
     "mpl-2": ("mozilla", r"mozilla public licen[cs]e(?: v| version)? ?2(?: 0)?"),
     "mpl-1.1": ("mozilla", r"mozilla public licen[cs]e(?: v| version)? ?1 1"),
-    "mpl-2-id": ("mpl", r"mpl ?v? ?2(?: 0)?"),
+    "mpl-2-id": ("mpl mplv mpl2 mplv2", r"mpl ?v? ?2(?: 0)?"),
     "epl-1": ("eclipse", r"eclipse public licen[cs]e(?: v| version)? ?1(?: 0)?"),
     "epl-2": ("eclipse", r"eclipse public licen[cs]e(?: v| version)? ?2(?: 0)?"),
     "edl-1": ("eclipse", r"eclipse distribution licen[cs]e(?: v| version)? ?1(?: 0)?"),
-    "cddl-1": ("cddl", r"cddl(?: v| version)? ?1(?: 0)?"),
+    "cddl-1": ("cddl cddl1", r"cddl(?: v| version)? ?1(?: 0)?"),
     "cddl": ("distribution", r"common development and distribution licen[cs]e"),
     "cpl-1": ("common", r"common public licen[cs]e(?: v| version)? ?1(?: 0)?"),
     "artistic-2": ("artistic", r"artistic licen[cs]e(?: v| version)? ?2(?: 0)?"),
@@ -111,9 +112,16 @@ FRAMES: dict[str, tuple[float, str]] = {
     "identifier": (0.98, r"spdx license identifier {name}"),
     "grant": (0.95, r"(?:licen[cs]ed|released|distributed|published|made available|available|provided|covered|offered|redistributed)(?: \w+){{0,4}} under(?: the)?(?: terms(?: and conditions)? of)?(?: the)? {name}(?: licen[cs]e)?"),
     "notice": (0.85, r"licen[cs]e(?: is| type| name| under)?(?: the)? {name}(?: licen[cs]e)?"),
-    "title": (0.8, r"(?:the )?{name} licen[cs]e(?: agreement)?"),
+    "title": (0.8, r"(?:the )?(?:{name} licen[cs]e{whole})(?: agreement)?"),
 }
 
+
+def _frame(frame: str, name: str) -> str:
+    """A frame around a name; ``whole`` stands for a name that has the word licence of its own, which then is not optional."""
+    whole = re.sub(r"\(\?:( [^()]*licen[^()]*)\)\?", r"(?:\1)", name)
+    return frame.format(name=name, whole=f"|{whole}" if "licen[cs]e" in whole or "licence" in whole else "")
+
+
 #: label, keyword, pattern of the licence's own words or address
 TEXTS: list[tuple[str, str, str]] = [
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -168,7 +176,7 @@ BASE: dict[str, str] = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``priority``: lower wins; ``base``: its places are reported whatever overlaps them."""
+    """``keyword``: words of which every match holds one; ``priority``: lower wins; ``base``: its places are reported whatever overlaps them."""
 
     name: str
     label: str
@@ -184,5 +192,5 @@ def default_rules() -> list[Rule]:
     found = [(f"base:{p}", label, p.split()[0] if p[:5] != "under" else "mit", p, 0.95, True) for p, label in BASE.items()]
     found += [(f"text:{n}", label, key, p, 1.0, False) for n, (label, key, p) in enumerate(TEXTS)]
     for kind, (score, frame) in FRAMES.items():
-        found += [(f"{kind}:{n}", SAME_AS.get(n, n), key, frame.format(name=p), score, False) for n, (key, p) in NAMES.items()]
+        found += [(f"{kind}:{n}", SAME_AS.get(n, n), key, _frame(frame, p), score, False) for n, (key, p) in NAMES.items()]
     return [Rule(name, label, key, pattern, score, k, base) for k, (name, label, key, pattern, score, base) in enumerate(found)]

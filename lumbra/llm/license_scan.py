@@ -17,14 +17,15 @@ SCHEMA = (
 
 
 class Scanner:
-    """Rules compiled once per task, found by the keyword that every match of theirs holds."""
+    """Rules compiled once per task, found by words of which every match of theirs holds one."""
 
     def __init__(self, rules: Sequence[Rule]) -> None:
         self.by_key: dict[bytes, list[tuple[Rule, re.Pattern[bytes]]]] = {}
         for r in rules:
             # lookaround, so that places of one phrase may overlap
             pattern = rf"(?=(?<![^ ])({r.pattern})(?![^ ]))" if r.base else rf"(?<![^ ])(?:{r.pattern})(?![^ ])"
-            self.by_key.setdefault(r.keyword.encode(), []).append((r, re.compile(pattern.encode())))
+            for key in r.keyword.encode().split():
+                self.by_key.setdefault(key, []).append((r, re.compile(pattern.encode())))
         self.keys = frozenset(self.by_key)
 
     def scan(self, words: list[bytes]) -> list[dict]:
@@ -34,11 +35,11 @@ class Scanner:
             return []
         text = b" ".join(words)
         found = []
-        for key in keys:
-            for rule, pattern in self.by_key[key]:
-                for m in pattern.finditer(text):
-                    a, b = m.span(1) if rule.base else m.span()
-                    found.append((a, b, rule))
+        tried = {rule: pattern for key in keys for rule, pattern in self.by_key[key]} if len(keys) > 1 else dict(self.by_key[next(iter(keys))])
+        for rule, pattern in tried.items():
+            for m in pattern.finditer(text):
+                a, b = m.span(1) if rule.base else m.span()
+                found.append((a, b, rule))
         return self._resolve(text, found)
 
     @staticmethod
@@ -64,7 +65,7 @@ def scan_licenses(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col:
     """One row per row of ``docs``: its id, ``n_words`` and ``detections`` with places in words from 0.
 
     Texts are cut into words (see ``words``); null counts as empty; a rule is tried only on
-    texts that hold its keyword.  ``kept`` is false for a detection inside a longer one, or
+    texts that hold one of its keywords.  ``kept`` is false for a detection inside a longer one, or
     on the same words as one of an earlier rule; base rules always keep theirs.  Repeated
     rows are reported each; no other column is read.
     """

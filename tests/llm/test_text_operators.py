@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumbra.llm import registry
 from lumbra.llm.fingerprints import fingerprint_documents
 from lumbra.llm.license_rules import BASE, default_rules
-from lumbra.llm.license_scan import scan_licenses
+from lumbra.llm.license_scan import Scanner, scan_licenses
 from lumbra.llm.line_dedup import drop_common_lines
 from lumbra.llm.mixture import draw_mixture, mix_sources, source_targets
 
@@ -58,6 +58,47 @@ def test_licence_rules_and_suppression(spark):
     assert got == {1: {"gpl-3"}, 2: {"cc-by-nc"}, 3: {"mit"}, 4: set(), 5: {"lgpl-2.1"}}
 
 
+def example(rng, tree):
+    """A text that a parsed pattern may match."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rng.randint(*value)) if str(kind) != "CATEGORY" else "w"
+            case "SUBPATTERN":
+                out += example(rng, arg[3])
+            case "BRANCH":
+                out += example(rng, rng.choice(arg[1]))
+            case "MAX_REPEAT":
+                out += "".join(example(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+
+def test_licence_keywords_hide_no_match():
+    rng, rules = random.Random(3), default_rules()
+    scanner, seen = Scanner(rules), 0
+    for rule in rules:
+        for text in {example(rng, re._parser.parse(rule.pattern)) for _ in range(40)}:
+            if re.search(rf"(?<![^ ])(?:{rule.pattern})(?![^ ])", text):
+                seen += 1
+                assert rule.name in {d["rule"] for d in scanner.scan(text.encode().split())}, (rule.name, text)
+    assert seen > 3 * len(rules)
+
+
+def test_licence_glued_names_and_titles():
+    def labels(text):
+        return {d["label"] for d in Scanner(default_rules()).scan(lower(text).encode().split()) if d["kept"]}
+
+    glued = {"gpl2": "gpl-2", "gpl3": "gpl-3", "lgpl3": "lgpl-3", "lgplv3": "lgpl-3", "mplv2": "mpl-2", "apache2": "apache-2", "agpl3": "agpl-3", "freebsd": "bsd-2-clause"}
+    assert {k: labels(f"licensed under {k}") for k in glued} == {k: {v} for k, v in glued.items()}
+    titles = {"Mozilla Public License Version 2 0": "mpl-2", "Eclipse Public License 1 0": "epl-1", "Apache Software License 2 0": "apache-2", "MIT License": "mit"}
+    assert {k: labels(k) for k in titles} == {k: {v} for k, v in titles.items()}
+    assert labels("the ncsa met apache 2 0 and mit") == set()
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
