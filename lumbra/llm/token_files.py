@@ -3,17 +3,16 @@
 A table of shards is a Parquet folder with one row per shard.  Its column ``blob`` is
 self-contained::
 
-    8s  b"REPAIR1\\0"
+    8s  b"REPAIR2\\0"
     u4  base        ids below are terminals, rule k is id base + k
-    u4  n_rules, n_docs, width (bytes of a symbol: 2 or 4)
+    u4  n_rules, n_docs, bits (of a symbol)
     u8  n_symbols, n_tokens
-    rules    n_rules x 2 u4    what the rule stands for
-    lengths  n_rules x u4      ids that the rule expands to
-    places   (n_docs + 1) x u8 symbol at which each document starts
-    symbols  n_symbols x width
+    rules    n_rules x 2 symbols   what the rule stands for, in terms of earlier rules
+    places   (n_docs + 1) x u8     symbol at which each document starts
+    symbols  n_symbols symbols
 
-all little-endian.  A document's ids are found from its place alone: its symbols are looked
-up in the rules; lengths tell how many ids precede any symbol without expanding it.
+all little-endian; runs of symbols are packed by ``bits`` each, lowest first, to whole bytes.
+A document's ids are found from its place alone: its symbols are looked up in the rules.
 """
 
 from __future__ import annotations
@@ -31,61 +30,62 @@ from pyspark.sql import functions as F
 from .tokens import encoder
 
 _HEAD = struct.Struct("<8sIIIIQQ")
-_MAGIC = b"REPAIR1\0"
+_MAGIC = b"REPAIR2\0"
 #: Ids after which a shard is closed (a document is never split, so one may hold more).
 SHARD_IDS = 1_000_000
-#: Rounds of replacement, rules in each at most, and uses that a rule must have.
-ROUNDS, RULES, USES = 4, 4096, 12
+#: Pairs replaced in a round (more, if they occur at least half as often as the most frequent), and uses
+#: that a rule must have: it is written as two symbols and saves one a use, so from three on it pays.
+RULES, USES = 4096, 3
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, rules: int = RULES, uses: int = USES):
-    """Compress ``ids`` by replacing frequent pairs of neighbours by new ids, round by round.
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, uses: int = USES):
+    """Compress ``ids`` by replacing frequent pairs of neighbours by new ids, until no pair has ``uses`` places.
 
-    ``ends`` flags the last id of each document: no pair crosses it.  Each round counts all
-    pairs, takes the most frequent, replaces them from left to right without overlap and
-    keeps the rules that were used often enough.  Returns symbols, rule pairs, lengths of
-    expansions and the ends flags of the symbols.
+    ``ends`` flags the last id of each document: no pair crosses it.  Each round counts the
+    places of all pairs that don't overlap places of the same pair and takes the most
+    frequent; where these overlap each other, the more frequent one is replaced.  So the most
+    frequent pair of a round is replaced everywhere, and what it blocks is left to the next.
+    Returns symbols, rule pairs, lengths of expansions and the ends flags of the symbols.
     """
     seq, ends = ids.astype(np.uint32), ends.copy()
     pairs = np.zeros((0, 2), np.uint32)
     lengths = np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inner = np.sort(keys[~ends[:-1]])
-        if not len(inner):
-            break
-        firsts = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1])))
+        free = ~ends[:-1]
+        again = np.concatenate(([False], (keys[1:] == keys[:-1]) & free[:-1]))
+        if again.any():  # of a run of one id, the first, third and so on
+            at = np.arange(len(keys))
+            free &= (at - np.maximum.accumulate(np.where(again, 0, at))) % 2 == 0
+        inner = np.sort(keys[free])
+        firsts = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1]))) if len(inner) else np.zeros(0, np.int64)
         counts = np.diff(np.append(firsts, len(inner)))
         often = np.flatnonzero(counts >= uses)
-        often = often[np.argsort(-counts[often], kind="stable")[:rules]]
         if not len(often):
             break
-        chosen = inner[firsts[often]]
+        often = often[np.argsort(-counts[often], kind="stable")]
+        chosen = inner[firsts[often[: max(rules, int((counts[often] * 2 >= counts[often[0]]).sum()))]]]
         # a slot holds one pair; of those that meet in one, the most frequent stays
         slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
         table = np.full(1 << 18, -1, np.int32)
         order = np.arange(len(chosen))[::-1]
         table[slot(chosen[order])] = order
         rule = table[slot(keys)]
-        hit = (rule >= 0) & ~ends[:-1]
+        hit = (rule >= 0) & free
         hit[hit] = chosen[rule[hit]] == keys[hit]
+        rank = np.where(hit, rule, np.iinfo(np.int32).max)
+        hit[1:] &= rank[1:] < rank[:-1]
+        hit[:-1] &= rank[:-1] < rank[1:]
         at = np.flatnonzero(hit)
-        # of a run of overlapping pairs, the first, third and so on
-        starts = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
-        run = np.flatnonzero(starts)
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-        used = np.bincount(rule[at], minlength=len(chosen)) >= max(2, uses // 2)
+        used = np.bincount(rule[at], minlength=len(chosen)) >= uses
         at = at[used[rule[at]]]
-        if not len(at):
-            break
         number = np.cumsum(used) - 1 + base + len(pairs)
         seq[at] = number[rule[at]]
         kept = chosen[used]
         new = np.stack([(kept >> np.uint64(32)).astype(np.uint32), kept.astype(np.uint32)], axis=1)
-        size = lambda s: np.where(s < base, 1, lengths[np.maximum(s.astype(np.int64) - base, 0)] if len(lengths) else 1)  # noqa: E731, B023
-        lengths = np.concatenate([lengths, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)])
+        size = np.ones(new.shape, np.uint32)
+        size[new >= base] = lengths[new[new >= base] - base]
+        lengths = np.concatenate([lengths, size.sum(1, dtype=np.uint32)])
         pairs = np.concatenate([pairs, new])
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
@@ -94,30 +94,54 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, r
     return seq, pairs, lengths, ends
 
 
+#: Symbols packed together: a multiple of 8, so that each lot fills whole bytes.
+_LOT = 1 << 16
+
+
+def _pack(symbols: np.ndarray, bits: int) -> bytes:
+    lots = (symbols[k : k + _LOT].astype("<u4").view(np.uint8).reshape(-1, 4) for k in range(0, len(symbols), _LOT))
+    return b"".join(np.packbits(np.unpackbits(x, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes() for x in lots)
+
+
+def _unpack(blob: bytes, at: int, n: int, bits: int) -> np.ndarray:
+    out = np.empty(n, "<u4")
+    for k in range(0, n, _LOT):
+        m = min(_LOT, n - k)
+        flat = np.unpackbits(np.frombuffer(blob, np.uint8, -(-m * bits // 8), at + k * bits // 8), count=m * bits, bitorder="little")
+        wide = np.zeros((m, 32), np.uint8)
+        wide[:, :bits] = flat.reshape(m, bits)
+        out[k : k + m] = np.packbits(wide, axis=1, bitorder="little").view("<u4")[:, 0]
+    return out
+
+
 def pack_shard(docs: list[bytes], base: int) -> bytes:
     """One shard's blob from the ids (u4 bytes, none empty) of its documents."""
     ids = np.frombuffer(b"".join(docs), "<u4")
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum([len(d) // 4 for d in docs]) - 1] = True
-    seq, pairs, lengths, ends = repair(ids, ends, base)
+    seq, pairs, _, ends = repair(ids, ends, base)
     places = np.concatenate(([0], np.flatnonzero(ends) + 1)).astype("<u8")
-    width = 2 if base + len(pairs) <= 1 << 16 else 4
-    head = _HEAD.pack(_MAGIC, base, len(pairs), len(docs), width, len(seq), len(ids))
-    return b"".join([head, pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), places.tobytes(), seq.astype(f"<u{width}").tobytes()])
+    bits = max(1, (base + len(pairs) - 1).bit_length())
+    head = _HEAD.pack(_MAGIC, base, len(pairs), len(docs), bits, len(seq), len(ids))
+    return b"".join([head, _pack(pairs.ravel(), bits), places.tobytes(), _pack(seq, bits)])
 
 
 class Shard:
     """Random access to the documents of a blob."""
 
     def __init__(self, blob: bytes) -> None:
-        magic, self.base, n_rules, self.n_docs, width, n_symbols, self.n_tokens = _HEAD.unpack_from(blob)
+        magic, self.base, n_rules, self.n_docs, bits, n_symbols, self.n_tokens = _HEAD.unpack_from(blob)
         if magic != _MAGIC:
             raise ValueError("not a shard of token ids")
-        parts, at = [], _HEAD.size
-        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), ("<u8", self.n_docs + 1), (f"<u{width}", n_symbols)):
-            parts.append(np.frombuffer(blob, kind, n, at))
-            at += parts[-1].nbytes
-        rules, self.lengths, self.places, self.symbols = parts[0].reshape(-1, 2), parts[1].astype(np.int64), parts[2].astype(np.int64), parts[3]
+        at = _HEAD.size
+        rules = _unpack(blob, at, 2 * n_rules, bits).reshape(-1, 2)
+        at += -(-2 * n_rules * bits // 8)
+        self.places = np.frombuffer(blob, "<u8", self.n_docs + 1, at).astype(np.int64)
+        self.symbols = _unpack(blob, at + 8 * (self.n_docs + 1), n_symbols, bits)
+        sizes: list[int] = []
+        for a, b in rules.tolist():
+            sizes.append((1 if a < self.base else sizes[a - self.base]) + (1 if b < self.base else sizes[b - self.base]))
+        self.lengths = np.array(sizes, np.int64)
         # rules in order of definition use earlier ones only, so their expansions are joined in one pass
         self._from = np.concatenate(([0], np.cumsum(self.lengths)))
         self._flat = np.empty(int(self._from[-1]), np.uint32)

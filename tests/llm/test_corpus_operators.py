@@ -231,6 +231,24 @@ def test_shards_decode_at_random(seed):
     assert len(shard.symbols) < shard.n_tokens
 
 
+def test_shards_replace_every_pair_that_pays():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 50_000, 1000)
+    docs = [np.concatenate([rng.integers(0, 50_000, 50), passage, rng.integers(0, 50_000, 50)]).astype("<u4") for _ in range(4)] + [np.full(5, 7, "<u4")]
+    blob = pack_shard([d.tobytes() for d in docs], 50_257)
+    shard = Shard(blob)
+    assert all(shard.document(k).tolist() == d.tolist() for k, d in enumerate(docs))
+    assert len(shard.symbols) < 4 * 100 + 30
+    places = Counter()
+    for a, b in zip(shard.places, shard.places[1:], strict=False):
+        row, last = shard.symbols[a:b].tolist(), {}
+        for k, pair in enumerate(zip(row, row[1:], strict=False)):
+            if last.get(pair, -2) < k - 1:
+                last[pair] = k
+                places[pair] += 1
+    assert max(places.values()) < 3
+
+
 def test_top_k(spark):
     rng = random.Random(5)
     rows = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(300)] + [(n, [0.5] * 8) for n in range(300, 420)]
