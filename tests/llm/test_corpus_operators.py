@@ -14,7 +14,7 @@ from lumbra.llm import registry
 from lumbra.llm.components import connected_components
 from lumbra.llm.near_dedup import REGISTERS, keep_one_of_each, near_duplicates, prob_minhash, similarity, weighted_shingles
 from lumbra.llm.packing import Island, cut_pieces, pack_documents, pack_pieces
-from lumbra.llm.quality import score_quality, train_quality
+from lumbra.llm.quality import cut, score_quality, train_quality
 from lumbra.llm.token_files import Shard, pack_shard, read_token_shards, write_token_shards
 from lumbra.llm.tokens import vocabulary
 from lumbra.llm.topk_index import search_top_k
@@ -148,6 +148,14 @@ def test_quality_on_held_out_labels(spark):
     assert score_quality(odd, none).where("accepted").count() == 3 and score_quality(docs.limit(0), none).count() == 0
 
 
+def test_quality_cut_withstands_outliers():
+    rng = np.random.default_rng(4)
+    good, bad = rng.uniform(0.6, 1, 100), rng.uniform(0, 0.4, 50)
+    scores, y = np.concatenate([good, bad, [0.001, 0.999]]), np.concatenate([np.ones(100), np.zeros(50), [1, 0]])
+    assert 0.39 <= cut(scores, y) <= 0.61
+    assert cut(np.array([0.2, 0.2, 0.2]), np.array([1.0, 0.0, 1.0])) == 0.0
+
+
 def brute_tokens(texts, name, end):
     from tokenizers import Tokenizer
 
