@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-#: Documents with a label, and without one, that the classifiers may be fitted on at most.
-MAX_LABELLED, MAX_POOL = 4000, 4000
+from .storage import materialise
+
+#: Documents with a label that the classifiers may be fitted on at most.
+MAX_LABELLED = 4000
 #: Rounds of exchange, pseudo-labels per round and class share, and the certainty these need.
 ROUNDS, EXCHANGED, CERTAIN = 3, 400, 0.95
 #: A good document that the threshold costs weighs as much as so many bad ones that it rejects, by shares of their classes.
@@ -154,31 +156,35 @@ class QualityModel:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.combine[0] * a + self.combine[1] * b + self.combine[2])
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, pools: list[np.ndarray]) -> QualityModel:
+#: Features of documents that a view has been given, and their labels.
+Given = tuple[np.ndarray, np.ndarray]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange: Callable[[list[Linear], list[int]], list[Given]]) -> QualityModel:
     """Train both views; each gives the other its most certain labels of unlabelled documents, round by round.
 
-    ``held`` flags labelled rows kept for calibration, combination and the threshold.
+    ``held`` flags labelled rows kept for calibration, combination and the threshold;
+    ``exchange`` takes both models and how many bad and good documents to label, and returns
+    what each view is given anew.
     """
     learn = ~held
-    labels = [np.full(len(pools[0]), -1.0), np.full(len(pools[0]), -1.0)]
+    given = [[(v[:0], y[:0])] for v in views]
     good = y[learn].mean()
     models: list[Linear] = []
     for r in range(ROUNDS + 1):
         models = []
         for k in (0, 1):
-            given = labels[k] >= 0
-            x = np.concatenate([views[k][learn], pools[k][given]])
-            model = fit(x, np.concatenate([y[learn], labels[k][given]]), np.concatenate([np.ones(learn.sum()), np.full(given.sum(), 0.5)]))
+            x, told = (np.concatenate(part) for part in zip(*given[k], strict=True))
+            model = fit(np.concatenate([views[k][learn], x]), np.concatenate([y[learn], told]), np.concatenate([np.ones(learn.sum()), np.full(len(told), 0.5)]))
             model.line = calibrate(model.odds(views[k][held]), y[held])
             models.append(model)
-        if r == ROUNDS or not len(pools[0]):
+        if r == ROUNDS:
             break
+        new = exchange(models, [int(EXCHANGED * (1 - good)) + 1, int(EXCHANGED * good) + 1])
         for k in (0, 1):
-            p = _sigmoid(models[k].odds(pools[k]))
-            for value, sure, many in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                open_ = np.flatnonzero((labels[1 - k] < 0) & (sure >= CERTAIN))
-                best = open_[np.argsort(-sure[open_], kind="stable")[: int(EXCHANGED * many) + 1]]
-                labels[1 - k][best] = value
+            given[k].append(new[k])
+        if not any(len(told) for _, told in new):
+            break
     odds = np.stack([models[k].odds(views[k][held]) for k in (0, 1)], axis=1)
     both = fit(odds, y[held], np.ones(held.sum()))
     slopes = np.maximum(both.weights / both.scale, 0)
@@ -200,9 +206,10 @@ _PAGE = ("source", "lang", "n_chars")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, chosen by a hash of their ids.
+    """Fit on at most MAX_LABELLED labelled documents, chosen by a hash of their ids, and on pseudo-labels.
 
-    These bounds are parameters of the method; everything is scored.  Ids with several labels
+    That bound is a parameter of the method.  In each round all unlabelled documents are
+    scored by both views, and only the rows of the most certain of them are fetched.  Ids with several labels
     count as bad if one of them is bad; labels of 1 are good, null ones are no labels.
     Without labels of both kinds the model accepts all documents with a score of 1.
     """
@@ -210,25 +217,59 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     order = F.xxhash64(F.lit(6), F.col(id_col))
     ids = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     known = ids.join(named, id_col).orderBy(order, id_col).limit(MAX_LABELLED)
-    pool = ids.join(named, id_col, "left_anti").orderBy(order, id_col).limit(MAX_POOL).withColumn("_y", F.lit(-1))
     columns = [c for c in _PAGE if c in docs.columns]
-    chosen = docs.select(id_col, text_col, *columns).join(F.broadcast(known.unionByName(pool)), id_col)
     fields = [text_col, *columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def views_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        names = batch.schema.names
+        return _views(batch, [names.index(c) if c in names else -1 for c in (text_col, *_PAGE)])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            a, b = _views(batch, [names.index(c) if c in names else -1 for c in (text_col, *_PAGE)])
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("_h")), batch.column(names.index("_y")), pa.array(list(a), pa.list_(pa.float32())), pa.array(list(b), pa.list_(pa.float32()))], ["_h", "_y", "a", "b"])
-
-    rows = chosen.select(order.alias("_h"), "_y", *fields).mapInArrow(run, "_h long, _y int, a array<float>, b array<float>").toArrow().sort_by("_h")
-    y = rows["_y"].to_numpy()
-    x = [np.stack(rows[c].to_numpy()) if len(y) else np.zeros((0, 1)) for c in ("a", "b")]
-    some, chance = y >= 0, rows["_h"].to_numpy() % 10
-    held = chance[some] < 3
-    if min(((y[some] == k) & f).sum() for k in (0, 1) for f in (held, ~held)) == 0:
+            a, b = views_of(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), pa.array(list(a), pa.list_(pa.float32())), pa.array(list(b), pa.list_(pa.float32()))], ["_h", "_y", "a", "b"])
+
+    def fetch(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Hashes, ``_y`` and both views of the documents of some ids."""
+        rows = docs.select(id_col, *fields).join(F.broadcast(chosen), id_col).select(order.alias("_h"), "_y", *fields)
+        rows = rows.mapInArrow(features, "_h long, _y int, a array<float>, b array<float>").toArrow().sort_by([("_h", "ascending"), ("_y", "ascending")])
+        x = [np.stack(rows[c].to_numpy()) if len(rows) else np.zeros((0, n), np.float32) for c, n in (("a", TRIGRAMS + TEXT_EXTRA), ("b", SOURCES + LANGS + PAGE_EXTRA))]
+        return rows["_h"].to_numpy(), rows["_y"].to_numpy(), x
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    taken: list[set] = [set(), set()]
+
+    def exchange(models: list[Linear], many: list[int]) -> list[Given]:
+        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = [_sigmoid(m.odds(x)) for m, x in zip(models, views_of(batch), strict=True)]
+                some = pa.array(np.maximum(np.maximum(p[0], 1 - p[0]), np.maximum(p[1], 1 - p[1])) >= CERTAIN)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(float)) for x in p)], [id_col, "_p0", "_p1"]).filter(some)
+
+        scored = docs.where(F.col(id_col).isNotNull()).select(id_col, *fields).mapInArrow(sure, f"`{id_col}` {kind}, _p0 double, _p1 double")
+        open_ = materialise(materialise(scored, "certain").join(named, id_col, "left_anti"), "unlabelled")
+        out: list[Given] = []
+        for to in (0, 1):
+            p, best = F.col(f"_p{1 - to}"), {}
+            for value in (0, 1):
+                certain = F.max(p if value else 1 - p).alias("_c")
+                top = open_.groupBy(id_col).agg(certain).where(F.col("_c") >= CERTAIN).orderBy(F.desc("_c"), order, id_col).limit(many[value] + len(taken[to]))
+                fresh = [r[0] for r in top.collect() if r[0] not in taken[to] and r[0] not in best]
+                best |= dict.fromkeys(fresh[: many[value]], value)
+            taken[to] |= set(best)
+            if best:
+                chosen = docs.sparkSession.createDataFrame(list(best.items()), f"`{id_col}` {kind}, _y int")
+                _, told, x = fetch(chosen)
+                out.append((x[to], told.astype(float)))
+            else:
+                out.append((np.zeros((0, [TRIGRAMS + TEXT_EXTRA, SOURCES + LANGS + PAGE_EXTRA][to]), np.float32), np.zeros(0)))
+        return out
+
+    h, y, x = fetch(known)
+    held = h % 10 < 3
+    if min(((y == k) & f).sum() for k in (0, 1) for f in (held, ~held)) == 0:
         return QualityModel()
-    return co_train([v[some] for v in x], y[some].astype(float), held, [v[~some] for v in x])
+    return co_train(x, y.astype(float), held, exchange)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumbra.llm import registry
+from lumbra.llm import quality, registry
 from lumbra.llm.components import connected_components
 from lumbra.llm.near_dedup import REGISTERS, keep_one_of_each, near_duplicates, prob_minhash, similarity, weighted_shingles
 from lumbra.llm.packing import Island, cut_pieces, pack_documents, pack_pieces
@@ -148,6 +148,31 @@ def test_quality_on_held_out_labels(spark):
     assert score_quality(odd, none).where("accepted").count() == 3 and score_quality(docs.limit(0), none).count() == 0
 
 
+def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
+    rng, seen = random.Random(11), []
+    prose = lambda: " ".join(rng.choices(["river", "stone", "garden", "letter", "music", "winter"], k=30))
+    junk = lambda: "$$$ " * 12 + "BUY 99 " * 12
+    rows = [(n, prose() if n % 2 else junk(), "en", "s", None) for n in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = docs.where("doc_id < 100").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    real = quality.co_train
+
+    def spy(views, y, held, exchange):
+        ones = quality.Linear(np.zeros(1), np.ones(1), np.zeros(1), 0.0)
+
+        class Sure(quality.Linear):
+            def odds(self, x):
+                return np.full(len(x), 9.0)
+
+        sure = Sure(ones.mean, ones.scale, ones.weights, 0.0)
+        seen.extend(len(told) for _, told in exchange([sure, sure], [1, 10_000]))
+        return real(views, y, held, exchange)
+
+    monkeypatch.setattr(quality, "co_train", spy)
+    train_quality(docs, labels)
+    assert seen == [5900, 5900]
+
+
 def test_quality_cut_withstands_outliers():
     rng = np.random.default_rng(4)
     good, bad = rng.uniform(0.6, 1, 100), rng.uniform(0, 0.4, 50)
