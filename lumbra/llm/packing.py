@@ -4,24 +4,48 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .storage import materialise
 from .tokens import encoder
 
-#: Pieces per shard, islands per shard, individuals and generations per island and epoch.
-SHARD, ISLANDS, POPULATION, GENERATIONS = 2000, 2, 4, 6
+#: Pieces per shard, islands per shard, individuals per island and crossovers per island and epoch.
+SHARD, ISLANDS, POPULATION, CROSSOVERS = 2000, 2, 8, 24
+#: Epochs without a gain after which a shard's islands stop.
+PATIENCE = 2
 #: Sequences at least this full stay as they are; the pieces of others are packed again.
 FULL = 0.9995
 
 Bins = list[list[int]]
 
 
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A number of bins that no packing can go below.
+
+    For each bound c up to half the capacity: items above ``capacity - c`` have bins of their
+    own, others above half the capacity one each, and what those in [c, capacity / 2] have
+    beyond the room left in these needs more.
+    """
+    falling = sorted(lengths, reverse=True)
+    ahead = [0, *accumulate(falling)]
+    upto = lambda least: bisect_right(falling, -least, key=lambda x: -x)  # noqa: E731  items of that length or more
+    half = upto(capacity // 2 + 1)
+    best = max(half, -(-ahead[-1] // capacity))
+    for c in set(falling[half:]):
+        alone, small = upto(capacity - c + 1), upto(c)
+        over = ahead[small] - ahead[half] - ((half - alone) * capacity - (ahead[half] - ahead[alone]))
+        best = max(best, half + max(0, -(-over // capacity)))
+    return best
+
+
 def best_fit(lengths: list[int], items: list[int], capacity: int, bins: Bins, room: list[int]) -> None:
     """Put each item, in order, into the bin with the least room that holds it, or a new one."""
     by_room: dict[int, list[int]] = {}
@@ -56,33 +80,66 @@ class Island:
     def __init__(self, lengths: list[int], capacity: int, seed: int) -> None:
         self.lengths, self.capacity = lengths, capacity
         self.rng = random.Random(seed)
-        self.least = -(-sum(lengths) // capacity)
+        self.least = least_bins(lengths, capacity)
         self.order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        #: Crossovers, and those whose child was better than all before it.
+        self.crossed = self.won = 0
+
+    def fill(self, bin_: list[int]) -> int:
+        return sum(map(self.lengths.__getitem__, bin_))
 
     def fitness(self, bins: Bins) -> tuple[int, float]:
-        """Fewer bins are better, then fuller ones (mean square of fill)."""
-        fills = [sum(map(self.lengths.__getitem__, b)) / self.capacity for b in bins]
+        """Fewer bins are better, then fuller ones (sum of squares of fill)."""
+        fills = [self.fill(b) / self.capacity for b in bins]
         return -len(bins), sum(f * f for f in fills)
 
     def pack(self, items: list[int], bins: Bins | None = None) -> Bins:
         bins = [] if bins is None else bins
-        room = [self.capacity - sum(map(self.lengths.__getitem__, b)) for b in bins]
-        best_fit(self.lengths, items, self.capacity, bins, room)
+        best_fit(self.lengths, items, self.capacity, bins, [self.capacity - self.fill(b) for b in bins])
         return bins
 
-    def founders(self) -> list[Bins]:
-        """Best fit by falling length, and by lengths that are blurred at random."""
-        out = [self.pack(self.order)]
-        while len(out) < POPULATION and -self.fitness(out[0])[0] > self.least:
-            blur = [self.lengths[i] * self.rng.uniform(0.8, 1.2) for i in range(len(self.lengths))]
-            out.append(self.pack(sorted(self.order, key=lambda i: -blur[i])))
-        return out
+    def founder(self, blurred: bool) -> Bins:
+        """Best fit by falling length, or by lengths that are blurred at random."""
+        if not blurred:
+            return self.pack(self.order)
+        blur = [x * self.rng.uniform(0.7, 1.3) for x in self.lengths]
+        return self.pack(sorted(self.order, key=lambda i: -blur[i]))
+
+    def improve(self, bins: Bins, displaced: list[int]) -> list[int]:
+        """Exchange items of bins for displaced ones that fill the bins better; returns what is displaced then.
+
+        One item goes for a longer one, or for two that fill the bin to the last token.
+        """
+        size, left = self.lengths, sorted(displaced, key=self.lengths.__getitem__)
+        pairs: dict[int, tuple[int, int]] = {}
+        if len(left) <= 60:
+            pairs = {size[a] + size[b]: (a, b) for k, a in enumerate(left) for b in left[:k]}
+        for b in bins:
+            room = self.capacity - self.fill(b)
+            if not room:
+                continue
+            for k, i in enumerate(b):
+                two = pairs.get(size[i] + room)
+                if two is not None and two[0] in left and two[1] in left:
+                    b[k] = two[0]
+                    b.append(two[1])
+                    left.remove(two[0])
+                    left.remove(two[1])
+                    insort(left, i, key=size.__getitem__)
+                    break
+                at = bisect_right(left, size[i] + room, key=size.__getitem__) - 1
+                if at >= 0 and size[left[at]] > size[i]:
+                    room -= size[left[at]] - size[i]
+                    b[k] = left.pop(at)
+                    insort(left, i, key=size.__getitem__)
+                    if not room:
+                        break
+        return left[::-1]
 
     def cross(self, one: Bins, other: Bins) -> Bins:
         """Inject well-filled bins of ``other`` into ``one``: bins that hold an injected item again go, and their rest is fitted anew."""
-        fill = {k: sum(map(self.lengths.__getitem__, b)) for k, b in enumerate(other)}
-        well = sorted(fill, key=lambda k: -fill[k])[: max(1, len(other) // 2)]
-        injected = [other[k] for k in self.rng.sample(well, max(1, len(well) // 4))]
+        well = sorted(other, key=self.fill, reverse=True)[: max(1, len(other) // 2)]
+        injected = self.rng.sample(well, max(1, len(well) // self.rng.choice((3, 6, 12))))
         taken = {i for b in injected for i in b}
         kept, displaced = [], []
         for b in one:
@@ -90,25 +147,37 @@ class Island:
                 kept.append(list(b))
             else:
                 displaced += [i for i in b if i not in taken]
-        # mutation: the emptiest bins are opened too
-        kept.sort(key=lambda b: sum(map(self.lengths.__getitem__, b)))
-        for b in kept[: 1 + len(kept) // 50]:
-            displaced += b
-        kept = kept[1 + len(kept) // 50 :] + [list(b) for b in injected]
-        displaced.sort(key=lambda i: -self.lengths[i])
-        return self.pack(displaced, kept)
-
-    def evolve(self, elites: list[Bins]) -> Bins:
-        """The best individual after some generations; ``elites`` have come from other islands."""
-        if elites and -self.fitness(best := max(elites, key=self.fitness))[0] <= self.least:
-            return best
-        people = sorted([*elites, *self.founders()], key=self.fitness, reverse=True)[:POPULATION]
-        for _ in range(GENERATIONS):
-            if -self.fitness(people[0])[0] <= self.least or len(people) < 2:
+        # mutation: the emptiest bins and a few others are opened too
+        kept.sort(key=self.fill)
+        opened = set(range(min(len(kept), 1 + len(kept) // 50))) | {self.rng.randrange(len(kept)) for _ in range(2 if kept else 0)}
+        for k in opened:
+            displaced += kept[k]
+        kept = [b for k, b in enumerate(kept) if k not in opened] + [list(b) for b in injected]
+        return self.pack(self.improve(kept, displaced), kept)
+
+    def evolve(self, elites: list[Bins], crossovers: int = CROSSOVERS) -> Bins:
+        """The best individual after some crossovers; ``elites`` have come from other islands, the rest of the population is founded here.
+
+        Ends early where a packing needs no more bins than any must.
+        """
+        people = [(self.fitness(b), b) for b in elites]
+        while len(people) < POPULATION and not (people and -max(p[0] for p in people)[0] <= self.least):
+            bins = self.founder(blurred=bool(people))
+            people.append((self.fitness(bins), bins))
+        people.sort(key=lambda p: p[0], reverse=True)
+        for _ in range(crossovers):
+            if -people[0][0][0] <= self.least or len(people) < 2:
                 break
-            a, b = self.rng.sample(people, 2)
-            people = sorted([*people, self.cross(a, b), self.cross(b, a)], key=self.fitness, reverse=True)[:POPULATION]
-        return people[0]
+            a, b = sorted(self.rng.sample(range(len(people)), 2))
+            one, other = people[a][1], people[b][1]
+            child = self.cross(one, other) if self.rng.random() < 0.5 else self.cross(other, one)
+            fit = self.fitness(child)
+            self.crossed += 1
+            self.won += fit > people[0][0]
+            if fit > people[-1][0] and all(fit != p[0] for p in people):
+                people[-1] = (fit, child)
+                people.sort(key=lambda p: p[0], reverse=True)
+        return people[0][1]
 
 
 def _to_bins(assigned: list[int]) -> Bins:
@@ -119,45 +188,73 @@ def _to_bins(assigned: list[int]) -> Bins:
 
 
 def _evolve(shards: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """One epoch on every island (``_shard, _island, _items, _elites``): adds ``_best`` (bin of each item) and ``_fit``."""
+    """One epoch on every island (``_shard, _island, _items, _elites``).
+
+    Adds ``_best`` (bin of each item), ``_bins`` (how many), ``_fit``, ``_open`` (whether fewer are thinkable) and
+    ``_crossed, _won`` (crossovers, and those that made a better packing).
+    """
     shape = shards.schema["_items"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, fit = [], []
             for row in range(batch.num_rows):
                 shard, island = batch.column("_shard")[row].as_py(), batch.column("_island")[row].as_py()
                 lengths = batch.column("_items")[row].values.field("length").to_pylist()
                 elites = [_to_bins(x) for x in batch.column("_elites")[row].as_py() or []]
-                seed = zlib.crc32(f"{shard}/{island}/{epoch}".encode())
-                home = Island(lengths, capacity, seed)
+                home = Island(lengths, capacity, zlib.crc32(f"{shard}/{island}/{epoch}".encode()))
                 bins = home.evolve(elites)
-                out = np.zeros(len(lengths), np.int32)
+                best = np.zeros(len(lengths), np.int32)
                 for k, b in enumerate(bins):
-                    out[b] = k
-                best.append(out)
-                fit.append(-len(bins) + home.fitness(bins)[1] / (len(bins) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_shard"), batch.column("_island"), batch.column("_items"), pa.array(best, pa.list_(pa.int32())), pa.array(fit, pa.float64())],
-                ["_shard", "_island", "_items", "_best", "_fit"],
-            )
+                    best[b] = k
+                one = batch.slice(row, 1)
+                made = [pa.array([best], pa.list_(pa.int32())), pa.array([len(bins)], pa.int64()), pa.array([home.fitness(bins)[1]], pa.float64())]
+                made += [pa.array([len(bins) > home.least]), pa.array([home.crossed], pa.int64()), pa.array([home.won], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], *made], ["_shard", "_island", "_items", "_best", "_bins", "_fit", "_open", "_crossed", "_won"])
+
+    schema = f"_shard long, _island int, _items {shape}, _best array<int>, _bins long, _fit double, _open boolean, _crossed long, _won long"
+    return shards.select("_shard", "_island", "_items", "_elites").mapInArrow(run, schema)
 
-    return shards.select("_shard", "_island", "_items", "_elites").mapInArrow(run, f"_shard long, _island int, _items {shape}, _best array<int>, _fit double")
+
+def _evolved(shards: DataFrame, capacity: int, number: int) -> DataFrame:
+    """The best packing of every shard (``_shard, _items``): adds ``_best``, and ``_crossed, _won`` of all its islands.
+
+    Islands of a shard start from founders of their own; after each epoch their best migrate
+    to all of them.  A shard is done when its packing is proven to be least or when
+    ``PATIENCE`` epochs have not bettered it; only others go on.
+    """
+    spread = lambda df: df.withColumn("_island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    open_ = shards.withColumns({"_elites": F.lit(None).cast("array<array<int>>"), "_had": F.lit(None).cast("struct<_b:long,_f:double>"), "_idle": F.lit(0), "_c": F.lit(0).cast("long"), "_w": F.lit(0).cast("long")})
+    done: DataFrame | None = None
+    epoch = 0
+    while True:
+        found = _evolve(spread(open_.select("_shard", "_items", "_elites")), capacity, epoch)
+        rank = F.struct((-F.col("_bins")).alias("_b"), F.col("_fit").alias("_f"))
+        met = found.groupBy("_shard").agg(
+            F.max_by("_best", F.struct(rank, "_island")).alias("_best"), F.max(rank).alias("_now"), F.collect_list("_best").alias("_elites"), F.first("_items").alias("_items"),
+            F.bool_and("_open").alias("_open"), F.sum("_crossed").alias("_crossed"), F.sum("_won").alias("_won"),
+        )
+        state = met.join(open_.select("_shard", "_had", "_idle", "_c", "_w"), "_shard")
+        gained = F.col("_had").isNull() | (F.col("_now") > F.col("_had"))
+        state = state.withColumns({"_idle": F.when(gained, 0).otherwise(F.col("_idle") + 1), "_c": F.col("_c") + F.col("_crossed"), "_w": F.col("_w") + F.col("_won")})
+        state = materialise(state.select("_shard", "_items", "_best", "_elites", F.col("_now").alias("_had"), "_idle", "_c", "_w", (F.col("_open") & (F.col("_idle") < PATIENCE)).alias("_more")), f"packed-{number}-{epoch}")
+        ended = state.where(~F.col("_more")).select("_shard", "_items", "_best", F.col("_c").alias("_crossed"), F.col("_w").alias("_won"))
+        done = ended if done is None else done.unionByName(ended)
+        open_ = state.where("_more").drop("_best", "_more")
+        if open_.isEmpty():
+            return done
+        epoch += 1
 
 
 def _pack_round(pieces: DataFrame, n_shards: int, capacity: int, number: int, keys: list[str]) -> DataFrame:
-    """Pack the pieces of each shard: adds ``sequence_id``, ``offset`` and ``_fill``."""
+    """Pack the pieces of each shard: adds ``sequence_id, offset`` and ``_stays``.
+
+    Sequences that are full stay, and so does the fuller half of a shard's; others may be packed again.
+    """
     names = pieces.columns
     # equal rows meet in one shard and keep their order, so retries give the same packing
     items = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("_by"), *names)))
     shard = F.pmod(F.xxhash64(F.lit(number), *keys), F.lit(n_shards))
-    shards = pieces.groupBy(shard.alias("_shard")).agg(items.alias("_items"))
-    islands = shards.withColumn("_island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("_elites", F.lit(None).cast("array<array<int>>"))
-    first = _evolve(islands, capacity, 0)
-    # elites migrate: every island of a shard goes on from all islands' best
-    met = first.groupBy("_shard").agg(F.collect_list("_best").alias("_elites"), F.first("_items").alias("_items"))
-    second = _evolve(met.withColumn("_island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))), capacity, 1)
-    won = second.groupBy("_shard").agg(F.max_by(F.struct("_items", "_best"), F.struct("_fit", "_island")).alias("_w"))
+    won = _evolved(materialise(pieces.groupBy(shard.alias("_shard")).agg(items.alias("_items")), f"shards-{number}"), capacity, number)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,23 +268,25 @@ def _pack_round(pieces: DataFrame, n_shards: int, capacity: int, number: int, ke
                 start = np.concatenate(([True], bins[order][1:] != bins[order][:-1]))
                 offset = np.empty(len(size), np.int64)
                 offset[order] = ahead - np.maximum.accumulate(np.where(start, ahead, 0))
-                fill = np.bincount(bins, weights=size).astype(np.int64)[bins]
+                fill = np.bincount(bins, weights=size)
+                stays = (fill >= FULL * capacity) | (np.argsort(np.argsort(fill, kind="stable")) >= len(fill) // 2)
                 ids = (number << 56) + (shard << 20) + bins
-                yield pa.RecordBatch.from_arrays([*items.flatten()[1:], pa.array(ids), pa.array(offset), pa.array(fill)], [*names, "sequence_id", "offset", "_fill"])
+                yield pa.RecordBatch.from_arrays([*items.flatten()[1:], pa.array(ids), pa.array(offset), pa.array(stays[bins])], [*names, "sequence_id", "offset", "_stays"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return won.select("_shard", "_w._items", "_w._best").mapInArrow(place, f"{fields}, sequence_id long, offset long, _fill long")
+    return won.select("_shard", "_items", "_best").mapInArrow(place, f"{fields}, sequence_id long, offset long, _stays boolean")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, keys: list[str]) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces, so that few sequences of ``capacity`` hold all.
 
     ``length`` (1 to ``capacity``) is a piece's size; ``keys`` name columns that differ
-    between pieces.  Pieces are dealt to shards of a bounded number; on each shard islands
-    evolve packings, exchange their best and evolve again.  Nearly full sequences of the
-    winner stay; pieces of the others are dealt to fewer shards and packed again, so that
-    what a shard leaves half empty is shared out, until one shard holds what is left.
-    Rows must be comparable.  An empty table gives no rows.
+    between pieces (repeated pieces are packed each).  Pieces are dealt to shards of a bounded
+    number, whose islands evolve packings; see :func:`_evolved`.  The less full half of a
+    shard's sequences, unless they are full, are dealt to fewer shards and packed again, so
+    that what a shard leaves half empty is shared out, until one shard holds what is left:
+    each round has at most half the sequences of the one before.  Rows must be comparable;
+    an empty table gives no rows.
     """
     done: DataFrame | None = None
     left, number = pieces, 0
@@ -196,38 +295,36 @@ def pack_pieces(pieces: DataFrame, capacity: int, keys: list[str]) -> DataFrame:
         n_shards = max(1, -(-n // SHARD))
         packed = materialise(_pack_round(left, n_shards, capacity, number, keys), f"packed-{number}")
         last = n_shards == 1
-        kept = packed if last else packed.where(F.col("_fill") >= FULL * capacity)
+        kept = packed if last else packed.where("_stays")
         done = kept if done is None else done.unionByName(kept)
         if last:
-            return done.drop("_fill")
-        left = packed.where(F.col("_fill") < FULL * capacity).drop("sequence_id", "offset", "_fill")
-        before, n = n, left.count()
+            return done.drop("_stays")
+        left = packed.where(~F.col("_stays")).drop("sequence_id", "offset", "_stays")
+        n = left.count()
         number += 1
-        if n > 0.8 * before:  # more rounds would not fill them better: keep what this one made
-            return done.unionByName(packed.where(F.col("_fill") < FULL * capacity)).drop("_fill")
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text's ids and ``end_id``: id, ``piece, start, length, ids_crc32``.
 
-    Only documents longer than ``capacity`` are cut.  Null texts count as empty and have the
-    end id only; repeated rows have their pieces each; no other column is read.
+    Only documents longer than ``capacity`` are cut, however long they are.  Null and empty
+    texts have the end id only; a null id is kept; repeated rows have their pieces each; an
+    empty table gives no rows; no other column is read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows, out = [], []
-            for n, text in enumerate(batch.column(1)):
-                ids = enc.encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append(n)
-                    out.append((piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            keys = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], [id_col, "piece", "start", "length", "ids_crc32"])
+        enc = encoder(tokenizer)
+        for batch in slices(batches, 1):
+            ids, at = enc.encode(batch.column(1), end_id)
+            data, n = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), -(-np.diff(at) // capacity)
+            row = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = at[row] + piece * capacity
+            length = np.minimum(at[row + 1] - first, capacity)
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            columns = [pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], [id_col, "piece", "start", "length", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
