@@ -24,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .batches import slices
+from .tokens import dealt, encoder
 
 _HEAD = struct.Struct("<8sIIIIQQ")
 _MAGIC = b"REPAIR2\0"
@@ -35,7 +36,13 @@ _MAGIC = b"REPAIR2\0"
 SHARD_IDS = 1_000_000
 #: Pairs replaced in a round (more, if they occur at least half as often as the most frequent), and uses
 #: that a rule must have: it is written as two symbols and saves one a use, so from three on it pays.
-RULES, USES = 4096, 3
+RULES, USES = 8192, 3
+#: Bits of the tables in which pairs are looked up by their hash.
+_RULE_BITS, _OFTEN_BITS = 18, 22
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, uses: int = USES):
@@ -45,53 +52,65 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, use
     places of all pairs that don't overlap places of the same pair and takes the most
     frequent; where these overlap each other, the more frequent one is replaced.  So the most
     frequent pair of a round is replaced everywhere, and what it blocks is left to the next.
+    A pair can only gain places if a new id is in it, so places of pairs that are too rare
+    are not looked at again until a neighbour is replaced.
     Returns symbols, rule pairs, lengths of expansions and the ends flags of the symbols.
     """
-    seq, ends = ids.astype(np.uint32), ends.copy()
+    seq, ends, alive = ids.astype(np.uint32), ends.copy(), ~ends
     pairs = np.zeros((0, 2), np.uint32)
     lengths = np.zeros(0, np.uint32)
-    while len(seq) >= 2:
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        free = ~ends[:-1]
-        again = np.concatenate(([False], (keys[1:] == keys[:-1]) & free[:-1]))
+    while True:
+        alive[-1:] = False
+        at = np.flatnonzero(alive)
+        keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1] if len(at) else np.zeros(0, np.uint64)
+        free_at, free = at, keys
+        again = np.concatenate(([False], (keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1))) if len(at) else np.zeros(0, bool)
         if again.any():  # of a run of one id, the first, third and so on
-            at = np.arange(len(keys))
-            free &= (at - np.maximum.accumulate(np.where(again, 0, at))) % 2 == 0
-        inner = np.sort(keys[free])
+            n = np.arange(len(at))
+            odd = (n - np.maximum.accumulate(np.where(again, 0, n))) % 2 == 0
+            free_at, free = at[odd], keys[odd]
+        inner = np.sort(free)
         firsts = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1]))) if len(inner) else np.zeros(0, np.int64)
         counts = np.diff(np.append(firsts, len(inner)))
         often = np.flatnonzero(counts >= uses)
         if not len(often):
-            break
+            return seq, pairs, lengths, ends
+        flags = np.zeros(1 << _OFTEN_BITS, bool)
+        flags[_slot(inner[firsts[often]], _OFTEN_BITS)] = True
+        alive[at[~flags[_slot(keys, _OFTEN_BITS)]]] = False
         often = often[np.argsort(-counts[often], kind="stable")]
         chosen = inner[firsts[often[: max(rules, int((counts[often] * 2 >= counts[often[0]]).sum()))]]]
         # a slot holds one pair; of those that meet in one, the most frequent stays
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        table = np.full(1 << 18, -1, np.int32)
+        table = np.full(1 << _RULE_BITS, -1, np.int32)
         order = np.arange(len(chosen))[::-1]
-        table[slot(chosen[order])] = order
-        rule = table[slot(keys)]
-        hit = (rule >= 0) & free
-        hit[hit] = chosen[rule[hit]] == keys[hit]
-        rank = np.where(hit, rule, np.iinfo(np.int32).max)
-        hit[1:] &= rank[1:] < rank[:-1]
-        hit[:-1] &= rank[:-1] < rank[1:]
-        at = np.flatnonzero(hit)
-        used = np.bincount(rule[at], minlength=len(chosen)) >= uses
-        at = at[used[rule[at]]]
+        table[_slot(chosen[order], _RULE_BITS)] = order
+        rule = table[_slot(free, _RULE_BITS)]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[chosen[rule[hit]] == free[hit]]
+        at, rule = free_at[hit], rule[hit]
+        near = at[1:] == at[:-1] + 1
+        won = np.ones(len(at), bool)
+        won[1:] &= ~near | (rule[1:] < rule[:-1])
+        won[:-1] &= ~near | (rule[:-1] < rule[1:])
+        at, rule = at[won], rule[won]
+        used = np.bincount(rule, minlength=len(chosen)) >= uses
+        at, rule = at[used[rule]], rule[used[rule]]
         number = np.cumsum(used) - 1 + base + len(pairs)
-        seq[at] = number[rule[at]]
+        seq[at] = number[rule]
         kept = chosen[used]
         new = np.stack([(kept >> np.uint64(32)).astype(np.uint32), kept.astype(np.uint32)], axis=1)
         size = np.ones(new.shape, np.uint32)
         size[new >= base] = lengths[new[new >= base] - base]
         lengths = np.concatenate([lengths, size.sum(1, dtype=np.uint32)])
         pairs = np.concatenate([pairs, new])
+        # new symbols make new pairs with their neighbours
+        alive[at] = ~ends[at + 1]
+        before = at[at > 0] - 1
+        alive[before] = ~ends[before]
+        ends[at] = ends[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        ends[at] = ends[at + 1]
-        seq, ends = seq[stay], ends[stay]
-    return seq, pairs, lengths, ends
+        seq, ends, alive = seq[stay], ends[stay], alive[stay]
 
 
 #: Symbols packed together: a multiple of 8, so that each lot fills whole bytes.
@@ -114,15 +133,12 @@ def _unpack(blob: bytes, at: int, n: int, bits: int) -> np.ndarray:
     return out
 
 
-def pack_shard(docs: list[bytes], base: int) -> bytes:
-    """One shard's blob from the ids (u4 bytes, none empty) of its documents."""
-    ids = np.frombuffer(b"".join(docs), "<u4")
-    ends = np.zeros(len(ids), bool)
-    ends[np.cumsum([len(d) // 4 for d in docs]) - 1] = True
+def pack_shard(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
+    """One shard's blob from the ids of its documents, one after the other, and flags of each one's last id."""
     seq, pairs, _, ends = repair(ids, ends, base)
     places = np.concatenate(([0], np.flatnonzero(ends) + 1)).astype("<u8")
     bits = max(1, (base + len(pairs) - 1).bit_length())
-    head = _HEAD.pack(_MAGIC, base, len(pairs), len(docs), bits, len(seq), len(ids))
+    head = _HEAD.pack(_MAGIC, base, len(pairs), len(places) - 1, bits, len(seq), len(ids))
     return b"".join([head, _pack(pairs.ravel(), bits), places.tobytes(), _pack(seq, bits)])
 
 
@@ -138,115 +154,124 @@ class Shard:
         at += -(-2 * n_rules * bits // 8)
         self.places = np.frombuffer(blob, "<u8", self.n_docs + 1, at).astype(np.int64)
         self.symbols = _unpack(blob, at + 8 * (self.n_docs + 1), n_symbols, bits)
-        sizes: list[int] = []
-        for a, b in rules.tolist():
-            sizes.append((1 if a < self.base else sizes[a - self.base]) + (1 if b < self.base else sizes[b - self.base]))
-        self.lengths = np.array(sizes, np.int64)
-        # rules in order of definition use earlier ones only, so their expansions are joined in one pass
-        self._from = np.concatenate(([0], np.cumsum(self.lengths)))
-        self._flat = np.empty(int(self._from[-1]), np.uint32)
-        flat, start, base = self._flat, self._from.tolist(), self.base
-        for k, (a, b) in enumerate(rules.tolist()):
-            at = start[k]
-            for s in (a, b):
-                if s < base:
-                    flat[at] = s
-                    at += 1
-                else:
-                    n = start[s - base + 1] - start[s - base]
-                    flat[at : at + n] = flat[start[s - base] : start[s - base] + n]
-                    at += n
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for."""
+        # rules stand after those that they use; runs of rules that use none of each other are expanded together
+        newest = np.where(rules >= self.base, rules.astype(np.int64) - self.base, -1).max(1, initial=-1)
+        self.lengths, self._from, self._flat = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        while (done := len(self.lengths)) < n_rules:
+            stop = np.flatnonzero(newest[done:] >= done)
+            stop = done + int(stop[0]) if len(stop) else n_rules
+            flat, sizes = self._expanded(rules[done:stop].ravel())
+            self.lengths = np.concatenate([self.lengths, sizes.reshape(-1, 2).sum(1)])
+            self._from = np.concatenate(([0], np.cumsum(self.lengths)))
+            self._flat = np.concatenate([self._flat, flat])
+
+    def _expanded(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that symbols stand for, and how many each has."""
         rule = symbols.astype(np.int64) - self.base
-        is_rule = rule >= 0
+        at = np.flatnonzero(rule >= 0)
         size = np.ones(len(symbols), np.int64)
-        size[is_rule] = self.lengths[rule[is_rule]]
-        ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
-        starts = ends - size
-        out[starts[~is_rule]] = symbols[~is_rule]
-        n = size[is_rule]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(starts[is_rule], n) + within] = self._flat[np.repeat(self._from[rule[is_rule]], n) + within]
-        return out
+        size[at] = self.lengths[rule[at]]
+        if not len(at):
+            return symbols.astype(np.uint32), size
+        # terminals follow the expansions in one pool, so that all symbols are dealt alike
+        start = len(self._flat) + np.arange(len(symbols))
+        start[at] = self._from[rule[at]]
+        return dealt(np.concatenate([self._flat, symbols.astype(np.uint32)]), start, size), size
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document."""
-        return self.expand(self.symbols[self.places[k] : self.places[k + 1]])
+        return self._expanded(self.symbols[self.places[k] : self.places[k + 1]])[0]
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, one after the other, and where each starts (and the last one ends)."""
+        ids, size = self._expanded(self.symbols)
+        return ids, np.concatenate(([0], np.cumsum(size)))[self.places]
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, base: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, append ``end_id`` and write shards to ``path`` in ascending order of id.
 
-    Rows of one id follow each other in the order of their texts, null ids come first, null
-    texts count as empty.  ``base`` is the vocabulary's size.  Documents are dealt to ranges
-    of ids, so a shard holds a stretch of the order; row fields ``part, shard`` order shards.
-    An empty table gives a folder without rows.
+    Rows of one id follow each other in a fixed order, equal ones as often as they are there;
+    null ids come first; null and empty texts have the end id only; a text of any length is
+    one document.  ``base`` is the vocabulary's size.  Documents are dealt to ranges of ids
+    (and of hashes of texts, so that one id's rows may span several), so a shard holds a
+    stretch of the order; row fields ``part, shard`` order shards.  An empty table gives a
+    folder without rows; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).repartitionByRange(id_col).sortWithinPartitions(id_col, "_text")
-    end = np.array([end_id], "<u4").tobytes()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = [id_col, "_hash"]
+    ordered = docs.select(id_col, F.xxhash64(text).alias("_hash"), text.alias("_text")).repartitionByRange(*order).sortWithinPartitions(*order, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids, held, size = [], [], 0
+        keys: list[pa.Array] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        size = 0
 
         def close() -> pa.RecordBatch:
-            values = pa.array([ids], pa.list_(id_type))
+            names = pa.concat_arrays(keys)
+            ends = np.zeros(size, bool)
+            ends[np.cumsum(np.concatenate(lengths)) - 1] = True
+            values = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), values, pa.array([pack_shard(held, base)], pa.binary())],
-                ["part", "shard", "n_tokens", "ids", "blob"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), values, pa.array([pack_shard(np.concatenate(held), ends, base)], pa.binary())], ["part", "shard", "ids", "blob"]
             )
 
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                got = enc.encode(text.as_py()) + end
-                ids.append(key.as_py())
-                held.append(got)
-                size += len(got) // 4
+        for batch in slices(batches, 1):
+            ids, at = enc.encode(batch.column(1), end_id)
+            row = 0
+            while row < batch.num_rows:
+                # up to the document that fills the shard
+                stop = min(int(np.searchsorted(at, at[row] + shard_ids - size, "left")), batch.num_rows)
+                keys.append(batch.column(0).slice(row, stop - row))
+                held.append(ids[at[row] : at[stop]])
+                lengths.append(np.diff(at[row : stop + 1]))
+                size += int(at[stop] - at[row])
+                row = stop
                 if size >= shard_ids:
                     yield close()
-                    ids, held, size, shard = [], [], 0, shard + 1
+                    keys, held, lengths, size, shard = [], [], [], 0, shard + 1
         if held:
             yield close()
 
-    ordered.mapInArrow(run, f"part int, shard int, n_tokens long, ids array<{kind}>, blob binary").write.option("parquet.block.size", str(16 << 20)).parquet(path)
+    rows = ordered.select(id_col, "_text").mapInArrow(run, f"part int, shard int, ids array<{kind}>, blob binary")
+    rows.write.option("parquet.block.size", str(16 << 20)).parquet(path)
+
+
+def _header_long(blob: Column, at: int) -> Column:
+    """A little-endian 64-bit number in a blob, ``at`` bytes from its start."""
+    digits = F.hex(F.substring(blob, at + 1, 8))
+    return F.conv(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]), 16, 10).cast("long")
 
 
 def read_token_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Decode every document of shards: id, ``start`` (ids before it), ``n_tokens``, ``ids_crc32`` and its ids.
+    """Decode every document of shards: id, ``start`` (ids before it), ``n_tokens`` and ``ids_crc32``.
 
-    Places of shards come from sums per part, then inside each part: no window holds more
-    than the parts or one part's shards.
+    Everything is read from the blobs: sizes of shards are in their heads, and places of
+    shards come from sums per part, then inside each part, so no window holds more than the
+    parts or one part's shards.  A folder without rows gives none.
     """
     shards = spark.read.parquet(path)
-    sizes = shards.select("part", "shard", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
+    sizes = shards.select("part", "shard", _header_long(F.col("blob"), _HEAD.size - 8).alias("_tokens"))
+    parts = sizes.groupBy("part").agg(F.sum("_tokens").alias("_sum"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("_sum").over(before(Window.orderBy("part"))), F.lit(0)).alias("_part_start"))
     inside = before(Window.partitionBy("part").orderBy("shard"))
-    starts = sizes.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("_in") + F.col("_part_start")).alias("_start"))
+    starts = sizes.withColumn("_in", F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("_in") + F.col("_part_start")).alias("_start"))
     kind = shards.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, ids, blob in zip(*(batch.column(c) for c in ("part", "shard", "ids", "blob")), strict=True):
+            for row in range(batch.num_rows):
+                part, number, names, blob = (batch.column(c)[row] for c in ("part", "shard", "ids", "blob"))
                 shard = Shard(blob.as_py())
-                found = [shard.document(k) for k in range(shard.n_docs)]
-                sizes = np.array([len(x) for x in found], np.int64)
-                n = len(found)
+                found, at = shard.documents()
+                data, n = memoryview(found.astype("<u4")).cast("B"), shard.n_docs
+                sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part.as_py()] * n, pa.int32()),
-                        pa.array([number.as_py()] * n, pa.int32()),
-                        ids.values,
-                        pa.array(np.cumsum(sizes) - sizes),
-                        pa.array(sizes),
-                        pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()),
-                    ],
+                    [pa.repeat(part, n), pa.repeat(number, n), names.values, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())],
                     ["part", "shard", id_col, "_at", "n_tokens", "ids_crc32"],
                 )
 
