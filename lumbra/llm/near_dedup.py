@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from .batches import slices
 from .components import connected_components
 from .storage import materialise
 from .words import hash_words, mix, shingles, words_of
@@ -28,8 +29,10 @@ _BYTES = 2 * REGISTERS
 #: Pairs whose registers agree in a smaller part are not compared: four standard deviations below 0.8,
 #: so that a pair of 0.8 is lost as rarely as by banding.
 LIKELY = 0.66
-#: Documents whose signatures are computed together, texts per block that meet another block's.
-TOGETHER, BLOCK = 128, 300
+#: Bytes of texts whose signatures are computed together, texts per block that meet another block's.
+TOGETHER, BLOCK = 1 << 19, 300
+#: Leaders meet the rest of their buckets while a round leaves at most this part of it.
+SHRINK = 0.7
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,16 +152,13 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            tids, sigs = [], []
-            for start in range(0, len(texts), TOGETHER):
-                sets = []
-                for text in texts[start : start + TOGETHER]:
-                    words = words_of(text)
-                    tids.append(xxh3_128_digest(b" ".join(words) if words else b"\0" + text.encode("utf-8", "replace")))
-                    sets.append(np.unique(shingles(hash_words(words), WIDTH), return_counts=True))
-                sigs += signatures_of(sets)
+        for batch in slices(batches, 2, TOGETHER):
+            tids, sets = [], []
+            for text in batch.column(2).to_pylist():
+                words = words_of(text)
+                tids.append(xxh3_128_digest(b" ".join(words) if words else b"\0" + text.encode("utf-8", "replace")))
+                sets.append(np.unique(shingles(hash_words(words), WIDTH), return_counts=True))
+            sigs = signatures_of(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tids, pa.binary()), pa.array(sigs, pa.binary())], [id_col, "_th", "tid", "sig"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -180,21 +180,27 @@ def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``tid, _text`` of the texts of some ``tid``; of equal rows of ``docs`` one is read."""
-    pick = materialise(texts.join(nodes.distinct(), "tid").select("tid", "_p._id", F.col("_p._th").alias("_h")), "wanted")
+    """``tid, _text`` of the texts of some distinct ``tid``; of equal rows of ``docs`` one is read.
+
+    Texts are shuffled once, by the hash of row and text, and those that nobody asks for end there.
+    """
+    pick = texts.join(nodes, "tid").select("tid", "_p._id", F.col("_p._th").alias("_h"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(id_col, F.xxhash64(text).alias("_th"), text.alias("_text"))
-    return materialise(rows.join(pick, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))).select("tid", "_text").dropDuplicates(["tid"]), "wanted-texts")
+    key = lambda i, t: F.xxhash64(F.struct(i.alias("i"), t.alias("t")))
+    rows = docs.select(F.col(id_col).alias("_of"), text.alias("_text")).withColumn("_row", key(F.col("_of"), F.xxhash64("_text")))
+    pick = materialise(pick.select("tid", "_id", key(F.col("_id"), F.col("_h")).alias("_row")), "wanted")
+    met = rows.join(pick.hint("shuffle_hash"), "_row").where(F.col("_of").eqNullSafe(F.col("_id")))
+    return materialise(met.select("_row", "tid", "_text").dropDuplicates(["_row", "tid"]).select("tid", "_text"), "wanted-texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     """Of distinct pairs ``leader, tid`` those of exact similarity at ``threshold`` or above, as ``a, b``.
 
-    Texts are dealt to blocks of bounded size by their hash; a group is the pairs between two
-    blocks with the texts these need, so a text goes to each group once, not once a pair.
+    Texts (``bodies``) are dealt to blocks of bounded size by their hash; a group is the pairs
+    between two blocks with the texts these need, so a text goes to each group once, not once a pair.
     """
-    bodies = _texts_of(pairs.select("tid").unionByName(pairs.select(F.col("leader").alias("tid"))), texts, docs, id_col, text_col)
-    n = max(1, -(-bodies.count() // BLOCK))
+    wanted = pairs.select("tid").unionByName(pairs.select(F.col("leader").alias("tid"))).distinct()
+    n = max(1, -(-wanted.count() // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     dealt = pairs.select(block(F.col("leader")).alias("x"), block(F.col("tid")).alias("y"), "leader", "tid")
     needed = dealt.select("x", "y", F.explode(F.array("leader", "tid")).alias("tid")).distinct()
@@ -257,7 +263,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 _ROW = ["bucket", "x", "y", "_own", "band", "tid", "root", "sig"]
 
 
-def _links_across(left: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
+def _links_across(left: DataFrame, texts: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame | None:
     """Links ``a, b`` between texts of different components in the same buckets (``bucket, band, tid, root``), or None.
 
     All pairs of a bucket are looked at by their registers, in blocks of bounded size: a
@@ -282,7 +288,6 @@ def _links_across(left: DataFrame, texts: DataFrame, docs: DataFrame, threshold:
     found = materialise(rows.mapInArrow(partnered, ", ".join(f"{c} {t}" for c, t in zip(_ROW, kinds, strict=True))), "partnered")
     if found.isEmpty():
         return None
-    bodies = _texts_of(found.select("tid"), texts, docs, id_col, text_col)
     met = found.join(bodies, "tid").select(*_ROW, "_text").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "tid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,33 +317,53 @@ _ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(
 def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame | None:
     """``node, root`` of texts that have a near-duplicate, or None if there are none.
 
-    In each bucket (texts with one key) a leader meets all other texts.  Leaders are those
-    whose buckets hold most texts: copies that were edited in different places share buckets
-    with their original rather than with each other, so the original leads and large groups
-    of copies become components by as many comparisons as they have members.  Then texts of
-    one bucket that are in different components still are compared with each other.
+    In each bucket (texts with one key) a leader meets all texts that are not connected to it,
+    and leaves the bucket: whatever it is not connected to then is not alike.  Leaders are
+    those whose buckets hold most texts: copies that were edited in different places share
+    buckets with their original rather than with each other, so the original leads and large
+    groups of copies become components by as many comparisons as they have members.  Buckets
+    of one component are done.  When a round has no longer done away with a good part of what
+    was left, the texts of each bucket that are in different components still are compared
+    with each other.
     """
     keys = texts.where("sig IS NOT NULL").select("tid", F.inline(_buckets()))
     several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
     found_in = materialise(keys.join(several, "bucket"), "found-in")
     fame = materialise(found_in.groupBy("tid").agg((-F.sum("_n")).alias("_fame")), "fame")
-    members = materialise(found_in.join(fame, "tid").select("bucket", "band", F.struct("_fame", "tid").alias("who")), "members")
-    first = materialise(members.groupBy("bucket").agg(F.min("who").alias("_lead")), "leaders")
-    met = members.join(first, "bucket").where("who <> _lead")
-    likely = _likely(met.select(F.col("_lead.tid").alias("leader"), "who.tid").distinct(), texts)
-    links = None if likely.isEmpty() else _verified(likely, texts, docs, threshold, id_col, text_col)
-    rest = met.select("bucket", "band", "who.tid")
-    if links is not None:
-        roots = connected_components(links).withColumnRenamed("node", "tid")
-        rest = rest.join(roots, "tid", "left").select("bucket", "band", "tid", F.coalesce("root", "tid").alias("root"))
-    else:
-        rest = rest.withColumn("root", F.col("tid"))
-    rest = materialise(rest, "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-    more = _links_across(materialise(rest.join(mixed, "bucket"), "mixed"), texts, docs, threshold, id_col, text_col)
-    if more is not None:
-        links = more if links is None else links.unionByName(more)
-    return None if links is None else connected_components(links)
+    bodies = _texts_of(fame.select("tid"), texts, docs, id_col, text_col)
+    left = materialise(found_in.join(fame, "tid").select("bucket", "band", "tid", "_fame", F.col("tid").alias("root")), "members")
+    roots: DataFrame | None = None
+    n = left.count()
+    while n:
+        who = F.struct("_fame", "tid", "root")
+        first = materialise(left.groupBy("bucket").agg(F.min(who).alias("_lead")), "leaders")
+        rest = left.join(first, "bucket").where(F.col("tid") != F.col("_lead.tid"))
+        met = rest.where(F.col("root") != F.col("_lead.root")).select(F.col("_lead.tid").alias("leader"), "tid").distinct()
+        likely = _likely(met, texts)
+        if not likely.isEmpty():
+            roots = _joined(roots, _verified(likely, bodies, threshold))
+        left, before = _mixed(rest.drop("_lead"), roots), n
+        n = left.count()
+        if n > SHRINK * before:
+            more = _links_across(left, texts, bodies, threshold)
+            return roots if more is None else _joined(roots, more)
+    return roots
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, root``: components of the roots so far and more links."""
+    known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return connected_components(known)
+
+
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members with their present roots, of buckets in which several roots are left."""
+    if roots is not None:
+        now = roots.select(F.col("node").alias("tid"), F.col("root").alias("_now"))
+        members = members.join(now, "tid", "left").select("bucket", "band", "tid", "_fame", F.coalesce("_now", "root").alias("root"))
+    members = materialise(members, "rest")
+    several = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+    return materialise(members.join(several, "bucket"), "mixed")
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -369,9 +394,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest id; same columns."""
+    """``docs`` with one row of each class, that of the smallest id; same columns, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables as in :func:`near_duplicates`.
+    """
     found = _classes(docs, threshold, id_col, text_col)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("_th") == F.col("_keep_th"))).select(F.col(id_col).alias("_id"), F.col("_th").alias("_h")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = rows.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates([id_col, "_th"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_of"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
+    kept = rows.join(keep, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["_of", "_th"]).select(*[f"row.`{c}`" for c in docs.columns])
