@@ -2,70 +2,30 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from .batches import slices
 from .storage import materialise
+from .tokens import cut_at_spaces
 
-#: Documents with a label that the classifiers may be fitted on at most.
+#: Documents with a label that the classifiers are fitted on at most, unless told otherwise.
 MAX_LABELLED = 4000
-#: Rounds of exchange, pseudo-labels per round and class share, and the certainty these need.
+#: Rounds of exchange, pseudo-labels per round and view, and the certainty these need.
 ROUNDS, EXCHANGED, CERTAIN = 3, 400, 0.95
 #: A good document that the threshold costs weighs as much as so many bad ones that it rejects, by shares of their classes.
 WORTH = 4.0
 
-TRIGRAMS, TEXT_EXTRA = 1024, 6
-SOURCES, LANGS, PAGE_EXTRA = 64, 16, 10
-
-
-def text_view(text: str) -> np.ndarray:
-    """Content: hashed frequencies of byte trigrams, and how repetitive the words and trigrams are."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    out = np.zeros(TRIGRAMS + TEXT_EXTRA, np.float32)
-    if len(data) >= 3:
-        hashed = ((data[:-2] * 65536 + data[1:-1] * 256 + data[2:]) * np.uint32(2654435761)) >> np.uint32(22)
-        counts = np.bincount(hashed, minlength=TRIGRAMS)
-        share = counts / len(hashed)
-        out[:TRIGRAMS] = np.sqrt(share)
-        some = share[share > 0]
-        out[TRIGRAMS] = -(some * np.log(some)).sum() / np.log(TRIGRAMS)
-        out[TRIGRAMS + 1] = share.max()
-    words = text.split()
-    if words:
-        seen = Counter(words)
-        out[TRIGRAMS + 2] = len(seen) / len(words)
-        out[TRIGRAMS + 3] = seen.most_common(1)[0][1] / len(words)
-        out[TRIGRAMS + 4] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
-        out[TRIGRAMS + 5] = min(len(words), 50) / 50
-    return out
-
-
-def page_view(text: str, source: object, lang: object, n_chars: object) -> np.ndarray:
-    """Metadata: source, language, size, and the layout of the page (lines, blanks, capitals, digits, signs)."""
-    out = np.zeros(SOURCES + LANGS + PAGE_EXTRA, np.float32)
-    out[xxh3_64_intdigest(str(source)) % SOURCES] = 1
-    out[SOURCES + xxh3_64_intdigest(str(lang)) % LANGS] = 1
-    n = len(text)
-    size = float(n_chars) if n_chars is not None else float(n)
-    lines = text.split("\n")
-    kinds = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=6) / max(1, n)
-    out[SOURCES + LANGS :] = [
-        np.log1p(max(0.0, size)) / 12,
-        np.log1p(len(lines)) / 6,
-        np.log1p(n / len(lines)) / 8,
-        len(set(lines)) / len(lines),
-        float(size != n),
-        *kinds[1:6],
-    ]
-    return out
-
+TRIGRAMS, TEXT_EXTRA = 1024, 14
+SOURCES, LANGS, CROSSED, SIZES = 64, 16, 128, 24
+_TEXT, _PAGE = TRIGRAMS + TEXT_EXTRA, SOURCES + LANGS + CROSSED + SIZES + 2
 
 #: Kind of each byte: 0 others, 1 blanks, 2 capitals, 3 digits, 4 signs of sentences, 5 other signs.
 _KIND = np.zeros(256, np.int64)
@@ -76,6 +36,66 @@ for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _KIND[_c] = 4 if _c in b".,;:'\"()-?" else 5
 
 
+def _repeated(parts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document's parts: how many differ, how often the most frequent occurs, and how many equal the one before."""
+    codes = parts.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    again = np.bincount(owner[1:][(codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])], minlength=len(counts))
+    keys, times = np.unique(owner * (int(codes.max(initial=0)) + 1) + codes, return_counts=True)
+    of = keys // (int(codes.max(initial=0)) + 1)
+    most = np.zeros(len(counts), np.int64)
+    np.maximum.at(most, of, times)
+    return np.bincount(of, minlength=len(counts)), most, again
+
+
+def text_views(texts: pa.Array) -> np.ndarray:
+    """Content: hashed frequencies of byte trigrams, how repetitive trigrams, words and lines are, and kinds of bytes.  Null counts as empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    out = np.zeros((n, _TEXT), np.float32)
+    if not n:
+        return out
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64, n + 1, texts.offset * 8)
+    size = np.diff(ends)
+    raw = np.frombuffer(data, np.uint8, int(ends[-1] - ends[0]), int(ends[0])) if size.sum() else np.zeros(0, np.uint8)
+    owner = np.repeat(np.arange(n), size)
+    if len(raw) > 2:
+        wide = raw.astype(np.uint32)
+        hashed = ((wide[:-2] * np.uint32(65536) + wide[1:-1] * np.uint32(256) + wide[2:]) * np.uint32(2654435761)) >> np.uint32(22)
+        inside = owner[2:] == owner[:-2]
+        share = np.bincount(owner[2:][inside] * TRIGRAMS + hashed[inside], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS) / np.maximum(size - 2, 1)[:, None]
+        out[:, :TRIGRAMS] = np.sqrt(share)
+        out[:, TRIGRAMS] = -(share * np.log(np.where(share > 0, share, 1))).sum(1) / np.log(TRIGRAMS)
+        out[:, TRIGRAMS + 1] = share.max(1)
+    parts, counts = cut_at_spaces(texts)
+    differ, most, again = _repeated(parts, counts)
+    some = np.maximum(counts, 1)
+    lines = pc.split_pattern(texts, "\n")
+    n_lines = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds = np.bincount(owner * 6 + _KIND[raw], minlength=6 * n).reshape(n, 6) / np.maximum(size, 1)[:, None]
+    extra = [differ / some, most / some, again / some, np.minimum(counts, 50) / 50, np.log1p(n_lines) / 6, np.log1p(size / n_lines) / 8, _repeated(lines.flatten(), n_lines)[0] / n_lines]
+    out[:, TRIGRAMS + 2 :] = np.stack([*extra, *kinds.T[1:]], axis=1)
+    return out
+
+
+def page_view(source: object, lang: object, n_chars: object) -> np.ndarray:
+    """Metadata alone: source, language, both together, and the stated size."""
+    out = np.zeros(_PAGE, np.float32)
+    out[xxh3_64_intdigest(str(source)) % SOURCES] = 1
+    out[SOURCES + xxh3_64_intdigest(str(lang)) % LANGS] = 1
+    at = SOURCES + LANGS
+    out[at + xxh3_64_intdigest(f"{source}\0{lang}") % CROSSED] = 1
+    at += CROSSED
+    if n_chars is None:
+        out[at + SIZES] = 1
+    else:
+        size = np.log1p(max(0.0, float(n_chars)))
+        out[at + min(SIZES - 1, int(2 * size))] = 1
+        out[at + SIZES + 1] = size / 12
+    return out
+
+
 @dataclass
 class Linear:
     """Logistic regression on standardised features, calibrated by a line over its log odds."""
@@ -87,7 +107,8 @@ class Linear:
     line: tuple[float, float] = (1.0, 0.0)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - self.mean) / self.scale) @ self.weights + self.bias
+        slope = self.weights / self.scale
+        raw = x @ slope + (self.bias - self.mean @ slope)
         return np.clip(raw * self.line[0] + self.line[1], -30, 30)
 
 
@@ -160,7 +181,7 @@ class QualityModel:
 Given = tuple[np.ndarray, np.ndarray]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange: Callable[[list[Linear], list[int]], list[Given]]) -> QualityModel:
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange: Callable[[list[Linear], list[int]], list[Given]], rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> QualityModel:
     """Train both views; each gives the other its most certain labels of unlabelled documents, round by round.
 
     ``held`` flags labelled rows kept for calibration, combination and the threshold;
@@ -171,16 +192,16 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange:
     given = [[(v[:0], y[:0])] for v in views]
     good = y[learn].mean()
     models: list[Linear] = []
-    for r in range(ROUNDS + 1):
+    for r in range(rounds + 1):
         models = []
         for k in (0, 1):
             x, told = (np.concatenate(part) for part in zip(*given[k], strict=True))
             model = fit(np.concatenate([views[k][learn], x]), np.concatenate([y[learn], told]), np.concatenate([np.ones(learn.sum()), np.full(len(told), 0.5)]))
             model.line = calibrate(model.odds(views[k][held]), y[held])
             models.append(model)
-        if r == ROUNDS:
+        if r == rounds:
             break
-        new = exchange(models, [int(EXCHANGED * (1 - good)) + 1, int(EXCHANGED * good) + 1])
+        new = exchange(models, [int(exchanged * (1 - good)) + 1, int(exchanged * good) + 1])
         for k in (0, 1):
             given[k].append(new[k])
         if not any(len(told) for _, told in new):
@@ -193,110 +214,110 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange:
     return model
 
 
-def _views(batch: pa.RecordBatch, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Both views of a batch's rows; ``at`` has the places of text, source, language and size."""
-    text, source, lang, size = (batch.column(k).to_pylist() if k >= 0 else [None] * batch.num_rows for k in at)
-    texts = [t or "" for t in text]
-    a = np.stack([text_view(t) for t in texts]) if texts else np.zeros((0, TRIGRAMS + TEXT_EXTRA), np.float32)
-    b = np.stack([page_view(*x) for x in zip(texts, source, lang, size, strict=True)]) if texts else np.zeros((0, SOURCES + LANGS + PAGE_EXTRA), np.float32)
-    return a, b
+_FIELDS = ("source", "lang", "n_chars")
 
 
-_PAGE = ("source", "lang", "n_chars")
+def _views(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch's rows; metadata that it lacks counts as null."""
+    names = batch.schema.names
+    meta = [batch.column(names.index(c)).to_pylist() if c in names else [None] * batch.num_rows for c in _FIELDS]
+    page = [page_view(*x) for x in zip(*meta, strict=True)]
+    return text_views(batch.column(names.index(text_col))), np.stack(page) if page else np.zeros((0, _PAGE), np.float32)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on at most MAX_LABELLED labelled documents, chosen by a hash of their ids, and on pseudo-labels.
+def train_quality(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED, certain: float = CERTAIN,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> QualityModel:
+    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of their ids, and on pseudo-labels.
 
-    That bound is a parameter of the method.  In each round all unlabelled documents are
-    scored by both views, and only the rows of the most certain of them are fetched.  Ids with several labels
-    count as bad if one of them is bad; labels of 1 are good, null ones are no labels.
-    Without labels of both kinds the model accepts all documents with a score of 1.
+    In each of ``rounds`` all unlabelled documents are scored by both views, and the rows of
+    the most certain of them, some ``exchanged`` per view, are fetched; nothing else of them
+    comes to the driver.  Ids with several labels count as bad if one of them is bad; labels
+    of 1 are good, null ones are no labels; of rows of one id the most certain counts.  Null
+    ids are not learnt from; null texts count as empty.  Without labels of both kinds, as in
+    empty tables, the model accepts all documents with a score of 1.
     """
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min((F.col(label_col) == 1).cast("int")).alias("_y"))
     order = F.xxhash64(F.lit(6), F.col(id_col))
     ids = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    known = ids.join(named, id_col).orderBy(order, id_col).limit(MAX_LABELLED)
-    columns = [c for c in _PAGE if c in docs.columns]
-    fields = [text_col, *columns]
-
-    def views_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        names = batch.schema.names
-        return _views(batch, [names.index(c) if c in names else -1 for c in (text_col, *_PAGE)])
+    known = ids.join(named, id_col).orderBy(order, id_col).limit(max_labelled)
+    fields = [text_col, *(c for c in _FIELDS if c in docs.columns and c != text_col)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = views_of(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), pa.array(list(a), pa.list_(pa.float32())), pa.array(list(b), pa.list_(pa.float32()))], ["_h", "_y", "a", "b"])
+        for batch in slices(batches, text_col):
+            a, b = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32())) for x in _views(batch, text_col))
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), batch.column("_to"), a, b], ["_h", "_y", "_to", "a", "b"])
 
-    def fetch(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Hashes, ``_y`` and both views of the documents of some ids."""
-        rows = docs.select(id_col, *fields).join(F.broadcast(chosen), id_col).select(order.alias("_h"), "_y", *fields)
-        rows = rows.mapInArrow(features, "_h long, _y int, a array<float>, b array<float>").toArrow().sort_by([("_h", "ascending"), ("_y", "ascending")])
-        x = [np.stack(rows[c].to_numpy()) if len(rows) else np.zeros((0, n), np.float32) for c, n in (("a", TRIGRAMS + TEXT_EXTRA), ("b", SOURCES + LANGS + PAGE_EXTRA))]
-        return rows["_h"].to_numpy(), rows["_y"].to_numpy(), x
+    def fetch(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Hashes, ``_y, _to`` and both views of the documents of a bounded number of ids."""
+        rows = docs.select(id_col, *fields).join(F.broadcast(chosen), id_col).select(order.alias("_h"), "_y", "_to", *fields)
+        rows = rows.mapInArrow(features, "_h long, _y int, _to int, a array<float>, b array<float>").toArrow().sort_by([("_to", "ascending"), ("_h", "ascending"), ("_y", "ascending")])
+        x = [np.stack(rows[c].to_numpy()) if len(rows) else np.zeros((0, n), np.float32) for c, n in (("a", _TEXT), ("b", _PAGE))]
+        return rows["_h"].to_numpy(), rows["_y"].to_numpy(), rows["_to"].to_numpy(), x
 
     kind = docs.schema[id_col].dataType.simpleString()
     taken: list[set] = [set(), set()]
 
     def exchange(models: list[Linear], many: list[int]) -> list[Given]:
         def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = [_sigmoid(m.odds(x)) for m, x in zip(models, views_of(batch), strict=True)]
-                some = pa.array(np.maximum(np.maximum(p[0], 1 - p[0]), np.maximum(p[1], 1 - p[1])) >= CERTAIN)
+            for batch in slices(batches, text_col):
+                p = [_sigmoid(m.odds(x)) for m, x in zip(models, _views(batch, text_col), strict=True)]
+                some = pa.array(np.maximum(np.maximum(p[0], 1 - p[0]), np.maximum(p[1], 1 - p[1])) >= certain)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(float)) for x in p)], [id_col, "_p0", "_p1"]).filter(some)
 
         scored = docs.where(F.col(id_col).isNotNull()).select(id_col, *fields).mapInArrow(sure, f"`{id_col}` {kind}, _p0 double, _p1 double")
         open_ = materialise(materialise(scored, "certain").join(named, id_col, "left_anti"), "unlabelled")
-        out: list[Given] = []
+        told: list[tuple] = []
         for to in (0, 1):
             p, best = F.col(f"_p{1 - to}"), {}
             for value in (0, 1):
-                certain = F.max(p if value else 1 - p).alias("_c")
-                top = open_.groupBy(id_col).agg(certain).where(F.col("_c") >= CERTAIN).orderBy(F.desc("_c"), order, id_col).limit(many[value] + len(taken[to]))
+                most = F.max(p if value else 1 - p).alias("_c")
+                top = open_.groupBy(id_col).agg(most).where(F.col("_c") >= certain).orderBy(F.desc("_c"), order, id_col).limit(many[value] + len(taken[to]))
                 fresh = [r[0] for r in top.collect() if r[0] not in taken[to] and r[0] not in best]
                 best |= dict.fromkeys(fresh[: many[value]], value)
             taken[to] |= set(best)
-            if best:
-                chosen = docs.sparkSession.createDataFrame(list(best.items()), f"`{id_col}` {kind}, _y int")
-                _, told, x = fetch(chosen)
-                out.append((x[to], told.astype(float)))
-            else:
-                out.append((np.zeros((0, [TRIGRAMS + TEXT_EXTRA, SOURCES + LANGS + PAGE_EXTRA][to]), np.float32), np.zeros(0)))
-        return out
+            told += [(key, value, to) for key, value in best.items()]
+        if not told:
+            return [(np.zeros((0, n), np.float32), np.zeros(0)) for n in (_TEXT, _PAGE)]
+        _, y, to, x = fetch(docs.sparkSession.createDataFrame(told, f"`{id_col}` {kind}, _y int, _to int"))
+        return [(x[k][to == k], y[to == k].astype(float)) for k in (0, 1)]
 
-    h, y, x = fetch(known)
+    h, y, _, x = fetch(known.withColumn("_to", F.lit(0)))
     held = h % 10 < 3
     if min(((y == k) & f).sum() for k in (0, 1) for f in (held, ~held)) == 0:
         return QualityModel()
-    return co_train(x, y.astype(float), held, exchange)
+    return co_train(x, y.astype(float), held, exchange, rounds, exchanged)
+
+
+def _scoring_fields(docs: DataFrame, text_col: str) -> list[str]:
+    return [text_col, *(c for c in _FIELDS if c in docs.columns and c != text_col)]
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``text_score, page_score, score`` (chances of good quality) and ``accepted``.
 
-    Null texts count as empty; columns of page metadata that are missing or null have a value
-    of their own; repeated rows are scored each; an empty table gives no rows.
+    Null texts count as empty; whole texts of any length are read; columns of page metadata
+    that are missing or null have a value of their own; rows of one id, repeated ones too,
+    are scored each; equal rows have equal scores; an empty table gives no rows; other
+    columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = [c for c in _PAGE if c in docs.columns]
-    at = [1, *(2 + columns.index(c) if c in columns else -1 for c in _PAGE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, both = model.scores(*_views(batch, at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s.astype(float)) for s in (a, b, both)), pa.array(both >= model.threshold)], [id_col, "text_score", "page_score", "score", "accepted"])
+        for batch in slices(batches, text_col):
+            a, b, both = model.scores(*_views(batch, text_col))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(s.astype(float)) for s in (a, b, both)), pa.array(both >= model.threshold)], [id_col, "text_score", "page_score", "score", "accepted"])
 
-    return docs.select(id_col, text_col, *columns).mapInArrow(run, f"`{id_col}` {kind}, text_score double, page_score double, score double, accepted boolean")
+    rows = docs.select(F.col(id_col).alias("_id"), *_scoring_fields(docs, text_col))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_score double, page_score double, score double, accepted boolean")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model accepts, all columns as they are."""
-    names = docs.columns
-    at = [names.index(c) if c in names else -1 for c in (text_col, *_PAGE)]
+    """The rows of ``docs`` that the model accepts, all columns as they are; nulls, repeated rows and empty tables as in :func:`score_quality`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(*_views(batch, at))[2] >= model.threshold))
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(model.scores(*_views(batch, text_col))[2] >= model.threshold))
 
     return docs.mapInArrow(run, docs.schema)
