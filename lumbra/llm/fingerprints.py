@@ -19,17 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .storage import materialise
 from .words import hash_words, mix, words_of
 
 RATES, PER_RATE = 11, 8
 SUBSETS = RATES * PER_RATE
-#: The band as shares of all documents; a document of fewer terms in it uses all its terms.
-BAND, FEWEST = (0.0005, 0.05), 8
+#: The band as shares of all documents, and as numbers of documents below which neither end goes.
+BAND, LEAST = (0.0005, 0.05), (2, 30)
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
-    """Sorted hashes of the terms that stand in at least two documents and a share of all within ``band``.
+    """Sorted hashes of the terms whose number of documents is within ``band``, as a share of all, neither end of which is below ``LEAST``.
 
     Frequencies count every document.  The shares of all terms add up to the mean number of
     terms of a document, so no more than that mean over ``band[0]`` terms are in the band,
@@ -38,13 +39,13 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     total = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0, 4 << 20):
             terms = [np.unique(hash_words(words_of(text.as_py()))) for text in batch.column(0)]
             found, n = np.unique(np.concatenate(terms), return_counts=True) if terms else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["term", "n"])
 
     df = docs.select(text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    kept = df.where((F.col("df") >= max(2.0, band[0] * total)) & (F.col("df") <= band[1] * total)).select("term")
+    kept = df.where(F.col("df").between(max(LEAST[0], band[0] * total), max(LEAST[1], band[1] * total))).select("term")
     return np.sort(kept.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -58,9 +59,8 @@ class Fingerprinter:
         own = np.unique(hash_words(words_of(text)))
         if len(self.terms):
             at = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
-            inside = own[self.terms[at] == own]
-            own = inside if len(inside) >= FEWEST else own
-        if not len(own):
+            own = own[self.terms[at] == own]
+        if not len(own) or not len(self.terms):
             return np.zeros(SUBSETS, np.uint16)
         # subset s of rate 2**-(r+1) keeps the terms whose first r + 1 random bits for s are all set
         lanes = mix(own[None, :] + _LANES[:, None])
@@ -82,7 +82,7 @@ def to_text(print_: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """How alike two fingerprints are, 0 to 1; of equal ones 1.
+    """How alike two fingerprints are, 0 to 1; of two without any terms, which tell nothing, 0.
 
     At each rate, the share of equal hashes among subsets in which either document has
     terms.  Where a subset holds about one term of both documents that share estimates the
@@ -92,7 +92,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     some = ((a != 0) | (b != 0)).reshape(RATES, PER_RATE).sum(1)
     same = ((a != 0) & (a == b)).reshape(RATES, PER_RATE).sum(1)
     if not some.any():
-        return 1.0
+        return 0.0
     enough = np.flatnonzero(some >= 4)[-2:]
     if not len(enough):
         enough = np.arange(RATES)
@@ -106,7 +106,8 @@ def _compare(prints: Fingerprinter, text: str, own: np.ndarray, following: str,
     k = len(text) // 4
     edited = text[: len(text) - k] + following[:k]
     changed = own if edited == text else prints(edited)
-    return len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(changed), likeness(own, changed), likeness(own, next_print)
+    near = [1.0 if other == text else likeness(own, there) for other, there in ((edited, changed), (following, next_print))]
+    return len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(changed), *near
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
@@ -115,9 +116,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has its last ``floor(n_chars / 4)`` code points replaced by the first as
     many (or all) of the next document's, in ascending order of id (ties: in a fixed order;
     null ids first), after the last the first.  Returns id, ``n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next``.  Null counts as empty; texts without words
-    have a fingerprint of zeros; equal texts have equal fingerprints; an empty table gives no
-    rows; other columns are not read.
+    edited_fingerprint, near_edited, near_next``.  Null counts as empty; texts without terms of
+    the lexicon have a fingerprint of zeros, which is like no other; equal texts have equal
+    fingerprints and a likeness of 1; repeated rows follow each other; texts of any length are
+    read whole; an empty table gives no rows; other columns are not read.
 
     One shuffle puts documents in order, so all but the last of each partition have their
     successor beside them; only these last ones are joined to first ones of later partitions.
@@ -128,17 +130,18 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], [id_col, "_packed"])
+        for batch in slices(batches, 2):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], [id_col, "_hash", "_packed"])
 
     # texts are shuffled compressed one by one, which takes less disk than the shuffle's own compression
-    packed = docs.select(id_col, text_col).mapInArrow(squeeze, f"`{id_col}` {kind}, _packed binary")
-    ordered = packed.repartitionByRange(id_col).sortWithinPartitions(id_col, "_packed")
+    packed = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), text_col).mapInArrow(squeeze, f"`{id_col}` {kind}, _hash long, _packed binary")
+    # by hash too, so that rows of one id, or of none, may span several ranges
+    ordered = packed.repartitionByRange(id_col, "_hash").sortWithinPartitions(id_col, "_hash", "_packed").select(id_col, "_packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, part, unpack = Fingerprinter(terms.value), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         held = None
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows: list[tuple] = []
             keys = batch.column(0)
             for n, data in enumerate(batch.column(1).to_pylist()):
