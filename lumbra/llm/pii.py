@@ -7,6 +7,7 @@ probabilities per kind, labeler and vote.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ CALLING = (
     "212 213 216 218 220 221 234 254 255 256 351 352 353 354 355 356 357 358 359 370 371 372 380 385 386 420 421 502 503 504 505 506 507 509 591 593 595 598 852 853 855 880 886 961 962 965 966 971 972 974 977 994 995 998"
 ).split()
 ISSUERS = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3[0689]|35|6(?:011|4[4-9]|5)|62)"
-#: Words in the 40 characters before a span that speak for or against personal data.
+#: Words in the 40 characters before a span, back to the match before it, that speak for or against personal data.
 FOR = r"(?i)\b(?:e-?mail|mail|contact|correo|courriel|kontakt|phone|tel|call|fax|mobile|telefon|téléphone|teléfono|whatsapp|ip|host|server|address|adresse|dirección|card|visa|mastercard|amex|credit|karte|carte|tarjeta|payment)\b"
 AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|order|invoice|ticket|total|sum|id|sha|md5|hash|commit|token|serial|model|section|chapter|page|figure|table)\b"
 
@@ -52,19 +53,69 @@ ROUNDS = 10
 _SPAN = "struct<start:long,no:int,end:long,kind:string,base:boolean,votes:array<int>,features:array<string>>"
 
 
-def _spans(text: Column, found: Column, between: Column) -> Column:
-    """Start, end and text of matches, from the matches and the texts between them; in code points."""
-    nothing = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("value"))), lambda s: F.lit(False))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` (or lambdas in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["between"])
-        end = start + F.length(pair["value"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), pair["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("between"), m.alias("value")))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+def _running(values: Column, op: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each of some values, ``op`` over ``start`` and all values before it.
+
+    In blocks of the square root of their number: totals of blocks, those before each block,
+    then those within, so that n values take n times the square root of n steps.
+    """
+    total = lambda part, first: F.aggregate(part, first, lambda acc, x: op(acc, x))
+    cut = lambda v, w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size(v) / w).cast("int")) - 1), lambda k: F.slice(v, k * w + 1, w))
+    ahead = lambda blocks: _let(F.transform(blocks, lambda part: total(part, start)), lambda sums: F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k), start)))
+    within = lambda blocks: F.flatten(F.zip_with(blocks, ahead(blocks), lambda part, first: F.transform(part, lambda _, k: total(F.slice(part, F.lit(1), k), first))))
+    width = lambda v: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+    return _let(values, lambda v: _let(_let(width(v), lambda w: cut(v, w)), within))
+
+
+def _spans(found: Column, between: Column) -> Column:
+    """``start, end`` (code points), ``value``, and up to 40 characters before and one after, of matches, from the matches and the texts between them.
+
+    What stands before is read from the text between two matches and the match before that,
+    so that no span looks through the whole text.
+    """
+
+    def spans(f: Column, b: Column) -> Column:
+        sizes = F.zip_with(F.slice(b, F.lit(1), F.size(f)), f, lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
+        through = _running(sizes, lambda acc, x: acc + x, F.lit(0).cast("long"))
+
+        def span(value: Column, k: Column, t: Column) -> Column:
+            gap, following = F.get(b, k), F.get(b, k + 1)
+            start = F.get(t, k) + F.length(gap)
+            before = F.right(F.concat(F.when(k == 0, "").otherwise(F.get(f, F.greatest(k - 1, F.lit(0)))), gap), F.lit(40))
+            after = F.left(F.when(following == "", F.coalesce(F.get(f, k + 1), F.lit(""))).otherwise(following), F.lit(1))
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before"), after.alias("after"))
+
+        return _let(through, lambda t: F.transform(f, lambda value, k: span(value, k, t)))
+
+    none = F.array().cast("array<struct<start:long,end:long,value:string,before:string,after:string>>")
+    return F.when(F.size(found) == 0, none).otherwise(_let(found, lambda f: _let(between, lambda b: spans(f, b))))
+
+
+def _apart(loose: Column, base: Column) -> Column:
+    """The loose spans that overlap no base span.
+
+    In order of start, a loose span overlaps one before it if the largest end so far is
+    beyond its start, and one after it if the next base span starts before its end.
+    """
+    far = F.lit(2**62).cast("long")
+    none = F.lit(None).cast("struct<start:long,end:long,value:string,before:string,after:string>")
+    tagged = lambda spans, mark: F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(mark).alias("loose"), s["end"].alias("to"), (s if mark else none).alias("span")))
+
+    def free(order: Column) -> Column:
+        ends = F.transform(order, lambda s: F.when(s["loose"] == 0, s["to"]).otherwise(F.lit(-1).cast("long")))
+        starts = F.transform(F.reverse(order), lambda s: F.when(s["loose"] == 0, s["at"]).otherwise(far))
+        reach = _running(ends, lambda acc, x: F.greatest(acc, x), F.lit(-1).cast("long"))
+        following = F.reverse(_running(starts, lambda acc, x: F.least(acc, x), far))
+        alone = lambda s, k, r, f: (s["loose"] == 1) & (F.get(r, k) <= s["at"]) & (F.get(f, k) >= s["to"])
+        return _let(reach, lambda r: _let(following, lambda f: F.transform(F.filter(order, lambda s, k: alone(s, k, r, f)), lambda s: s["span"])))
+
+    some = (F.size(base) > 0) & (F.size(loose) > 0)
+    return F.when(some, _let(F.array_sort(F.concat(tagged(base, 0), tagged(loose, 1))), free)).otherwise(loose)
 
 
 def _digits(value: Column) -> Column:
@@ -128,32 +179,29 @@ def _features(kind: str, value: Column, before: Column, after: Column) -> Column
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id and ``spans``, the base spans and the loose candidates that overlap none of them."""
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     none = F.array().cast("array<string>")
     for kinds, kept in ((BASE, "b"), (LOOSE, "l")):
         rows = rows.withColumns({f"_{kept}m_{k}": F.when(F.col("_text").rlike(_GATES[k]), F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(none) for k, p in kinds.items()})
         rows = rows.withColumns({f"_{kept}s_{k}": F.when(F.size(f"_{kept}m_{k}") > 0, F.split("_text", p, -1)).otherwise(none) for k, p in kinds.items()})
-        rows = rows.withColumns({f"_{kept}_{k}": _spans(F.col("_text"), F.col(f"_{kept}m_{k}"), F.col(f"_{kept}s_{k}")) for k in kinds})
+    # most texts have none; with the columns above in hand, spans are made for the others only
+    rows = rows.drop("_text").withColumns({f"_{kept}_{k}": _spans(F.col(f"_{kept}m_{k}"), F.col(f"_{kept}s_{k}")) for kept in "bl" for k in KINDS})
     passing = lambda k: F.filter(f"_b_{k}", lambda s: _holds(k, s["value"]))
     rows = rows.withColumns({f"_b_{k}": passing(k) for k in KINDS})
-    taken = F.concat(*[F.transform(f"_b_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
-    rows = rows.withColumn("_taken", taken)
+    base = F.concat(*[F.transform(f"_b_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    rows = rows.withColumn("_taken", base).withColumns({f"_l_{k}": _apart(F.col(f"_l_{k}"), F.col("_taken")) for k in KINDS})
 
     def judged(kind: str, base: bool) -> Column:
         def one(s: Column) -> Column:
-            from_ = F.greatest(F.lit(0).cast("long"), s["start"] - 40)
-            before = F.substring(F.col("_text"), (from_ + 1).cast("int"), (s["start"] - from_).cast("int"))
-            after = F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(1))
             return F.struct(
                 s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
-                _votes(kind, s["value"], F.lit(base), before, after).alias("votes"), _features(kind, s["value"], before, after).alias("features"),
+                _votes(kind, s["value"], F.lit(base), s["before"], s["after"]).alias("votes"), _features(kind, s["value"], s["before"], s["after"]).alias("features"),
             )
 
-        spans = F.col(f"_b_{kind}") if base else F.filter(f"_l_{kind}", lambda s: ~F.exists("_taken", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-        return F.transform(spans, one)
+        return F.transform(f"_{'b' if base else 'l'}_{kind}", one)
 
     found = F.concat(*[judged(k, base) for base in (True, False) for k in KINDS]).cast(f"array<{_SPAN}>")
-    return rows.select(id_col, found.alias("spans"))
+    return rows.select(F.col("_id").alias(id_col), found.alias("spans"))
 
 
 def _lookup(table: dict[str, float]) -> Column:
