@@ -16,16 +16,14 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_SPACE)), _UPPER, _LOWER)
 
 
-def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Return ``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the text of the lines that stay).
+def kept_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``row`` (all its columns), ``n_lines, n_dropped`` and ``kept`` (the text of the lines that stay).
 
-    Lines are the parts of a text between ``\\n``; null and empty texts have one empty line.
+    Lines are the parts of a text between ``\n``; null and empty texts have one empty line.
     Keys of at least ``min_chars`` code points that stand in at least ``min_docs`` different
     ids lose all their lines; rows with a null id count as one document.  A text that loses
-    all lines gets an empty ``kept``.  Columns of ``docs`` stay as they are, those that clash
-    with the three added ones are replaced; repeated rows are each kept.
+    all lines gets an empty ``kept``.  Repeated rows are each kept; a text of any length is
+    read whole; an empty table gives no rows.
 
     Exploded lines carry two hashes (96 bits) instead of the line, so the whole text is
     shuffled once only, by document, to be reassembled.  Documents of a key are counted
@@ -33,13 +31,10 @@ def drop_common_lines(
     reaches no task whole; keys over the threshold meet their lines in a join that adaptive
     execution splits.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text")]
-    key = line_key(F.col("_line"))
     lines = materialise(
-        docs.select(*row, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-        .withColumn("_key", key)
+        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
+        .withColumn("_key", line_key(F.col("_line")))
         .where(F.length("_key") >= min_chars)
         .select("_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.hash("_key").alias("_h2")),
         "lines",
@@ -49,24 +44,19 @@ def drop_common_lines(
         lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h1", "_h2"),
         "common-lines",
     )
-    dropped = (
-        lines.join(common, ["_h1", "_h2"], "left_semi")
-        .groupBy("_id", "_text")
-        .agg(F.collect_set("_pos").alias("_drop"))
+    dropped = lines.join(common, ["_h1", "_h2"], "left_semi").groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_drop"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("_of"))
+    joined = rows.join(dropped.hint("shuffle_hash"), F.col(f"row.{id_col}").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
+    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
+    parts = F.split(text, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_drop"))
+    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_parts")[i]), "\n"))
+    return joined.withColumn("_parts", parts).select(
+        "row", F.size("_parts").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")
     )
-    keyed = docs.withColumns({"_text": F.xxhash64(text), "_lines": F.split(text, "\n")})
-    joined = keyed.join(
-        dropped.withColumnRenamed("_text", "_of").hint("shuffle_hash"),
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")),
-        "left",
-    )
-    last = F.size("_lines") - 1
-    stay = F.array_except(F.sequence(F.lit(0), last), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n"))
-    return joined.withColumns(
-        {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-            "kept": kept,
-        }
-    ).drop("_text", "_lines", "_id", "_of", "_drop")
+
+
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``n_lines, n_dropped`` and ``kept`` as :func:`kept_lines` finds them; its own columns of these names are replaced."""
+    own = [f"row.`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    return kept_lines(docs, min_docs, min_chars, id_col, text_col).select(*own, "n_lines", "n_dropped", "kept")

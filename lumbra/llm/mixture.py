@@ -59,26 +59,28 @@ def mix_sources(
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``size, source_size, target, taken, copies``.
 
+    ``carry=True`` gives all columns of ``docs``, as ``row``, in place of the id.
+
     Whole epochs of a source are taken while its target holds them; the last epoch is cut
     at the exact budget in a random order that depends on seed, id and text only, so reruns
     agree: ``taken`` sums to the target's whole words in every source, and the document at
     the cut gives its first words only.  ``copies`` counts whole documents instead: the one
-    at the cut is in if half of it is.  ``carry=True`` keeps all columns of ``docs`` (of
-    clashing names, ours win).  Null text has size 0; null source is a source; repeated
-    rows are separate documents; an empty table gives no rows.
+    at the cut is in if half of it is.  Null and empty texts have size 0; a null source is a
+    source; a null id is an id; repeated rows are separate documents, in any order; texts of
+    any length are counted whole; an empty table gives no rows.
 
     The random key is uniform, so cutting its range into equal slices is a range partition
     that needs no sample: a source of any size is dealt over as many slices as it has
     thousands of documents, and only sums per slice meet in one window.
     """
-    sized = docs.withColumns(
-        {
-            "_source": F.col(source_col).cast("string"),
-            "size": count_words(F.col(text_col)),
-            "_key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
-        }
+    sized = docs.select(
+        F.col(id_col).alias("_id"),
+        F.col(source_col).cast("string").alias("_source"),
+        count_words(F.col(text_col)).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
     )
-    narrow = materialise(sized.select(id_col, "_source", "size", "_key"), "mix-sizes")
+    narrow = materialise(sized.drop("row"), "mix-sizes")
     counts = materialise(narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), "mix-sources")
     goal = source_targets(counts.select(F.col("_source").alias("source"), "source_size"), weights, share, ceiling)
     size = F.col("source_size")
@@ -97,8 +99,8 @@ def mix_sources(
     sums = narrow.join(plan.select("_of", "_slices"), of_source).groupBy("_source", slice_of.alias("_slice")).agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("_source").alias("_from"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_source", "_slice").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.drop("source_size", "target", "taken", "copies") if carry else narrow
+    inside = Window.partitionBy("_source", "_slice").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized if carry else narrow
     placed = (
         rows.join(plan, of_source)
         .withColumn("_slice", slice_of)
@@ -107,22 +109,17 @@ def mix_sources(
     )
     room = F.col("_rest") - F.col("_ahead")
     part = F.greatest(F.lit(0), F.least(F.col("size"), room))
-    return placed.withColumns(
-        {
-            "taken": (F.col("_epochs") * F.col("size") + part).cast("long"),
-            "copies": (F.col("_epochs") + (2 * room > F.col("size")).cast("int")).cast("int"),
-        }
-    ).drop("_source", "_key", "_of", "_slices", "_epochs", "_rest", "_slice", "_from", "_at", "_start", "_ahead")
+    taken = F.col("_epochs") * F.col("size") + part
+    copies = F.col("_epochs") + (2 * room > F.col("size")).cast("int")
+    first = F.col("row") if carry else F.col("_id").alias(id_col)
+    return placed.select(first, "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
 def draw_mixture(docs: DataFrame, **settings) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as often as :func:`mix_sources` copies it, same columns.
+    """The mixture itself: every row of ``docs`` as often as :func:`mix_sources` copies it, same columns, whatever their names.
 
-    Documents stay whole.  Those without words have no copy beyond whole epochs.
+    Documents stay whole.  Those without words, as null and empty texts, have no copy beyond
+    whole epochs.  An empty table gives no rows.
     """
     mixed = mix_sources(docs, carry=True, **settings)
-    again = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
-    clash = [c for c in docs.columns if c in ("size", "source_size", "target", "taken", "copies")]
-    if clash:
-        raise ValueError(f"rename these columns before drawing a mixture: {clash}")
-    return mixed.withColumn("_again", again).select(*docs.columns)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[f"row.`{c}`" for c in docs.columns])

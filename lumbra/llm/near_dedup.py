@@ -179,16 +179,15 @@ def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.select("leader", "tid", "_a", "_b").mapInArrow(run, "leader binary, tid binary"), "likely-pairs")
 
 
-def _texts_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``tid, _text`` of the texts of some distinct ``tid``; of equal rows of ``docs`` one is read.
+def _texts_of(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``tid, _text`` of some texts (``tid, _p``); of equal rows of ``docs`` one is read.
 
     Texts are shuffled once, by the hash of row and text, and those that nobody asks for end there.
     """
-    pick = texts.join(nodes, "tid").select("tid", "_p._id", F.col("_p._th").alias("_h"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = lambda i, t: F.xxhash64(F.struct(i.alias("i"), t.alias("t")))
     rows = docs.select(F.col(id_col).alias("_of"), text.alias("_text")).withColumn("_row", key(F.col("_of"), F.xxhash64("_text")))
-    pick = materialise(pick.select("tid", "_id", key(F.col("_id"), F.col("_h")).alias("_row")), "wanted")
+    pick = texts.select("tid", "_p._id", key(F.col("_p._id"), F.col("_p._th")).alias("_row"))
     met = rows.join(pick.hint("shuffle_hash"), "_row").where(F.col("_of").eqNullSafe(F.col("_id")))
     return materialise(met.select("_row", "tid", "_text").dropDuplicates(["_row", "tid"]).select("tid", "_text"), "wanted-texts")
 
@@ -328,16 +327,18 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, te
     """
     keys = texts.where("sig IS NOT NULL").select("tid", F.inline(_buckets()))
     several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
-    found_in = materialise(keys.join(several, "bucket"), "found-in")
+    # hash joins throughout: no side is sorted, and plans don't change with the size of a side
+    found_in = materialise(keys.join(several.hint("shuffle_hash"), "bucket"), "found-in")
     fame = materialise(found_in.groupBy("tid").agg((-F.sum("_n")).alias("_fame")), "fame")
-    bodies = _texts_of(fame.select("tid"), texts, docs, id_col, text_col)
-    left = materialise(found_in.join(fame, "tid").select("bucket", "band", "tid", "_fame", F.col("tid").alias("root")), "members")
+    texts = materialise(texts.select("tid", "_p", "sig").join(fame.hint("shuffle_hash"), "tid"), "found")
+    bodies = _texts_of(texts, docs, id_col, text_col)
+    left = materialise(found_in.join(fame.hint("shuffle_hash"), "tid").select("bucket", "band", "tid", "_fame", F.col("tid").alias("root")), "members")
     roots: DataFrame | None = None
     n = left.count()
     while n:
         who = F.struct("_fame", "tid", "root")
         first = materialise(left.groupBy("bucket").agg(F.min(who).alias("_lead")), "leaders")
-        rest = left.join(first, "bucket").where(F.col("tid") != F.col("_lead.tid"))
+        rest = left.join(first.hint("shuffle_hash"), "bucket").where(F.col("tid") != F.col("_lead.tid"))
         met = rest.where(F.col("root") != F.col("_lead.root")).select(F.col("_lead.tid").alias("leader"), "tid").distinct()
         likely = _likely(met, texts)
         if not likely.isEmpty():
@@ -360,10 +361,10 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members with their present roots, of buckets in which several roots are left."""
     if roots is not None:
         now = roots.select(F.col("node").alias("tid"), F.col("root").alias("_now"))
-        members = members.join(now, "tid", "left").select("bucket", "band", "tid", "_fame", F.coalesce("_now", "root").alias("root"))
+        members = members.join(now.hint("shuffle_hash"), "tid", "left").select("bucket", "band", "tid", "_fame", F.coalesce("_now", "root").alias("root"))
     members = materialise(members, "rest")
     several = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-    return materialise(members.join(several, "bucket"), "mixed")
+    return materialise(members.join(several.hint("shuffle_hash"), "bucket"), "mixed")
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:

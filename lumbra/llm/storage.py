@@ -1,8 +1,8 @@
 """Tables written to the folder that the driver and all executors share.
 
 Operators cut lineage here: what is written survives the loss of executors and is
-computed once.  The folder is ``spark.checkpoint.dir``; a folder of our own is used only
-where the session names none (local tests).
+computed once.  The folder is ``spark.checkpoint.dir``; where the session names none, a
+local session gets a temporary folder of its own and a cluster is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lumbra-")

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ import corpus_pipeline
 from lumbra.llm import quality, registry
 from lumbra.llm.components import connected_components
 from lumbra.llm.near_dedup import REGISTERS, keep_one_of_each, near_duplicates, prob_minhash, similarity, weighted_shingles
-from lumbra.llm.packing import Island, cut_pieces, pack_documents, pack_pieces
-from lumbra.llm.quality import cut, score_quality, train_quality
+from lumbra.llm.packing import Island, _evolved, cut_pieces, least_bins, pack_documents, pack_pieces
+from lumbra.llm.quality import cut, keep_good, score_quality, train_quality
+from lumbra.llm.storage import shared_dir
 from lumbra.llm.token_files import Shard, pack_shard, read_token_shards, write_token_shards
-from lumbra.llm.tokens import vocabulary
-from lumbra.llm.topk_index import search_top_k
+from lumbra.llm.tokens import cut_at_spaces, vocabulary
+from lumbra.llm.topk_index import BlockIndex, build_index, postings_of, quantise, search_top_k
 
 SF = "/root/testdata/sf0.001"
 
@@ -157,7 +160,7 @@ def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
     labels = docs.where("doc_id < 100").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     real = quality.co_train
 
-    def spy(views, y, held, exchange):
+    def spy(views, y, held, exchange, *bounds):
         ones = quality.Linear(np.zeros(1), np.ones(1), np.zeros(1), 0.0)
 
         class Sure(quality.Linear):
@@ -166,13 +169,90 @@ def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
 
         sure = Sure(ones.mean, ones.scale, ones.weights, 0.0)
         seen.extend(len(told) for _, told in exchange([sure, sure], [1, 10_000]))
-        return real(views, y, held, exchange)
+        return real(views, y, held, exchange, *bounds)
 
     monkeypatch.setattr(quality, "co_train", spy)
     train_quality(docs, labels)
     assert seen == [5900, 5900]
 
 
+def slow_text_view(text):
+    """Features of one text, one after the other."""
+    data, words = text.encode(), []
+    for piece in cut_at_spaces(pa.array([text]))[0].to_pylist():
+        words.append(piece)
+    grams = Counter((((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761) % 2**32) >> 22 for k in range(len(data) - 2))
+    total = max(1, len(data) - 2)
+    out = [math.sqrt(grams[k] / total) for k in range(1024)]
+    out.append(-sum(n / total * math.log(n / total) for n in grams.values()) / math.log(1024))
+    out.append(max(grams.values(), default=0) / total)
+    some = max(1, len(words))
+    out += [len(set(words)) / some, max(Counter(words).values(), default=0) / some, sum(a == b for a, b in zip(words, words[1:], strict=False)) / some, min(len(words), 50) / 50]
+    lines = text.split("\n")
+    out += [math.log1p(len(lines)) / 6, math.log1p(len(data) / len(lines)) / 8, len(set(lines)) / len(lines)]
+    kinds = ["\t\n\x0b\x0c\r ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"()-?", "!#$%&*+/<=>@[\\]^_`{|}~"]
+    return out + [sum(chr(b) in k for b in data) / max(1, len(data)) for k in kinds]
+
+
+def test_quality_features_equal_slow_ones():
+    texts = [None, "", "a", "ab", "a b a  a\n\nx x", "É𝔸 ß!", "BUY 99 $$$ " * 40, "the cat. The cat, the\tcat\n" * 9, *(" ".join(random.Random(n).choices(["x", "yy", "é."], k=n)) for n in range(40))]
+    got = quality.text_views(pa.array(texts))
+    assert got.shape[1] == len(slow_text_view(""))
+    for row, text in zip(got, texts, strict=True):
+        assert row == pytest.approx(slow_text_view(text or ""), abs=1e-5)
+    assert quality.text_views(pa.array(texts).slice(5, 7)) == pytest.approx(got[5:12])
+    assert quality.text_views(pa.array([], pa.string())).shape == (0, got.shape[1])
+
+
+def test_quality_equals_training_in_one_process(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = train_quality(docs, labels, rounds=2, exchanged=60, certain=0.8)
+    table = docs.withColumn("_h", F.xxhash64(F.lit(6), "doc_id")).toArrow().sort_by("_h")
+    ids, hashes = table["doc_id"].to_pylist(), dict(zip(table["doc_id"].to_pylist(), table["_h"].to_pylist(), strict=True))
+    text = dict(zip(ids, quality.text_views(table["text"].combine_chunks()), strict=True))
+    page = {r["doc_id"]: quality.page_view(r["source"], r["lang"], r["n_chars"]) for r in table.select(["doc_id", "source", "lang", "n_chars"]).to_pylist()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and r["doc_id"] in text}
+    known, taken = [k for k in ids if k in y], (set(), set())
+
+    def exchange(models, many):
+        out = []
+        for to in (0, 1):
+            view, model = (page, models[1]) if to == 0 else (text, models[0])
+            p = {k: float(1 / (1 + np.exp(-model.odds(view[k][None, :])[0]))) for k in ids if k not in y}
+            told = {}
+            for value in (0, 1):
+                order = sorted((k for k in p if (p[k] if value else 1 - p[k]) >= 0.8), key=lambda k: (-(p[k] if value else 1 - p[k]), hashes[k]))
+                told |= dict.fromkeys([k for k in order if k not in taken[to] and k not in told][: many[value]], value)
+            taken[to].update(told)
+            rows = sorted(told, key=hashes.get)
+            own = (text, page)[to]
+            out.append((np.array([own[k] for k in rows]).reshape(-1, len(own[ids[0]])), np.array([told[k] for k in rows], float)))
+        return out
+
+    held = np.array([hashes[k] % 10 < 3 for k in known])
+    want = quality.co_train([np.stack([v[k] for k in known]) for v in (text, page)], np.array([y[k] for k in known], float), held, exchange, 2, 60)
+    assert model.threshold == pytest.approx(want.threshold, abs=0.02) and sum(map(len, taken)) > 20
+    scores = want.scores(np.stack([text[k] for k in ids]), np.stack([page[k] for k in ids]))
+    got = {r["doc_id"]: r for r in score_quality(docs, model).collect()}
+    assert len(got) == len(ids)
+    for n, name in enumerate(("text_score", "page_score", "score")):
+        assert np.abs(np.array([got[k][name] for k in ids]) - scores[n]).max() < 0.03
+    assert all(r["accepted"] == (r["score"] >= model.threshold) for r in got.values())
+
+
+def test_quality_odd_columns(spark):
+    schema = "doc_id long, text string, source int, _h string, _y int, score double"
+    rows = [(n, ("good words here now " if n % 2 else "!!! $$$ 99 ") * 5, n % 2, "x", 1, 0.5) for n in range(60)] + [(None, None, None, None, None, None), (1, None, 3, "x", 1, 0.5)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(50)] + [(3, 0), (None, 1), (51, None)], "doc_id long, quality int")
+    model = train_quality(docs, labels, max_labelled=45)
+    scored = score_quality(docs, model)
+    assert scored.columns == ["doc_id", "text_score", "page_score", "score", "accepted"] and scored.count() == 62
+    kept = keep_good(docs, model)
+    assert kept.columns == docs.columns and 20 < kept.count() <= 40
+    assert keep_good(docs.limit(0), model).count() == 0
+
+
 def test_quality_cut_withstands_outliers():
     rng = np.random.default_rng(4)
     good, bad = rng.uniform(0.6, 1, 100), rng.uniform(0, 0.4, 50)
@@ -191,6 +271,12 @@ def brute_tokens(texts, name, end):
 TEXTS = [None, "", " ", "\n\n a\tb  c\r\n", "<|endoftext|> x <|startoftext|>", "It's don't I'LL", "\x1c!\x1c　é ́", "!!! ! ! " * 300, "ab" * 9000, "word " * 9000, "É𝔸 ß"]
 
 
+def shard_of(docs, base):
+    ends = np.zeros(sum(map(len, docs)), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    return Shard(pack_shard(np.concatenate(docs), ends, base))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -230,12 +316,66 @@ def test_packing_over_many_shards(spark):
 def test_crossover_keeps_all_items():
     rng = random.Random(7)
     home = Island([rng.randrange(1, 60) for _ in range(200)], 100, 1)
-    a, b = home.founders()[0], home.pack(list(range(200)))
-    child = home.cross(a, b)
-    assert sorted(i for bin_ in child for i in bin_) == list(range(200)) and all(sum(home.lengths[i] for i in bin_) <= 100 for bin_ in child)
+    a, b = home.founder(False), home.pack(list(range(200)))
+    for _ in range(20):
+        child = home.cross(a, b)
+        assert sorted(i for bin_ in child for i in bin_) == list(range(200)) and all(sum(home.lengths[i] for i in bin_) <= 100 for bin_ in child)
+        a, b = b, child
     assert home.fitness(home.evolve([a])) >= home.fitness(a)
 
 
+def triplets(rng, n, capacity=1000):
+    """Items that fill ``n`` bins to the last token, three in each; best fit by falling length needs more bins."""
+    items = []
+    for _ in range(n):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(250, (capacity - a) // 2)
+        items += [a, b, capacity - a - b]
+    rng.shuffle(items)
+    return items
+
+
+def test_evolution_beats_best_fit(spark):
+    rng = random.Random(3)
+    lengths = [triplets(rng, 20) for _ in range(3)]
+    shards = spark.createDataFrame([(k, [(x, k) for x in row]) for k, row in enumerate(lengths)], "_shard long, _items array<struct<length:int,doc_id:int>>")
+    rows = _evolved(shards, 1000, 0).collect()
+    assert len(rows) == 3
+    for r in rows:
+        row = lengths[r["_shard"]]
+        home, fill = Island(row, 1000, 0), Counter()
+        for b, x in zip(r["_best"], row, strict=True):
+            fill[b] += x
+        assert max(fill.values()) <= 1000 and sorted(x["length"] for x in r["_items"]) == sorted(row)
+        assert len(fill) < len(home.founder(False)) and r["_won"] > 0 and r["_crossed"] > r["_won"]
+
+
+def slow_least(lengths, capacity):
+    """The bound with every threshold tried."""
+    best = -(-sum(lengths) // capacity)
+    for c in range(1, capacity // 2 + 1):
+        alone = [x for x in lengths if x > capacity - c]
+        large = [x for x in lengths if capacity / 2 < x <= capacity - c]
+        small = [x for x in lengths if c <= x <= capacity / 2]
+        best = max(best, len(alone) + len(large) + max(0, -(-(sum(small) - (len(large) * capacity - sum(large))) // capacity)))
+    return best
+
+
+def test_least_bins():
+    rng = random.Random(5)
+    for _ in range(300):
+        capacity = rng.choice([9, 10, 31, 100])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 25))]
+        assert least_bins(lengths, capacity) == slow_least(lengths, capacity)
+        assert least_bins(lengths, capacity) <= len(Island(lengths, capacity, 1).founder(False))
+
+
+def test_half_full_pieces_end(spark):
+    rows = [(n, 0, 2100 + n % 7) for n in range(5000)]
+    got = pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 4096, ["doc_id", "piece"])
+    assert got.count() == 5000 and got.select("sequence_id").distinct().count() == 5000
+
+
 def test_token_files_round_trip(spark, tmp_path):
     texts = [*TEXTS, *(" ".join(random.Random(n).choices(["alpha", "beta", "gamma"], k=50)) for n in range(200))]
     rows = [(n * 3 % 211, t) for n, t in enumerate(texts)]
@@ -257,19 +397,20 @@ def test_shards_decode_at_random(seed):
     rng = np.random.default_rng(seed)
     kinds = [lambda n: rng.integers(0, 4, n), np.zeros, lambda n: np.tile([7, 8, 9], n)[:n], lambda n: rng.choice([0, 1, 2, 60_000], n)]
     docs = [kinds[rng.integers(4)](n).astype("<u4") for n in rng.integers(1, 400, 60)]
-    shard = Shard(pack_shard([d.tobytes() for d in docs], 60_001 if seed % 2 else 70_000))
+    shard = shard_of(docs, 60_001 if seed % 2 else 70_000)
     assert shard.n_tokens == sum(map(len, docs))
     for k in rng.permutation(60):
         assert shard.document(int(k)).tolist() == docs[k].tolist()
     assert len(shard.symbols) < shard.n_tokens
+    ids, at = shard.documents()
+    assert ids.tolist() == np.concatenate(docs).tolist() and np.diff(at).tolist() == [len(d) for d in docs]
 
 
 def test_shards_replace_every_pair_that_pays():
     rng = np.random.default_rng(8)
     passage = rng.integers(0, 50_000, 1000)
     docs = [np.concatenate([rng.integers(0, 50_000, 50), passage, rng.integers(0, 50_000, 50)]).astype("<u4") for _ in range(4)] + [np.full(5, 7, "<u4")]
-    blob = pack_shard([d.tobytes() for d in docs], 50_257)
-    shard = Shard(blob)
+    shard = shard_of(docs, 50_257)
     assert all(shard.document(k).tolist() == d.tolist() for k, d in enumerate(docs))
     assert len(shard.symbols) < 4 * 100 + 30
     places = Counter()
@@ -300,6 +441,54 @@ def test_top_k(spark):
     assert search_top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def brute_top(matrix, ids, query, key, k):
+    scores = matrix @ query
+    others = np.flatnonzero(ids != key)
+    best = others[np.lexsort((ids[others], -scores[others]))[:k]]
+    return ids[best].tolist(), scores[best].tolist()
+
+
+def test_top_k_stops_on_proof():
+    rng = np.random.default_rng(2)
+    skewed = np.floor(rng.lognormal(0, 1.6, (1500, 32)) * rng.choice([-4, 4], (1500, 32)))
+    sparse = np.where(rng.random((1500, 32)) < 0.2, np.floor(rng.normal(0, 60, (1500, 32))), 0)
+    table = pa.parquet.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    given = quantise(np.stack([np.array(x, float) for x in table["embedding"].to_pylist() if x is not None]), 64)
+    wide = np.floor(rng.normal(0, 1e5, (300, 8)))
+    shares = []
+    for matrix in (skewed, sparse, given, wide, np.ones((50, 3)), np.zeros((30, 3)), np.array([[5.0, -1]])):
+        ids = rng.permutation(len(matrix)).astype(np.int64) * 3
+        block = BlockIndex(ids, matrix.shape[1], *postings_of(matrix))
+        for key, found, scores in block.search(matrix[::15], ids[::15], 20):
+            assert (found.tolist(), scores.tolist()) == brute_top(matrix, ids, matrix[ids == key][0], key, 20)
+        shares.append(block.multiplied / max(1, block.scanned))
+    assert shares[0] < 0.4 and shares[1] < 0.8 and shares[2] < 1
+
+
+def test_postings_by_falling_impact():
+    rng = np.random.default_rng(6)
+    matrix = np.floor(rng.normal(0, 20, (90, 7)))
+    dims, levels, vectors, values = postings_of(matrix)
+    assert (np.diff(dims.astype(int)) >= 0).all() and all((np.diff(levels[dims == d].astype(int)) <= 0).all() for d in range(7))
+    assert (np.abs(values) <= 2.0**levels).all() and (np.abs(values) > 2.0 ** (levels - 1.0))[np.abs(values) > 1].all()
+    back = np.zeros_like(matrix)
+    back[vectors, dims] = values
+    assert (back == matrix).all()
+
+
+def test_top_k_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>, score string"
+    rows = [(0, [1.0, 2.0], "x"), (0, [1.0, 2.0], "x"), (1, [1.0, 2.0], None), (2, None, "x"), (3, [None, 1.0], "x")]
+    table = spark.createDataFrame(rows, schema)
+    got = sorted(tuple(r) for r in search_top_k(table, table.where("vec_id = 0"), k=2).collect())
+    assert got == [(0, 1, 1, 64 * 64 * 5), (0, 1, 1, 64 * 64 * 5)]
+    index = build_index(table)
+    assert sorted(tuple(r) for r in search_top_k(table, table.where("vec_id = 1"), k=2, index=index).collect()) == [(1, 1, 0, 64 * 64 * 5), (1, 2, 0, 64 * 64 * 5)]
+    mixed = spark.createDataFrame([(0, [1.0], None), (1, [1.0, 2.0], None)], schema).coalesce(1)
+    with pytest.raises(Exception, match="can't be compared"):
+        search_top_k(mixed, mixed).collect()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs = docs.unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "src0", 0)], docs.schema))
@@ -325,6 +514,47 @@ def test_pipeline_stages(spark):
         before = spark.createDataFrame(rows, after.schema)
 
 
+CLASHES = "kept string, n_lines int, n_dropped int, row string, _th string, _text string, _key string, size string, taken int, copies int, _id string, tid string, _source string"
+
+
+def test_pipeline_stages_with_clashing_names_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [c.split()[0] for c in CLASHES.split(", ")]
+    more = docs.select("*", *[F.lit(f"{k + 1}").cast(c.split()[1]).alias(c.split()[0]) for k, c in enumerate(CLASHES.split(", "))])
+    for name, stage in corpus_pipeline.STAGES:
+        got, plain = stage(spark, more, SF), stage(spark, docs, SF)
+        if name == "pack":
+            assert got.count() == plain.count()
+        else:
+            assert got.columns == more.columns
+            rows = got.collect()
+            assert all([str(r[c]) for c in names] == [str(k + 1) for k in range(len(names))] for r in rows)
+            assert sorted((r["doc_id"], r["text"] or "") for r in rows) == sorted((r["doc_id"], r["text"] or "") for r in plain.collect())
+        empty = stage(spark, more.limit(0), SF)
+        assert empty.count() == 0 and (name == "pack" or empty.columns == more.columns)
+
+
+def test_line_stage_keeps_null_texts(spark):
+    rows = [(n, "common\nown " + str(n), "en", "s", 12) for n in range(12)] + [(20, None, None, None, None), (21, "", "en", "s", 0), (22, "common", "en", "s", 6), (22, "common", "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(n, f"own {n}", len(f"own {n}")) for n in range(12)] + [(20, None, None), (21, "", 0), (22, "", 0), (22, "", 0)], key=str)
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(Session())
+
+
 def test_pieces_of_long_documents(spark):
     docs = spark.createDataFrame([(1, "cat " * 5000)], "doc_id long, text string")
     assert [(r["piece"], r["start"], r["length"]) for r in cut_pieces(docs, vocabulary("word_bpe_49k.json"), 1, 4096).collect()] == [(0, 0, 4096), (1, 4096, 905)]

@@ -14,6 +14,7 @@ from lumbra.llm.license_rules import BASE, default_rules
 from lumbra.llm.license_scan import Scanner, scan_licenses
 from lumbra.llm.line_dedup import drop_common_lines
 from lumbra.llm.mixture import draw_mixture, mix_sources, source_targets
+from lumbra.llm.words import hash_words, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SF = "/root/testdata/sf0.001"
@@ -191,6 +192,75 @@ def test_fingerprints(spark):
     assert [(r["n_chars"], r["near_next"]) for r in fingerprint_documents(one).collect()] == [(7, 1.0)]
 
 
+def scrambled(x):
+    """Finaliser of splitmix64, by whole numbers."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def slow_print(text, terms):
+    """88 hashes: subset 8 r + j keeps a term if bit 0 of byte j of r + 1 random numbers is set."""
+    own = {int(h) for h in hash_words(words_of(text)).tolist()} & terms
+    out = []
+    for rate in range(11):
+        for j in range(8):
+            kept = [t for t in sorted(own) if all(scrambled((t + (r + 1) * 0x9E3779B97F4A7C15) % 2**64) >> 8 * j & 1 for r in range(rate + 1))]
+            digest = scrambled(sum(scrambled(t ^ 0x51ED270B7A3F2C95) for t in kept) % 2**64) >> 48
+            out.append(max(digest, 1) if kept else 0)
+    return out
+
+
+def slow_likeness(a, b):
+    rates = []
+    for r in range(11):
+        pairs = [(x, y) for x, y in zip(a[8 * r : 8 * r + 8], b[8 * r : 8 * r + 8], strict=True) if x or y]
+        rates.append((sum(x == y for x, y in pairs), len(pairs)))
+    counted = [x for x in rates if x[1] >= 4][-2:] or rates
+    total = sum(n for _, n in counted)
+    return sum(m for m, _ in counted) / total if total else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    texts = [None, "", "!!", "w1", "w1 w1", *(" ".join(rng.choices(words, k=rng.randrange(1, 120))) for _ in range(60))]
+    rows = [(n // 2, t, "x") for n, t in enumerate(texts)] + [(None, texts[9], None), (None, texts[10], None), (7, texts[14], "x"), (7, texts[14], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(5)
+    band = (0.08, 0.4)
+    df = defaultdict(int)
+    for _, t, _ in rows:
+        for h in set(hash_words(words_of(t)).tolist()):
+            df[int(h)] += 1
+    terms = {h for h, n in df.items() if n >= max(2, band[0] * len(rows)) and n <= max(30, band[1] * len(rows))}
+    assert 50 < len(terms) < len(df)
+    prints = {t: slow_print(t, terms) for t in {t or "" for _, t, _ in rows}}
+    hexed = {t: "".join(f"{x:04x}" for x in p) for t, p in prints.items()}
+    got = fingerprint_documents(docs, band=band).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    want = defaultdict(list)
+    for k, t, _ in rows:
+        want[k].append(hexed[t or ""])
+    assert {k: sorted(r["fingerprint"] for r in v) for k, v in by.items()} == {k: sorted(v) for k, v in want.items()}
+    ids = sorted(by, key=lambda k: (k is not None, k or 0))
+    text_of = {h: t for t, h in hexed.items()}
+    single = [k for k in ids if k is not None and len(by[k]) == 1]
+    for k in single:
+        r, follow = by[k][0], by[ids[(ids.index(k) + 1) % len(ids)]]
+        own = next(t or "" for i, t, _ in rows if i == k)
+        cut = len(own) // 4
+        edited = [(own[: len(own) - cut] + text[:cut], text) for text in {text_of[f["fingerprint"]] for f in follow}]
+        edited = next(x for x in edited if hashlib.sha256(x[0].encode()).hexdigest() == r["edited_sha256"])
+        changed = slow_print(edited[0], terms)
+        assert r["edited_fingerprint"] == "".join(f"{x:04x}" for x in changed)
+        assert r["near_edited"] == pytest.approx(1.0 if edited[0] == own else slow_likeness(prints[own], changed))
+
+
 def test_queries_give_all_rows(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for f in (registry.op1_license_scan, registry.op2_mix_sources, registry.op3_line_dedup, registry.op5_fingerprints):
