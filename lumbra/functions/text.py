@@ -36,8 +36,8 @@ def strip(text: Column) -> Column:
 
 
 def strip_marks(text: Column) -> Column:
-    """Letters without their accents."""
-    return F.regexp_replace(F.translate(text, *_bases("NFD")), r"\p{Mn}", "")
+    """Letters without their accents; only texts that have characters beyond ASCII are translated."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, *_bases("NFD")), r"\p{Mn}", "")).otherwise(text)
 
 
 def normalise(text: Column, exact: bool = False) -> Column:

@@ -60,6 +60,18 @@ def detect_place(questions: DataFrame, names: DataFrame) -> DataFrame:
     return hits.groupBy("question_id").agg(best.alias("name"))
 
 
+def _held(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
+    """Pairs of needles and texts that hold them anywhere.
+
+    A text that holds a needle holds its first three characters (all, if it has fewer), so
+    these are joined with the texts' substrings of one to three characters, and what is
+    joined is checked.
+    """
+    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substr(text, k, n)))))
+    keyed = needles.where(F.col(needle) != "").withColumn("_gram", F.left(needle, F.lit(3)))
+    return keyed.join(texts.withColumn("_gram", F.explode(F.array_distinct(grams))), "_gram").where(F.col(text).contains(F.col(needle)))
+
+
 def unknown_place(questions: DataFrame, places: DataFrame, generic: list[str] = GENERIC_PLACES, sizes: dict[str, str] = SIZE_ALIASES) -> DataFrame:
     """``question_id, desconhecido``: the first capitalised place of each question that is known in no way.
 
@@ -72,48 +84,67 @@ def unknown_place(questions: DataFrame, places: DataFrame, generic: list[str] =
     found = F.concat(F.regexp_extract_all("text", F.lit(_AFTER_REGIONAL), F.lit(1)), F.regexp_extract_all("text", F.lit(_AFTER_PREPOSITION), F.lit(1)))
     asked = questions.select("question_id", F.posexplode(found).alias("_pos", "_raw")).withColumn("_cand", normalise(F.col("_raw")))
     open_ = asked.where((F.col("_cand") != "") & ~F.col("_cand").isin(list(sizes)))
-    loose = open_.join(known, F.col("_known").contains(F.col("_cand")) | F.col("_cand").contains(F.col("_known")), "left_anti")
+    asked_for = open_.select("_cand").distinct()
+    inside = _held(asked_for, known, "_cand", "_known").select("_cand").unionByName(_held(known, asked_for, "_known", "_cand").select("_cand"))
+    loose = open_.join(inside.distinct(), "_cand", "left_anti")
     return loose.groupBy("question_id").agg(F.trim(F.min_by("_raw", "_pos")).alias("desconhecido"))
 
 
-def _sums(dataset: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals per scope, for each size and for all sizes (null)."""
-    measures = [F.sum("total").alias("valor"), F.count(F.lit(1)).alias("linhas"), F.collect_set("data_referencia").alias("_datas"), F.countDistinct("municipio").alias("municipios")]
-    sized = dataset.where(F.col("porte").isNotNull()).groupBy(*keys, "porte").agg(*measures)
-    return sized.unionByName(dataset.groupBy(*keys).agg(*measures).withColumn("porte", F.lit(None).cast("string")), allowMissingColumns=True)
+#: Scopes of an answer, and the column of the dataset that each goes by.
+SCOPES = [("municipio", "municipio"), ("regional", "regional"), ("estado", None)]
+
+
+def _views(dataset: DataFrame) -> DataFrame:
+    """Every row once per scope it belongs to, for its own size and for all sizes (null): adds ``_scope, _key, _size``."""
+    sizes = F.when(F.col("porte").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("porte")))
+    scopes = F.array(*[F.struct(F.lit(scope).alias("scope"), (F.col(c) if c else F.lit("")).alias("key")) for scope, c in SCOPES])
+    seen = dataset.select("*", F.explode(scopes).alias("_s"), sizes.alias("_sizes")).where("_s.key IS NOT NULL")
+    return seen.select("*", F.col("_s.scope").alias("_scope"), F.col("_s.key").alias("_key"), F.explode("_sizes").alias("_size")).drop("_s", "_sizes")
+
+
+def _sourced(dataset: DataFrame) -> DataFrame:
+    """A dataset that names its source, as empty text if it has none."""
+    return dataset if "fonte" in dataset.columns else dataset.withColumn("fonte", F.lit(""))
 
 
 def answer_questions(questions: DataFrame, dataset: DataFrame, state: str = STATE_WIDE[0], indicator: str = "empresas_por_municipio") -> DataFrame:
     """One answer per question (``question_id`` unique, ``text``).
 
-    A municipality named in it wins over a regional office; a place that is not known, or a
-    slice without rows, is answered as not found, never as zero or as the state's total.
+    A municipality named in it wins over a regional office; a place that is not known, a
+    slice without rows, or a dataset without any, is answered as not found, never as zero or
+    as the state's total.  ``fonte`` names the distinct sources of the slice, if the dataset does.
+    All sums come from one pass over the dataset.
     """
-    code = F.min("codigo_ibge").alias("ordem_")
-    ranked = lambda c: dataset.groupBy(F.col(c).alias("name")).agg(code).select("name", F.rank().over(Window.orderBy("ordem_", "name")).alias("ordem"))
+    names = dataset.groupBy("municipio", "regional").agg(F.min("codigo_ibge").alias("ordem_"))
+    ranked = lambda c: names.groupBy(F.col(c).alias("name")).agg(F.min("ordem_").alias("ordem_")).select("name", F.rank().over(Window.orderBy("ordem_", "name")).alias("ordem"))
     towns, offices = ranked("municipio"), ranked("regional")
+    places = names.select(F.explode(F.array("municipio", "regional")).alias("name")).where(F.col("name").isNotNull())
     asked = (
         questions.select("question_id", "text", detect_size(F.col("text")).alias("porte"))
         .join(detect_place(questions, towns).withColumnRenamed("name", "_town"), "question_id", "left")
         .join(detect_place(questions, offices).withColumnRenamed("name", "_office"), "question_id", "left")
-        .join(unknown_place(questions, towns.select("name").unionByName(offices.select("name"))), "question_id", "left")
+        .join(unknown_place(questions, places), "question_id", "left")
+        .crossJoin(dataset.agg((F.count(F.lit(1)) > 0).alias("_some")))  # one row
     )
     place = F.coalesce("_town", "_office")
-    scope = F.when(F.col("_town").isNotNull(), "municipio").when(F.col("_office").isNotNull(), "regional").when(F.col("desconhecido").isNull(), "estado")
+    scope = F.when(F.col("_town").isNotNull(), "municipio").when(F.col("_office").isNotNull(), "regional").when(F.col("desconhecido").isNull() & F.col("_some"), "estado")
     asked = asked.withColumns({"escopo": scope, "_place": F.when(scope != "estado", place).otherwise("")})
-    per = []
-    for name, key in (("municipio", F.col("municipio")), ("regional", F.col("regional")), ("estado", F.lit(""))):
-        keyed = dataset.withColumn("_key", key).where(F.col("_key").isNotNull())
-        per.append(_sums(keyed, ["_key"]).withColumn("_scope", F.lit(name)))
-    sums = per[0].unionByName(per[1]).unionByName(per[2]).withColumnRenamed("porte", "_size")
+    measures = [
+        F.sum("total").alias("valor"), F.count(F.lit(1)).alias("linhas"), F.collect_set("data_referencia").alias("_datas"), F.collect_set("fonte").alias("_fontes"), F.countDistinct("municipio").alias("municipios"),
+    ]
+    sums = _views(_sourced(dataset)).groupBy("_scope", "_key", "_size").agg(*measures)
     joined = asked.join(sums, (F.col("escopo") == F.col("_scope")) & (F.col("_place") == F.col("_key")) & F.col("porte").eqNullSafe(F.col("_size")), "left")
     label = F.when(F.col("escopo") == "estado", state).when(F.col("escopo") == "regional", F.concat(F.lit("Regional "), F.col("_place"))).when(F.col("escopo") == "municipio", F.col("_place"))
     found = F.col("linhas").isNotNull()
     target = F.when(F.col("porte").isNull(), label).otherwise(F.concat(label, F.lit(" / porte "), F.col("porte")))
-    message = F.when(
-        F.col("escopo").isNull(),
-        F.concat(F.lit("Não encontrei '"), F.col("desconhecido"), F.lit("' na fonte estática. Confirme a grafia do município ou da regional. Ausência de registro não deve ser interpretada como valor zero.")),
-    ).when(~found, F.concat(F.lit("Não há registros na fonte para o recorte solicitado ("), target, F.lit("). Ausência de registro não deve ser interpretada como valor zero.")))
+    message = (
+        F.when(~F.col("_some"), f"A fonte estática '{indicator}' não está disponível ou está vazia.")
+        .when(
+            F.col("escopo").isNull(),
+            F.concat(F.lit("Não encontrei '"), F.col("desconhecido"), F.lit("' na fonte estática. Confirme a grafia do município ou da regional. Ausência de registro não deve ser interpretada como valor zero.")),
+        )
+        .when(~found, F.concat(F.lit("Não há registros na fonte para o recorte solicitado ("), target, F.lit("). Ausência de registro não deve ser interpretada como valor zero.")))
+    )
     return joined.select(
         "question_id",
         "text",
@@ -122,14 +153,23 @@ def answer_questions(questions: DataFrame, dataset: DataFrame, state: str = STAT
         F.lit(indicator).alias("indicador"),
         "escopo",
         label.alias("escopo_label"),
-        "porte",
+        F.when(F.col("_some"), F.col("porte")).alias("porte"),
         F.coalesce("linhas", F.lit(0)).alias("linhas"),
         F.col("municipios"),
         F.array_join(F.array_sort("_datas"), ", ").alias("data_referencia"),
+        F.when(found, F.array_join(F.array_sort("_fontes"), ", ")).alias("fonte"),
         F.coalesce(message, F.lit("")).alias("mensagem"),
     )
 
 
+def answer_details(answers: DataFrame, dataset: DataFrame) -> DataFrame:
+    """The rows of the dataset that each answer sums up: ``question_id`` and all columns of ``dataset``."""
+    place = F.when(F.col("escopo") == "estado", "").when(F.col("escopo") == "regional", F.regexp_replace("escopo_label", "^Regional ", "")).otherwise(F.col("escopo_label"))
+    found = answers.where("encontrado").select("question_id", "escopo", place.alias("_place"), F.col("porte").alias("_asked"))
+    rows = _views(dataset)
+    return found.join(rows, (F.col("escopo") == F.col("_scope")) & (F.col("_place") == F.col("_key")) & F.col("_asked").eqNullSafe(F.col("_size"))).select("question_id", *[f"`{c}`" for c in dataset.columns])
+
+
 def size_label(size: Column, labels: dict[str, str] = SIZE_LABELS, default: str = DEFAULT_LABEL) -> Column:
     """What companies of a size are called."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[size], F.lit(default))
@@ -155,6 +195,7 @@ def render_answers(answers: DataFrame, dataset: DataFrame) -> DataFrame:
         F.concat(F.lit("- Recorte territorial: "), F.col("escopo_label")),
         F.concat(F.lit("- Data de referência: "), F.coalesce(F.nullif("data_referencia", F.lit("")), F.lit("não informada"))),
         F.when(F.col("escopo") != "municipio", F.concat(F.lit("- Municípios considerados: "), F.col("municipios"))),
+        F.when(F.col("fonte") != "", F.concat(F.lit("- Fonte: "), F.col("fonte"))),
         F.when(wants_breakdown(F.col("text")) & F.col("porte").isNull(), F.col("_shares")),
         F.when(wants_ranking(F.col("text")), F.col("_ranks")),
         F.lit(""),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import normalise, word_pattern
 from ..functions.vocab import MONTHS, REGIONS, SECTORS, STATE_WIDE, THEMES
@@ -70,6 +71,8 @@ def catalog_places(sample: Column, places: list[str], regions: list[str] = REGIO
     Names of regions are blanked first, so a place named like a region is not found; a place
     within another found one's name is dropped.
     """
+    if not places:
+        return F.array().cast("array<string>")
     for r in regions:
         sample = F.regexp_replace(sample, _norm_pattern(r), " ")
     found = F.array_compact(F.array(*[F.when(sample.rlike(_norm_pattern(p)), F.struct(F.lit(p).alias("name"), F.lit(_norm(p)).alias("norm"))) for p in places]))
@@ -77,12 +80,36 @@ def catalog_places(sample: Column, places: list[str], regions: list[str] = REGIO
     return F.slice(F.transform(outer, lambda x: x["name"]), 1, limit)
 
 
+def _overlaps_itself(term: str) -> bool:
+    """Whether two places of a term may share words, so that places would have to be counted one after the other."""
+    words = term.split()
+    return any(words[:k] == words[-k:] for k in range(1, len(words)))
+
+
 def vocabulary_scores(sample: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """``label, pontos`` of labels whose terms occur as words, most often first, ties by label."""
-    counted = [F.struct(F.lit(label).alias("label"), sum((F.regexp_count(sample, F.lit(_norm_pattern(t))) for t in terms), F.lit(0)).alias("pontos")) for label, terms in vocabulary.items()]
-    some = F.filter(F.array(*counted), lambda s: s["pontos"] > 0)
-    order = F.array_sort(F.transform(some, lambda s: F.struct((-s["pontos"]).alias("by"), s["label"].alias("label"))))
-    return F.transform(order, lambda s: F.struct(s["label"].alias("label"), (-s["by"]).alias("pontos")))
+    """``label, pontos`` of labels whose terms occur as words, most often first, ties by label.
+
+    The text is searched once for all terms: at each word the longest term that starts there
+    is taken, and a shorter one that starts with the same words is there too.
+    """
+    norms = {t: _norm(t) for terms in vocabulary.values() for t in terms}
+    together = sorted({n for n in norms.values() if not _overlaps_itself(n)}, key=lambda n: (-len(n), n))
+    pattern = rf"(?U)\b(?=({'|'.join(map(re.escape, together))})\b)"
+    holds = lambda longer, term: longer == term or (longer.startswith(term) and not (longer[len(term)].isalnum() or longer[len(term)] == "_"))
+
+    def scored(found: Column) -> Column:
+        def places(term: str) -> Column:
+            if norms[term] not in together:
+                return F.regexp_count(sample, F.lit(_norm_pattern(term)))
+            return F.size(F.filter(found, lambda m: m.isin([n for n in together if holds(n, norms[term])])))
+
+        counted = F.array(*[F.struct(F.lit(label).alias("label"), sum(map(places, terms), F.lit(0)).alias("pontos")) for label, terms in vocabulary.items()])
+        order = F.array_sort(F.transform(F.filter(counted, lambda s: s["pontos"] > 0), lambda s: F.struct((-s["pontos"]).alias("by"), s["label"].alias("label"))))
+        return F.transform(order, lambda s: F.struct(s["label"].alias("label"), (-s["by"]).alias("pontos")))
+
+    matches = F.regexp_extract_all(sample, F.lit(pattern), F.lit(1)) if together else F.array().cast("array<string>")
+    # worked out once, however many terms look at it
+    return F.get(F.transform(F.array(matches), scored), F.lit(0))
 
 
 def themes(sample: Column, vocabulary: dict[str, list[str]] = THEMES, limit: int = 3) -> Column:
@@ -96,17 +123,20 @@ def sectors(sample: Column, vocabulary: dict[str, list[str]] = SECTORS, limit: i
     return F.slice(F.transform(often, lambda s: s["label"]), 1, limit)
 
 
-def catalog_fields(documents: DataFrame, source: str, places: list[str], completed: DataFrame | None = None) -> DataFrame:
+def catalog_fields(documents: DataFrame, source: str, places: list[str], completed: DataFrame | None = None, sample: int | None = None, lead: int | None = None) -> DataFrame:
     """Catalogue fields of documents ``chave, conteudo``, with each field's origin, warnings and status.
 
+    Themes, sectors, places and region are read from the whole text, or from its first
+    ``sample`` characters (8000 gives short catalogues of long studies); the year from the whole text or its first ``lead`` characters.
+
     ``completed`` (``chave`` and any fields) fills what the text doesn't tell, as origin
     ``llm``.  Without a region the whole state is taken, as origin ``padrao``.
     """
     name, text = stem(F.col("chave")), body(F.col("conteudo"))
     rows = documents.select("chave", "conteudo", name.alias("_name"), text.alias("_body"), has_header(F.col("conteudo")).alias("_had"))
     rows = rows.withColumn("title", catalog_title(F.col("_name"), F.col("_body")))
-    rows = rows.withColumn("_sample", normalise(F.concat_ws(" ", "_name", "title", F.substring("_body", 1, 8000))))
-    rows = rows.withColumns({"ano": catalog_year(F.col("_name"), F.col("title"), F.substring("_body", 1, 2000)), "tema": themes(F.col("_sample")), "setor": sectors(F.col("_sample"))})
+    rows = rows.withColumn("_sample", normalise(F.concat_ws(" ", "_name", "title", (F.col("_body") if sample is None else F.substring("_body", 1, sample)))))
+    rows = rows.withColumns({"ano": catalog_year(F.col("_name"), F.col("title"), (F.col("_body") if lead is None else F.substring("_body", 1, lead))), "tema": themes(F.col("_sample")), "setor": sectors(F.col("_sample"))})
     rows = rows.withColumns({"municipio": catalog_places(F.col("_sample"), places), "regional": catalog_region(F.col("_sample")), "fonte": F.lit(source)})
     rows = rows.withColumn("data_referencia", reference_period(F.col("_name"), F.col("title"), F.col("ano")))
     empty = lambda f: F.size(f) == 0 if f in ("tema", "setor", "municipio") else F.coalesce(F.col(f).cast("string"), F.lit("")) == ""
@@ -131,13 +161,11 @@ def catalog_fields(documents: DataFrame, source: str, places: list[str], complet
     )
 
 
-def render_headers(documents: DataFrame, fields: DataFrame, overwrite: bool = False) -> DataFrame:
-    """``chave, conteudo``: documents with a header of their fields; one that is there stays unless overwritten."""
-    joined = documents.select("chave", "conteudo", has_header(F.col("conteudo")).alias("_had"), body(F.col("conteudo")).alias("_body")).join(
-        fields.select("chave", F.to_json(F.struct(*FIELDS)).alias("_fields")), "chave"
-    )
+@F.pandas_udf(StringType())
+def _block(fields: pd.Series) -> pd.Series:
+    """The header of fields that come as JSON: those with a value, a list of one as that one."""
 
-    def block(text: str) -> str:
+    def one(text: str) -> str:
         found = json.loads(text)
         kept = {}
         for f in FIELDS:
@@ -149,9 +177,12 @@ def render_headers(documents: DataFrame, fields: DataFrame, overwrite: bool = Fa
                 kept[f] = value
         return f"---\n{yaml.safe_dump(kept, allow_unicode=True, sort_keys=False).strip()}\n---\n\n"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [t if had and not overwrite else block(f) + b.lstrip("\n") for t, had, b, f in zip(part["conteudo"], part["_had"], part["_body"], part["_fields"], strict=True)]
-            yield pd.DataFrame({"chave": part["chave"], "conteudo": texts})
+    return fields.map(one)
+
 
-    return joined.select("chave", "conteudo", "_had", "_body", "_fields").mapInPandas(run, "chave string, conteudo string")
+def render_headers(documents: DataFrame, fields: DataFrame, overwrite: bool = False) -> DataFrame:
+    """``chave, conteudo``: documents with a header of their fields; one that is there stays unless overwritten.  Texts stay in the JVM."""
+    text = F.col("conteudo")
+    joined = documents.select("chave", "conteudo").join(fields.select("chave", _block(F.to_json(F.struct(*FIELDS))).alias("_block")), "chave")
+    fresh = F.concat("_block", F.regexp_replace(body(text), r"^\n+", ""))
+    return joined.select("chave", (fresh if overwrite else F.when(has_header(text), text).otherwise(fresh)).alias("conteudo"))

@@ -8,7 +8,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: From the strongest to the weakest place to split at, target length and overlap in characters.
@@ -119,6 +119,12 @@ def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
 
 
 def heading_asof(positions: DataFrame, headings: DataFrame) -> DataFrame:
-    """The last heading at or before each position: both by document, headings with ``inicio, caminho``."""
-    near = positions.join(headings, (positions["doc"] == headings["doc"]) & (headings["inicio"] <= positions["posicao"]), "left").drop(headings["doc"])
-    return near.groupBy("doc", "posicao").agg(F.coalesce(F.max_by("caminho", "inicio"), F.lit("")).alias("caminho"))
+    """The last heading at or before each position: both by document, headings with ``inicio, caminho``.
+
+    Both are put in one order per document, so each row is read once, however many there are.
+    """
+    marks = headings.select("doc", F.col("inicio").alias("posicao"), F.lit(0).alias("_asks"), "caminho")
+    both = marks.unionByName(positions.select("doc", "posicao").distinct().withColumns({"_asks": F.lit(1), "caminho": F.lit(None).cast("string")}))
+    so_far = Window.partitionBy("doc").orderBy("posicao", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.withColumn("caminho", F.coalesce(F.last("caminho", ignorenulls=True).over(so_far), F.lit("")))
+    return last.where("_asks = 1").drop("_asks")

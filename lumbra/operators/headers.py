@@ -6,12 +6,11 @@ Splitting is a column expression; YAML itself is read by one vectorised helper.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 _BLOCK = r"(?s)(?U)\A---\s*\n(.*?)\n---\s*\n?(.*)\z"
 _YEAR = r"(?U)\b(?:19|20)\d{2}\b"
@@ -43,11 +42,9 @@ def first_heading(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, _H1, 1)), F.lit(""))
 
 
-def parse_yaml(documents: DataFrame) -> DataFrame:
-    """Add ``metadata`` to documents with ``_yaml``: a map of texts, lists as JSON; invalid or other YAML gives none."""
-    fields = documents.schema
-
-    def one(block: str) -> dict[str, str]:
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _fields(blocks: pd.Series) -> pd.Series:
+    def one(block: str | None) -> dict[str, str]:
         try:
             found = yaml.safe_load(block) if block else {}
         except yaml.YAMLError:
@@ -56,12 +53,15 @@ def parse_yaml(documents: DataFrame) -> DataFrame:
             return {}
         return {str(k): json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v) for k, v in found.items() if v is not None}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(metadata=[one(b) for b in part["_yaml"]])
+    return blocks.map(one)
+
+
+def parse_yaml(documents: DataFrame) -> DataFrame:
+    """Add ``metadata`` to documents with ``_yaml``: a map of texts, lists as JSON; invalid or other YAML gives none.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", metadata map<string,string>"
-    return documents.mapInPandas(run, schema)
+    Only the block goes through Python.
+    """
+    return documents.withColumn("metadata", _fields("_yaml"))
 
 
 def truthy(value: Column) -> Column:

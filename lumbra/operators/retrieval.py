@@ -33,9 +33,9 @@ def citation(title: Column, year: Column, heading: Column) -> Column:
     return F.concat_ws(" — ", title, F.when(year != 0, year.cast("string")), F.when((section != "") & (section != title), section))
 
 
-def hits(found: DataFrame) -> DataFrame:
-    """What a search reports of a chunk."""
-    return found.select("question_id", "posicao", "chunk_id", "documento_titulo", "heading_path", "ano", F.round("distancia", 4).alias("distancia"))
+def hits(found: DataFrame, *more: str) -> DataFrame:
+    """What a search reports of a chunk, and ``more`` columns if asked for."""
+    return found.select("question_id", "posicao", "chunk_id", "documento_titulo", "heading_path", "ano", F.round("distancia", 4).alias("distancia"), *more)
 
 
 def context_texts(questions: DataFrame, found: DataFrame, nothing: str = NOTHING_FOUND) -> DataFrame:

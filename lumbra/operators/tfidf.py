@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
@@ -54,11 +54,6 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 
 
-def _tokens_of(chunks: DataFrame, keys: list[str], stopwords: list[str]) -> DataFrame:
-    """``keys, pos, term, token`` of every term's tokens."""
-    return chunks.select(*keys, F.posexplode("termos").alias("pos", "term")).select(*keys, "pos", "term", F.explode(tokens(F.col("term"), stopwords)).alias("token"))
-
-
 def document_frequency(chunks: DataFrame, keys: list[str], stopwords: list[str] = STOPWORDS) -> DataFrame:
     """``token, df, n``: chunks that hold each token, and all chunks (also those without terms).
 
@@ -75,15 +70,22 @@ def weighted_terms(chunks: DataFrame, keys: list[str], limit: int = MAX_TERMS, s
 
     A token weighs its share of the chunk's tokens times its inverse document frequency over
     ``corpus`` (default: these chunks) and stands for the first term that holds it; terms that
-    differ in case only count once, with their best weight.
+    differ in case only count once, with their best weight.  Chunks (``keys``) are unique.
+
+    Tokens are cut once: the table of a chunk's distinct tokens gives document frequencies
+    too.  A chunk's tokens share a divisor, so the best of each term is known before it, and
+    only the terms of one chunk meet in one row.
     """
-    df = document_frequency(corpus if corpus is not None else chunks, keys, stopwords)
-    tf = _tokens_of(chunks, keys, stopwords).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"), F.min_by("term", "pos").alias("term"))
-    share = F.col("tf") / F.sum("tf").over(Window.partitionBy(*keys))
-    scored = tf.withColumn("share", share).join(df, "token").withColumn("score", F.col("share") * idf(F.col("n"), F.col("df")))
-    lower = F.lower("term")
-    once = scored.withColumn("_same", F.row_number().over(Window.partitionBy(*keys, lower).orderBy(F.desc("score"), "term"))).where("_same = 1")
-    best = once.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "term"))).where(F.col("_rank") <= limit)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "term"))), lambda x: x["term"]), ", ")
-    found = best.groupBy(*keys).agg(joined.alias("metadados_tfidf"))
-    return chunks.select(*keys).join(found, keys, "left").withColumn("metadados_tfidf", F.coalesce("metadados_tfidf", F.lit("")))
+    terms = chunks.select(*keys, F.posexplode_outer("termos").alias("pos", "term"))
+    found = terms.select(*keys, "pos", "term", F.explode_outer(tokens(F.col("term"), stopwords)).alias("token"))
+    tf = found.groupBy(*keys, "token").agg(F.count("token").alias("tf"), F.min_by("term", "pos").alias("term"))
+    if corpus is None:
+        # names both columns of the aggregate, so that the shuffle behind it is used twice
+        seen = tf.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.when(F.col("tf") > 0, F.col("term"))).alias("df"))
+        df = seen.crossJoin(chunks.agg(F.count(F.lit(1)).alias("n")))  # one row with the number of chunks
+    else:
+        df = document_frequency(corpus, keys, stopwords)
+    weighed = tf.join(df, "token", "left").withColumn("_weight", F.col("tf") * idf(F.col("n"), F.col("df")))
+    best = weighed.groupBy(*keys, F.lower("term").alias("_same")).agg(F.min(F.struct((-F.col("_weight")).alias("_by"), F.when(F.col("tf") > 0, F.col("term")).alias("term"))).alias("_best"))
+    order = F.slice(F.array_sort(F.collect_list(F.when(F.col("_best.term").isNotNull(), F.col("_best")))), 1, limit)
+    return best.groupBy(*keys).agg(F.array_join(F.transform(order, lambda x: x["term"]), ", ").alias("metadados_tfidf"))

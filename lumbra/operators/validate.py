@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructType
 
 from ..functions.vocab import REGIONS, STATE_WIDE
 from .headers import body, has_header, header_block, truthy
@@ -20,11 +19,12 @@ RECOMMENDED = ["tema", "regional", "fonte", "data_referencia"]
 SEVERITY = ["sem_frontmatter", "yaml_invalido", "erro", "aviso", "ok"]
 BLOCKING = ["sem_frontmatter", "yaml_invalido", "erro"]
 
-#: What the parser says, and the cause to act on.
+#: What the parser says, and the cause to act on; a tab may also be named or stand in the message.
+TAB = "'\\t'"
 CAUSES = [
     ("mapping values are not allowed", "Valor contém ':' sem aspas. Envolva em aspas duplas."),
-    ("'\\t'", "Indentação com TAB. YAML aceita apenas espaços."),
-    ("quoted scalar", "Aspas abertas e não fechadas."),
+    (TAB, "Indentação com TAB. YAML aceita apenas espaços."),
+    ("scanning a quoted scalar", "Aspas abertas e não fechadas."),
     ("special characters are not allowed", "Caractere especial não escapado."),
     ("could not find expected ':'", "Linha sem ':' ou valor iniciando com caractere reservado. Use aspas."),
 ]
@@ -48,8 +48,9 @@ def missing_header_reason(text: Column) -> Column:
 
 def yaml_cause(error: yaml.YAMLError, block: str) -> str:
     """The cause of a parser's error, with the line it is in."""
-    said = f"{error} {getattr(error, 'problem', '') or ''}"
-    cause = next((text for sign, text in CAUSES if sign in said), said.splitlines()[0])
+    said = f"{str(error).splitlines()[0]} {getattr(error, 'problem', '') or ''}".strip()
+    tab = "\t" in said or "tab" in said.lower()
+    cause = next((text for sign, text in CAUSES if sign in said or (tab and sign == TAB)), said.splitlines()[0])
     lines = block.splitlines()
     mark = getattr(error, "problem_mark", None)
     return f"{cause} | linha {mark.line + 1}: {lines[mark.line].strip()!r}" if mark and mark.line < len(lines) else cause
@@ -92,17 +93,25 @@ def _read(documents: DataFrame, repair: bool) -> DataFrame:
         rows = rows.withColumn("corrigido", F.lit(False))
     rows = rows.withColumns({"_had": has_header(F.col("conteudo")), "_yaml": header_block(F.col("conteudo")), "_body": body(F.col("conteudo"))})
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for key, text, fixed, had, block, rest in zip(*(part[c] for c in ("chave", "conteudo", "corrigido", "_had", "_yaml", "_body")), strict=True):
-                state, cause, fields = _load(block) if had else ("nenhum", None, {})
-                if repair and state == "invalido" and (better := repaired_block(block)) is not None and (again := _load(better))[0] != "invalido":
-                    text, fixed, (state, cause, fields) = f"---\n{better}\n---\n{rest}", True, again
-                out.append((key, text, fixed, state, cause, fields))
-            yield pd.DataFrame(out, columns=["chave", "conteudo", "corrigido", "_state", "_cause", "metadata"])
-
-    return rows.mapInPandas(run, "chave string, conteudo string, corrigido boolean, _state string, _cause string, metadata map<string,string>")
+    read = rows.withColumn("_r", _loaded(F.when(F.col("_had"), F.col("_yaml")), F.lit(repair)))
+    mended = F.concat(F.lit("---\n"), "_r.better", F.lit("\n---\n"), "_body")
+    text = F.when(F.col("_r.better").isNull(), F.col("conteudo")).otherwise(mended)
+    return read.select("chave", text.alias("conteudo"), (F.col("corrigido") | F.col("_r.better").isNotNull()).alias("corrigido"), "_r.state", "_r.cause", "_r.metadata").withColumnsRenamed({"state": "_state", "cause": "_cause"})
+
+
+_LOADED = StructType().add("state", StringType()).add("cause", StringType()).add("metadata", MapType(StringType(), StringType())).add("better", StringType())
+
+
+@F.pandas_udf(_LOADED)
+def _loaded(blocks: pd.Series, repair: pd.Series) -> pd.DataFrame:
+    """Header blocks read, null ones as none; with repair, what is invalid is read again as mended, if that helps.  Only blocks go through Python."""
+    out = []
+    for block, mend in zip(blocks, repair, strict=True):
+        state, cause, fields, better = *(_load(block) if block is not None else ("nenhum", None, {})), None
+        if mend and state == "invalido" and (fixed := repaired_block(block)) is not None and (again := _load(fixed))[0] != "invalido":
+            (state, cause, fields), better = again, fixed
+        out.append((state, cause, fields, better))
+    return pd.DataFrame(out, columns=["state", "cause", "metadata", "better"])
 
 
 def field_rules(metadata: Column, text: Column, regions: list[str] = REGIONS, state: list[str] = STATE_WIDE) -> tuple[Column, Column]:

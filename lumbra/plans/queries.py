@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vocab import GENERIC_PLACES, REGIONS
+from ..functions.vocab import GENERIC_PLACES, REGIONS, SECTORS, STATE_WIDE, THEMES
 from ..operators import answers as A
 from ..operators import catalog as C
 from ..operators import chunking, headers, index, retrieval, tfidf, validate, vectors
 from ..operators import indicators as I
 from ..sources import documents as S
-from .roles import KEY, SQL, dataset, documents, questions, registry, regions, table, tidy, turns
+from ..sources import registry as R
+from ..sources.scratch import shared_dir
+from .roles import KEY, SQL, dataset, documents, questions, registry, regions, sourced, table, tidy, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +37,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def strip_accents(text: str) -> str:
+    """Letters without their accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
 NORM = "trim(regexp_replace(lower(strip_accents({0})), '\\s+', ' ', 'g'))"
 
 # Company indicators
@@ -137,10 +146,14 @@ towns AS (SELECT question_id, arg_max(municipio, length(municipio)) AS town FROM
 offices AS (SELECT question_id, arg_max(regional, length(regional)) AS office FROM sized JOIN (SELECT DISTINCT regional FROM dataset WHERE regional IS NOT NULL) ON regexp_matches(norm, '\b' || lower(regional) || '\b') GROUP BY 1),
 scoped AS (SELECT *, CASE WHEN town IS NOT NULL THEN 'municipio' WHEN office IS NOT NULL THEN 'regional' WHEN desconhecido IS NULL THEN 'estado' END AS escopo
   FROM sized LEFT JOIN towns USING (question_id) LEFT JOIN offices USING (question_id) LEFT JOIN unknown USING (question_id)),
+sourced AS (SELECT *, 'registro ' || length(municipio) AS fonte FROM dataset),
+slices AS (SELECT s.question_id, d.* FROM scoped s JOIN sourced d ON (s.escopo = 'estado' OR (s.escopo = 'municipio' AND d.municipio = town) OR (s.escopo = 'regional' AND d.regional = office))
+  AND (s.porte IS NULL OR s.porte = d.porte)),
 answers AS (SELECT s.question_id, any_value(s.text) AS text, any_value(s.escopo) AS escopo, any_value(s.porte) AS porte,
     any_value(CASE s.escopo WHEN 'municipio' THEN town WHEN 'regional' THEN 'Regional ' || office WHEN 'estado' THEN 'Santa Catarina' END) AS escopo_label,
-    sum(total)::BIGINT AS valor, count(d.municipio) AS linhas, nullif(count(DISTINCT d.municipio), 0) AS municipios, any_value(desconhecido) AS desconhecido
-  FROM scoped s LEFT JOIN dataset d ON (s.escopo = 'estado' OR (s.escopo = 'municipio' AND d.municipio = town) OR (s.escopo = 'regional' AND d.regional = office))
+    sum(total)::BIGINT AS valor, count(d.municipio) AS linhas, nullif(count(DISTINCT d.municipio), 0) AS municipios, any_value(desconhecido) AS desconhecido,
+    string_agg(DISTINCT d.fonte, ', ' ORDER BY d.fonte) AS fonte
+  FROM scoped s LEFT JOIN sourced d ON (s.escopo = 'estado' OR (s.escopo = 'municipio' AND d.municipio = town) OR (s.escopo = 'regional' AND d.regional = office))
     AND (s.porte IS NULL OR s.porte = d.porte) GROUP BY s.question_id)
 """
 )
@@ -148,20 +161,51 @@ answers AS (SELECT s.question_id, any_value(s.text) AS text, any_value(s.escopo)
 
 @query(
     _ANSWERS
-    + """SELECT question_id, linhas > 0 AS encontrado, valor, escopo, escopo_label, porte, linhas, municipios, CASE WHEN linhas > 0 THEN 'set-2026' END AS data_referencia,
+    + """SELECT question_id, linhas > 0 AS encontrado, valor, escopo, escopo_label, porte, linhas, municipios, CASE WHEN linhas > 0 THEN 'set-2026' END AS data_referencia, fonte,
   CASE WHEN escopo IS NULL THEN 'Não encontrei ''' || desconhecido || ''' na fonte estática. Confirme a grafia do município ou da regional. Ausência de registro não deve ser interpretada como valor zero.'
     WHEN linhas = 0 THEN 'Não há registros na fonte para o recorte solicitado (' || escopo_label || coalesce(' / porte ' || porte, '') || '). Ausência de registro não deve ser interpretada como valor zero.' ELSE '' END AS mensagem
 FROM answers"""
 )
 def question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to each question."""
-    return A.answer_questions(questions(spark, sf_dir), dataset(spark, sf_dir)).drop("text", "indicador")
+    return A.answer_questions(questions(spark, sf_dir), sourced(spark, sf_dir)).drop("text", "indicador")
 
 
-@query()
+@query(_ANSWERS + "SELECT question_id, codigo_ibge, municipio, regional, porte, data_referencia, total, fonte FROM slices")
+def answer_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each answer sums up."""
+    data = sourced(spark, sf_dir)
+    return A.answer_details(A.answer_questions(questions(spark, sf_dir), data), data)
+
+
+_TEXTS = (
+    _ANSWERS.rstrip()
+    + r""",
+dots AS (SELECT question_id, replace(format('{:,}', valor), ',', '.') AS valor FROM answers WHERE linhas > 0),
+places AS (SELECT question_id, escopo, CASE escopo WHEN 'estado' THEN '' ELSE regexp_replace(escopo_label, '^Regional ', '') END AS lugar FROM answers WHERE linhas > 0),
+spread AS (SELECT question_id, d.porte, sum(total)::BIGINT AS t, sum(sum(total)) OVER (PARTITION BY question_id) AS whole FROM places p JOIN dataset d
+  ON p.escopo = 'estado' OR (p.escopo = 'municipio' AND d.municipio = lugar) OR (p.escopo = 'regional' AND d.regional = lugar) WHERE d.porte IS NOT NULL GROUP BY 1, 2),
+shares AS (SELECT question_id, string_agg('- ' || porte || ': ' || replace(format('{:,}', t), ',', '.') || ' (' || format('{:.1f}', 100.0 * t / CASE whole WHEN 0 THEN 1 ELSE whole END) || '%)', chr(10) ORDER BY t DESC, porte) AS b FROM spread GROUP BY 1),
+sums AS (SELECT a.question_id, d.municipio, d.regional, sum(total)::BIGINT AS t, row_number() OVER (PARTITION BY a.question_id ORDER BY sum(total) DESC, d.municipio, d.regional) AS r
+  FROM answers a JOIN places p USING (question_id) JOIN dataset d ON (a.porte IS NULL OR a.porte = d.porte) AND (p.escopo <> 'regional' OR d.regional = lugar)
+  WHERE d.municipio IS NOT NULL AND d.regional IS NOT NULL GROUP BY 1, 2, 3),
+ranks AS (SELECT question_id, string_agg(r || '. ' || municipio || ' (' || regional || '): ' || replace(format('{:,}', t), ',', '.'), chr(10) ORDER BY r) AS b FROM sums WHERE r <= 10 GROUP BY 1),
+said AS (SELECT question_id, CASE WHEN escopo IS NULL THEN 'Não encontrei ''' || desconhecido || ''' na fonte estática. Confirme a grafia do município ou da regional. Ausência de registro não deve ser interpretada como valor zero.'
+  ELSE 'Não há registros na fonte para o recorte solicitado (' || escopo_label || coalesce(' / porte ' || porte, '') || '). Ausência de registro não deve ser interpretada como valor zero.' END AS mensagem FROM answers WHERE linhas = 0)
+SELECT a.question_id, coalesce(said.mensagem, array_to_string(list_filter([
+  '**' || CASE a.porte WHEN 'MEI' THEN 'MEIs ativos' WHEN 'ME' THEN 'Microempresas ativas' WHEN 'EPP' THEN 'Empresas de pequeno porte ativas' ELSE 'Empresas ativas' END || ' — ' || escopo_label || '**', '',
+  '- Valor apurado: ' || dots.valor, '- Recorte territorial: ' || escopo_label, '- Data de referência: set-2026', CASE WHEN a.escopo <> 'municipio' THEN '- Municípios considerados: ' || municipios END, '- Fonte: ' || fonte,
+  CASE WHEN contains(text, 'por porte') AND a.porte IS NULL THEN chr(10) || '**Distribuição por porte**' || chr(10) || chr(10) || shares.b END,
+  CASE WHEN contains(text, 'ranking') THEN chr(10) || '**Municípios com maiores volumes**' || chr(10) || chr(10) || ranks.b END,
+  '', '_Resultado calculado sobre fonte estática, conforme regras de negócio vigentes._'], lambda x: x IS NOT NULL), chr(10))) AS resposta
+FROM answers a LEFT JOIN dots USING (question_id) LEFT JOIN shares USING (question_id) LEFT JOIN ranks USING (question_id) LEFT JOIN said USING (question_id)"""
+)
+
+
+@query(_TEXTS)
 def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to each question as text, with the blocks it asks for."""
-    data = dataset(spark, sf_dir)
+    data = sourced(spark, sf_dir)
     return A.render_answers(A.answer_questions(questions(spark, sf_dir), data), data)
 
 
@@ -321,14 +365,18 @@ def doc_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang <> 'es'")
-    return docs.select(F.concat(F.lit("d"), "doc_id").alias("documento_chave"), F.explode(F.split("text", "\n")).alias("t"), "lang").select(
+    """Lines with text as chunks: documents without any have none."""
+    lines = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("documento_chave"), F.explode(F.split("text", "\n")).alias("t"), "lang").where("t <> ''")
+    return lines.select(
         "documento_chave", F.length("t").alias("n_caracteres"), F.when(F.length("t") % 2 == 0, F.col("lang")).alias("palavras_chave"), F.col("lang").alias("modelo_llm"), F.lit("m").alias("modelo_embedding")
     )
 
 
+_CHUNKS = "c AS (SELECT * FROM (SELECT 'd' || doc_id AS documento_chave, unnest(string_split(text, chr(10))) AS t, lang FROM documents) WHERE t <> '')"
+
+
 @query(
-    """+ c AS (SELECT 'd' || doc_id AS documento_chave, unnest(string_split(text, chr(10))) AS t, lang FROM documents WHERE lang <> 'es')
+    f"""+ {_CHUNKS}
 SELECT 'd' || d.doc_id AS documento_chave, d.source AS titulo, count(t) AS total_chunks, count(*) FILTER (length(t) % 2 = 0) AS chunks_enriquecidos, avg(length(t)) AS media_caracteres,
   max(c.lang) AS modelo_llm, max(CASE WHEN t IS NOT NULL THEN 'm' END) AS modelo_embedding FROM documents d LEFT JOIN c ON documento_chave = 'd' || d.doc_id GROUP BY d.doc_id, d.source"""
 )
@@ -339,8 +387,8 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""+ listing AS ({_LISTING}), state AS ({_STATE}), j AS (SELECT etag IS DISTINCT FROM origem_etag AS p FROM listing LEFT JOIN state ON chave = documento_chave)
-SELECT (SELECT count(*) FROM j WHERE p) AS documentos, (SELECT count(*) FROM j WHERE NOT p) AS inalterados, (SELECT sum(len(string_split(text, chr(10))))::BIGINT FROM documents WHERE lang <> 'es') AS chunks,
+    f"""+ listing AS ({_LISTING}), state AS ({_STATE}), {_CHUNKS}, j AS (SELECT etag IS DISTINCT FROM origem_etag AS p FROM listing LEFT JOIN state ON chave = documento_chave)
+SELECT (SELECT count(*) FROM j WHERE p) AS documentos, (SELECT count(*) FROM j WHERE NOT p) AS inalterados, (SELECT count(*) FROM c) AS chunks,
   (SELECT count(*) FROM state WHERE documento_chave NOT IN (SELECT chave FROM listing)) AS removidos"""
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,11 +397,33 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.run_summary(S.split_pending(listing, state), _chunk_rows(spark, sf_dir), S.removed_documents(listing, state))
 
 
-@query("SELECT c.question_id, c.text, o.doc_id::VARCHAR AS documento_chave, o.source AS documento_titulo, (o.doc_id % 40)::INTEGER AS ano, o.lang AS tema, 'R' AS regional, 'f' AS fonte FROM turns c JOIN documents o ON c.question_id % 1000 = o.doc_id")
+@query(
+    f"""+ new AS ({_lines_sql(_NEW_KEY, 'b')})
+SELECT new.*, o.source AS documento_titulo, (o.doc_id % 40)::INTEGER AS ano, o.lang AS tema, 'R' AS regional, 'f' AS fonte FROM new JOIN documents o ON documento_chave = 'd' || o.doc_id"""
+)
 def search_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks (here turns) with their documents' fields."""
-    docs = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS STRING) AS documento_chave", "source AS titulo", "CAST(doc_id % 40 AS INT) AS ano", "lang AS tema", "'R' AS regional", "'f' AS fonte")
-    return index.search_view(docs, turns(spark, sf_dir).selectExpr("question_id", "text", "CAST(question_id % 1000 AS STRING) AS documento_chave"))
+    """Chunks (here lines) with their documents' fields."""
+    docs = table(spark, sf_dir, "documents").selectExpr(f"{_NEW_KEY} AS documento_chave", "source AS titulo", "CAST(doc_id % 40 AS INT) AS ano", "lang AS tema", "'R' AS regional", "'f' AS fonte")
+    return index.search_view(docs, _lines(spark, sf_dir, _NEW_KEY, "b"))
+
+
+@query(
+    """+ q AS (SELECT vec_id AS question_id, [x::DOUBLE FOR x IN embedding] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT question_id, vec_id, label, embedding, list_cosine_distance(qv, [x::DOUBLE FOR x IN embedding]) AS distancia FROM q JOIN embeddings ON vec_id <> question_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distancia, vec_id) AS posicao FROM d)
+SELECT question_id, posicao::INTEGER AS posicao, vec_id AS chunk_id, 'v' || label AS documento_titulo, 'v' || label || ' > ' || vec_id AS heading_path, (2000 + label % 7)::INTEGER AS ano, round(distancia, 4) AS distancia,
+  '[' || array_to_string([format('{:.8f}', x::DOUBLE) FOR x IN embedding], ',') || ']' AS vetor FROM r WHERE posicao <= 6"""
+)
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search reports of the nearest vectors of every hundredth, without itself, and those vectors as text; their dimension is checked."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS question_id", "embedding AS vetor")
+    chunks = rows.select(F.col("vec_id").alias("chunk_id"), vectors.check_dimension(F.col("embedding"), 64).alias("embedding"))
+    found = vectors.nearest_chunks(asked, chunks, k=7, max_distance=None).where("question_id <> chunk_id")
+    ranked = found.withColumn("posicao", F.row_number().over(Window.partitionBy("question_id").orderBy("posicao"))).where("posicao <= 6")
+    title = F.concat(F.lit("v"), "label")
+    of = rows.select(F.col("vec_id").alias("chunk_id"), title.alias("documento_titulo"), F.concat(title, F.lit(" > "), "vec_id").alias("heading_path"), (2000 + F.col("label") % 7).cast("int").alias("ano"), index.vector_text(F.col("embedding")).alias("vetor"))
+    return retrieval.hits(ranked.join(of, "chunk_id"), "vetor")
 
 
 # Documents
@@ -366,11 +436,13 @@ def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("chave", headers.has_header(text).alias("tem"), F.sha2(headers.header_block(text), 256).alias("bloco"), F.sha2(headers.body(text), 256).alias("corpo"))
 
 
+_FIELD = r"nullif(trim(regexp_extract(bloco, '(?m)^{0}:[ \t]*(.*)$', 1)), '')"
+
+
 @query(
-    r"""SELECT chave, CASE doc_id % 6 WHEN 0 THEN 'Panorama ' || doc_id WHEN 1 THEN 'Perfil ' || doc_id WHEN 4 THEN 'Boletim ' || doc_id || ' de 2021'
-  ELSE replace(regexp_extract(chave, '([^/]*)\.md$', 1), '_', ' ') END AS titulo,
-  CASE WHEN doc_id % 6 = 0 THEN 1985 + doc_id % 50 WHEN doc_id % 6 = 4 THEN 2021 WHEN doc_id % 6 IN (2, 3, 5) THEN try_cast(nullif(regexp_extract(replace(regexp_extract(chave, '([^/]*)\.md$', 1), '_', ' '), '\b(19|20)\d\d\b'), '') AS INTEGER)
-    ELSE try_cast(nullif(regexp_extract('Perfil ' || doc_id, '\b(19|20)\d\d\b'), '') AS INTEGER) END::INTEGER AS ano FROM studies"""
+    rf"""+ b AS (SELECT chave, regexp_extract(conteudo, '(?s)\A---\s*\n(.*?)\n---\s*\n?(.*)\z', 1) AS bloco, regexp_replace(conteudo, '(?s)\A---\s*\n.*?\n---\s*\n?', '') AS corpo, regexp_extract(chave, '([^/]*)\.md$', 1) AS nome FROM studies),
+t AS (SELECT *, coalesce({_FIELD.format('title')}, {_FIELD.format('titulo')}, nullif(trim(regexp_extract(corpo, '(?m)^[ \t]*#[ \t]+(.+?)[ \t]*#*[ \t]*$', 1)), ''), replace(nome, '_', ' ')) AS titulo FROM b)
+SELECT chave, titulo, try_cast(coalesce({_FIELD.format('ano')}, {_FIELD.format('year')}, nullif(regexp_extract(nome, '\b(?:19|20)\d\d\b'), ''), nullif(regexp_extract(titulo, '\b(?:19|20)\d\d\b'), '')) AS INTEGER) AS ano FROM t"""
 )
 def doc_title_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and year of every document."""
@@ -442,17 +514,37 @@ _REPLY = """concat(CASE doc_id % 4 WHEN 1 THEN concat('```json', chr(10)) WHEN 2
   CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('{"tipo_conteudo": " ', lang, ' ", "palavras_chave": ["', source, '", " "], "indicadores": "', source, '"}') END, CASE doc_id % 4 WHEN 1 THEN concat(chr(10), '```') WHEN 2 THEN ' fim' ELSE '' END)"""
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN lang END AS tipo_conteudo, CASE WHEN doc_id % 4 <> 3 THEN source ELSE '' END AS palavras_chave, CASE WHEN doc_id % 4 <> 3 THEN source ELSE '' END AS indicadores,
-  CASE WHEN doc_id % 4 <> 3 THEN source || '|' || source || '|' || lang ELSE '' END AS termos FROM documents""")
+_REPLIED = f"""+ r AS (SELECT doc_id, nullif(regexp_extract({_REPLY}, '(?s)\\{{.*\\}}'), '') AS j FROM documents),
+m AS (SELECT doc_id, nullif(trim(json_extract_string(j, '$.tipo_conteudo')), '') AS tipo_conteudo,
+    list_filter([trim(x) FOR x IN coalesce(from_json(json_extract(j, '$.palavras_chave'), '["VARCHAR"]'), [])], lambda x: x <> '') AS p, list_filter([trim(json_extract_string(j, '$.indicadores'))], lambda x: x <> '') AS i FROM r)
+"""
+
+
+@query(_REPLIED + "SELECT doc_id, tipo_conteudo, array_to_string(p, '|') AS palavras_chave, array_to_string(i, '|') AS indicadores, array_to_string(p || i || list_filter([tipo_conteudo], lambda x: x IS NOT NULL), '|') AS termos FROM m")
 def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata read from replies that hold JSON in several ways."""
-    replies = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_REPLY} AS reply")
-    read = replies.select("doc_id", tfidf.clean_metadata(tfidf.reply_json(F.col("reply"))).alias("m"))
+    read = _metadata(spark, sf_dir)
     return read.select(
         "doc_id", "m.tipo_conteudo", F.array_join("m.palavras_chave", "|").alias("palavras_chave"), F.array_join("m.indicadores", "|").alias("indicadores"), F.array_join(tfidf.metadata_terms(F.col("m")), "|").alias("termos")
     )
 
 
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_REPLY} AS reply")
+    return replies.select("doc_id", tfidf.clean_metadata(tfidf.reply_json(F.col("reply"))).alias("m"))
+
+
+@query(
+    _REPLIED
+    + """SELECT doc_id, nullif(array_to_string(p, ', '), '') AS palavras_chave, nullif(array_to_string(i, ', '), '') AS indicadores,
+  concat('{"tipo_conteudo":', coalesce('"' || tipo_conteudo || '"', 'null'), ',"resumo":null,"intencao":null,"palavras_chave":[', array_to_string(['"' || x || '"' FOR x IN p], ','), '],"entidades":[],"indicadores":[', array_to_string(['"' || x || '"' FOR x IN i], ','), '],"fontes_dados":[],"perguntas_atendidas":[]}') AS metadados_json FROM m"""
+)
+def metadata_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as the index stores it: lists as text, and all of it as JSON."""
+    read = _metadata(spark, sf_dir)
+    return read.select("doc_id", tfidf.list_text(F.col("m.palavras_chave")).alias("palavras_chave"), tfidf.list_text(F.col("m.indicadores")).alias("indicadores"), tfidf.metadata_json(F.col("m")).alias("metadados_json"))
+
+
 # Vectors
 
 
@@ -492,6 +584,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distancia", F.round("distancia", 6))
 
 
+@query("SELECT a.vec_id, round(list_cosine_distance([x::DOUBLE FOR x IN a.embedding], [x::DOUBLE FOR x IN b.embedding]), 6) AS distancia FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine distance of every vector to the one after it."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(vectors.cosine_distance(F.col("a"), F.col("b")), 6).alias("distancia"))
+
+
 # Retrieval
 
 
@@ -537,56 +637,124 @@ def note_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rank_notes(turns(spark, sf_dir), notes, stop)
 
 
+_NOTE = "concat('---', chr(10), 'status: ', CASE lang WHEN 'es' THEN 'Deprecated' WHEN 'fr' THEN 'draft' ELSE 'approved' END, chr(10), 'fonte: ', source, chr(10), 'dominio: regras gerais', chr(10), '---', chr(10), text)"
+
+
+@query(
+    f"""+ n AS (SELECT 'regras/nota_' || doc_id || '.md' AS path, 'nota ' || doc_id AS title, text, source, CASE lang WHEN 'fr' THEN 'draft' ELSE 'approved' END AS status FROM documents WHERE lang IS NULL OR lang <> 'es')
+SELECT path, title, array_to_string(list_sort({_FORMS.format("concat_ws(' ', title, replace(title, ' ', '_'), source, 'regras gerais')")}), ',') AS keywords, len({_FORMS.format("text")}) AS palavras,
+  sha256(concat('### ', title, chr(10), '(origem: ', path[8:], ')', chr(10), chr(10), 'Metadados:', chr(10), '- status: ', status, chr(10), '- fonte: ', source, chr(10), '- dominio: regras gerais', chr(10), chr(10), trim(text))) AS contexto FROM n"""
+)
+def note_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule notes (here documents under a header) that are not deprecated, and each as a block of context."""
+    raw = table(spark, sf_dir, "documents").selectExpr("concat('regras/nota_', doc_id, '.md') AS path", f"{_NOTE} AS conteudo")
+    notes = retrieval.parse_notes(raw, ["the", "and"])
+    ordered = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col("metadata")[k].alias("value")) for k in ("status", "fonte", "dominio")]), lambda e: e["value"].isNotNull()))
+    context = retrieval.note_context(F.col("title"), F.col("path"), ordered, F.col("body"))
+    return notes.select("path", "title", F.array_join(F.array_sort("keywords"), ",").alias("keywords"), F.size("body_tokens").cast("long").alias("palavras"), F.sha2(context, 256).alias("contexto"))
+
+
 # Catalogue
 
 _PERIOD_NAME = "concat('boletim-', CASE doc_id % 5 WHEN 0 THEN 'set-2026' WHEN 1 THEN 'T2 ' WHEN 2 THEN '3º trimestre ' WHEN 3 THEN 'março 2024' ELSE '' END, ' x')"
 
 
-@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '2026-09' WHEN 1 THEN '2020-Q2' WHEN 2 THEN '2020-Q3' ELSE '2020' END AS periodo FROM (SELECT doc_id, {_PERIOD_NAME} AS nome FROM documents)")
+@query(
+    f"""+ n AS (SELECT doc_id, concat({_PERIOD_NAME}, ' titulo') AS s FROM documents),
+p AS (SELECT doc_id, regexp_extract(lower(s), '(?:^|[^\\p{{L}}\\p{{N}}_])(jan|fev|mar|abr|mai|jun|jul|ago|set|out|nov|dez)[a-z]*[\\s/-]*(20[0-9][0-9])(?:[^\\p{{L}}\\p{{N}}_]|$)', ['m', 'y']) AS month, regexp_extract(lower(s), '([1-4])\\s*[ºo]?\\s*tri|\\bt([1-4])\\b', ['a', 'b']) AS q FROM n)
+SELECT doc_id, CASE WHEN month.m <> '' THEN month.y || '-' || lpad((list_position(['jan', 'fev', 'mar', 'abr', 'mai', 'jun', 'jul', 'ago', 'set', 'out', 'nov', 'dez'], month.m))::VARCHAR, 2, '0')
+  WHEN q.a || q.b <> '' THEN '2020-Q' || q.a || q.b ELSE '2020' END AS periodo FROM p"""
+)
 def ref_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The period that each document's name refers to."""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PERIOD_NAME} AS nome")
     return rows.select("doc_id", C.reference_period(F.col("nome"), F.lit("titulo"), F.lit(2020)).alias("periodo"))
 
 
-_WORDS = {"um": ["the", "le", "der", "los"], "dois": ["and", "de", "und"], "tres": ["that", "pour", "nicht", "para"], "quatro": ["of the"]}
-_COUNTED = " UNION ALL ".join(
-    f"SELECT doc_id, '{label}' AS label, " + " + ".join(f"len(regexp_extract_all(s, '\\b{t}\\b'))" for t in terms) + " AS pontos FROM s" for label, terms in _WORDS.items()
-)
+#: Texts with words of the vocabularies after them, by the number of the document.
+_THEMED = "concat(text, CASE doc_id % 6 WHEN 0 THEN ' Abertura de empresas ativas, empresas ativas e CNPJ; comércio varejista' WHEN 1 THEN ' construção civil e construção; turismo: hotelaria e eventos' WHEN 2 THEN ' o perfil do empreendedor e o MEI; serviços, serviços' WHEN 3 THEN ' Inovação, startup, crédito, juros; indústria industrial' WHEN 4 THEN ' pib' ELSE '' END)"
+
+
+def _labels_sql(vocabulary: dict[str, list[str]], least: int, texts: str, key: str) -> str:
+    """Best labels of normalised texts ``s``, by one count of each term."""
+    norm = lambda t: " ".join(strip_accents(t).lower().split())
+    counted = " UNION ALL ".join(f"SELECT {key}, '{label}' AS label, " + " + ".join(f"len(regexp_extract_all(s, '\\b{norm(t)}\\b'))" for t in terms) + f" AS pontos FROM {texts}" for label, terms in vocabulary.items())
+    return f"SELECT {key}, coalesce(list_slice(list(label ORDER BY pontos DESC, label) FILTER (pontos >= {least}), 1, 3), []) AS labels FROM ({counted}) GROUP BY 1"
 
 
 @query(
-    f"""+ s AS (SELECT doc_id, {NORM.format("text")} AS s FROM documents), p AS ({_COUNTED}),
-g AS (SELECT doc_id, list_slice(list(label ORDER BY pontos DESC, label) FILTER (pontos > 0), 1, 3) AS t, list_slice(list(label ORDER BY pontos DESC, label) FILTER (pontos >= 2), 1, 3) AS s FROM p GROUP BY 1)
-SELECT doc_id, coalesce(array_to_string(t, ','), '') AS temas, coalesce(array_to_string(s, ','), '') AS setores FROM g"""
+    f"""+ s AS (SELECT doc_id, {NORM.format(_THEMED)} AS s FROM documents), t AS ({_labels_sql(THEMES, 1, 's', 'doc_id')}), u AS ({_labels_sql(SECTORS, 2, 's', 'doc_id')})
+SELECT doc_id, array_to_string(t.labels, ',') AS temas, array_to_string(u.labels, ',') AS setores FROM t JOIN u USING (doc_id)"""
 )
 def catalog_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best labels of every document by a small vocabulary."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.normalise(F.col("text")).alias("s"))
-    return rows.select("doc_id", F.array_join(C.themes(F.col("s"), _WORDS), ",").alias("temas"), F.array_join(C.sectors(F.col("s"), _WORDS), ",").alias("setores"))
+    """Best themes and sectors of every document."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_THEMED} AS t").select("doc_id", X.normalise(F.col("t")).alias("s"))
+    return rows.select("doc_id", F.array_join(C.themes(F.col("s")), ",").alias("temas"), F.array_join(C.sectors(F.col("s")), ",").alias("setores"))
 
 
 _PLACED = "concat(text, CASE doc_id % 5 WHEN 0 THEN ' Extremo Oeste e Sul' WHEN 1 THEN ' consultoria em Itajaí' WHEN 2 THEN ' Vale do Itajaí' WHEN 3 THEN ' Balneário Camboriú, Camboriú e Lages' ELSE '' END)"
+PLACES = ["Itajaí", "Lages", "Camboriú", "Balneário Camboriú"]
+
+
+def _region_sql(s: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({s}, '\\b{strip_accents(r).lower()}\\b') THEN '{r}'" for r in sorted(REGIONS, key=len, reverse=True)) + " END"
+
+
+def _places_sql(s: str, places: list[str]) -> str:
+    blank = s
+    for r in REGIONS:
+        blank = f"regexp_replace({blank}, '\\b{strip_accents(r).lower()}\\b', ' ', 'g')"
+    found = "[" + ", ".join(f"CASE WHEN regexp_matches({blank}, '\\b{strip_accents(p).lower()}\\b') THEN '{p}' END" for p in places) + "]"
+    return f"list_slice(list_filter({found}, lambda x: x IS NOT NULL AND len(list_filter({found}, lambda y: y <> x AND contains(lower(strip_accents(y)), lower(strip_accents(x))))) = 0), 1, 5)"
 
 
-@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Extremo Oeste' WHEN 2 THEN 'Vale do Itajaí' END AS regional, CASE doc_id % 5 WHEN 1 THEN 'Itajaí' WHEN 3 THEN 'Lages,Balneário Camboriú' ELSE '' END AS municipio FROM (SELECT doc_id, {_PLACED} AS t FROM documents)")
+@query(f"SELECT doc_id, {_region_sql('s')} AS regional, array_to_string({_places_sql('s', PLACES)}, ',') AS municipio FROM (SELECT doc_id, {NORM.format(_PLACED)} AS s FROM documents)")
 def catalog_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region and places that each document names."""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PLACED} AS t").select("doc_id", X.normalise(F.col("t")).alias("s"))
-    places = ["Itajaí", "Lages", "Camboriú", "Balneário Camboriú"]
-    return rows.select("doc_id", C.catalog_region(F.col("s")).alias("regional"), F.array_join(C.catalog_places(F.col("s"), places), ",").alias("municipio"))
+    return rows.select("doc_id", C.catalog_region(F.col("s")).alias("regional"), F.array_join(C.catalog_places(F.col("s"), PLACES), ",").alias("municipio"))
+
+
+_STEM = r"regexp_extract(chave, '([^/]*)\.md$', 1)"
+_HAD = r"regexp_matches(conteudo, '(?s)\A---\s*\n.*?\n---\s*\n?')"
+_BODY = r"regexp_replace(conteudo, '(?s)\A---\s*\n.*?\n---\s*\n?', '')"
+_YEARS = r"list_max(list_filter([x::INTEGER FOR x IN regexp_extract_all({0}, '\b(?:19|20)\d\d\b')], lambda y: y BETWEEN 1990 AND 2100))"
+_FIELDS = f"""+ b AS (SELECT doc_id, chave, conteudo, {_STEM} AS nome, {_HAD} AS had, {_BODY} AS corpo, lang FROM studies),
+h AS (SELECT *, trim(regexp_extract(corpo, '(?m)^[ \\t]*#[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1)) AS h1, trim(regexp_replace(nome, '[-_]', ' ', 'g')) AS limpo FROM b),
+f AS (SELECT *, CASE WHEN h1 <> '' THEN h1 ELSE upper(limpo[1]) || lower(limpo[2:]) END AS title FROM h),
+g AS (SELECT *, {NORM.format("concat_ws(' ', nome, title, corpo)")} AS s, coalesce({_YEARS.format('nome')}, {_YEARS.format('title')}, {_YEARS.format('corpo')}) AS ano FROM f),
+t AS ({_labels_sql(THEMES, 1, 'g', 'chave')}), u AS ({_labels_sql(SECTORS, 2, 'g', 'chave')}),
+c AS (SELECT chave, conteudo, corpo, had, lang, title, ano, t.labels AS tema, u.labels AS setor, {_places_sql('s', ["Itajaí", "Lages"])} AS municipio, {_region_sql('s')} AS regiao,
+  CASE WHEN q.a || q.b <> '' AND ano IS NOT NULL THEN ano || '-Q' || q.a || q.b ELSE ano::VARCHAR END AS data_referencia
+  FROM (SELECT *, regexp_extract(lower(concat_ws(' ', nome, title)), '([1-4])\\s*[ºo]?\\s*tri|\\bt([1-4])\\b', ['a', 'b']) AS q FROM g) JOIN t USING (chave) JOIN u USING (chave))
+"""
 
 
-@query()
+@query(
+    _FIELDS
+    + """SELECT chave, title, ano, array_to_string(CASE WHEN len(tema) = 0 THEN [lang] ELSE tema END, ',') AS tema, array_to_string(setor, ',') AS setor, array_to_string(municipio, ',') AS municipio, coalesce(regiao, 'Santa Catarina') AS regional,
+  'fonte própria' AS fonte, data_referencia, concat('{"title":"heuristica","ano":"', CASE WHEN ano IS NULL THEN 'ausente' ELSE 'heuristica' END, '","tema":"', CASE WHEN len(tema) = 0 THEN 'llm' ELSE 'heuristica' END,
+    '","setor":"', CASE WHEN len(setor) = 0 THEN 'ausente' ELSE 'heuristica' END, '","municipio":"', CASE WHEN len(municipio) = 0 THEN 'ausente' ELSE 'heuristica' END, '","regional":"', CASE WHEN regiao IS NULL THEN 'padrao' ELSE 'heuristica' END,
+    '","fonte":"heuristica","data_referencia":"', CASE WHEN data_referencia IS NULL THEN 'ausente' ELSE 'heuristica' END, '"}') AS origem_campos,
+  CASE WHEN ano IS NULL THEN 'Ano não identificado; informe manualmente.' ELSE '' END AS avisos, CASE WHEN had THEN 'ja_possui' ELSE 'pronto' END AS status FROM c"""
+)
 def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue fields of every document, some completed from a second table."""
-    docs = documents(spark, sf_dir)
-    more = table(spark, sf_dir, "documents").where("lang <> 'es'").selectExpr(f"{KEY} AS chave", "array(lang) AS tema")
-    found = C.catalog_fields(docs, "fonte própria", ["Itajaí", "Lages"], more)
-    return found.withColumn("origem_campos", F.to_json("origem_campos"))
+    """Catalogue fields of every document, from whole texts; themes that these don't tell come from a second table."""
+    more = table(spark, sf_dir, "documents").selectExpr(f"{KEY} AS chave", "array(lang) AS tema")
+    found = C.catalog_fields(documents(spark, sf_dir), "fonte própria", ["Itajaí", "Lages"], more)
+    return found.withColumns({"origem_campos": F.to_json("origem_campos")} | {c: F.array_join(c, ",") for c in ("tema", "setor", "municipio", "avisos")})
 
 
-@query()
+@query(
+    _FIELDS
+    + r"""SELECT chave, sha256(CASE WHEN had THEN conteudo ELSE concat('---', chr(10), 'title: ', title, chr(10), CASE WHEN ano IS NOT NULL THEN concat('ano: ', ano, chr(10)) ELSE '' END,
+  CASE len(tema) WHEN 0 THEN '' WHEN 1 THEN concat('tema: ', tema[1], chr(10)) ELSE concat('tema:', chr(10), '- ', array_to_string(tema, chr(10) || '- '), chr(10)) END,
+  CASE len(setor) WHEN 0 THEN '' WHEN 1 THEN concat('setor: ', setor[1], chr(10)) ELSE concat('setor:', chr(10), '- ', array_to_string(setor, chr(10) || '- '), chr(10)) END,
+  CASE len(municipio) WHEN 0 THEN '' WHEN 1 THEN concat('municipio: ', municipio[1], chr(10)) ELSE concat('municipio:', chr(10), '- ', array_to_string(municipio, chr(10) || '- '), chr(10)) END,
+  'regional: ', coalesce(regiao, 'Santa Catarina'), chr(10), 'fonte: fonte própria', chr(10),
+  CASE WHEN data_referencia IS NULL THEN '' WHEN regexp_matches(data_referencia, '^\d+$') THEN concat('data_referencia: ''', data_referencia, '''', chr(10)) ELSE concat('data_referencia: ', data_referencia, chr(10)) END,
+  '---', chr(10), chr(10), regexp_replace(corpo, '^\n+', '')) END) AS resumo FROM c"""
+)
 def header_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a header of its catalogue fields."""
     docs = documents(spark, sf_dir)
@@ -596,10 +764,24 @@ def header_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Validation
 
 
-@query(
-    """SELECT chave AS arquivo, CASE doc_id % 6 WHEN 0 THEN 'aviso' WHEN 1 THEN 'erro' ELSE 'sem_frontmatter' END AS status,
-  CASE WHEN doc_id % 6 = 1 THEN 'ano' ELSE '' END AS ausentes, CASE doc_id % 6 WHEN 0 THEN 3 + (1985 + doc_id % 50 < 1990)::INTEGER + 1 WHEN 1 THEN 2 ELSE 0 END AS avisos FROM studies"""
-)
+def _rules_sql(name: str, source: str) -> str:
+    """Header rules of texts ``t`` of a table: ``chave, t, had, ausentes, avisos, status``."""
+    field = lambda f: rf"nullif(trim(regexp_extract(bloco, '(?m)^{f}:[ \t]*(.*)$', 1)), '')"
+    known = ", ".join(f"'{r.lower()}'" for r in [*REGIONS, *STATE_WIDE])
+    return rf"""{name}_b AS (SELECT *, regexp_matches(t, '(?s)\A---\s*\n.*?\n---\s*\n?') AS had, regexp_extract(t, '(?s)\A---\s*\n(.*?)\n---\s*\n?(.*)\z', 1) AS bloco, regexp_replace(t, '(?s)\A---\s*\n.*?\n---\s*\n?', '') AS corpo FROM {source}),
+{name}_f AS (SELECT *, coalesce({field('title')}, {field('titulo')}) AS titulo, coalesce({field('ano')}, {field('year')}) AS ano, {field('tema')} AS tema, {field('regional')} AS regional, {field('fonte')} AS fonte, {field('data_referencia')} AS data FROM {name}_b),
+{name}_w AS (SELECT *, list_filter([CASE WHEN titulo IS NULL THEN 'title' END, CASE WHEN ano IS NULL THEN 'ano' END], lambda x: x IS NOT NULL) AS faltam,
+    (tema IS NULL)::INTEGER + (regional IS NULL)::INTEGER + (fonte IS NULL)::INTEGER + (data IS NULL)::INTEGER + coalesce((try_cast(ano AS INTEGER) IS NULL AND ano IS NOT NULL)::INTEGER, 0)
+    + coalesce((try_cast(ano AS INTEGER) NOT BETWEEN 1990 AND 2100)::INTEGER, 0) + coalesce((lower(regional) NOT IN ({known}))::INTEGER, 0) + starts_with(t, chr(65279))::INTEGER
+    + (NOT regexp_matches(corpo, '\S'))::INTEGER + (NOT regexp_matches(corpo, '(?m)^[ \t]*#{{1,6}}[ \t]+\S'))::INTEGER AS n FROM {name}_f),
+{name} AS (SELECT chave, t, had, CASE WHEN had THEN array_to_string(faltam, ',') ELSE '' END AS ausentes, CASE WHEN had THEN n ELSE 0 END AS avisos,
+    CASE WHEN NOT had THEN 'sem_frontmatter' WHEN len(faltam) > 0 THEN 'erro' WHEN n > 0 THEN 'aviso' ELSE 'ok' END AS status FROM {name}_w)"""
+
+
+_RULES = "+ given AS (SELECT chave, conteudo AS t FROM studies), " + _rules_sql("rules", "given")
+
+
+@query(_RULES + " SELECT chave AS arquivo, status, ausentes, avisos FROM rules")
 def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every document's header."""
     found = validate.diagnose(documents(spark, sf_dir))
@@ -607,8 +789,11 @@ def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT chave AS arquivo, CASE doc_id % 6 WHEN 2 THEN 'Bloco não foi fechado com ''---''. Verifique se o fechamento usa ''---'' e não ''...''.'
-  WHEN 3 THEN 'Há linha em branco ou espaço antes do ''---''. O bloco deve começar no primeiro caractere do arquivo.' ELSE 'Arquivo não possui frontmatter.' END AS erro FROM studies WHERE doc_id % 6 > 1"""
+    rf"""SELECT chave AS arquivo, CASE WHEN starts_with(conteudo, chr(65279)) THEN 'Arquivo começa com BOM antes do ''---''. Salve como UTF-8 sem BOM.'
+  WHEN regexp_matches(conteudo, '\A\s+---') THEN 'Há linha em branco ou espaço antes do ''---''. O bloco deve começar no primeiro caractere do arquivo.'
+  WHEN starts_with(conteudo, '--') AND NOT starts_with(conteudo, '---') THEN concat('Delimitador incorreto: ''', trim(regexp_extract(conteudo, '\A([^\n\r]*)', 1)), '''. Use exatamente ''---''.')
+  WHEN starts_with(conteudo, '---') AND NOT contains(substr(conteudo, 4), chr(10) || '---') THEN 'Bloco não foi fechado com ''---''. Verifique se o fechamento usa ''---'' e não ''...''.'
+  WHEN NOT starts_with(conteudo, '---') THEN 'Arquivo não possui frontmatter.' ELSE 'Frontmatter malformado (delimitadores não reconhecidos).' END AS erro FROM studies WHERE NOT {_HAD}"""
 )
 def header_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why documents have no readable header."""
@@ -616,13 +801,61 @@ def header_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("chave").alias("arquivo"), validate.missing_header_reason(F.col("conteudo")).alias("erro"))
 
 
-@query()
+@query(
+    rf"""+ bare AS (SELECT chave, conteudo, NOT {_HAD} AND regexp_matches(regexp_replace(conteudo, '\A\s+', ''), '(?s)\A---\s*\n.*?\n---\s*\n?') AS corrigido FROM studies),
+given AS (SELECT chave, CASE WHEN corrigido THEN regexp_replace(conteudo, '\A\s+', '') ELSE conteudo END AS t FROM bare), """
+    + _rules_sql("rules", "given")
+    + " SELECT chave AS arquivo, status, corrigido, sha256(t) AS resumo FROM rules JOIN bare USING (chave)"
+)
 def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnosis of every document after repair."""
     return validate.diagnose(documents(spark, sf_dir), repair=True).select("arquivo", "status", "corrigido", F.sha2("conteudo", 256).alias("resumo"))
 
 
-@query("SELECT count(*) AS documentos, count(*) FILTER (doc_id % 6 < 2) AS com_avisos, 0::BIGINT AS corrigidos, count(*) FILTER (doc_id % 6 > 0) AS bloqueantes FROM studies")
+@query(_RULES + " SELECT count(*) AS documentos, count(*) FILTER (avisos > 0) AS com_avisos, 0::BIGINT AS corrigidos, count(*) FILTER (status IN ('sem_frontmatter', 'erro')) AS bloqueantes FROM rules")
 def diagnosis_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a diagnosis."""
     return validate.diagnosis_totals(validate.diagnose(documents(spark, sf_dir)))
+
+
+# Files that Spark writes from the tables, and reads back as the jobs' sources
+
+
+def _written(frame: DataFrame, name: str, kind: str) -> str:
+    """A new folder below the shared one, with a frame written under a name as CSV, JSON or Parquet."""
+    folder = f"{shared_dir(frame.sparkSession)}/sources-{uuid.uuid4().hex}"
+    frame.write.option("header", True).option("nullValue", "").format(kind).save(f"{folder}/{name}.{kind}")
+    return folder
+
+
+@query("SELECT o_orderkey::VARCHAR AS nr_cnpj, c_nationkey::VARCHAR AS cd_municipio, o_orderpriority AS ds_porte FROM orders JOIN customer ON o_custkey = c_custkey")
+def registry_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as CSV with a header of other names and codes that end in ``.0``, read by position."""
+    of = {"nr_cnpj": "o_orderkey", "cd_municipio": "concat(c_nationkey, '.0')", "ds_porte": "o_orderpriority"}
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    folder = _written(rows.selectExpr(*[f"{of.get(c, 'o_orderstatus')} AS coluna_{n}" for n, c in enumerate(R.REGISTRY_COLUMNS)]), "registro", "csv")
+    return R.read_registry(spark, f"{folder}/registro.csv").select("nr_cnpj", "cd_municipio", "ds_porte")
+
+
+@query("SELECT n_nationkey::VARCHAR AS cod_ibge, r_name AS regional, n_name AS territorio FROM nation JOIN region ON n_regionkey = r_regionkey")
+def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region table as CSV under its own names."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    folder = _written(rows.selectExpr("concat(n_nationkey, '.0') AS codigo", "r_name AS `Gerência`", "n_name AS `Território`"), "regioes", "csv")
+    return R.read_regions(spark, f"{folder}/regioes.csv", "codigo", "Gerência", "Território")
+
+
+@query("SELECT codigo_ibge, porte, sum(total)::BIGINT AS total FROM dataset WHERE porte IS NOT NULL GROUP BY 1, 2")
+def dataset_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset as Parquet by name, its totals read as numbers."""
+    folder = _written(dataset(spark, sf_dir).withColumn("total", F.col("total").cast("string")), "empresas", "parquet")
+    read = I.whole_totals(R.read_dataset(spark, folder, "empresas"))
+    return read.where("porte IS NOT NULL").groupBy("codigo_ibge", "porte").agg(F.sum("total").alias("total"))
+
+
+@query(_RULES + " SELECT status, count(*) AS quantidade FROM rules GROUP BY 1")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diagnosis report written as JSON and read back: documents per status."""
+    report = validate.diagnose(documents(spark, sf_dir)).select("arquivo", "status", "erro", "campos_ausentes", "avisos", "corrigido")
+    folder = _written(report, "relatorio", "json")
+    return index.status_totals(spark.read.json(f"{folder}/relatorio.json"))

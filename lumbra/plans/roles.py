@@ -51,6 +51,11 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.whole_totals(I.query_dataset(tidy(spark, sf_dir)))
 
 
+def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset with the source of each row."""
+    return dataset(spark, sf_dir).withColumn("fonte", F.concat(F.lit("registro "), F.length("municipio")))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' turns of conversations as ``question_id, text``."""
     return table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("conv_id * 100 + turn AS question_id", "text")

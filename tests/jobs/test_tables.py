@@ -92,6 +92,36 @@ def test_answers(spark, dataset):
     assert answers.answer_questions(asked, dataset.limit(0)).where("encontrado").count() == 0
 
 
+def test_answers_name_sources_and_details(spark, dataset):
+    asked = spark.createDataFrame([(1, "total em Lages"), (2, "regional Oeste"), (3, "quantas microempresas no estado"), (4, "empresas em Zubrowka")], "question_id long, text string")
+    sourced = dataset.withColumn("fonte", F.when(F.col("codigo_ibge") == "5", "b").otherwise("a"))
+    found = answers.answer_questions(asked, sourced)
+    assert {r["question_id"]: r["fonte"] for r in found.collect()} == {1: "a", 2: "a, b", 3: "a", 4: None}
+    details = answers.answer_details(found, sourced)
+    assert details.columns == ["question_id", *sourced.columns]
+    got = sorted((r["question_id"], r["municipio"], r["porte"] or "", r["total"]) for r in details.collect())
+    assert [x for x in got if x[0] < 3] == [(1, "Lages", "ME", 7), (2, "Itá", "", 1), (2, "São José do Cedro", "ME", 5)]
+    assert sum(x[3] for x in got if x[0] == 3) == 52 and not [x for x in got if x[0] == 4]
+    texts = {r["question_id"]: r["resposta"] for r in answers.render_answers(found, sourced).collect()}
+    assert "\n- Fonte: a, b\n" in texts[2]
+    assert "Fonte" not in answers.render_answers(answers.answer_questions(asked, dataset), dataset).where("question_id = 2").collect()[0]["resposta"]
+    empty = answers.answer_questions(asked, sourced.limit(0)).collect()
+    assert all(not r["encontrado"] and r["escopo"] is None and r["porte"] is None and r["mensagem"] == "A fonte estática 'empresas_por_municipio' não está disponível ou está vazia." for r in empty) and len(empty) == 4
+
+
+def test_places_inside_each_other_are_known(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choices("abcd", k=rng.randrange(2, 7))).title()
+    known, asked = [*(name() for _ in range(7)), "Abcab Dd"], [(n, f"empresas em {name()}") for n in range(150)]
+    places = spark.createDataFrame([(k,) for k in known], "name string")
+    rows = spark.createDataFrame(asked, "question_id long, text string")
+    got = {r["question_id"] for r in answers.unknown_place(rows, places, ["zz"]).collect()}
+    norm = [" ".join(k.lower().split()) for k in known]
+    cands = [r for r in rows.select("question_id", F.explode(F.regexp_extract_all("text", F.lit(answers._AFTER_PREPOSITION), F.lit(1))).alias("c")).collect()]
+    want = {r["question_id"] for r in cands if not any(r["c"].lower() in k or k in r["c"].lower() for k in [*norm, "zz"]) and r["c"].lower() not in answers.SIZE_ALIASES}
+    assert got == want and 20 < len(want) < 140
+
+
 def test_registry_columns_by_position(spark, tmp_path):
     (tmp_path / "r.csv").write_text(",".join(f"h{n}" for n in range(19)) + "\n" + ",".join(["1"] * 10 + ["42.0"] + ["x"] * 8) + "\n" + ",".join(["2"] * 10 + [""] + ["x"] * 8) + "\n")
     assert [(r["nr_cnpj"], r["cd_municipio"]) for r in R.read_registry(spark, str(tmp_path / "r.csv")).collect()] == [("1", "42"), ("2", "")]
