@@ -107,10 +107,14 @@ SAME_AS = {
     "cc-by-nc-nd-long": "cc-by-nc-nd", "cc0-long": "cc0", "expat": "mit",
 }
 
-#: kind: (score, sentence around a name); a name alone is in none of them and proves nothing.
+#: kind: (score, sentence around a name); a name alone is in none of them and proves nothing.  A group ``at``
+#: is all that is reported of a match: other names of a choice have detections of their own.
 FRAMES: dict[str, tuple[float, str]] = {
     "identifier": (0.98, r"spdx license identifier {name}"),
     "grant": (0.95, r"(?:licen[cs]ed|released|distributed|published|made available|available|provided|covered|offered|redistributed)(?: \w+){{0,4}} under(?: the)?(?: terms(?: and conditions)? of)?(?: the)? {name}(?: licen[cs]e)?"),
+    "choice": (0.9, r"(?:spdx license identifier|(?:dual|triple|multi) licen[cs]ed(?: under)?)(?: \S+){{1,12}}? (?:or|and|with) (?P<at>{name})"),
+    "last choice": (0.9, r"(?:spdx license identifier|(?:dual|triple|multi) licen[cs]ed(?: under)?)(?: \S+){{1,12}} (?:or|and|with) (?P<at>{name})"),
+    "first choice": (0.9, r"(?:dual|triple|multi) licen[cs]ed(?: under)?(?: either)?(?: the)?(?: of)? (?P<at>{name})"),
     "notice": (0.85, r"licen[cs]e(?: is| type| name| under)?(?: the)? {name}(?: licen[cs]e)?"),
     "title": (0.8, r"(?:the )?(?:{name} licen[cs]e{whole})(?: agreement)?"),
 }
@@ -164,6 +168,52 @@ TEXTS: list[tuple[str, str, str]] = [
     ("public-domain", "domain", r"(?:released|dedicated|placed)(?: \w+){0,4} (?:in|into|to) the public domain"),
     ("proprietary", "rights", r"all rights reserved(?: \w+){0,6} (?:proprietary|confidential)"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
+    ("mit", "noninfringement", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "sublicense", r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", "dealings", r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("isc", "disclaims", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd-2-clause", "documentation", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd-2-clause", "exemplary", r"in no event shall the (?:copyright (?:owner|holder)|author|regents) or contributors be liable for any direct indirect incidental special exemplary"),
+    ("bsd", "regents", r"copyright(?: \w+){0,6} the regents of the university of california"),
+    ("apache-2", "irrevocable", r"perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works"),
+    ("apache-2", "unless", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("agpl-3", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public license along with"),
+    ("lgpl", "received", r"you should have received a copy of the gnu lesser general public license along with"),
+    ("agpl-3", "received", r"you should have received a copy of the gnu affero general public license along with"),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2", "gnu", r"gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "gnu", r"gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "gnu", r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3", "gnu", r"gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3", "affero", r"gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-classpath", "classpath", r"(?:gpl|general public license) (?:v?2 )?with (?:the )?classpath exception"),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("cddl-1", "cddl distribution", r"subject to the terms of the common development and distribution license the license you may not use this file except|common development and distribution license cddl"),
+    ("epl-1", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("boost-1", "boost", r"distributed under the boost software license version 1 0"),
+    ("artistic-2", "artistic", r"you may use and distribute it under the terms of the artistic license 2 0"),
+    ("perl", "perl", r"(?:same terms as|under the terms of) perl(?: itself)?"),
+    ("python-2", "psf", r"psf license agreement for python"),
+    ("zlib", "freely", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("beerware", "beer", r"you can buy me a beer in return"),
+    ("unlicense", "unlicense", r"for more information please refer to (?:http|https) unlicense org"),
+    ("cc0", "waived", r"to the extent possible under law(?: \w+){1,8} (?:has|have) waived all copyright and related or neighboring rights"),
+    ("cc-by-sa", "attribution", r"attribution share ?alike [1-4] [05] (?:international|unported|generic)"),
+    ("cc-by-nc-sa", "noncommercial", r"attribution noncommercial share ?alike [1-4] [05] (?:international|unported|generic)"),
+    ("cc-by-nc-nd", "noderivatives", r"attribution noncommercial noderivatives [1-4] [05] (?:international|unported|generic)"),
+    ("odbl-1", "odbl", r"open database license odbl"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("proprietary", "written", r"no (?:license|licence|right) is granted(?: \w+){0,8} without the prior written (?:consent|permission) of"),
+    ("proprietary", "written", r"may not be (?:copied|disclosed|reproduced)(?: \w+){0,8} without the (?:express |prior )?written (?:consent|permission)"),
+    ("proprietary", "eula", r"end user license agreement eula"),
 ]
 
 #: The phrases that any scan must report, and their labels.

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import slices
 from .license_rules import Rule, default_rules
 from .words import words_of
 
@@ -38,26 +40,38 @@ class Scanner:
         tried = {rule: pattern for key in keys for rule, pattern in self.by_key[key]} if len(keys) > 1 else dict(self.by_key[next(iter(keys))])
         for rule, pattern in tried.items():
             for m in pattern.finditer(text):
-                a, b = m.span(1) if rule.base else m.span()
+                a, b = m.span(1) if rule.base else m.span("at") if "at" in pattern.groupindex else m.span()
                 found.append((a, b, rule))
         return self._resolve(text, found)
 
     @staticmethod
     def _resolve(text: bytes, found: list[tuple[int, int, Rule]]) -> list[dict]:
-        """Drop what lies inside a longer detection, or an equal one of a rule of higher priority.
+        """Drop what lies inside a longer detection, then what overlaps one of a rule of higher priority.
 
         By start, then the longer first: a detection lies inside an earlier one exactly if
-        one of those ends at or after its end, so one running maximum is enough.
+        one of those ends at or after its end, so one running maximum is enough; of equal
+        extents the rule of higher priority stays.  What is left is taken by priority, each
+        unless it overlaps what was taken before: that never overlaps itself, so only its
+        neighbours have to be looked at.
         """
         found.sort(key=lambda x: (x[0], -x[1], x[2].priority))
-        out, reach, at, count = [], -1, 0, 0
-        for a, b, rule in found:
+        outer, reach = [], -1
+        for k, (_, b, _) in enumerate(found):
+            if b > reach:
+                outer.append(k)
+                reach = b
+        taken: list[tuple[int, int, int]] = []
+        for k in sorted(outer, key=lambda k: found[k][2].priority):
+            a, b, _ = found[k]
+            at = bisect_left(taken, (a, b, k))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                taken.insert(at, (a, b, k))
+        kept = {k for _, _, k in taken}
+        out, at, count = [], 0, 0
+        for k, (a, b, rule) in enumerate(found):
             count += text.count(b" ", at, a)
             at = a
-            out.append(
-                {"rule": rule.name, "label": rule.label, "first": count, "last": count + text.count(b" ", a, b), "score": rule.score, "base": rule.base, "kept": rule.base or b > reach}
-            )
-            reach = max(reach, b)
+            out.append({"rule": rule.name, "label": rule.label, "first": count, "last": count + text.count(b" ", a, b), "score": rule.score, "base": rule.base, "kept": rule.base or k in kept})
         return out
 
 
@@ -66,8 +80,9 @@ def scan_licenses(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col:
 
     Texts are cut into words (see ``words``); null counts as empty; a rule is tried only on
     texts that hold one of its keywords.  ``kept`` is false for a detection inside a longer one, or
-    on the same words as one of an earlier rule; base rules always keep theirs.  Repeated
-    rows are reported each; no other column is read.
+    that shares words with one of an earlier rule; base rules always keep theirs.  Texts of
+    any length are read whole; repeated rows are reported each; an empty table gives no rows;
+    no other column is read.
     """
     rules = tuple(default_rules() if rules is None else rules)
     out = docs.select(id_col, text_col)
@@ -75,7 +90,7 @@ def scan_licenses(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices(batches, 1, 8 << 20):
             counts, found = [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
