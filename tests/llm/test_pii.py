@@ -1,13 +1,16 @@
 """Base spans against plain regular expressions, row by row."""
 
 import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumbra.llm import registry
-from lumbra.llm.pii import KINDS, find_personal_data
+from lumbra.llm import pii, registry
+from lumbra.llm.pii import KINDS, LABELERS, estimate, find_personal_data
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -74,6 +77,72 @@ def test_labelers_add_what_base_patterns_miss(spark):
     assert got[101] == []
 
 
+def sure(odds):
+    return 1 / (1 + math.exp(-odds))
+
+
+def slow_log_odds(rows):
+    """Of rows ``kind, keys, p``: log odds of kinds, and of keys by kind, smoothed."""
+    kinds, keys = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    for kind, own, p in rows:
+        kinds[kind][0] += p
+        kinds[kind][1] += 1 - p
+        for k in own:
+            keys[kind, k][0] += p
+            keys[kind, k][1] += 1 - p
+    out = {f"{kind} prior": math.log((yes + 1) / (no + 1)) for kind, (yes, no) in kinds.items()}
+    for (kind, k), (yes, no) in keys.items():
+        out[k] = math.log((yes + 0.5) / (kinds[kind][0] + 2)) - math.log((no + 0.5) / (kinds[kind][1] + 2))
+    return out
+
+
+def test_estimate_equals_plain_em(spark):
+    rng = random.Random(6)
+    spans = []
+    for _ in range(400):
+        kind, true = rng.choice(KINDS[:3]), rng.random() < 0.4
+        votes = [rng.choices([1 if true else -1, -1 if true else 1, 0], [r, 1 - r, 0.2])[0] for r in (0.9, 0.8, 0.7, 0.6, 0.55, 0.5)]
+        spans.append((kind, votes, [f"{kind} length {rng.randrange(3) + 2 * true}", f"{kind} before {rng.choice(['space', 'sign'])}"]))
+    labelers, classifier = estimate(spark.createDataFrame(spans, "kind string, votes array<int>, features array<string>"), rounds=4)
+    keys = [[f"{kind} {name} {v}" for name, v in zip(LABELERS, votes, strict=True)] for kind, votes, _ in spans]
+    p = [sure(sum(votes)) for _, votes, _ in spans]
+    for _ in range(4):
+        want = slow_log_odds([(kind, own, x) for (kind, _, _), own, x in zip(spans, keys, p, strict=True)])
+        p = [sure(want[f"{kind} prior"] + sum(want[k] for k in own)) for (kind, _, _), own in zip(spans, keys, strict=True)]
+    assert labelers == pytest.approx(want)
+    taught = slow_log_odds([(kind, features + own, x) for (kind, _, features), own, x in zip(spans, keys, p, strict=True)])
+    assert classifier == pytest.approx(taught)
+    assert taught["email length 4"] > 1 > taught["email length 0"]
+    assert estimate(spark.createDataFrame([], "kind string, votes array<int>, features array<string>")) == ({}, {})
+
+
+def test_running_values(spark):
+    rows = [(n, [random.Random(n).randrange(100) for _ in range(n)]) for n in (0, 1, 2, 3, 7, 30, 101)]
+    got = spark.createDataFrame(rows, "n int, v array<long>").select("n", "v", pii._running(F.col("v"), lambda a, x: a + x, F.lit(0).cast("long")).alias("sums"), pii._running(F.col("v"), lambda a, x: F.greatest(a, x), F.lit(-1).cast("long")).alias("tops")).collect()
+    for r in got:
+        assert r["sums"] == [sum(r["v"][:k]) for k in range(r["n"])] and r["tops"] == [max(r["v"][:k], default=-1) for k in range(r["n"])]
+
+
+def test_loose_spans_apart_from_base_ones(spark):
+    rng = random.Random(9)
+    span = "array<struct<start:long,end:long,value:string,before:string,after:string>>"
+    rows = []
+    for n in range(60):
+        pick = lambda most: sorted((a, a + rng.randrange(1, 9), "v", "b", "a") for a in {rng.randrange(80) for _ in range(rng.randrange(most))})  # noqa: B023, E731
+        rows.append((n, pick(6), pick(6)))
+    docs = spark.createDataFrame(rows, f"n int, loose {span}, base {span}")
+    for r in docs.select("loose", "base", pii._apart(F.col("loose"), F.col("base")).alias("free")).collect():
+        want = [s for s in r["loose"] if not any(t["start"] < s["end"] and s["start"] < t["end"] for t in r["base"])]
+        assert sorted(r["free"]) == sorted(want)
+
+
+def test_many_spans_in_one_text(spark):
+    n = 3000
+    text = " ".join(f"u{k}@m{k}.example.com 4111.1111.1111.{k:04d}" for k in range(n))
+    [row] = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s["start"], s["end"]) for s in row["spans"] if s["base"]] == [(a, b) for a, _, b in brute(text)]
+
+
 @pytest.mark.parametrize("schema", ["doc_id long, text string", "doc_id string, text string"])
 def test_empty_table(spark, schema):
     assert find_personal_data(spark.createDataFrame([], schema)).collect() == []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumbra.llm import registry
 from lumbra.llm.fingerprints import fingerprint_documents
-from lumbra.llm.license_rules import BASE, default_rules
+from lumbra.llm.license_rules import BASE, Rule, default_rules
 from lumbra.llm.license_scan import Scanner, scan_licenses
 from lumbra.llm.line_dedup import drop_common_lines
 from lumbra.llm.mixture import draw_mixture, mix_sources, source_targets
@@ -100,6 +100,41 @@ def test_licence_glued_names_and_titles():
     assert labels("the ncsa met apache 2 0 and mit") == set()
 
 
+def slow_resolved(found):
+    """Which of ``(start, end, priority)`` stay, pair by pair."""
+    outer = [k for k, x in enumerate(found) if not any(y[0] <= x[0] and x[1] <= y[1] and ((y[0], y[1]) != (x[0], x[1]) or (y[2], j) < (x[2], k)) for j, y in enumerate(found) if j != k)]
+    kept = []
+    for k in sorted(outer, key=lambda k: found[k][2]):
+        if all(found[k][1] <= found[j][0] or found[j][1] <= found[k][0] for j in kept):
+            kept.append(k)
+    return {found[k] for k in kept}
+
+
+def test_licence_overlaps_equal_brute_force():
+    rng = random.Random(5)
+    text = b"w " * 40
+    for _ in range(300):
+        spans = {(2 * a, 2 * (a + rng.randrange(1, 8)) - 1, p) for p, a in enumerate(rng.choices(range(30), k=rng.randrange(1, 9)))}
+        rules = [(a, b, Rule(str(p), str(p), "w", "w", 1.0, p)) for a, b, p in spans]
+        got = {(2 * d["first"], 2 * d["last"] + 1, int(d["rule"])) for d in Scanner._resolve(text, rules) if d["kept"]}
+        assert got == slow_resolved(sorted(spans))
+
+
+def test_licence_choices():
+    def labels(text):
+        return {d["label"] for d in Scanner(default_rules()).scan(lower(text).replace("-", " ").replace(":", " ").replace(".", " ").encode().split()) if d["kept"]}
+
+    assert labels("dual licensed: GPL-2.0 OR MIT") == {"gpl-2", "mit"}
+    assert labels("SPDX-License-Identifier: GPL-2.0 OR MIT OR Apache-2.0") == {"gpl-2", "mit", "apache-2"}
+    assert labels("Dual-licensed under the MIT and Apache 2.0 licenses") == {"mit", "apache-2"}
+    assert labels("wine or mit und cc or apache") == set()
+
+
+def test_licence_scan_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_words string")
+    assert scan_licenses(docs).collect() == [] and scan_licenses(docs).columns == ["doc_id", "n_words", "detections"]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
