@@ -117,6 +117,34 @@ def test_near_duplicates_with_repeated_passages(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {k: k - (k % 3 == 1) for k in range(36)}
 
 
+def test_near_duplicates_miss_none_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    sets = [weighted_shingles(t) for _, t in rows]
+    holders = defaultdict(list)
+    for n, (shingles, _) in enumerate(sets):
+        for h in shingles.tolist():
+            holders[h].append(n)
+    near = {(a, b) for own in holders.values() for k, b in enumerate(own) for a in own[:k]}
+    parent = list(range(len(rows)))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    links = [(a, b) for a, b in near if similarity(sets[a], sets[b]) >= 0.8]
+    links += [(a, b) for b in range(len(rows)) for a in range(b) if not len(sets[a][0]) and not len(sets[b][0]) and rows[a][1] == rows[b][1]]
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    found = sum(got[rows[a][0]] == got[rows[b][0]] for a, b in links)
+    assert len(links) > 80 and found >= 0.99 * len(links)
+    want = {rows[n][0]: rows[root(n)][0] for n in range(len(rows))}
+    assert all(want[k] == want[c] for k, c in got.items())
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(n, n + 1) for n in range(50)] + [(100, n) for n in range(101, 160)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(40)]
