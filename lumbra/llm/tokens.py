@@ -99,7 +99,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._keys = np.zeros((_SLOTS, 2), np.uint64)
-        self._at, self._size = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        self._at, self._size = np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
         self._pool, self._used = np.zeros(1 << 16, np.uint32), 0
 
     def make(self, piece: str) -> list[int]:
@@ -117,7 +117,7 @@ class Encoder:
         keys = np.frombuffer(b"".join(map(xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
         slots = (keys[:, 0] & np.uint64(_SLOTS - 1)).astype(np.int64)
         known = (self._keys[slots] == keys).all(1)
-        at, size = self._at[slots], self._size[slots]
+        at, size = self._at[slots].astype(np.int64), self._size[slots].astype(np.int64)
         new = np.flatnonzero(~known)
         if len(new):
             made: list[int] = []

@@ -451,6 +451,20 @@ def test_shards_replace_every_pair_that_pays():
     assert max(places.values()) < 3
 
 
+def test_packing_and_token_files_of_odd_rows(spark, tmp_path):
+    rows = [(None, "a b", "x"), (None, "c", "x"), (1, "x y", "x"), (1, "x y", "x"), (2, None, None), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length string").repartition(3)
+    write_token_shards(docs, str(tmp_path / "odd"), vocabulary("byte_bpe_50k.json"), 0, 50_257, shard_ids=3)
+    got = sorted(map(tuple, read_token_shards(spark, str(tmp_path / "odd")).collect()), key=lambda r: r[1])
+    ids = [brute_tokens([t], "byte_bpe_50k.json", 0)[0] for t in ("a b", "c", "x y", "x y", None, "")]
+    assert [r[0] for r in got] == [None, None, 1, 1, 2, 3] and [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(6)]
+    assert Counter((r[2], r[3]) for r in got) == Counter((len(x), crc(x)) for x in ids)
+    packed = pack_documents(docs, vocabulary("word_bpe_49k.json")).collect()
+    want = Counter((k, len(x), crc(x)) for (k, t, _) in rows for x in brute_tokens([t], "word_bpe_49k.json", 1))
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed) == want and len({r["sequence_id"] for r in packed}) == 1
+    assert sorted(r["offset"] for r in packed) == [sum(sorted_[:k]) for sorted_ in [[r["length"] for r in sorted(packed, key=lambda r: r["offset"])]] for k in range(6)]
+
+
 def test_top_k(spark):
     rng = random.Random(5)
     rows = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(300)] + [(n, [0.5] * 8) for n in range(300, 420)]
