@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 import yaml
@@ -52,7 +54,17 @@ def reference_period(name: Column, title: Column, year: Column) -> Column:
 
 def catalog_region(sample: Column, regions: list[str] = REGIONS) -> Column:
     """The longest region that stands in a normalised text as whole words."""
-    return F.coalesce(*[F.when(sample.rlike(_norm_pattern(r)), r) for r in sorted(regions, key=len, reverse=True)])
+    return _once(sample, lambda s: F.coalesce(*[F.when(_names(s, r), r) for r in sorted(regions, key=len, reverse=True)]))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _names(sample: Column, term: str) -> Column:
+    """Whether a normalised text has a term as whole words; most texts don't even hold its letters."""
+    return sample.contains(_norm(term)) & sample.rlike(_norm_pattern(term))
 
 
 def _norm(term: str) -> str:
@@ -73,11 +85,22 @@ def catalog_places(sample: Column, places: list[str], regions: list[str] = REGIO
     """
     if not places:
         return F.array().cast("array<string>")
-    for r in regions:
-        sample = F.regexp_replace(sample, _norm_pattern(r), " ")
-    found = F.array_compact(F.array(*[F.when(sample.rlike(_norm_pattern(p)), F.struct(F.lit(p).alias("name"), F.lit(_norm(p)).alias("norm"))) for p in places]))
-    outer = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["name"] != x["name"]) & y["norm"].contains(x["norm"])))
-    return F.slice(F.transform(outer, lambda x: x["name"]), 1, limit)
+
+    def blanked(s: Column) -> Column:
+        for r in regions:
+            s = F.regexp_replace(s, _norm_pattern(r), " ")
+        return s
+
+    def found_in(s: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_names(s, p), F.struct(F.lit(p).alias("name"), F.lit(_norm(p)).alias("norm"))) for p in places]))
+
+    def outermost(found: Column) -> Column:
+        outer = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["name"] != x["name"]) & y["norm"].contains(x["norm"])))
+        return F.slice(F.transform(outer, lambda x: x["name"]), 1, limit)
+
+    some = lambda s: functools.reduce(lambda a, b: a | b, [s.contains(_norm(r)) for r in regions], F.lit(False))
+    bare = _once(sample, lambda s: F.when(some(s), blanked(s)).otherwise(s))
+    return _once(_once(bare, found_in), outermost)
 
 
 def _overlaps_itself(term: str) -> bool:
@@ -108,8 +131,7 @@ def vocabulary_scores(sample: Column, vocabulary: dict[str, list[str]]) -> Colum
         return F.transform(order, lambda s: F.struct(s["label"].alias("label"), (-s["by"]).alias("pontos")))
 
     matches = F.regexp_extract_all(sample, F.lit(pattern), F.lit(1)) if together else F.array().cast("array<string>")
-    # worked out once, however many terms look at it
-    return F.get(F.transform(F.array(matches), scored), F.lit(0))
+    return _once(matches, scored)
 
 
 def themes(sample: Column, vocabulary: dict[str, list[str]] = THEMES, limit: int = 3) -> Column:
