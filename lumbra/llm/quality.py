@@ -210,7 +210,8 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange:
     both = fit(odds, y[held], np.ones(held.sum()))
     slopes = np.maximum(both.weights / both.scale, 0)
     model = QualityModel(models, (float(slopes[0]), float(slopes[1]), float(both.bias - (both.mean * slopes).sum())))
-    model.threshold = cut(model.scores(views[0][held], views[1][held])[2], y[held])
+    # what is likelier good than bad stays, whatever a few held-out labels would gain
+    model.threshold = min(0.5, cut(model.scores(views[0][held], views[1][held])[2], y[held]))
     return model
 
 
