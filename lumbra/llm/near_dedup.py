@@ -29,8 +29,9 @@ _BYTES = 2 * REGISTERS
 #: Pairs whose registers agree in a smaller part are not compared: four standard deviations below 0.8,
 #: so that a pair of 0.8 is lost as rarely as by banding.
 LIKELY = 0.66
-#: Bytes of texts whose signatures are computed together, texts per block that meet another block's.
-TOGETHER, BLOCK = 1 << 19, 300
+#: Bytes of texts whose signatures are computed together; texts per block that meet another block's, and
+#: members of a bucket per part that meet another part's: small, so that parts of one large bucket spread evenly.
+TOGETHER, BLOCK, PART = 1 << 19, 300, 150
 #: Leaders meet the rest of their buckets while a round leaves at most this part of it.
 SHRINK = 0.7
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -271,7 +272,7 @@ def _links_across(left: DataFrame, texts: DataFrame, bodies: DataFrame, threshol
     groups and compared exactly; pairs themselves are never written, and what a group has
     connected it doesn't compare again.
     """
-    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")
     dealt = left.join(sizes, "bucket").withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("bucket", F.least("_own", "_k").alias("x"), F.greatest("_own", "_k").alias("y"), "_own", "band", "tid", "root")
