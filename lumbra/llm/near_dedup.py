@@ -364,7 +364,8 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
         now = roots.select(F.col("node").alias("tid"), F.col("root").alias("_now"))
         members = members.join(now.hint("shuffle_hash"), "tid", "left").select("bucket", "band", "tid", "_fame", F.coalesce("_now", "root").alias("root"))
     members = materialise(members, "rest")
-    several = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+    # written, so that both sides of the join are plain shuffles, of which adaptive execution can split a large bucket
+    several = materialise(members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket"), "several")
     return materialise(members.join(several.hint("shuffle_hash"), "bucket"), "mixed")
 
 
