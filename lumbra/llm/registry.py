@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprint_documents
 from .license_scan import scan_licenses
 from .line_dedup import drop_common_lines
@@ -104,9 +105,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every document, and whether it stays."""
+    return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op6_quality, op7_pii, op8_best_fit_packing, op9_token_files, op10_top_k)
-}
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op6_quality, op7_pii, op8_best_fit_packing,
+        op9_token_files, op10_top_k, op11_exact_dedup,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -119,6 +129,12 @@ scored AS (
   FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    "op11_exact_dedup": r"""
+WITH bare AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+FROM bare WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """,
     "op3_line_dedup": r"""
 WITH lines AS (
