@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
@@ -15,6 +15,7 @@ from .line_dedup import drop_common_lines
 from .mixture import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .period_runs import find_runs
 from .pii import KINDS, find_personal_data
 from .quality import score_quality, train_quality
 from .storage import shared_dir
@@ -110,11 +111,47 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _edited(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where one in ten texts, by the check sum of its id, repeats some of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.when(n > 0, g % n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: words[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")]), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # as the one item of an array, so that words are found once and not for each of their places
+    edited = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of at least twelve words that repeat, in every document (one in ten edited to hold one)."""
+    found = find_runs(_edited(_table(spark, sf_dir, "documents")))
+    written = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = found.withColumn("_best", longest)
+    length = -F.col("_best.less")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        length.alias("length"),
+        F.col("_best.period").alias("period"),
+        F.floor(1000 * length / F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op6_quality, op7_pii, op8_best_fit_packing,
-        op9_token_files, op10_top_k, op11_exact_dedup,
+        op9_token_files, op10_top_k, op11_exact_dedup, op13_period_runs,
     )
 }
 
