@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import score_links
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprint_documents
 from .license_scan import scan_licenses
@@ -111,6 +112,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public vocabularies align in every document, and how common the links are."""
+    scored = score_links(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def _edited(docs: DataFrame) -> DataFrame:
     """``doc_id, text``, where one in ten texts, by the check sum of its id, repeats some of its words to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -151,7 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_mix_sources, op3_line_dedup, op4_near_dedup, op5_fingerprints, op6_quality, op7_pii, op8_best_fit_packing,
-        op9_token_files, op10_top_k, op11_exact_dedup, op13_period_runs,
+        op9_token_files, op10_top_k, op11_exact_dedup, op12_align_tokens, op13_period_runs,
     )
 }
 
