@@ -1,118 +1,151 @@
-"""Splitting documents into chunks, each with the headings above it."""
+"""Splitting documents into chunks, each with the headings above it, by column expressions alone."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: From the strongest to the weakest place to split at, target length and overlap in characters.
 SEPARATORS = ["\n## ", "\n### ", "\n\n", "\n", ". ", " "]
 SIZE, OVERLAP = 1200, 200
-_HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*")
-
-
-def _windows(part: str, size: int, overlap: int) -> Iterator[str]:
-    at = 0
-    while True:
-        end = at + size
-        if piece := part[at:end].strip():
-            yield piece
-        if end >= len(part):
-            return
-        at = max(end - overlap, at + 1)
-
-
-def _grouped(blocks: list[str], gap: int, size: int, overlap: int) -> Iterator[list[str]]:
-    """Neighbouring blocks that fit together; a short last one is repeated in the next group."""
-    group: list[str] = []
-    used = 0
-    for block in blocks:
-        if group and used + len(block) + gap > size:
-            yield group
-            group = group[-1:] if len(group[-1]) <= overlap else []
-            used = sum(map(len, group))
-        group.append(block)
-        used += len(block) + gap
-    yield group
-
-
-def _pieces(part: str, separators: list[str], size: int, overlap: int) -> Iterator[str]:
-    if len(part) <= size:
-        if part.strip():
-            yield part
-    elif not separators:
-        yield from _windows(part, size, overlap)
-    else:
-        first, weaker = separators[0], separators[1:]
-        blocks = [b for b in part.split(first) if b.strip()]
-        if len(blocks) < 2:
-            yield from _pieces(part, weaker, size, overlap)
-        else:
-            for group in _grouped(blocks, len(first), size, overlap):
-                yield from _pieces(first.join(group).strip(), weaker, size, overlap)
-
-
-def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of a text; separators at which it is split are lost."""
-    return list(_pieces(text.strip(), SEPARATORS, size, overlap))
-
-
-def heading_paths(text: str) -> tuple[list[int], list[str]]:
-    """Where headings start outside fenced code, and the path of headings in force from there."""
-    starts, paths = [], []
-    levels: dict[int, str] = {}
-    at, fenced = 0, False
-    for line in text.splitlines(keepends=True):
-        bare = line.strip()
-        fenced ^= bare.startswith("```")
-        if not fenced and (m := _HEADING.fullmatch(bare)):
-            depth = len(m[1])
-            levels = {k: v for k, v in levels.items() if k < depth} | {depth: m[2].strip()}
-            starts.append(at)
-            paths.append(" > ".join(levels[k] for k in sorted(levels) if levels[k]))
-        at += len(line)
-    return starts, paths
-
-
-def locate(text: str, chunks: list[str]) -> Iterator[int]:
+
+#: White space of any kind, and ends of lines, as in Python's ``str.strip`` and ``str.splitlines``.
+SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BREAK = r"\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}"
+_LINE = rf"[^{BREAK}]*(?:\r\n|[{BREAK}])|[^{BREAK}]+\z"
+_HEADING = rf"\A(#{{1,6}})[{SPACE}]+(.+?)[{SPACE}]*#*\z"
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value found once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def _windows(part: Column, size: int, overlap: int) -> Column:
+    step = max(size - overlap, 1)
+    last = F.greatest(F.lit(0), F.ceil((F.length(part) - size) / step)).cast("int")
+    return F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: strip(F.substr(part, k * step + 1, F.lit(size)))), lambda w: w != "")
+
+
+def _groups(lengths: Column, gap: int, size: int, overlap: int) -> Column:
+    """Runs ``first, after`` of neighbouring blocks that fit together; a short last one is repeated in the next run.
+
+    One fold over the blocks' lengths: the run in hand starts at ``first``, has ``used``
+    characters, and ``last`` is the length of its last block, the one before number ``at``.
+    """
+    run = lambda s: F.struct(s["first"].alias("first"), s["at"].alias("after"))
+    none = F.array().cast("array<struct<first:int,after:int>>")
+    start = F.struct(none.alias("runs"), *[F.lit(0).alias(c) for c in ("first", "at", "used", "last")])
+
+    def add(s: Column, n: Column) -> Column:
+        cost = n + gap
+        full, again = (s["at"] > s["first"]) & (s["used"] + cost > size), s["last"] <= overlap
+        return F.struct(
+            F.when(full, F.concat(s["runs"], F.array(run(s)))).otherwise(s["runs"]).alias("runs"),
+            F.when(~full, s["first"]).when(again, s["at"] - 1).otherwise(s["at"]).alias("first"),
+            (s["at"] + 1).alias("at"),
+            F.when(~full, s["used"] + cost).when(again, s["last"] + cost).otherwise(cost).alias("used"),
+            n.alias("last"),
+        )
+
+    return F.aggregate(lengths, start, add, lambda s: F.concat(s["runs"], F.array(run(s))))
+
+
+def _level(part: Column, separator: str, size: int, overlap: int) -> Column:
+    """A part split at one separator and put together again as far as it fits; whole where there are no two blocks."""
+    blocks = F.filter(F.split(part, rf"\Q{separator}\E"), lambda b: b.rlike(rf"[^{SPACE}]"))
+
+    def joined(blocks: Column) -> Column:
+        runs = _groups(F.transform(blocks, F.length), len(separator), size, overlap)
+        return F.transform(runs, lambda r: strip(F.array_join(F.slice(blocks, r["first"] + 1, r["after"] - r["first"]), separator)))
+
+    return _once(blocks, lambda b: F.when(F.size(b) < 2, F.array(part)).otherwise(joined(b)))
+
+
+def split_text(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Chunks of a text as an array; separators at which it is split are lost, and null and blank texts have none.
+
+    One array goes through all levels: of its parts those that are too long are split at the
+    level's separator, and what is too long without any is cut into windows.
+    """
+    parts = F.filter(F.array(strip(F.coalesce(text, F.lit("")))), lambda p: p != "")
+    deeper = lambda split: F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(split(p))))
+    for separator in SEPARATORS:
+        parts = deeper(lambda p: _level(p, separator, size, overlap))  # noqa: B023
+    return deeper(lambda p: _windows(p, size, overlap))
+
+
+def heading_paths(text: Column) -> Column:
+    """Headings outside fenced code as ``inicio, caminho``: where each starts, and the path of headings in force from there.
+
+    One fold over the lines; texts without a heading mark are not split.
+    """
+    none = F.array().cast("array<struct<inicio:int,caminho:string>>")
+    start = F.struct(none.alias("found"), F.array_repeat(F.lit(""), 6).alias("levels"), F.lit(0).alias("at"), F.lit(False).alias("fenced"))
+
+    def add(s: Column, line: Column) -> Column:
+        def step(bare: Column) -> Column:
+            fenced = s["fenced"] != bare.startswith("```")
+            depth = F.when(~fenced & bare.rlike(_HEADING), F.length(F.regexp_extract(bare, _HEADING, 1))).otherwise(0)
+            title = strip(F.regexp_extract(bare, _HEADING, 2))
+            levels = F.transform(s["levels"], lambda t, k: F.when(k < depth - 1, t).when(k == depth - 1, title).otherwise(""))
+            return _once(F.when(depth > 0, levels), lambda now: F.struct(
+                F.when(now.isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct(s["at"].alias("inicio"), F.array_join(F.filter(now, lambda t: t != ""), " > ").alias("caminho"))))).alias("found"),
+                F.coalesce(now, s["levels"]).alias("levels"),
+                (s["at"] + F.length(line)).alias("at"),
+                fenced.alias("fenced"),
+            ))
+
+        return _once(strip(line), step)
+
+    lines = F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
+    return F.when(text.contains("#"), F.aggregate(lines, start, add, lambda s: s["found"])).otherwise(none)
+
+
+def locate(text: Column, chunks: Column) -> Column:
     """Where each chunk starts: its first 80 characters, searched from the place before; never going back."""
-    at = 0
-    for chunk in chunks:
-        at = max(at, text.find(chunk[:80], at))
-        yield at
+
+    def add(s: Column, chunk: Column) -> Column:
+        found = F.call_function("locate", F.left(chunk, F.lit(80)), text, s["at"] + 1) - 1
+        return _once(F.greatest(s["at"], found), lambda at: F.struct(F.concat(s["places"], F.array(at)).alias("places"), at.alias("at")))
+
+    start = F.struct(F.array().cast("array<int>").alias("places"), F.lit(0).alias("at"))
+    return F.aggregate(chunks, start, add, lambda s: s["places"])
 
 
 def chunk_documents(parsed: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of documents ``chave, titulo, body``, in one pass without a shuffle.
+    """Chunks of documents ``chave, titulo, body``, in one pass inside the JVM without a shuffle.
 
     Each has its number, text, the heading path at its start and a hash of key, number and
-    text.  A document without text has none.
+    text.  A document without text has none.  Places are searched from a document's start,
+    so work grows with its length times its chunks: a second for a text of a million characters.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for key, title, text in zip(part["chave"], part["titulo"], part["body"], strict=True):
-                chunks = split_text(text or "", size, overlap)
-                starts, paths = heading_paths(text or "")
-                for n, (chunk, at) in enumerate(zip(chunks, locate(text or "", chunks), strict=True)):
-                    above = bisect_right(starts, at)
-                    digest = hashlib.sha256(f"{key}|{n}|{chunk}".encode()).hexdigest()
-                    rows.append((key, title, n, chunk, paths[above - 1] if above else "", digest, len(chunk)))
-            yield pd.DataFrame(rows, columns=["documento_chave", "documento_titulo", "chunk_indice", "chunk_texto", "heading_path", "chunk_hash", "n_caracteres"])
-
-    schema = "documento_chave string, documento_titulo string, chunk_indice int, chunk_texto string, heading_path string, chunk_hash string, n_caracteres int"
-    return parsed.select("chave", "titulo", "body").mapInPandas(run, schema)
+    text = F.coalesce("body", F.lit(""))
+    split = parsed.select("chave", "titulo", text.alias("_text"), split_text(text, size, overlap).alias("_chunks"))
+    placed = split.select("chave", "titulo", "_chunks", locate(F.col("_text"), F.col("_chunks")).alias("_places"), heading_paths(F.col("_text")).alias("_heads"))
+    above = F.transform("_places", lambda at: F.coalesce(F.try_element_at(F.filter("_heads", lambda h: h["inicio"] <= at)["caminho"], F.lit(-1)), F.lit("")))
+    rows = placed.select("chave", "titulo", F.posexplode(F.arrays_zip("_chunks", above.alias("_above"))).alias("chunk_indice", "_c"))
+    chunk = F.col("_c._chunks")
+    return rows.select(
+        F.col("chave").alias("documento_chave"),
+        F.col("titulo").alias("documento_titulo"),
+        "chunk_indice",
+        chunk.alias("chunk_texto"),
+        F.col("_c._above").alias("heading_path"),
+        F.sha2(F.concat_ws("|", "chave", "chunk_indice", chunk), 256).alias("chunk_hash"),
+        F.length(chunk).alias("n_caracteres"),
+    )
 
 
 def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Overlapping windows of fixed length, trimmed, blank ones dropped, as an array."""
+    """Overlapping windows of fixed length, spaces trimmed, empty ones dropped, as an array."""
     step = max(size - overlap, 1)
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
     return F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: F.trim(F.substr(text, k * step + 1, F.lit(size)))), lambda w: w != "")

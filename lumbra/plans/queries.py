@@ -459,10 +459,60 @@ def fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("indice").cast("long").alias("indice"), F.sha2("w", 256).alias("resumo"))
 
 
-@query()
+# each fourth study, with headings, blank lines, no spaces, or as it is: texts that reach every level of splitting
+_DEEP = """CASE length(chave) % 4 WHEN 1 THEN replace(replace(conteudo, '. ', concat('.', chr(10), '## Parte', chr(10))), ', ', concat(chr(10), chr(10), '### Item #', chr(10), chr(10)))
+  WHEN 2 THEN concat(replace(conteudo, '. ', concat('.', chr(10), chr(10))), chr(10), '# Fim', chr(10), '```', chr(10), '# nada', chr(10), '```', chr(10), 'fim')
+  WHEN 3 THEN replace(replace(conteudo, ' ', ''), chr(10), '_') ELSE conteudo END"""
+_WHITE = chunking.SPACE
+
+
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+def _chunks_sql(size: int = 1200, overlap: int = 200) -> str:
+    """One pair of tables a level: long parts as blocks, and their parts after a fold over the blocks' lengths."""
+    out = f"""+ corpos AS (SELECT chave, coalesce(conteudo, '') AS t FROM (SELECT chave, {_DEEP} AS conteudo FROM studies)),
+p0 AS (SELECT chave, []::INTEGER[] AS nth, {_stripped('t')} AS p FROM corpos WHERE {_stripped('t')} <> ''),
+"""
+    for k, separator in enumerate(chunking.SEPARATORS):
+        mark = separator.replace("\n", "' || chr(10) || '")
+        cost = f"y.n + {len(separator)}"
+        full = f"(x.ix > x.first AND x.used + {cost} > {size})"
+        again = f"x.last <= {overlap}"
+        out += f"""b{k} AS (SELECT chave, nth, p, list_filter(string_split(p, '{mark}'), lambda b: regexp_matches(b, '[^{_WHITE}]')) AS b FROM p{k} WHERE length(p) > {size}),
+f{k} AS (SELECT chave, nth, b, list_reduce(list_transform(b, lambda b: {{'runs': []::STRUCT(s INTEGER, e INTEGER)[], 'first': 0, 'ix': 0, 'used': 0, 'last': 0, 'n': length(b)::INTEGER}}), lambda x, y: {{
+    'runs': CASE WHEN {full} THEN list_append(x.runs, {{'s': x.first, 'e': x.ix}}) ELSE x.runs END, 'first': CASE WHEN NOT {full} THEN x.first WHEN {again} THEN x.ix - 1 ELSE x.ix END, 'ix': x.ix + 1,
+    'used': CASE WHEN NOT {full} THEN x.used + {cost} WHEN {again} THEN x.last + {cost} ELSE {cost} END, 'last': y.n, 'n': 0}},
+    {{'runs': []::STRUCT(s INTEGER, e INTEGER)[], 'first': 0, 'ix': 0, 'used': 0, 'last': 0, 'n': 0}}) AS g FROM b{k} WHERE len(b) > 1),
+r{k} AS (SELECT chave, nth, b, unnest(list_append(g.runs, {{'s': g.first, 'e': g.ix}})) AS r, generate_subscripts(list_append(g.runs, {{'s': g.first, 'e': g.ix}}), 1) AS i FROM f{k}),
+p{k + 1} AS (SELECT chave, nth, p FROM p{k} WHERE length(p) <= {size} UNION ALL SELECT chave, nth, p FROM b{k} WHERE len(b) < 2
+  UNION ALL SELECT chave, list_append(nth, i::INTEGER), {_stripped(f"array_to_string(b[r.s + 1 : r.e], '{mark}')")} FROM r{k}),
+"""
+    step, last = size - overlap, len(chunking.SEPARATORS)
+    out += f"""w AS (SELECT chave, nth, p, unnest(range(0, 1 + ceil((length(p) - {size}) / {step}.0)::BIGINT)) AS i FROM p{last} WHERE length(p) > {size}),
+z AS (SELECT chave, nth, p FROM p{last} WHERE length(p) <= {size} UNION ALL SELECT chave, list_append(nth, i::INTEGER), {_stripped(f'substr(p, i * {step} + 1, {size})')} FROM w),
+chunks AS (SELECT chave, row_number() OVER (PARTITION BY chave ORDER BY nth) - 1 AS i, p FROM z WHERE p <> ''),
+places AS (SELECT chave, list_reduce(list_transform(list(p ORDER BY i), lambda p: {{'ix': []::BIGINT[], 'p': p[:80], 't': ''}}),
+    lambda x, y: {{'ix': list_append(x.ix, CASE WHEN instr(x.t[coalesce(x.ix[-1], 0) + 1 :], y.p) > 0 THEN coalesce(x.ix[-1], 0) + instr(x.t[coalesce(x.ix[-1], 0) + 1 :], y.p) - 1 ELSE coalesce(x.ix[-1], 0) END), 'p': '', 't': x.t}},
+    {{'ix': []::BIGINT[], 'p': '', 't': any_value(t)}}).ix AS ats FROM chunks JOIN corpos USING (chave) GROUP BY chave),
+lines AS (SELECT chave, unnest(regexp_extract_all(t, '[^{chunking.BREAK}]*(?:\\r\\n|[{chunking.BREAK}])|[^{chunking.BREAK}]+$')) AS l, generate_subscripts(regexp_extract_all(t, '[^{chunking.BREAK}]*(?:\\r\\n|[{chunking.BREAK}])|[^{chunking.BREAK}]+$'), 1) AS n FROM corpos),
+fences AS (SELECT *, {_stripped('l')} AS bare, sum(length(l)) OVER w - length(l) AS pos, sum(starts_with({_stripped('l')}, '```')::INTEGER) OVER w AS f FROM lines WINDOW w AS (PARTITION BY chave ORDER BY n)),
+heads AS (SELECT chave, n, pos, length(regexp_extract(bare, '^(#{{1,6}})[{_WHITE}]+(.+?)[{_WHITE}]*#*$', 1)) AS d, {_stripped(f"regexp_extract(bare, '^(#{{1,6}})[{_WHITE}]+(.+?)[{_WHITE}]*#*$', 2)")} AS title
+  FROM fences WHERE f % 2 = 0 AND regexp_matches(bare, '^(#{{1,6}})[{_WHITE}]+(.+?)[{_WHITE}]*#*$')),
+levels AS (SELECT chave, pos, {', '.join(f"max(CASE WHEN d = {u} THEN n END) OVER w AS j{u}, max_by(CASE WHEN d = {u} THEN title END, CASE WHEN d = {u} THEN n END) OVER w AS t{u}" for u in range(1, 7))}
+  FROM heads WINDOW w AS (PARTITION BY chave ORDER BY n)),
+paths AS (SELECT chave, pos, array_to_string(list_filter([{', '.join(f"CASE WHEN j{u} > greatest(0, {', '.join(f'coalesce(j{v}, 0)' for v in range(1, u)) or '0'}) THEN t{u} END" for u in range(1, 7))}], lambda t: t <> ''), ' > ') AS caminho FROM levels)
+SELECT c.chave AS documento_chave, c.i::INTEGER AS chunk_indice, sha256(p) AS resumo, coalesce((SELECT arg_max(caminho, h.pos) FROM paths h WHERE h.chave = c.chave AND h.pos <= places.ats[c.i + 1]), '') AS heading_path,
+  sha256(c.chave || '|' || c.i || '|' || p) AS chunk_hash, length(p)::INTEGER AS n_caracteres FROM chunks c JOIN places USING (chave)"""
+    return out
+
+
+@query(_chunks_sql())
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in chunks with heading paths."""
-    return chunking.chunk_documents(headers.parse_documents(documents(spark, sf_dir)))
+    bodies = documents(spark, sf_dir).selectExpr("chave", "'' AS titulo", f"{_DEEP} AS body")
+    return chunking.chunk_documents(bodies).drop("documento_titulo").withColumn("chunk_texto", F.sha2("chunk_texto", 256)).withColumnRenamed("chunk_texto", "resumo")
 
 
 _ASOF = "p AS (SELECT o_custkey AS doc, o_orderkey AS posicao FROM orders), h AS (SELECT o_custkey AS doc, o_orderkey AS inicio, o_orderpriority AS caminho FROM orders WHERE o_orderstatus = 'F')"

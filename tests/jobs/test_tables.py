@@ -178,10 +178,20 @@ def test_chunks_hold_their_rules(spark):
         assert [r["chunk_indice"] for r in own] == list(range(len(own)))
         assert bool(own) == bool(text.strip())
         assert all(0 < len(r["chunk_texto"]) <= 1200 and r["chunk_texto"] == r["chunk_texto"].strip() for r in own)
-    assert chunking.split_text("a" * 1300) == ["a" * 1200, "a" * 300]
-    assert chunking.heading_paths("# T\n### C\ntext\n## B #\n```\n# x\n```\n") == ([0, 4, 15], ["T", "T > C", "T > B"])
-    short = chunking.split_text("a" * 1100 + "\n\n" + "b" * 150 + "\n\n" + "c" * 1000)
-    assert short == ["a" * 1100, "b" * 150 + "\n\n" + "c" * 1000] or short[-1].startswith("b")
+
+
+def test_chunks_and_headings_of_single_texts(spark):
+    short = "a" * 1100 + "\n\n" + "b" * 150 + "\n\n" + "c" * 1000
+    heads = "# T\n### C\ntext\n## B #\n```\n# x\n```\n"
+    odd = "\x1c # V\u2028a\x85#b\r\n####### no\x0b\u3000## \x1f é # \x1d#\n#x"
+    rows = spark.createDataFrame([(0, "a" * 1300), (1, short), (2, heads), (3, odd), (4, None)], "n int, t string")
+    chunks = {r[0]: r[1] for r in rows.select("n", chunking.split_text(F.col("t"))).collect()}
+    assert chunks[0] == ["a" * 1200, "a" * 300] and chunks[4] == []
+    assert chunks[1] == ["a" * 1100, "b" * 150 + "\n\n" + "c" * 1000] or chunks[1][-1].startswith("b")
+    paths = {r[0]: [tuple(h) for h in r[1] or []] for r in rows.select("n", chunking.heading_paths(F.col("t"))).collect()}
+    assert paths[2] == [(0, "T"), (4, "T > C"), (15, "T > B")]
+    assert paths[3] == [(1, "V"), (odd.index("\u3000"), "V > é")]
+    assert "Python" not in chunking.chunk_documents(rows.selectExpr("n AS chave", "'' AS titulo", "t AS body"))._jdf.queryExecution().toString()
 
 
 def test_weighted_terms(spark):
