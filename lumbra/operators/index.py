@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 
 def upsert_documents(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Documents with ``new`` ones (all columns but the stamps) in place of those of equal key.
+    """Documents with ``new`` ones (all columns but the stamps) in place of those of equal key; both are read once.
 
     ``criado_em`` stays as it was; ``atualizado_em`` and ``ingerido_em`` are ``now``.
     """
-    stamps = ("criado_em", "atualizado_em", "ingerido_em")
-    created = old.select("documento_chave", F.col("criado_em").alias("_created"))
-    fresh = new.drop(*stamps).join(created, "documento_chave", "left").withColumns({"criado_em": F.coalesce("_created", now), "atualizado_em": now, "ingerido_em": now})
-    kept = old.join(new.select("documento_chave"), "documento_chave", "left_anti")
-    return kept.unionByName(fresh.drop("_created").select(*old.columns))
+    stamps = {"criado_em": F.coalesce("o.criado_em", now), "atualizado_em": now, "ingerido_em": now}
+    fresh = new.drop(*stamps).withColumn("_new", F.lit(True)).alias("n")
+    joined = old.alias("o").join(fresh, F.col("o.documento_chave") == F.col("n.documento_chave"), "full_outer")
+    is_new = F.col("n._new").isNotNull()
+    return joined.select(*[F.when(is_new, stamps[c] if c in stamps else F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns])
 
 
 def replace_chunks(old: DataFrame, new: DataFrame, processed: DataFrame) -> DataFrame:

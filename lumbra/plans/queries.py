@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions.vocab import GENERIC_PLACES, REGIONS, SECTORS, STATE_WIDE, THEMES
 from ..operators import answers as A
 from ..operators import catalog as C
-from ..operators import chunking, headers, index, retrieval, tfidf, validate, vectors
+from ..operators import chunking, headers, index, retrieval, store, tfidf, validate, vectors
 from ..operators import indicators as I
 from ..sources import documents as S
 from ..sources import registry as R
@@ -364,6 +364,50 @@ def doc_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.remove_documents(_lines(spark, sf_dir, _NEW_KEY, "a"), gone)
 
 
+def _stored(rows: DataFrame, name: str) -> str:
+    """A table in buckets, in a new folder."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    store.create_table(rows, path, buckets=64)
+    return path
+
+
+@query(
+    """SELECT 'd' || doc_id AS documento_chave, source || CASE WHEN source = 'src7' THEN '-novo' ELSE '' END AS titulo, sha256(text) AS conteudo_hash, (2000 + doc_id % 30)::INTEGER AS ano,
+  CASE WHEN source = 'src7' AND lang = 'de' THEN '2026' ELSE '2025' END AS criado_em, CASE WHEN source = 'src7' THEN '2026' ELSE '2025' END AS atualizado_em, CASE WHEN source = 'src7' THEN '2026' ELSE '2025' END AS ingerido_em
+FROM documents WHERE source = 'src7' OR lang <> 'de'
+UNION ALL SELECT 'd' || (doc_id + 1000000000), source, sha256(text), (2000 + doc_id % 30)::INTEGER, '2025', '2025', '2025' FROM documents WHERE lang = 'de'"""
+)
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored documents table after those of a source came in, new and changed: only their buckets are written again."""
+    stamps = {c: F.lit("2025") for c in ("criado_em", "atualizado_em", "ingerido_em")}
+    path = _stored(_docs_table(spark, sf_dir, _OLD_KEY, "").withColumns(stamps), "stored-documents")
+    store.upsert_stored(spark, path, _docs_table(spark, sf_dir, "concat('d', doc_id)", "-novo").where("titulo = 'src7-novo'"), F.lit("2026"))
+    return store.read_table(spark, path)
+
+
+_SOURCE_KEYS = "SELECT 'd' || doc_id FROM documents WHERE source = 'src7'"
+
+
+@query(
+    f"""+ old AS ({_lines_sql(_OLD_KEY, 'a')}), new AS ({_lines_sql(_NEW_KEY, 'b')})
+SELECT * FROM new WHERE documento_chave IN ({_SOURCE_KEYS}) UNION ALL SELECT * FROM old WHERE documento_chave NOT IN ({_SOURCE_KEYS})"""
+)
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored chunks table after the documents of a source were processed again."""
+    path = _stored(_lines(spark, sf_dir, _OLD_KEY, "a"), "stored-chunks")
+    done = table(spark, sf_dir, "documents").where("source = 'src7'").selectExpr("concat('d', doc_id) AS documento_chave")
+    store.replace_stored_chunks(spark, path, _lines(spark, sf_dir, _NEW_KEY, "b").join(done, "documento_chave", "left_semi"), done)
+    return store.read_table(spark, path)
+
+
+@query(f"+ old AS ({_lines_sql(_NEW_KEY, 'a')}) SELECT * FROM old WHERE documento_chave NOT IN ({_SOURCE_KEYS})")
+def stored_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored chunks table without the documents of a source."""
+    path = _stored(_lines(spark, sf_dir, _NEW_KEY, "a"), "stored-chunks")
+    store.remove_stored(spark, path, table(spark, sf_dir, "documents").where("source = 'src7'").selectExpr("concat('d', doc_id) AS documento_chave"))
+    return store.read_table(spark, path)
+
+
 def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with text as chunks: documents without any have none."""
     lines = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("documento_chave"), F.explode(F.split("text", "\n")).alias("t"), "lang").where("t <> ''")

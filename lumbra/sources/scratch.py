@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local session without it gets a temporary one, a cluster is refused."""
+    """The folder that ``spark.checkpoint.dir`` names; a local session without it gets one temporary folder, removed at its end, a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="lumbra-")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="lumbra-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
