@@ -1,10 +1,10 @@
 """Cross-tokenizer alignment: which tokens of one vocabulary cover the same bytes as which of another.
 
-Both tokenizers start a token before a space that follows anything but white space, so a
-text is the same as its pieces between such places, one after the other, for either of
-them.  A worker encodes and aligns each distinct piece once, by diagonal run skipping over
-the token ends of all new pieces together, and remembers recent ones; a text's groups and
-links are those of its pieces.
+Where the first tokenizer always starts a token and no token of the second one joins the
+bytes on both sides, a text may be cut without a change to either's tokens.  A worker
+encodes and aligns each distinct piece once, by diagonal run skipping over the token ends
+of all new pieces together, and remembers recent ones; a text's groups and links are those
+of its pieces.
 
 Links of one id pair in many documents are counted over blocks of documents: a block names
 each of its pairs once and its documents refer to them, so what is shuffled follows the
@@ -26,16 +26,11 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 from .storage import materialise
-from .tokens import dealt
+from .tokens import cut_at_spaces, dealt
 
 #: Pieces a worker remembers before it starts afresh, and text bytes and documents of a block at most, but for one longer text.
 _REMEMBERED = 400_000
-BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 100_000
-
-#: Bytes after which a space starts a piece: all but white space, controls, and what white space beyond ASCII ends with in UTF-8.
-_BEFORE = np.ones(256, bool)
-_BEFORE[[*range(33), 0x7F, 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = False
-
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 100_000
 
 def align_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Where groups end in both lists of token ends, as numbers of tokens: after each end that both have.
@@ -116,10 +111,15 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._a, self._b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self._a.encode_special_tokens = True
-        self._space = self._b.piece_to_id("▁")
         self.bytes_a, self.bytes_b = byte_level_tokens(path_a), sentence_tokens(self._b)
-        if joined := [t for t in self.bytes_b if b" " in t.lstrip(b" ")]:
-            raise ValueError(f"the second vocabulary has tokens across a space, such as {joined[0]!r}")
+        # a piece is encoded after a line end, a token of its own, so that no space is put before it
+        self._lead = len(self._b.encode("\n"))
+        if any(b"\n" in t for t in self.bytes_b if len(t) > 1):
+            raise ValueError("the second vocabulary joins line ends with other characters")
+        #: bytes that some token of the second vocabulary has side by side
+        self._joined = np.zeros((256, 256), bool)
+        for token in self.bytes_b:
+            self._joined[list(token[:-1]), list(token[1:])] = True
         self._size_a, self._size_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b))
         self._forget()
 
@@ -133,9 +133,7 @@ class Aligner:
     def _learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
         a = [e.ids for e in self._a.encode_batch_fast(texts, add_special_tokens=False)]
-        # the space in front is the one that the model adds, but not to an empty text
-        b = self._b.encode([t[1:] for t in texts], num_threads=1)
-        b = [[self._space] if t == " " else ids for t, ids in zip(texts, b, strict=True)]
+        b = [ids[self._lead :] for ids in self._b.encode(["\n" + t for t in texts], num_threads=1)]
         good = [b"".join(map(self.bytes_a.__getitem__, x)) == p == b"".join(map(self.bytes_b.__getitem__, y)) for p, x, y in zip(pieces, a, b, strict=True)]
         a, b = [x if g else [] for g, x in zip(good, a, strict=True)], [y if g else [] for g, y in zip(good, b, strict=True)]
         n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
@@ -148,7 +146,10 @@ class Aligner:
         links = np.concatenate(([0], np.cumsum(in_a * in_b)))[through]
 
         said_a, said_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = [f"{','.join(said_a[i:k])}|{','.join(said_b[j:m])}" for i, k, j, m in zip((ends_a - in_a).tolist(), ends_a.tolist(), (ends_b - in_b).tolist(), ends_b.tolist(), strict=True)]
+        groups = [
+            f"{said_a[k - 1]}|{said_b[m - 1]}" if n == r == 1 else f"{','.join(said_a[k - n : k])}|{','.join(said_b[m - r : m])}"
+            for n, k, r, m in zip(in_a.tolist(), ends_a.tolist(), in_b.tolist(), ends_b.tolist(), strict=True)
+        ]
         at = 0
         for end in through.tolist():
             self._groups.append(";".join(groups[at:end]).encode())
@@ -189,13 +190,30 @@ class Aligner:
             self._learn(new)
         return np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of all texts with a space put before them, and how many each has; null and empty texts have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        pieces, counts = cut_at_spaces(pc.if_else(pc.equal(texts, ""), pa.scalar("", pa.large_string()), spaced))
+        if not len(pieces):
+            return pieces, counts
+        _, offsets, data = pieces.buffers()
+        cuts = np.frombuffer(offsets, np.int32, len(pieces) + 1)
+        raw = np.frombuffer(data, np.uint8, int(cuts[-1]))
+        starts = np.ones(len(pieces), bool)
+        starts[1:] = ~self._joined[raw[cuts[1:-1] - 1], raw[cuts[1:-1]]]
+        starts[(np.cumsum(counts) - counts)[counts > 0]] = True
+        at = np.append(np.flatnonzero(starts), len(pieces))
+        of = np.repeat(np.arange(len(counts)), counts)
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(cuts[at]), data), np.bincount(of[starts], minlength=len(counts))
+
     def align(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of whole texts: numbers of tokens of both, groups and links; groups spelt out; and the pairs linked.
 
         Pairs are ``distinct`` ones (first id in the upper 32 bits), and for each text, one
         after the other, which of them it holds, how often, and where each text's end.
         """
-        pieces, counts = cut_before_spaces(texts)
+        pieces, counts = self._cut(texts)
         found = pieces.dictionary_encode()
         code = self._find(found.dictionary.cast(pa.binary()).to_pylist())
         local = found.indices.to_numpy().astype(np.int64)
@@ -228,28 +246,6 @@ class Aligner:
         return numbers, groups, (distinct, key % max(len(distinct), 1), times, text_ends)
 
 
-def cut_before_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Pieces of all texts with a space put before them, and how many each has; null and empty texts have none.
-
-    A piece starts before each space that follows anything but white space.
-    """
-    texts = texts.cast(pa.large_string()).fill_null("")
-    texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-    texts = texts.cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
-    first, last = int(ends[0]), int(ends[-1])
-    if first == last:
-        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
-    raw = np.frombuffer(data, np.uint8, last - first, first)
-    starts = raw == 32
-    starts[1:] &= _BEFORE[raw[:-1]]
-    starts[ends[:-1][ends[1:] > ends[:-1]] - first] = True
-    cuts = np.append(np.flatnonzero(starts), len(raw)).astype(np.int64)
-    pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data.slice(first, last - first))
-    return pieces, np.diff(np.searchsorted(cuts, ends - first))
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -310,13 +306,12 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
             distinct, to = np.unique(np.concatenate([p[2][0] for p in parts]), return_inverse=True)
             holders = np.zeros(len(distinct), np.int64)
             at = 0
-            for own, (numbers, groups, (here, nth, times, ends)) in zip(ids, parts, strict=True):
+            for own, (numbers, shas, (here, nth, times, ends)) in zip(ids, parts, strict=True):
                 nth = to[at : at + len(here)][nth]
                 at += len(here)
                 holders += np.bincount(nth, minlength=len(distinct))
                 starts = np.concatenate(([0], ends[:-1]))
                 links = [_packed(nth[i:k], times[i:k]) for i, k in zip(starts.tolist(), ends.tolist(), strict=True)]
-                shas = [sha256(g).hexdigest() if g else "" for g in groups]
                 columns = [pa.array(np.full(len(own), number)), own, *map(pa.array, numbers.T), pa.array(shas, pa.string()), pa.array(ends - starts), pa.array(links, pa.binary()), *(pa.nulls(len(own), fields[c]) for c in ("_pairs", "_docs"))]
                 yield pa.RecordBatch.from_arrays(columns, names=list(fields))
             last = [pa.array([number]), pa.nulls(1, ids[0].type), *(pa.nulls(1, fields[c]) for c in [*_NUMBERS, "_sha", "_held", "_links"]), pa.array([distinct], fields["_pairs"]), pa.array([holders], fields["_docs"])]
@@ -324,7 +319,8 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
 
         for part in slices(batches, 1):
             ids.append(part.column(0))
-            parts.append(known.align(part.column(1)))
+            numbers, groups, pairs = known.align(part.column(1))
+            parts.append((numbers, [sha256(g).hexdigest() if g else "" for g in groups], pairs))
             used, rows = used + (pc.sum(pc.binary_length(part.column(1))).as_py() or 0), rows + part.num_rows
             if used >= BLOCK_BYTES or rows >= BLOCK_DOCS:
                 yield from written()
