@@ -19,14 +19,14 @@ RECOMMENDED = ["tema", "regional", "fonte", "data_referencia"]
 SEVERITY = ["sem_frontmatter", "yaml_invalido", "erro", "aviso", "ok"]
 BLOCKING = ["sem_frontmatter", "yaml_invalido", "erro"]
 
-#: What the parser says, and the cause to act on; a tab may also be named or stand in the message.
+#: What the parser says, and the cause to act on; a tab may also be named or stand in the message.
 TAB = "'\\t'"
 CAUSES = [
-    ("mapping values are not allowed", "Valor contém ':' sem aspas. Envolva em aspas duplas."),
+    ("mapping values are not allowed", "Valor contém ':' sem aspas. Envolva em aspas duplas, ex.: title: \"Panorama: abertura de empresas\""),
     (TAB, "Indentação com TAB. YAML aceita apenas espaços."),
     ("scanning a quoted scalar", "Aspas abertas e não fechadas."),
     ("special characters are not allowed", "Caractere especial não escapado."),
-    ("could not find expected ':'", "Linha sem ':' ou valor iniciando com caractere reservado. Use aspas."),
+    ("could not find expected ':'", "Linha sem ':' ou valor iniciando com caractere reservado (@, `, %, *, &). Use aspas."),
 ]
 _FIELD = re.compile(r"(\s*)([A-Za-z_][\w-]*):\s+(.+)")
 _SPECIAL = re.compile(r"[:@`|>{}\[\]#&*!%]")
@@ -50,7 +50,7 @@ def yaml_cause(error: yaml.YAMLError, block: str) -> str:
     """The cause of a parser's error, with the line it is in."""
     said = f"{str(error).splitlines()[0]} {getattr(error, 'problem', '') or ''}".strip()
     tab = "\t" in said or "tab" in said.lower()
-    cause = next((text for sign, text in CAUSES if sign in said or (tab and sign == TAB)), said.splitlines()[0])
+    cause = next((text for sign, text in CAUSES if sign in said or (tab and sign == TAB)), said)
     lines = block.splitlines()
     mark = getattr(error, "problem_mark", None)
     return f"{cause} | linha {mark.line + 1}: {lines[mark.line].strip()!r}" if mark and mark.line < len(lines) else cause
@@ -138,9 +138,9 @@ def field_rules(metadata: Column, text: Column, regions: list[str] = REGIONS, st
 
 
 def diagnose(documents: DataFrame, repair: bool = False) -> DataFrame:
-    """One row per document ``chave, conteudo``, the worst first: status, cause, missing fields, warnings, and whether it was repaired.
+    """One row per document ``chave, conteudo``: status, cause, missing fields, warnings, and whether it was repaired.
 
-    With ``repair`` the repaired text is in ``conteudo``.
+    With ``repair`` the repaired text is in ``conteudo``.  Rows are in no order: see :func:`worst_first`.
     """
     read = _read(documents, repair)
     missing, warnings = field_rules(F.col("metadata"), F.col("conteudo"))
@@ -155,8 +155,21 @@ def diagnose(documents: DataFrame, repair: bool = False) -> DataFrame:
         .otherwise("ok")
     )
     error = F.when(F.col("_state") == "nenhum", missing_header_reason(F.col("conteudo"))).otherwise(F.col("_cause"))
-    out = rows.select(F.col("chave").alias("arquivo"), status.alias("status"), error.alias("erro"), "campos_ausentes", "avisos", "corrigido", "conteudo")
-    return out.orderBy(F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("status")), "arquivo")
+    return rows.select(F.col("chave").alias("arquivo"), status.alias("status"), error.alias("erro"), "campos_ausentes", "avisos", "corrigido", "conteudo")
+
+
+def severity(status: Column) -> Column:
+    """The rank of a status, 1 the worst."""
+    return F.array_position(F.array(*map(F.lit, SEVERITY)), status).cast("int")
+
+
+def worst_first(diagnosis: DataFrame) -> DataFrame:
+    """A report's rows, the worst first, then by file.
+
+    Texts are left out: what is sorted, and read twice to find ranges, are a few fields; give
+    it a written diagnosis where reading headers again costs more than writing those fields.
+    """
+    return diagnosis.drop("conteudo").withColumn("severidade", severity(F.col("status"))).orderBy("severidade", "arquivo")
 
 
 def diagnosis_totals(diagnosis: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import indicators as I
 from ..sources import documents as S
 from ..sources import registry as R
 from ..sources.scratch import shared_dir
+from ..sources.writer import write_documents
 from .roles import KEY, SQL, dataset, documents, questions, registry, regions, sourced, table, tidy, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -839,7 +840,7 @@ def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"origem_campos": F.to_json("origem_campos")} | {c: F.array_join(c, ",") for c in ("tema", "setor", "municipio", "avisos")})
 
 
-@query(
+_RENDERED = (
     _FIELDS
     + r"""SELECT chave, sha256(CASE WHEN had THEN conteudo ELSE concat('---', chr(10), 'title: ', title, chr(10), CASE WHEN ano IS NOT NULL THEN concat('ano: ', ano, chr(10)) ELSE '' END,
   CASE len(tema) WHEN 0 THEN '' WHEN 1 THEN concat('tema: ', tema[1], chr(10)) ELSE concat('tema:', chr(10), '- ', array_to_string(tema, chr(10) || '- '), chr(10)) END,
@@ -849,6 +850,9 @@ def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN data_referencia IS NULL THEN '' WHEN regexp_matches(data_referencia, '^\d+$') THEN concat('data_referencia: ''', data_referencia, '''', chr(10)) ELSE concat('data_referencia: ', data_referencia, chr(10)) END,
   '---', chr(10), chr(10), regexp_replace(corpo, '^\n+', '')) END) AS resumo FROM c"""
 )
+
+
+@query(_RENDERED)
 def header_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a header of its catalogue fields."""
     docs = documents(spark, sf_dir)
@@ -865,11 +869,14 @@ def _rules_sql(name: str, source: str) -> str:
     return rf"""{name}_b AS (SELECT *, regexp_matches(t, '(?s)\A---\s*\n.*?\n---\s*\n?') AS had, regexp_extract(t, '(?s)\A---\s*\n(.*?)\n---\s*\n?(.*)\z', 1) AS bloco, regexp_replace(t, '(?s)\A---\s*\n.*?\n---\s*\n?', '') AS corpo FROM {source}),
 {name}_f AS (SELECT *, coalesce({field('title')}, {field('titulo')}) AS titulo, coalesce({field('ano')}, {field('year')}) AS ano, {field('tema')} AS tema, {field('regional')} AS regional, {field('fonte')} AS fonte, {field('data_referencia')} AS data FROM {name}_b),
 {name}_w AS (SELECT *, list_filter([CASE WHEN titulo IS NULL THEN 'title' END, CASE WHEN ano IS NULL THEN 'ano' END], lambda x: x IS NOT NULL) AS faltam,
-    (tema IS NULL)::INTEGER + (regional IS NULL)::INTEGER + (fonte IS NULL)::INTEGER + (data IS NULL)::INTEGER + coalesce((try_cast(ano AS INTEGER) IS NULL AND ano IS NOT NULL)::INTEGER, 0)
-    + coalesce((try_cast(ano AS INTEGER) NOT BETWEEN 1990 AND 2100)::INTEGER, 0) + coalesce((lower(regional) NOT IN ({known}))::INTEGER, 0) + starts_with(t, chr(65279))::INTEGER
-    + (NOT regexp_matches(corpo, '\S'))::INTEGER + (NOT regexp_matches(corpo, '(?m)^[ \t]*#{{1,6}}[ \t]+\S'))::INTEGER AS n FROM {name}_f),
-{name} AS (SELECT chave, t, had, CASE WHEN had THEN array_to_string(faltam, ',') ELSE '' END AS ausentes, CASE WHEN had THEN n ELSE 0 END AS avisos,
-    CASE WHEN NOT had THEN 'sem_frontmatter' WHEN len(faltam) > 0 THEN 'erro' WHEN n > 0 THEN 'aviso' ELSE 'ok' END AS status FROM {name}_w)"""
+    list_filter([CASE WHEN tema IS NULL THEN 'Campo recomendado ausente: tema' END, CASE WHEN regional IS NULL THEN 'Campo recomendado ausente: regional' END,
+      CASE WHEN fonte IS NULL THEN 'Campo recomendado ausente: fonte' END, CASE WHEN data IS NULL THEN 'Campo recomendado ausente: data_referencia' END,
+      CASE WHEN try_cast(ano AS INTEGER) IS NULL AND ano IS NOT NULL THEN 'Ano não numérico: ' || chr(39) || ano || chr(39) END, CASE WHEN try_cast(ano AS INTEGER) NOT BETWEEN 1990 AND 2100 THEN 'Ano fora de faixa plausível: ' || ano END,
+      CASE WHEN lower(regional) NOT IN ({known}) THEN 'Regional ' || chr(39) || regional || chr(39) || ' não está entre as oficiais nem indica abrangência estadual.' END, CASE WHEN starts_with(t, chr(65279)) THEN 'Arquivo contém BOM; prefira UTF-8 sem BOM.' END,
+      CASE WHEN NOT regexp_matches(corpo, '\S') THEN 'Documento sem conteúdo após o frontmatter.' END,
+      CASE WHEN NOT regexp_matches(corpo, '(?m)^[ \t]*#{{1,6}}[ \t]+\S') THEN 'Nenhum heading (#) no corpo: o chunking recursivo perde a hierarquia de seções.' END], lambda x: x IS NOT NULL) AS ditos FROM {name}_f),
+{name} AS (SELECT chave, t, had, CASE WHEN had THEN array_to_string(faltam, ',') ELSE '' END AS ausentes, CASE WHEN had THEN array_to_string(ditos, '|') ELSE '' END AS avisos,
+    CASE WHEN NOT had THEN 'sem_frontmatter' WHEN len(faltam) > 0 THEN 'erro' WHEN len(ditos) > 0 THEN 'aviso' ELSE 'ok' END AS status FROM {name}_w)"""
 
 
 _RULES = "+ given AS (SELECT chave, conteudo AS t FROM studies), " + _rules_sql("rules", "given")
@@ -879,7 +886,7 @@ _RULES = "+ given AS (SELECT chave, conteudo AS t FROM studies), " + _rules_sql(
 def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every document's header."""
     found = validate.diagnose(documents(spark, sf_dir))
-    return found.select("arquivo", "status", F.array_join("campos_ausentes", ",").alias("ausentes"), F.size("avisos").alias("avisos"))
+    return found.select("arquivo", "status", F.array_join("campos_ausentes", ",").alias("ausentes"), F.array_join("avisos", "|").alias("avisos"))
 
 
 @query(
@@ -906,12 +913,85 @@ def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.diagnose(documents(spark, sf_dir), repair=True).select("arquivo", "status", "corrigido", F.sha2("conteudo", 256).alias("resumo"))
 
 
-@query(_RULES + " SELECT count(*) AS documentos, count(*) FILTER (avisos > 0) AS com_avisos, 0::BIGINT AS corrigidos, count(*) FILTER (status IN ('sem_frontmatter', 'erro')) AS bloqueantes FROM rules")
+# studies whose headers a parser refuses, each in one of seven ways, or not
+_FAULTY = """concat('---', chr(10), CASE doc_id % 8 WHEN 0 THEN concat('title: Panorama: ', source, chr(10), 'ano: 2020') WHEN 1 THEN concat('title: X', chr(10), 'lista:', chr(10), chr(9), '- ', lang)
+  WHEN 2 THEN concat('title: "Panorama ', doc_id, chr(10), 'ano: 2020') WHEN 3 THEN concat('fonte: @', source, chr(10), 'ano: 2020') WHEN 4 THEN concat('title: A', chr(10), 'sem dois pontos', chr(10), 'tema: ', lang)
+  WHEN 5 THEN concat('- ', lang, chr(10), '- b') WHEN 6 THEN concat('title: ', source, chr(10), 'ano: 2020') ELSE concat('title: *', source) END, chr(10), '---', chr(10), text)"""
+_CAUSE = """CASE doc_id % 8 WHEN 0 THEN 'Valor contém '':'' sem aspas. Envolva em aspas duplas, ex.: title: "Panorama: abertura de empresas" | linha 1: ''title: Panorama: ' || source || chr(39)
+  WHEN 1 THEN 'Indentação com TAB. YAML aceita apenas espaços. | linha 3: ''- ' || lang || chr(39) WHEN 2 THEN 'Aspas abertas e não fechadas. | linha 2: ''ano: 2020'''
+  WHEN 3 THEN 'while scanning for the next token found character ''@'' that cannot start any token | linha 1: ''fonte: @' || source || chr(39)
+  WHEN 4 THEN 'Linha sem '':'' ou valor iniciando com caractere reservado (@, `, %, *, &). Use aspas. | linha 3: ''tema: ' || lang || chr(39)
+  WHEN 5 THEN 'O bloco não é um mapa de chave/valor (tipo: list).' WHEN 7 THEN 'found undefined alias ''' || source || ''' found undefined alias ''' || source || ''' | linha 1: ''title: *' || source || chr(39) END"""
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(f"{KEY} AS chave", f"{_FAULTY} AS conteudo")
+
+
+@query(f"SELECT {KEY} AS arquivo, CASE WHEN doc_id % 8 = 6 THEN 'aviso' ELSE 'yaml_invalido' END AS status, {_CAUSE} AS erro, CASE WHEN doc_id % 8 = 6 THEN 4 ELSE 2 END AS severidade FROM documents")
+def yaml_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the headers of documents can't be read, with how bad that is."""
+    found = validate.diagnose(_faulty(spark, sf_dir))
+    return found.select("arquivo", "status", "erro", validate.severity(F.col("status")).alias("severidade"))
+
+
+@query(
+    f"""SELECT {KEY} AS arquivo, CASE doc_id % 8 WHEN 0 THEN 'aviso' WHEN 1 THEN 'erro' WHEN 6 THEN 'aviso' ELSE 'yaml_invalido' END AS status, doc_id % 8 < 2 AS corrigido,
+  sha256(CASE doc_id % 8 WHEN 0 THEN replace({_FAULTY}, 'Panorama: ' || source, '"Panorama: ' || source || '"') WHEN 1 THEN replace({_FAULTY}, chr(9) || '- ' || lang, '  - ' || lang) ELSE {_FAULTY} END) AS resumo FROM documents"""
+)
+def yaml_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that can't be read, after repair."""
+    return validate.diagnose(_faulty(spark, sf_dir), repair=True).select("arquivo", "status", "corrigido", F.sha2("conteudo", 256).alias("resumo"))
+
+
+@query(_RULES + " SELECT count(*) AS documentos, count(*) FILTER (avisos <> '') AS com_avisos, 0::BIGINT AS corrigidos, count(*) FILTER (status IN ('sem_frontmatter', 'erro')) AS bloqueantes FROM rules")
 def diagnosis_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a diagnosis."""
     return validate.diagnosis_totals(validate.diagnose(documents(spark, sf_dir)))
 
 
+# Folders of documents, written from the tables and read back
+
+_PLACE = """CASE doc_id % 9 WHEN 0 THEN concat('notas/', source, '/n', doc_id, '.md') WHEN 1 THEN concat('estudos/', lang, '/', doc_id, '.MD') WHEN 2 THEN concat('/estudos/', doc_id, '.Markdown')
+  WHEN 3 THEN concat('estudos/', doc_id, '.txt') WHEN 4 THEN concat('notas/.oculta/', doc_id, '.md') WHEN 5 THEN concat('a b', chr(92), 'é%20', doc_id, '.md') ELSE concat(source, '/', lang, '/d', doc_id, '.md') END"""
+_BYTES = "CASE doc_id % 4 WHEN 1 THEN concat(X'EFBBBF', encode(text, 'UTF-8')) WHEN 2 THEN concat(encode(text, 'UTF-8'), X'FF') ELSE encode(text, 'UTF-8') END"
+_FOLDER = rf"""+ arquivos AS (SELECT doc_id, regexp_replace(replace({_PLACE}, chr(92), '/'), '^/+', '') AS k, doc_id % 9 AS kind,
+  CASE doc_id % 4 WHEN 1 THEN '\xEF\xBB\xBF'::BLOB || encode(text) WHEN 2 THEN encode(text) || '\xFF'::BLOB ELSE encode(text) END AS b, CASE WHEN doc_id % 4 = 2 THEN text || chr(65533) ELSE text END AS t FROM documents) """
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    root = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    write_documents(table(spark, sf_dir, "documents").selectExpr(f"{_PLACE} AS chave", f"{_BYTES} AS conteudo"), root)
+    return root
+
+
+@query(_FOLDER + "SELECT regexp_replace(k, '^notas/', '') AS chave, 'https://exemplo.test/base/notas/' || regexp_replace(k, '^notas/', '') AS origem_uri, true AS com_etag, octet_length(b) AS tamanho FROM arquivos WHERE kind NOT IN (3, 4)")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown files of a folder, without their contents."""
+    found = S.list_documents(spark, _folder(spark, sf_dir), base="https://exemplo.test/base/", prefix="/notas/")
+    return found.select("chave", "origem_uri", F.col("etag").rlike("^mtime-[0-9]+$").alias("com_etag"), "tamanho")
+
+
+@query(_FOLDER + "SELECT k AS chave, sha256(t) AS conteudo_hash, sha256(b) AS hash_bruto, length(t) AS tamanho FROM arquivos WHERE kind NOT IN (3, 4)")
+def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of the Markdown files of a folder, with byte order marks and bad bytes."""
+    return S.read_documents(spark, _folder(spark, sf_dir)).select("chave", "conteudo_hash", "hash_bruto", F.length("conteudo").alias("tamanho"))
+
+
+@query(_FOLDER + "SELECT k AS path, sha256(b) AS resumo FROM arquivos WHERE kind NOT IN (1, 2, 3, 4) AND doc_id % 4 <> 2")
+def folder_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule notes of a folder: no hidden paths, none that can't be decoded."""
+    return S.read_notes(spark, _folder(spark, sf_dir)).select("path", F.sha2("conteudo", 256).alias("resumo"))
+
+
+@query(_RENDERED)
+def folder_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with headers of their catalogue fields, written as files and read back."""
+    docs, root = documents(spark, sf_dir), f"{shared_dir(spark)}/rendered-{uuid.uuid4().hex}"
+    write_documents(C.render_headers(docs, C.catalog_fields(docs, "fonte própria", ["Itajaí", "Lages"])), root)
+    return S.read_documents(spark, root).select("chave", F.col("conteudo_hash").alias("resumo"))
+
+
 # Files that Spark writes from the tables, and reads back as the jobs' sources
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ MARKDOWN = r"(?i)\.(md|markdown)$"
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Files below a folder, with ``below``, their path from there; names that start with ``_`` or ``.`` are hidden, as for all of Spark's readers."""
+    lead = re.sub(r"\Afile:/+", "/", root).rstrip("/") + "/"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("below", F.substring_index("path", lead, -1))
 
 
 def document_key(path: Column, prefix: str = "") -> Column:
@@ -28,8 +32,7 @@ def document_uri(base: str, key: Column, prefix: str = "") -> Column:
 def list_documents(spark: SparkSession, root: str, base: str = "", prefix: str = "") -> DataFrame:
     """Markdown files below a folder, at any depth: ``chave, origem_uri, etag, tamanho``; contents are not read."""
     files = _files(spark, root).where(F.col("path").rlike(MARKDOWN))
-    below = F.substring_index("path", root.rstrip("/") + "/", -1)
-    key = document_key(below, prefix)
+    key = document_key(F.col("below"), prefix)
     return files.select(
         key.alias("chave"),
         (document_uri(base, key, prefix) if base else F.col("path")).alias("origem_uri"),
@@ -46,18 +49,16 @@ def decoded(content: Column) -> Column:
 def read_documents(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Contents of Markdown files: ``chave, conteudo``, and hashes of the bytes and of the text, from one pass."""
     files = _files(spark, root).where(F.col("path").rlike(MARKDOWN))
-    below = F.substring_index("path", root.rstrip("/") + "/", -1)
     text = decoded(F.col("content"))
     return files.select(
-        document_key(below, prefix).alias("chave"), text.alias("conteudo"), F.sha2("content", 256).alias("hash_bruto"), F.sha2(text, 256).alias("conteudo_hash")
+        document_key(F.col("below"), prefix).alias("chave"), text.alias("conteudo"), F.sha2("content", 256).alias("hash_bruto"), F.sha2(text, 256).alias("conteudo_hash")
     )
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """Rule notes: ``path, conteudo`` of ``*.md`` below a folder, without hidden paths and undecodable files."""
-    below = F.substring_index("path", root.rstrip("/") + "/", -1)
-    files = _files(spark, root).where(F.col("path").endswith(".md") & ~below.rlike(r"(^|/)\."))
-    return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(below.alias("path"), F.col("content").cast("string").alias("conteudo"))
+    files = _files(spark, root).where(F.col("path").endswith(".md") & ~F.col("below").rlike(r"(^|/)\."))
+    return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("below").alias("path"), F.col("content").cast("string").alias("conteudo"))
 
 
 def split_pending(listing: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:

@@ -223,7 +223,9 @@ def test_chunks_equal_rules_written_out(spark):
 def test_diagnosis_comes_worst_first(spark):
     good = "---\ntitle: T\nano: 2020\ntema: x\nregional: Sul\nfonte: f\ndata_referencia: 2020\n---\n# H\ntexto"
     docs = spark.createDataFrame([("b", good), ("a", good), ("z", "x"), ("y", "---\n- a\n---\n"), ("c", good.replace("title: T\n", "")), ("d", good.replace("Sul", "Lua"))], "chave string, conteudo string")
-    assert [r["arquivo"] for r in validate.diagnose(docs).collect()] == ["z", "y", "c", "d", "a", "b"]
+    found = validate.diagnose(docs)
+    assert [(r["arquivo"], r["severidade"]) for r in validate.worst_first(found).collect()] == [("z", 1), ("y", 2), ("c", 3), ("d", 4), ("a", 5), ("b", 5)]
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rendered_headers(spark):
