@@ -11,7 +11,7 @@ MARKDOWN = r"(?i)\.(md|markdown)$"
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder, with ``below``, their path from there; names that start with ``_`` or ``.`` are hidden, as for all of Spark's readers."""
+    """Files below a folder, with ``below``, their path from there; as for all of Spark's readers, empty files and names that start with ``_`` or ``.`` are passed over."""
     lead = re.sub(r"\Afile:/+", "/", root).rstrip("/") + "/"
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("below", F.substring_index("path", lead, -1))
 

@@ -16,7 +16,7 @@ def test_files_are_where_keys_say(spark, tmp_path):
     found = {str(p.relative_to(root)): p.read_text() for p in Path(root).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
     assert found == {"a/b.md": "um", "a/c.MD": "dois", "x/y é.markdown": "três", "vazio.md": "", ".z/d.md": "q", "z.txt": "t"}
     assert json.loads((Path(root) / "_SUCCESS").read_text()) == {"files": 6, "bytes": 13}
-    assert [r["chave"] for r in S.list_documents(spark, root).collect()] == ["a/b.md", "a/c.MD", "vazio.md", "x/y é.markdown"]
+    assert [r["chave"] for r in S.list_documents(spark, root).collect()] == ["a/b.md", "a/c.MD", "x/y é.markdown"]
     assert {r["chave"]: r["conteudo"] for r in S.read_documents(spark, f"file://{root}").collect()}["x/y é.markdown"] == "três"
     # written again, files are replaced
     write_documents(spark.createDataFrame([("a/b.md", bytearray(b"\xef\xbb\xbfnovo\xff"))], "chave string, conteudo binary"), root)
