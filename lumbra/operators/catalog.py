@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -52,55 +53,113 @@ def reference_period(name: Column, title: Column, year: Column) -> Column:
     )
 
 
-def catalog_region(sample: Column, regions: list[str] = REGIONS) -> Column:
-    """The longest region that stands in a normalised text as whole words."""
-    return _once(sample, lambda s: F.coalesce(*[F.when(_names(s, r), r) for r in sorted(regions, key=len, reverse=True)]))
-
-
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _names(sample: Column, term: str) -> Column:
-    """Whether a normalised text has a term as whole words; most texts don't even hold its letters."""
-    return sample.contains(_norm(term)) & sample.rlike(_norm_pattern(term))
-
-
+@functools.cache
 def _norm(term: str) -> str:
-    import unicodedata
+    kept = (c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn")
+    return " ".join("".join(kept).lower().split())
 
-    return " ".join("".join(c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn").lower().split())
 
+def _trie(terms: list[str]) -> str:
+    """A pattern of any of the terms, the longest first, in which terms share what they begin with."""
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
-def _norm_pattern(term: str) -> str:
-    return word_pattern(_norm(term))
+    def pattern(node: dict) -> str:
+        ways = [re.escape(c) + pattern(after) for c, after in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        return ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})" + "?" * ("" in node)
 
+    return pattern(tree)
 
-def catalog_places(sample: Column, places: list[str], regions: list[str] = REGIONS, limit: int = 5) -> Column:
-    """Places that stand in a normalised text, in the vocabulary's order, at most ``limit``.
 
-    Names of regions are blanked first, so a place named like a region is not found; a place
-    within another found one's name is dropped.
+def find_terms(sample: Column, terms: list[str]) -> Column:
+    """What a normalised text holds of a dictionary, in one pass: at each word the longest of the terms (normalised) that starts there.
+
+    A shorter term that begins a found one with whole words is there too: see :func:`_held`.
     """
-    if not places:
+    if not terms:
         return F.array().cast("array<string>")
+    first = "".join(sorted({re.escape(t[0]) for t in terms}))
+    return F.regexp_extract_all(sample, F.lit(rf"(?U)(?=[{first}])\b(?=({_trie(terms)})\b)"), F.lit(1))
+
+
+def _held(longer: str, term: str) -> bool:
+    """Whether a term begins another with whole words, or is it."""
+    return longer == term or (longer.startswith(term) and not (longer[len(term)].isalnum() or longer[len(term)] == "_"))
+
+
+def _literal(value: object, kind: str) -> Column:
+    """A constant map or array, by one call however large it is; the optimizer folds it."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
+def _told(found: Column, terms: list[str], what: Callable[[str], list[int]]) -> Column:
+    """For each found term the numbers that it stands for."""
+    return F.transform(found, lambda m: _literal({t: what(t) for t in terms}, "map<string,array<int>>")[m])
 
-    def blanked(s: Column) -> Column:
-        for r in regions:
-            s = F.regexp_replace(s, _norm_pattern(r), " ")
-        return s
 
-    def found_in(s: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(_names(s, p), F.struct(F.lit(p).alias("name"), F.lit(_norm(p)).alias("norm"))) for p in places]))
+def _terms(*vocabularies: dict[str, list[str]] | list[str]) -> list[str]:
+    """All terms of vocabularies, normalised, in order."""
+    flat = [t for v in vocabularies for t in (v if isinstance(v, list) else [x for terms in v.values() for x in terms])]
+    return sorted({_norm(t) for t in flat})
 
-    def outermost(found: Column) -> Column:
-        outer = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["name"] != x["name"]) & y["norm"].contains(x["norm"])))
-        return F.slice(F.transform(outer, lambda x: x["name"]), 1, limit)
 
-    some = lambda s: functools.reduce(lambda a, b: a | b, [s.contains(_norm(r)) for r in regions], F.lit(False))
-    bare = _once(sample, lambda s: F.when(some(s), blanked(s)).otherwise(s))
-    return _once(_once(bare, found_in), outermost)
+def catalog_region(sample: Column, regions: list[str] = REGIONS, found: tuple[Column, list[str]] | None = None) -> Column:
+    """The longest region that stands in a normalised text as whole words; ``found`` has terms found already, and all asked for."""
+    if not regions:
+        return F.lit(None).cast("string")
+    ranked = sorted(regions, key=len, reverse=True)
+    matches, terms = found or (find_terms(sample, _terms(regions)), _terms(regions))
+    ranks = F.flatten(_told(matches, terms, lambda m: [k for k, r in enumerate(ranked) if _held(m, _norm(r))] or [len(ranked)]))
+    return F.get(_literal(ranked, "array<string>"), F.array_min(ranks))
+
+
+def _blanked(sample: Column, regions: list[str]) -> Column:
+    """A normalised text without the names of regions, one after the other as they are listed.
+
+    A name that holds an earlier one as words is never whole when its turn comes; the others
+    go in one pass, if no two may share words.
+    """
+    norms = list(dict.fromkeys(map(_norm, regions)))
+    within = lambda a, b: re.search(rf"\b{re.escape(a)}\b", b) is not None
+    whole = [r for k, r in enumerate(norms) if not any(within(e, r) for e in norms[:k])]
+    shared = any(a.split()[-k:] == b.split()[:k] for a in whole for b in whole for k in range(1, min(len(a.split()), len(b.split()))))
+    if not shared:
+        first = "".join(sorted({re.escape(r[0]) for r in whole}))
+        return F.regexp_replace(sample, rf"(?U)(?=[{first}])\b{_trie(whole)}\b", " ") if whole else sample
+    return functools.reduce(lambda s, r: F.regexp_replace(s, word_pattern(r), " "), whole, sample)
+
+
+def catalog_places(sample: Column, places: list[str], regions: list[str] = REGIONS, limit: int = 5, found: tuple[Column, list[str]] | None = None) -> Column:
+    """Places that stand in a normalised text, in the vocabulary's order, at most ``limit``.
+
+    Names of regions are blanked first, so a place named like a region is not found; a place
+    within another found one's name is dropped.  Texts without a region's name need no
+    second search where ``found`` has all terms found already.
+    """
+    if not places:
+        return F.array().cast("array<string>")
+    own, norms = _terms(places), list(map(_norm, places))
+    numbers = lambda matches, terms: F.array_sort(F.array_distinct(F.flatten(_told(matches, terms, lambda m: [k for k, p in enumerate(norms) if _held(m, p)] or [-1]))))
+    again = numbers(find_terms(_blanked(sample, regions), own), own)
+    if found is None:
+        seen = again
+    else:
+        region = catalog_region(sample, regions, found)
+        seen = F.when(region.isNotNull(), again).otherwise(numbers(*found))
+    outer = _literal([[j for j, other in enumerate(places) if other != p and norms[k] in norms[j]] or [-2] for k, p in enumerate(places)], "array<array<int>>")
+    kept = _once(seen, lambda ids: F.filter(ids, lambda k: (k >= 0) & ~F.arrays_overlap(ids, F.get(outer, k))))
+    return F.slice(F.transform(kept, lambda k: F.get(_literal(places, "array<string>"), k)), 1, limit)
 
 
 def _overlaps_itself(term: str) -> bool:
@@ -109,42 +168,51 @@ def _overlaps_itself(term: str) -> bool:
     return any(words[:k] == words[-k:] for k in range(1, len(words)))
 
 
-def vocabulary_scores(sample: Column, vocabulary: dict[str, list[str]]) -> Column:
+def vocabulary_scores(sample: Column, vocabulary: dict[str, list[str]], found: tuple[Column, list[str]] | None = None) -> Column:
     """``label, pontos`` of labels whose terms occur as words, most often first, ties by label.
 
-    The text is searched once for all terms: at each word the longest term that starts there
-    is taken, and a shorter one that starts with the same words is there too.
+    The text is searched once for all terms, or not at all where ``found`` has them.
     """
-    norms = {t: _norm(t) for terms in vocabulary.values() for t in terms}
-    together = sorted({n for n in norms.values() if not _overlaps_itself(n)}, key=lambda n: (-len(n), n))
-    pattern = rf"(?U)\b(?=({'|'.join(map(re.escape, together))})\b)"
-    holds = lambda longer, term: longer == term or (longer.startswith(term) and not (longer[len(term)].isalnum() or longer[len(term)] == "_"))
-
-    def scored(found: Column) -> Column:
-        def places(term: str) -> Column:
-            if norms[term] not in together:
-                return F.regexp_count(sample, F.lit(_norm_pattern(term)))
-            return F.size(F.filter(found, lambda m: m.isin([n for n in together if holds(n, norms[term])])))
-
-        counted = F.array(*[F.struct(F.lit(label).alias("label"), sum(map(places, terms), F.lit(0)).alias("pontos")) for label, terms in vocabulary.items()])
-        order = F.array_sort(F.transform(F.filter(counted, lambda s: s["pontos"] > 0), lambda s: F.struct((-s["pontos"]).alias("by"), s["label"].alias("label"))))
+    labels = list(vocabulary)
+    norms = {label: [_norm(t) for t in terms] for label, terms in vocabulary.items()}
+    matches, terms = found or (find_terms(sample, _terms(vocabulary)), _terms(vocabulary))
+    weights = _told(matches, terms, lambda m: [sum(_held(m, t) for t in norms[label] if not _overlaps_itself(t)) for label in labels])
+    odd = {label: [t for t in norms[label] if _overlaps_itself(t)] for label in labels}
+
+    def scored(per: Column) -> Column:
+        points = F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.aggregate(per, F.lit(0), lambda n, w: n + w[k]))
+        if any(odd.values()):
+            more = F.array(*[sum((F.regexp_count(sample, F.lit(word_pattern(t))) for t in odd[label]), F.lit(0)) for label in labels])
+            points = F.zip_with(points, more, lambda a, b: a + b)
+        both = F.arrays_zip(points.alias("pontos"), _literal(labels, "array<string>").alias("label"))
+        order = F.array_sort(F.transform(F.filter(both, lambda s: s["pontos"] > 0), lambda s: F.struct((-s["pontos"]).alias("by"), s["label"].alias("label"))))
         return F.transform(order, lambda s: F.struct(s["label"].alias("label"), (-s["by"]).alias("pontos")))
 
-    matches = F.regexp_extract_all(sample, F.lit(pattern), F.lit(1)) if together else F.array().cast("array<string>")
-    return _once(matches, scored)
+    if not labels:
+        return F.array().cast("array<struct<label:string,pontos:int>>")
+    return _once(weights, scored)
 
 
-def themes(sample: Column, vocabulary: dict[str, list[str]] = THEMES, limit: int = 3) -> Column:
+def themes(sample: Column, vocabulary: dict[str, list[str]] = THEMES, limit: int = 3, found: tuple[Column, list[str]] | None = None) -> Column:
     """Best themes of a normalised text."""
-    return F.slice(F.transform(vocabulary_scores(sample, vocabulary), lambda s: s["label"]), 1, limit)
+    return F.slice(F.transform(vocabulary_scores(sample, vocabulary, found), lambda s: s["label"]), 1, limit)
 
 
-def sectors(sample: Column, vocabulary: dict[str, list[str]] = SECTORS, limit: int = 3, least: int = 2) -> Column:
+def sectors(sample: Column, vocabulary: dict[str, list[str]] = SECTORS, limit: int = 3, least: int = 2, found: tuple[Column, list[str]] | None = None) -> Column:
     """Best sectors of a normalised text that it names at least twice."""
-    often = F.filter(vocabulary_scores(sample, vocabulary), lambda s: s["pontos"] >= least)
+    often = F.filter(vocabulary_scores(sample, vocabulary, found), lambda s: s["pontos"] >= least)
     return F.slice(F.transform(often, lambda s: s["label"]), 1, limit)
 
 
+def dictionary_fields(samples: DataFrame, sample: str, places: list[str]) -> DataFrame:
+    """Add ``tema, setor, municipio, regional`` to rows with a normalised text, which is searched once for all vocabularies."""
+    terms = _terms(THEMES, SECTORS, REGIONS, places)
+    text, found = F.col(sample), (F.col("_found"), terms)
+    rows = samples.withColumn("_found", find_terms(text, terms))
+    fields = {"tema": themes(text, found=found), "setor": sectors(text, found=found), "municipio": catalog_places(text, places, found=found), "regional": catalog_region(text, found=found)}
+    return rows.withColumns(fields).drop("_found")
+
+
 def catalog_fields(documents: DataFrame, source: str, places: list[str], completed: DataFrame | None = None, sample: int | None = None, lead: int | None = None) -> DataFrame:
     """Catalogue fields of documents ``chave, conteudo``, with each field's origin, warnings and status.
 
@@ -158,8 +226,8 @@ def catalog_fields(documents: DataFrame, source: str, places: list[str], complet
     rows = documents.select("chave", "conteudo", name.alias("_name"), text.alias("_body"), has_header(F.col("conteudo")).alias("_had"))
     rows = rows.withColumn("title", catalog_title(F.col("_name"), F.col("_body")))
     rows = rows.withColumn("_sample", normalise(F.concat_ws(" ", "_name", "title", (F.col("_body") if sample is None else F.substring("_body", 1, sample)))))
-    rows = rows.withColumns({"ano": catalog_year(F.col("_name"), F.col("title"), (F.col("_body") if lead is None else F.substring("_body", 1, lead))), "tema": themes(F.col("_sample")), "setor": sectors(F.col("_sample"))})
-    rows = rows.withColumns({"municipio": catalog_places(F.col("_sample"), places), "regional": catalog_region(F.col("_sample")), "fonte": F.lit(source)})
+    rows = rows.withColumns({"ano": catalog_year(F.col("_name"), F.col("title"), (F.col("_body") if lead is None else F.substring("_body", 1, lead)))})
+    rows = dictionary_fields(rows, "_sample", places).withColumn("fonte", F.lit(source))
     rows = rows.withColumn("data_referencia", reference_period(F.col("_name"), F.col("title"), F.col("ano")))
     empty = lambda f: F.size(f) == 0 if f in ("tema", "setor", "municipio") else F.coalesce(F.col(f).cast("string"), F.lit("")) == ""
     if completed is not None:

@@ -14,7 +14,9 @@ SIZE, OVERLAP = 1200, 200
 #: White space of any kind, and ends of lines, as in Python's ``str.strip`` and ``str.splitlines``.
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BREAK = r"\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}"
-_LINE = rf"[^{BREAK}]*(?:\r\n|[{BREAK}])|[^{BREAK}]+\z"
+_WHITE = " " + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
+#: Where a line begins that may be a heading or a fence.
+_MARKED = rf"(?<=[{BREAK}])(?!(?<=\r)\n)(?=[{SPACE}&&[^{BREAK}]]*(?:#|```))"
 _HEADING = rf"\A(#{{1,6}})[{SPACE}]+(.+?)[{SPACE}]*#*\z"
 
 
@@ -25,7 +27,7 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def _windows(part: Column, size: int, overlap: int) -> Column:
@@ -40,27 +42,23 @@ def _groups(lengths: Column, gap: int, size: int, overlap: int) -> Column:
     One fold over the blocks' lengths: the run in hand starts at ``first``, has ``used``
     characters, and ``last`` is the length of its last block, the one before number ``at``.
     """
-    run = lambda s: F.struct(s["first"].alias("first"), s["at"].alias("after"))
-    none = F.array().cast("array<struct<first:int,after:int>>")
-    start = F.struct(none.alias("runs"), *[F.lit(0).alias(c) for c in ("first", "at", "used", "last")])
+    fields = ("runs", "first", "at", "used", "last")
+    state = lambda *values: F.struct(*[v.alias(f) for v, f in zip(values, fields, strict=True)])
+    run = lambda s: F.concat(s["runs"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("after"))))
+    start = state(F.array().cast("array<struct<first:int,after:int>>"), *[F.lit(0)] * 4)
 
     def add(s: Column, n: Column) -> Column:
-        cost = n + gap
-        full, again = (s["at"] > s["first"]) & (s["used"] + cost > size), s["last"] <= overlap
-        return F.struct(
-            F.when(full, F.concat(s["runs"], F.array(run(s)))).otherwise(s["runs"]).alias("runs"),
-            F.when(~full, s["first"]).when(again, s["at"] - 1).otherwise(s["at"]).alias("first"),
-            (s["at"] + 1).alias("at"),
-            F.when(~full, s["used"] + cost).when(again, s["last"] + cost).otherwise(cost).alias("used"),
-            n.alias("last"),
-        )
+        again = state(run(s), s["at"] - 1, s["at"] + 1, s["last"] + n + gap, n)
+        alone = state(run(s), s["at"], s["at"] + 1, n + gap, n)
+        fits = state(s["runs"], s["first"], s["at"] + 1, s["used"] + n + gap, n)
+        return F.when((s["used"] + n <= size - gap) | (s["at"] == s["first"]), fits).when(s["last"] <= overlap, again).otherwise(alone)
 
-    return F.aggregate(lengths, start, add, lambda s: F.concat(s["runs"], F.array(run(s))))
+    return F.aggregate(lengths, start, add, run)
 
 
 def _level(part: Column, separator: str, size: int, overlap: int) -> Column:
     """A part split at one separator and put together again as far as it fits; whole where there are no two blocks."""
-    blocks = F.filter(F.split(part, rf"\Q{separator}\E"), lambda b: b.rlike(rf"[^{SPACE}]"))
+    blocks = F.filter(F.split(part, rf"\Q{separator}\E"), lambda b: strip(b) != "")
 
     def joined(blocks: Column) -> Column:
         runs = _groups(F.transform(blocks, F.length), len(separator), size, overlap)
@@ -85,28 +83,30 @@ def split_text(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column
 def heading_paths(text: Column) -> Column:
     """Headings outside fenced code as ``inicio, caminho``: where each starts, and the path of headings in force from there.
 
-    One fold over the lines; texts without a heading mark are not split.
+    The text is cut before lines that may be headings or fences, and one fold goes over
+    these parts; texts without a heading mark are not cut.
     """
     none = F.array().cast("array<struct<inicio:int,caminho:string>>")
-    start = F.struct(none.alias("found"), F.array_repeat(F.lit(""), 6).alias("levels"), F.lit(0).alias("at"), F.lit(False).alias("fenced"))
+    fields = ("found", "levels", "at", "fenced")
+    state = lambda *values: F.struct(*[v.alias(f) for v, f in zip(values, fields, strict=True)])
+    start = state(none, F.array_repeat(F.lit(""), 6), F.lit(0), F.lit(False))
+
+    def add(s: Column, part: Column) -> Column:
+        after = s["at"] + F.length(part)
 
-    def add(s: Column, line: Column) -> Column:
         def step(bare: Column) -> Column:
-            fenced = s["fenced"] != bare.startswith("```")
-            depth = F.when(~fenced & bare.rlike(_HEADING), F.length(F.regexp_extract(bare, _HEADING, 1))).otherwise(0)
+            depth = F.length(F.regexp_extract(bare, _HEADING, 1))
             title = strip(F.regexp_extract(bare, _HEADING, 2))
             levels = F.transform(s["levels"], lambda t, k: F.when(k < depth - 1, t).when(k == depth - 1, title).otherwise(""))
-            return _once(F.when(depth > 0, levels), lambda now: F.struct(
-                F.when(now.isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct(s["at"].alias("inicio"), F.array_join(F.filter(now, lambda t: t != ""), " > ").alias("caminho"))))).alias("found"),
-                F.coalesce(now, s["levels"]).alias("levels"),
-                (s["at"] + F.length(line)).alias("at"),
-                fenced.alias("fenced"),
-            ))
+            path = lambda now: F.struct(s["at"].alias("inicio"), F.array_join(F.filter(now, lambda t: t != ""), " > ").alias("caminho"))
+            heads = _once(levels, lambda now: state(F.concat(s["found"], F.array(path(now))), now, after, F.lit(False)))
+            passed = state(s["found"], s["levels"], after, s["fenced"])
+            fence = state(s["found"], s["levels"], after, ~s["fenced"])
+            return F.when(bare.startswith("```"), fence).when(s["fenced"] | ~bare.rlike(_HEADING), passed).otherwise(heads)
 
-        return _once(strip(line), step)
+        return _once(strip(F.regexp_extract(part, rf"\A[^{BREAK}]*", 0)), step)
 
-    lines = F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
-    return F.when(text.contains("#"), F.aggregate(lines, start, add, lambda s: s["found"])).otherwise(none)
+    return F.when(text.contains("#"), F.aggregate(F.split(text, _MARKED), start, add, lambda s: s["found"])).otherwise(none)
 
 
 def locate(text: Column, chunks: Column) -> Column:

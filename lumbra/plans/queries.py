@@ -784,11 +784,16 @@ SELECT doc_id, array_to_string(t.labels, ',') AS temas, array_to_string(u.labels
 def catalog_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best themes and sectors of every document."""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_THEMED} AS t").select("doc_id", X.normalise(F.col("t")).alias("s"))
-    return rows.select("doc_id", F.array_join(C.themes(F.col("s")), ",").alias("temas"), F.array_join(C.sectors(F.col("s")), ",").alias("setores"))
+    found = C.dictionary_fields(rows, "s", PLACES)
+    return found.select("doc_id", F.array_join("tema", ",").alias("temas"), F.array_join("setor", ",").alias("setores"))
 
 
 _PLACED = "concat(text, CASE doc_id % 5 WHEN 0 THEN ' Extremo Oeste e Sul' WHEN 1 THEN ' consultoria em Itajaí' WHEN 2 THEN ' Vale do Itajaí' WHEN 3 THEN ' Balneário Camboriú, Camboriú e Lages' ELSE '' END)"
 PLACES = ["Itajaí", "Lages", "Camboriú", "Balneário Camboriú"]
+#: As many names as a state has municipalities: five of each stem, some within others, some with a region's name in them.
+_STEMS = [a + b for b in ("dó", "ruçu", "tinga", "vaí", "quara", "mirim") for a in ("Ara", "Ita", "Pira", "Gua", "Tapa", "Uru", "Ca", "Jara", "Bo", "Sã")][:59]
+MANY_PLACES = [n for s in _STEMS for n in (s, f"Balneário {s}", f"São {s} do Sul", f"Alto {s}", f"{s} d'Oeste")]
+_MANY = "['" + "', '".join(n.replace("'", "''") for n in MANY_PLACES) + "']"
 
 
 def _region_sql(s: str) -> str:
@@ -810,6 +815,29 @@ def catalog_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", C.catalog_region(F.col("s")).alias("regional"), F.array_join(C.catalog_places(F.col("s"), PLACES), ",").alias("municipio"))
 
 
+def _many_sql() -> str:
+    """All places of a text ``s`` with regions blanked, then those within no other one."""
+    pattern = lambda p: strip_accents(p).lower().replace("'", "''")
+    blank = "s"
+    for r in REGIONS:
+        blank = f"regexp_replace({blank}, '\\b{strip_accents(r).lower()}\\b', ' ', 'g')"
+    found = ", ".join(f"CASE WHEN contains(b, '{pattern(p)}') AND regexp_matches(b, '\\b{pattern(p)}\\b') THEN '{p.replace(chr(39), chr(39) * 2)}' END" for p in MANY_PLACES)
+    return f"""+ texts AS (SELECT doc_id, {NORM.format(f"concat(text, ' ', {_MANY}[1 + doc_id * 7 % 295], ', ', {_MANY}[1 + (doc_id * 3 + 1) % 295], CASE WHEN doc_id % 3 = 0 THEN ' na Serra; Extremo Oeste' ELSE '' END, ' e ', {_MANY}[1 + doc_id % 295])")} AS s FROM documents),
+bare AS (SELECT doc_id, s, {blank} AS b FROM texts), f AS (SELECT doc_id, s, list_filter([{found}], lambda x: x IS NOT NULL) AS f FROM bare)
+SELECT doc_id, {_region_sql('s')} AS regional, array_to_string(list_slice(list_filter(f, lambda x: len(list_filter(f, lambda y: y <> x AND contains(lower(strip_accents(y)), lower(strip_accents(x))))) = 0), 1, 5), ',') AS municipio FROM f"""
+
+
+@query(_many_sql())
+def catalog_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region and places of every document, by a vocabulary as long as a state's."""
+    name = lambda k: F.get(F.lit(MANY_PLACES), k.cast("int"))
+    n = F.col("doc_id")
+    text = F.concat("text", F.lit(" "), name(n * 7 % 295), F.lit(", "), name((n * 3 + 1) % 295), F.when(n % 3 == 0, " na Serra; Extremo Oeste").otherwise(""), F.lit(" e "), name(n % 295))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.normalise(text).alias("s"))
+    found = C.dictionary_fields(rows, "s", MANY_PLACES)
+    return found.select("doc_id", "regional", F.array_join("municipio", ",").alias("municipio"))
+
+
 _STEM = r"regexp_extract(chave, '([^/]*)\.md$', 1)"
 _HAD = r"regexp_matches(conteudo, '(?s)\A---\s*\n.*?\n---\s*\n?')"
 _BODY = r"regexp_replace(conteudo, '(?s)\A---\s*\n.*?\n---\s*\n?', '')"
