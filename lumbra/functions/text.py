@@ -95,7 +95,8 @@ def content_hash(*parts: Column) -> Column:
 
 def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Tokens of three or more of ``a-z0-9_`` in the normalised text, without stop words, in order."""
-    found = F.regexp_extract_all(normalise(text), F.lit("[a-z0-9_]{3,}"), F.lit(0))
+    # white space ends a token however much there is: it needs no normalising
+    found = F.regexp_extract_all(F.lower(strip_marks(text)), F.lit("[a-z0-9_]{3,}"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(stopwords))
 
 

@@ -1,6 +1,6 @@
 """Tables of documents or chunks kept in hash buckets of their key, of which a change rewrites only those it touches.
 
-A table is a Parquet folder partitioned by ``balde``, the bucket of ``documento_chave``.  A
+A table is a Parquet folder partitioned by ``balde``, the bucket of its key, in most tables ``documento_chave``.  A
 change finds the buckets of its keys (at most as many numbers as there are buckets), reads
 only their partitions, once, and writes them anew by dynamic partition overwrite: files are
 staged beside the table and moved in when all tasks are done, so a change that fails before
@@ -30,30 +30,31 @@ def _layout(path: str) -> str:
     return f"{path.rstrip('/')}/_layout"
 
 
-def _buckets(spark: SparkSession, path: str) -> int:
-    return spark.read.schema("buckets int").json(_layout(path)).first()["buckets"]
+def _read_layout(spark: SparkSession, path: str) -> tuple[int, str]:
+    """The number of buckets and the key of a table."""
+    return tuple(spark.read.schema("buckets int, key string").json(_layout(path)).first())
 
 
-def _write(rows: DataFrame, path: str, marks: DataFrame) -> None:
+def _write(rows: DataFrame, path: str, marks: DataFrame, key: str) -> None:
     """Rows and a mark per bucket, dealt to files by bucket; adaptive execution splits a bucket that is too large for a task."""
-    marked = rows.where(F.col(KEY).isNotNull()).unionByName(marks, allowMissingColumns=True)
+    marked = rows.where(F.col(key).isNotNull()).unionByName(marks, allowMissingColumns=True)
     marked.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
-def create_table(rows: DataFrame, path: str, buckets: int = 1024) -> None:
+def create_table(rows: DataFrame, path: str, buckets: int = 1024, key: str = KEY) -> None:
     """Lay out a table in a new folder; rows without a key are dropped.
 
     With as many buckets as a run changes documents, or more, a run leaves at least a third
     of them alone; a bucket should still fill a file.
     """
     spark = rows.sparkSession
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(_layout(path))
-    _write(rows.withColumn(BUCKET, bucket_of(F.col(KEY), buckets)), path, spark.range(buckets).select(F.col("id").cast("int").alias(BUCKET)))
+    spark.createDataFrame([(buckets, key)], "buckets int, key string").coalesce(1).write.json(_layout(path))
+    _write(rows.withColumn(BUCKET, bucket_of(F.col(key), buckets)), path, spark.range(buckets).select(F.col("id").cast("int").alias(BUCKET)), key)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a table as they are now."""
-    return spark.read.parquet(path).where(F.col(KEY).isNotNull()).drop(BUCKET)
+    return spark.read.parquet(path).where(F.col(_read_layout(spark, path)[1]).isNotNull()).drop(BUCKET)
 
 
 def rewrite_buckets(spark: SparkSession, path: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
@@ -62,13 +63,13 @@ def rewrite_buckets(spark: SparkSession, path: str, keys: DataFrame, change: Cal
     ``change`` gets the rows of those buckets and returns those to be in their place, all of
     keys of the same buckets.
     """
-    buckets = _buckets(spark, path)
-    touched = sorted(r[0] for r in keys.where(F.col(KEY).isNotNull()).select(bucket_of(F.col(KEY), buckets)).distinct().collect())
+    buckets, key = _read_layout(spark, path)
+    touched = sorted(r[0] for r in keys.where(F.col(key).isNotNull()).select(bucket_of(F.col(key), buckets)).distinct().collect())
     if touched:
         table = spark.read.parquet(path)
-        old = table.where(F.col(BUCKET).isin(touched) & F.col(KEY).isNotNull()).drop(BUCKET)
-        rows = change(old).withColumn(BUCKET, bucket_of(F.col(KEY), buckets))
-        _write(rows, path, spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int"))
+        old = table.where(F.col(BUCKET).isin(touched) & F.col(key).isNotNull()).drop(BUCKET)
+        rows = change(old).withColumn(BUCKET, bucket_of(F.col(key), buckets))
+        _write(rows, path, spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int"), key)
     return touched
 
 

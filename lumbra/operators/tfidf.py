@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
 from ..functions.vocab import STOPWORDS
+from ..sources.scratch import shared_dir
+from . import store
 
 LISTS = ["palavras_chave", "entidades", "indicadores", "fontes_dados", "perguntas_atendidas"]
 SCALARS = ["tipo_conteudo", "resumo", "intencao"]
@@ -65,27 +69,98 @@ def document_frequency(chunks: DataFrame, keys: list[str], stopwords: list[str]
     return df.crossJoin(chunks.agg(F.count(F.lit(1)).alias("n")))  # one row with the number of chunks
 
 
-def weighted_terms(chunks: DataFrame, keys: list[str], limit: int = MAX_TERMS, stopwords: list[str] = STOPWORDS, corpus: DataFrame | None = None) -> DataFrame:
+def counted_tokens(terms: Column, stopwords: list[str] = STOPWORDS) -> Column:
+    """Distinct tokens of a chunk's terms as ``token, tf, pos``: how often each stands, and the first term that holds it."""
+    each = F.transform(terms, lambda t, k: F.transform(tokens(t, stopwords), lambda x: F.struct(x.alias("token"), k.alias("pos"))))
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def runs(found: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda k: (k == 0) | (F.get(found, k)["token"] != F.get(found, k - 1)["token"]))
+        run = lambda heads: F.transform(heads, lambda i, k: F.struct(F.get(found, i)["token"].alias("token"), (F.coalesce(F.get(heads, k + 1), F.size(found)) - i).alias("tf"), F.get(found, i)["pos"].alias("pos")))
+        return F.when(F.size(found) > 0, once(new, run)).otherwise(F.array().cast("array<struct<token:string,tf:int,pos:int>>"))
+
+    return once(F.sort_array(F.flatten(each)), runs)
+
+
+def weighted_terms(
+    chunks: DataFrame, keys: list[str], limit: int = MAX_TERMS, stopwords: list[str] = STOPWORDS, corpus: DataFrame | None = None, frequencies: DataFrame | None = None
+) -> DataFrame:
     """``keys, metadados_tfidf``: the terms of each chunk by falling weight, joined by commas.
 
     A token weighs its share of the chunk's tokens times its inverse document frequency over
-    ``corpus`` (default: these chunks) and stands for the first term that holds it; terms that
-    differ in case only count once, with their best weight.  Chunks (``keys``) are unique.
-
-    Tokens are cut once: the table of a chunk's distinct tokens gives document frequencies
-    too.  A chunk's tokens share a divisor, so the best of each term is known before it, and
-    only the terms of one chunk meet in one row.
+    ``corpus`` (default: these chunks), or by ``frequencies`` (``token, df, n``) kept of it,
+    and stands for the first term that holds it; terms that differ in case only count once,
+    with their best weight.  Chunks (``keys``) are unique; one with null terms has none.
+
+    Tokens are cut and counted inside their chunk's row, which is written once; its tokens
+    meet their frequencies and go back to the chunk as weights and numbers of terms, where
+    its terms, shuffled once, are put in order.  A chunk's tokens share a divisor, so it
+    isn't needed.
     """
-    terms = chunks.select(*keys, F.posexplode_outer("termos").alias("pos", "term"))
-    found = terms.select(*keys, "pos", "term", F.explode_outer(tokens(F.col("term"), stopwords)).alias("token"))
-    tf = found.groupBy(*keys, "token").agg(F.count("token").alias("tf"), F.min_by("term", "pos").alias("term"))
-    if corpus is None:
-        # names both columns of the aggregate, so that the shuffle behind it is used twice
-        seen = tf.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.when(F.col("tf") > 0, F.col("term"))).alias("df"))
-        df = seen.crossJoin(chunks.agg(F.count(F.lit(1)).alias("n")))  # one row with the number of chunks
-    else:
+    terms = F.coalesce("termos", F.array().cast("array<string>"))
+    counted = chunks.select(*keys, terms.alias("_terms"), counted_tokens(terms, stopwords).alias("_tokens"))
+    path = f"{shared_dir(chunks.sparkSession)}/counted-{uuid.uuid4().hex}"
+    counted.write.parquet(path)
+    counted = chunks.sparkSession.read.schema(counted.schema).parquet(path)
+    rows = counted.select(*keys, F.explode("_tokens").alias("_t")).select(*keys, "_t.token", "_t.tf", "_t.pos")
+    if frequencies is not None:
+        df = frequencies
+    elif corpus is not None:
         df = document_frequency(corpus, keys, stopwords)
-    weighed = tf.join(df, "token", "left").withColumn("_weight", F.col("tf") * idf(F.col("n"), F.col("df")))
-    best = weighed.groupBy(*keys, F.lower("term").alias("_same")).agg(F.min(F.struct((-F.col("_weight")).alias("_by"), F.when(F.col("tf") > 0, F.col("term")).alias("term"))).alias("_best"))
-    order = F.slice(F.array_sort(F.collect_list(F.when(F.col("_best.term").isNotNull(), F.col("_best")))), 1, limit)
-    return best.groupBy(*keys).agg(F.array_join(F.transform(order, lambda x: x["term"]), ", ").alias("metadados_tfidf"))
+    else:
+        df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(counted.agg(F.count(F.lit(1)).alias("n")))  # one row with the number of chunks
+    weight = F.col("tf") * F.coalesce(idf(F.col("n"), F.col("df")), F.lit(1.0))
+    weighed = rows.join(df, "token", "left").select(*keys, F.struct((-weight).alias("by"), "pos").alias("_w"), F.lit(None).cast("array<string>").alias("_terms"))
+    both = weighed.unionByName(counted.select(*keys, "_terms", F.lit(None).cast(weighed.schema["_w"].dataType).alias("_w")))
+    met = both.groupBy(*keys).agg(F.collect_list("_w").alias("_w"), F.first("_terms", ignorenulls=True).alias("_terms"))
+
+    def add(s: Column, x: Column) -> Column:
+        same = F.lower(x["term"])
+        picked = F.struct(F.concat(s["terms"], F.array(x["term"])).alias("terms"), F.concat(s["same"], F.array(same)).alias("same"))
+        return F.when((F.size(s["terms"]) < limit) & ~F.array_contains(s["same"], same), picked).otherwise(s)
+
+    ordered = F.sort_array(F.transform("_w", lambda w: F.struct(w["by"].alias("by"), F.get(F.col("_terms"), w["pos"]).alias("term"))))
+    none = F.array().cast("array<string>")
+    best = F.aggregate(ordered, F.struct(none.alias("terms"), none.alias("same")), add, lambda s: s["terms"])
+    return met.select(*keys, F.array_join(best, ", ").alias("metadados_tfidf"))
+
+
+#: In a table of frequencies the token that counts all chunks: no token is empty.
+ALL = ""
+
+
+def _signed(chunks: DataFrame, sign: int, stopwords: list[str]) -> DataFrame:
+    """Each chunk's distinct tokens, and that of all chunks, with a sign."""
+    found = F.array_distinct(F.flatten(F.transform(F.coalesce("termos", F.array().cast("array<string>")), lambda t: tokens(t, stopwords))))
+    return chunks.select(F.explode(F.concat(F.array(F.lit(ALL)), found)).alias("token"), F.lit(sign).alias("_by"))
+
+
+def store_frequencies(chunks: DataFrame, path: str, buckets: int = 1024, stopwords: list[str] = STOPWORDS) -> None:
+    """Count the tokens of a corpus (``termos`` of its chunks) and keep the counts in buckets in a new folder."""
+    store.create_table(_signed(chunks, 1, stopwords).groupBy("token").agg(F.sum("_by").alias("df")), path, buckets, key="token")
+
+
+def update_frequencies(spark: SparkSession, path: str, gone: DataFrame, come: DataFrame, stopwords: list[str] = STOPWORDS) -> list[int]:
+    """Bring kept counts up to date with chunks that left the corpus and came to it; replaced ones do both.
+
+    Tokens of both are summed up with signs, so what a replaced chunk still holds cancels
+    out; only buckets with a token whose count changes are written again.  Returns these.
+    """
+    signed = _signed(gone, -1, stopwords).unionByName(_signed(come, 1, stopwords))
+    delta = signed.groupBy("token").agg(F.sum("_by").alias("_by")).where("_by <> 0")
+    # written, as it tells the buckets first and changes them then
+    kept = f"{shared_dir(spark)}/frequency-delta-{uuid.uuid4().hex}"
+    delta.write.parquet(kept)
+    delta = spark.read.schema(delta.schema).parquet(kept)
+
+    def change(old: DataFrame) -> DataFrame:
+        joined = old.join(delta, "token", "full_outer")
+        return joined.select("token", (F.coalesce("df", F.lit(0)) + F.coalesce("_by", F.lit(0))).alias("df")).where((F.col("df") > 0) | (F.col("token") == ALL))
+
+    return store.rewrite_buckets(spark, path, delta, change)
+
+
+def stored_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """``token, df, n`` of a corpus by its kept counts."""
+    counts = store.read_table(spark, path)
+    return counts.where(F.col("token") != ALL).crossJoin(counts.where(F.col("token") == ALL).select(F.col("df").alias("n")))  # one row

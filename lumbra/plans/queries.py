@@ -605,6 +605,45 @@ def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.weighted_terms(_terms(spark, sf_dir), ["doc_id"])
 
 
+# a corpus of which a source left, another one's texts were replaced, and documents in a language came
+_OLD_CHUNKS = "lang <> 'de'"
+_NEW_CHUNKS = "lang = 'de' OR source = 'src3'"
+_NEW_TEXT = "CASE WHEN source = 'src3' THEN concat('Novo texto, ', substr(text, 1 + CAST(length(text) / 2 AS INT)), '. Fim') ELSE text END"
+_CORPUS_SQL = f"""+ final AS (SELECT doc_id, text FROM documents WHERE {_OLD_CHUNKS} AND source NOT IN ('src7', 'src3') UNION ALL SELECT doc_id, {_NEW_TEXT.replace('CAST(length(text) / 2 AS INT)', '(length(text) // 2)')} FROM documents WHERE {_NEW_CHUNKS}), """ + _TERMS_SQL.lstrip("+ ").replace("FROM documents", "FROM final")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A stored table of frequencies after a run of indexing, and the chunks that came in it."""
+    docs = table(spark, sf_dir, "documents")
+    terms = F.filter(F.transform(F.split("text", "[.,]"), lambda t: X.strip(t)), lambda t: t != "")
+    old = docs.where(_OLD_CHUNKS)
+    come = docs.where(_NEW_CHUNKS).selectExpr("doc_id", f"{_NEW_TEXT} AS text").select("doc_id", terms.alias("termos"))
+    path = f"{shared_dir(spark)}/frequencies-{uuid.uuid4().hex}"
+    tfidf.store_frequencies(old.select(terms.alias("termos")), path, buckets=64)
+    tfidf.update_frequencies(spark, path, old.where("source IN ('src7', 'src3')").select(terms.alias("termos")), come)
+    return path, come
+
+
+@query(_CORPUS_SQL + "SELECT * FROM df")
+def corpus_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks hold each token, kept up with what left and came."""
+    return tfidf.stored_frequencies(spark, _corpus(spark, sf_dir)[0])
+
+
+@query(
+    _CORPUS_SQL.rstrip()
+    + f""", mine AS (SELECT doc_id FROM documents WHERE {_NEW_CHUNKS}), tf AS (SELECT doc_id, token, count(*) AS tf, arg_min(term, pos) AS term FROM kept WHERE doc_id IN (SELECT doc_id FROM mine) GROUP BY 1, 2),
+scored AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * (ln((1 + n) / (1 + df)) + 1) AS score FROM tf JOIN df USING (token)),
+once AS (SELECT doc_id, lower(term) AS k, arg_min(term, (-round(score, 12), term)) AS term, max(round(score, 12)) AS score FROM scored GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS r FROM once)
+SELECT doc_id, coalesce(string_agg(term, ', ' ORDER BY r) FILTER (r <= 25), '') AS metadados_tfidf FROM mine LEFT JOIN best USING (doc_id) GROUP BY 1"""
+)
+def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted terms of the chunks of a run, by the frequencies of the whole corpus."""
+    path, come = _corpus(spark, sf_dir)
+    return tfidf.weighted_terms(come, ["doc_id"], frequencies=tfidf.stored_frequencies(spark, path))
+
+
 _REPLY = """concat(CASE doc_id % 4 WHEN 1 THEN concat('```json', chr(10)) WHEN 2 THEN 'Segue: ' WHEN 3 THEN 'nada ' ELSE '' END,
   CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('{"tipo_conteudo": " ', lang, ' ", "palavras_chave": ["', source, '", " "], "indicadores": "', source, '"}') END, CASE doc_id % 4 WHEN 1 THEN concat(chr(10), '```') WHEN 2 THEN ' fim' ELSE '' END)"""
 

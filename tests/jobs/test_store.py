@@ -80,3 +80,32 @@ def test_chunks_of_a_large_document_are_replaced(spark, tmp_path):
     store.replace_stored_chunks(spark, path, new, done)
     got = {(r[0], r[1]): r[2] for r in store.read_table(spark, path).groupBy("documento_chave", "lote").count().collect()}
     assert got == {("big", "b"): 7, ("nada", "b"): 1, **{(f"d{k}", "a"): 40 for k in range(50) if k != 3}}
+
+
+def test_frequencies_follow_the_corpus(spark, tmp_path):
+    import random
+
+    from lumbra.operators import tfidf
+
+    rng, path = random.Random(8), f"{tmp_path}/df"
+    word = lambda: rng.choice(["alfa", "beta", "gama", "delta", "comum"]) + (str(rng.randrange(300)) if rng.random() < 0.7 else "")
+    corpus = {k: ["comum " + word(), word()] if k % 7 else None for k in range(120)}
+    rows = lambda keys: spark.createDataFrame([(k, corpus[k]) for k in keys], "k int, termos array<string>")
+    got = lambda: sorted(map(tuple, tfidf.stored_frequencies(spark, path).collect()))
+    want = lambda: sorted(map(tuple, tfidf.document_frequency(rows(corpus), ["k"]).collect()))
+    tfidf.store_frequencies(rows(corpus), path, buckets=500)
+    assert got() == want()
+    gone = rows(range(4))
+    for k in range(3):
+        del corpus[k]
+    corpus[3] = ["outro texto", "comum"]
+    corpus[500] = ["novo"]
+    touched = tfidf.update_frequencies(spark, path, gone, rows([3, 500]))
+    assert got() == want() and 0 < len(touched) < 60
+    # what is replaced by itself changes no bucket
+    before = files(path)
+    assert tfidf.update_frequencies(spark, path, rows([9, 10]), rows([9, 10])) == [] and files(path) == before
+    everything = rows(corpus)
+    corpus.clear()
+    tfidf.update_frequencies(spark, path, everything, rows([]))
+    assert got() == []
