@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, note_tokens
 from ..functions.vocab import REGIONS
+from ..sources.scratch import written
 from .headers import body, header_block, parse_yaml, stem, truthy
 
 NOTHING_FOUND = "Desculpe, não encontrei essa informação nos estudos."
@@ -69,18 +72,58 @@ def parse_notes(raw: DataFrame, stopwords: list[str]) -> DataFrame:
     return kept.select("path", title.alias("title"), "body", "metadata", keywords.alias("keywords"), words(F.col("body")).alias("body_tokens"))
 
 
-def rank_notes(questions: DataFrame, notes: DataFrame, stopwords: list[str], limit: int = 5) -> DataFrame:
+def _added(*parts: DataFrame) -> DataFrame:
+    """Points of pairs of question and note, added up."""
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("question_id", "path").agg(F.sum("w").alias("pontos"))
+
+
+def _least(scores: DataFrame, limit: int) -> DataFrame:
+    """The ``limit``-th best points of each question that has as many notes."""
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("pontos")))
+    best = scores.withColumn("_place", place).where(F.col("_place") <= limit)
+    return best.groupBy("question_id").agg(F.min("pontos").alias("_least"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == limit).drop("_n")
+
+
+def rank_notes(questions: DataFrame, notes: DataFrame, stopwords: list[str], limit: int = 5, met: list[DataFrame] | None = None) -> DataFrame:
     """The notes that share most tokens with each question: ``question_id, path, pontos, posicao``.
 
-    A shared keyword counts 3, a shared word of the body 1.  Tokens are joined by equality and
-    weights summed, so questions and notes may both be many.
+    A shared keyword counts 3, a shared word of the body 1.  Exact, but not every question
+    meets every note that has one of its tokens.  Notes with a token as keyword and notes
+    with it in the body are two lists; a question's lists are taken from the shortest to the
+    longest: those with the shorter half of all places give points to beat, the
+    ``limit``-th best so far.  Of the others, the longest that together can't reach these
+    points bring no note of their own; they are looked up only for notes that may still be
+    among the best, by note and token.  ``met`` receives the pairs that were joined, and
+    looked up, for those who count them.
     """
-    asked = questions.select("question_id", F.explode(note_tokens(F.col("text"), stopwords)).alias("token"))
+    asked = questions.select("question_id", F.explode(note_tokens(F.col("text"), stopwords)).alias("token")).distinct()
     weighted = notes.select("path", F.explode("keywords").alias("token"), F.lit(3).alias("w")).unionByName(notes.select("path", F.explode("body_tokens").alias("token"), F.lit(1).alias("w")))
-    weights = weighted.groupBy("path", "token").agg(F.sum("w").alias("w"))
-    scores = asked.join(weights, "token").groupBy("question_id", "path").agg(F.sum("w").alias("pontos"))
+    weights = written(weighted.distinct(), "note-weights")
+    lists = weights.groupBy("token", "w").agg(F.count(F.lit(1)).alias("_df"))
+
+    rare = Window.partitionBy("question_id").orderBy("_df", F.desc("w"), "token")
+    through = rare.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = rare.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first = (F.row_number().over(rare) == 1) | (2 * F.sum("_df").over(through) <= F.sum("_df").over(Window.partitionBy("question_id")))
+    asked = written(asked.join(lists, "token").select("question_id", "token", "w", first.alias("_first"), F.sum("w").over(onward).alias("_onward")), "asked-tokens")
+
+    places = lambda tokens: tokens.select("question_id", "token", "w").join(weights, ["token", "w"]).select("question_id", "path", "w")
+    begun = places(asked.where("_first"))
+    beat = _least(_added(begun), limit)
+    planned = written(asked.join(beat, "question_id", "left").withColumn("_joined", F.col("_first") | F.col("_least").isNull() | (F.col("_onward") >= F.col("_least"))), "planned-tokens")
+    joined = places(planned.where("_joined"))
+    scores = written(_added(joined), "note-scores")
+
+    left = planned.where("NOT _joined").groupBy("question_id").agg(F.sum("w").alias("_left"))
+    hopeful = scores.join(left, "question_id", "left").join(_least(scores, limit), "question_id", "left")
+    hopeful = hopeful.where(F.col("pontos") + F.coalesce("_left", F.lit(0)) >= F.coalesce("_least", F.lit(0)))
+    asked_of = hopeful.select("question_id", "path").join(planned.where("NOT _joined").select("question_id", "token", "w"), "question_id")
+    more = asked_of.join(weights, ["path", "token", "w"]).select("question_id", "path", "w")
+    if met is not None:
+        met += [joined, asked_of]
+    full = _added(hopeful.select("question_id", "path", F.col("pontos").alias("w")), more)
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("pontos"), F.substring_index("path", "/", -1), "path"))
-    return scores.withColumn("posicao", rank).where(F.col("posicao") <= limit)
+    return full.withColumn("posicao", rank).where(F.col("posicao") <= limit)
 
 
 def note_context(note_title: Column, path: Column, metadata: Column, text: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
 from ..functions.vocab import STOPWORDS
-from ..sources.scratch import shared_dir
+from ..sources.scratch import written
 from . import store
 
 LISTS = ["palavras_chave", "entidades", "indicadores", "fontes_dados", "perguntas_atendidas"]
@@ -99,9 +97,7 @@ def weighted_terms(
     """
     terms = F.coalesce("termos", F.array().cast("array<string>"))
     counted = chunks.select(*keys, terms.alias("_terms"), counted_tokens(terms, stopwords).alias("_tokens"))
-    path = f"{shared_dir(chunks.sparkSession)}/counted-{uuid.uuid4().hex}"
-    counted.write.parquet(path)
-    counted = chunks.sparkSession.read.schema(counted.schema).parquet(path)
+    counted = written(counted, "counted")
     rows = counted.select(*keys, F.explode("_tokens").alias("_t")).select(*keys, "_t.token", "_t.tf", "_t.pos")
     if frequencies is not None:
         df = frequencies
@@ -147,11 +143,8 @@ def update_frequencies(spark: SparkSession, path: str, gone: DataFrame, come: Da
     out; only buckets with a token whose count changes are written again.  Returns these.
     """
     signed = _signed(gone, -1, stopwords).unionByName(_signed(come, 1, stopwords))
-    delta = signed.groupBy("token").agg(F.sum("_by").alias("_by")).where("_by <> 0")
     # written, as it tells the buckets first and changes them then
-    kept = f"{shared_dir(spark)}/frequency-delta-{uuid.uuid4().hex}"
-    delta.write.parquet(kept)
-    delta = spark.read.schema(delta.schema).parquet(kept)
+    delta = written(signed.groupBy("token").agg(F.sum("_by").alias("_by")).where("_by <> 0"), "frequency-delta")
 
     def change(old: DataFrame) -> DataFrame:
         joined = old.join(delta, "token", "full_outer")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
@@ -24,3 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         _own[app] = tempfile.mkdtemp(prefix="lumbra-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """A table written once to the shared folder and read from there: for what is used more than once, or must survive lost executors."""
+    path = f"{shared_dir(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

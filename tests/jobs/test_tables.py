@@ -228,6 +228,30 @@ def test_notes(spark):
     assert got == [(1, "a.md", 11), (2, "c.md", 1)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ranking_of_many_notes_meets_few_and_misses_none(spark, seed):
+    """Against all pairs, on words as uneven as those of texts."""
+    rng = random.Random(seed)
+    words = [f"pal{n}" for n in range(400)]
+    draw = lambda n: rng.choices(words, [1 / (1 + k) for k in range(400)], k=n)
+    notes = {f"d{k % 5}/n{k:03}.md": (sorted(set(draw(3))), sorted(set(draw(40)))) for k in range(300)}
+    asked = {k: " ".join(draw(rng.choice([1, 3, 8, 14]))) for k in range(60)} | {100: "pal0", 101: "nada disso"}
+    want = []
+    every = 0
+    for q, text in asked.items():
+        tokens = set(text.split())
+        points = {p: 3 * len(tokens & set(k)) + len(tokens & set(b)) for p, (k, b) in notes.items()}
+        every += sum(len(tokens & set(k)) + len(tokens & set(b)) for k, b in notes.values())
+        best = sorted((p for p in points if points[p]), key=lambda p: (-points[p], p.split("/")[-1], p))[:5]
+        want += [(q, p, points[p], n + 1) for n, p in enumerate(best)]
+    met = []
+    frame = spark.createDataFrame([(p, k, b) for p, (k, b) in notes.items()], "path string, keywords array<string>, body_tokens array<string>")
+    got = retrieval.rank_notes(spark.createDataFrame(list(asked.items()), "question_id long, text string"), frame, [], met=met)
+    assert sorted(map(tuple, got.select("question_id", "path", "pontos", "posicao").collect())) == sorted(want)
+    pairs = [m.count() for m in met]
+    assert pairs[0] < every / 2 and sum(pairs) < every
+
+
 def test_context_falls_back(spark):
     asked = spark.createDataFrame([(1,), (2,)], "question_id long")
     found = spark.createDataFrame([(1, 2, "B", "b"), (1, 1, "A", "a")], "question_id long, posicao int, referencia string, texto string")
