@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_any, has_word, normalise, percent, thousands, word_pattern
 from ..functions.vocab import BREAKDOWN_TERMS, DEFAULT_LABEL, GENERIC_PLACES, QUANTITATIVE_TERMS, RANKING_TERMS, SIZE_ALIASES, SIZE_LABELS, STATE_WIDE
+from ..sources.scratch import written
 
 _NAME = r"[A-ZÁÂÃÀÉÊÍÓÔÕÚÇ][\wÁÂÃÀÉÊÍÓÔÕÚÇáâãàéêíóôõúç'-]+"
 #: A run of capitalised words after a preposition, or after "regional".
@@ -45,19 +46,24 @@ def detect_size(text: Column, aliases: dict[str, str] = SIZE_ALIASES) -> Column:
     return F.coalesce(*[F.when(found.rlike(word_pattern(alias)), code) for alias, code in aliases.items()])
 
 
-def detect_place(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """``question_id, name``: the longest name that stands in each question; ties by smallest ``ordem``, then name.
+def detect_places(questions: DataFrame, names: DataFrame, kinds: list[str]) -> DataFrame:
+    """``question_id`` and a column per kind: the longest name of each kind that stands in the question; ties by smallest ``ordem``, then name.
 
-    ``names``: ``name, ordem``.  A name stands in a text only if its first word does, so
-    words are joined first and whole names checked after.
+    ``names``: ``kind, name, ordem``.  A name stands in a text only if its first word does, so
+    words are joined first and whole names checked after, once for all kinds.
     """
     words = lambda text: F.filter(F.split(text, r"(?U)\W+"), lambda w: w != "")
-    known = names.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("ordem").alias("ordem")).withColumn("_norm", normalise(F.col("name"))).where("_norm <> ''")
+    known = names.where(F.col("name").isNotNull()).groupBy("kind", "name").agg(F.min("ordem").alias("ordem")).withColumn("_norm", normalise(F.col("name"))).where("_norm <> ''")
     known = known.withColumn("_word", words(F.col("_norm"))[0])
     asked = questions.select("question_id", normalise(F.col("text")).alias("_text")).withColumn("_word", F.explode(F.array_distinct(words(F.col("_text")))))
     hits = asked.join(known, "_word").where(has_word(F.col("_text"), F.col("_norm")))
-    best = F.max_by("name", F.struct(F.length("name"), -F.col("ordem"), F.col("name")))
-    return hits.groupBy("question_id").agg(best.alias("name"))
+    order = F.struct(F.length("name"), -F.col("ordem"), F.col("name"))
+    return hits.groupBy("question_id").agg(*[F.max_by("name", F.when(F.col("kind") == k, order)).alias(k) for k in kinds])
+
+
+def detect_place(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """``question_id, name``: the longest name (of ``name, ordem``) that stands in each question."""
+    return detect_places(questions, names.withColumn("kind", F.lit("name")), ["name"])
 
 
 def _held(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
@@ -107,32 +113,49 @@ def _sourced(dataset: DataFrame) -> DataFrame:
     return dataset if "fonte" in dataset.columns else dataset.withColumn("fonte", F.lit(""))
 
 
+def scope_sums(dataset: DataFrame) -> DataFrame:
+    """Sums of each scope, key and size (null: all): ``_scope, _key, _size, valor, linhas, municipios`` and the sets ``_datas, _fontes``.
+
+    Rows are summed up by municipality, regional office and size first; only that table is
+    spread over scopes and sizes.  Distinct municipalities are counted by bitmaps of their
+    numbers, which merge: those of one scope, key and size are put together by parts of
+    32,768 numbers and their bits added up.
+    """
+    names = written(dataset.where(F.col("municipio").isNotNull()).select("municipio").distinct().withColumn("_number", F.monotonically_increasing_id()), "place-numbers")
+    finest = dataset.groupBy("municipio", "regional", "porte").agg(
+        F.sum("total").alias("total"), F.count(F.lit(1)).alias("linhas"), F.collect_set("data_referencia").alias("_datas"), F.collect_set("fonte").alias("_fontes")
+    )
+    spread = _views(finest.join(names, "municipio", "left"))
+    part, bit = F.bitmap_bucket_number("_number"), F.when(F.col("_number").isNotNull(), F.bitmap_bit_position("_number"))
+    sets = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    parts = spread.groupBy("_scope", "_key", "_size", part.alias("_part")).agg(
+        F.sum("total").alias("total"), F.sum("linhas").alias("linhas"), sets("_datas"), sets("_fontes"), F.bitmap_count(F.bitmap_construct_agg(bit)).alias("_places")
+    )
+    return parts.groupBy("_scope", "_key", "_size").agg(F.sum("total").alias("valor"), F.sum("linhas").alias("linhas"), sets("_datas"), sets("_fontes"), F.sum("_places").alias("municipios"))
+
+
 def answer_questions(questions: DataFrame, dataset: DataFrame, state: str = STATE_WIDE[0], indicator: str = "empresas_por_municipio") -> DataFrame:
     """One answer per question (``question_id`` unique, ``text``).
 
     A municipality named in it wins over a regional office; a place that is not known, a
     slice without rows, or a dataset without any, is answered as not found, never as zero or
     as the state's total.  ``fonte`` names the distinct sources of the slice, if the dataset does.
-    All sums come from one pass over the dataset.
+    The dataset is worked out and written once, then its names and its sums are taken from that.
     """
+    dataset = written(_sourced(dataset), "dataset")
     names = dataset.groupBy("municipio", "regional").agg(F.min("codigo_ibge").alias("ordem_"))
-    ranked = lambda c: names.groupBy(F.col(c).alias("name")).agg(F.min("ordem_").alias("ordem_")).select("name", F.rank().over(Window.orderBy("ordem_", "name")).alias("ordem"))
-    towns, offices = ranked("municipio"), ranked("regional")
-    places = names.select(F.explode(F.array("municipio", "regional")).alias("name")).where(F.col("name").isNotNull())
+    both = written(names.select("ordem_", F.explode(F.array(F.struct(F.lit("_town").alias("kind"), F.col("municipio").alias("name")), F.struct(F.lit("_office").alias("kind"), F.col("regional").alias("name")))).alias("n")).select("n.kind", "n.name", "ordem_"), "place-names")
+    ranked = both.groupBy("kind", "name").agg(F.min("ordem_").alias("ordem_")).select("kind", "name", F.rank().over(Window.partitionBy("kind").orderBy("ordem_", "name")).alias("ordem"))
     asked = (
         questions.select("question_id", "text", detect_size(F.col("text")).alias("porte"))
-        .join(detect_place(questions, towns).withColumnRenamed("name", "_town"), "question_id", "left")
-        .join(detect_place(questions, offices).withColumnRenamed("name", "_office"), "question_id", "left")
-        .join(unknown_place(questions, places), "question_id", "left")
+        .join(detect_places(questions, ranked, ["_town", "_office"]), "question_id", "left")
+        .join(unknown_place(questions, both.select("name").where(F.col("name").isNotNull())), "question_id", "left")
         .crossJoin(dataset.agg((F.count(F.lit(1)) > 0).alias("_some")))  # one row
     )
     place = F.coalesce("_town", "_office")
     scope = F.when(F.col("_town").isNotNull(), "municipio").when(F.col("_office").isNotNull(), "regional").when(F.col("desconhecido").isNull() & F.col("_some"), "estado")
     asked = asked.withColumns({"escopo": scope, "_place": F.when(scope != "estado", place).otherwise("")})
-    measures = [
-        F.sum("total").alias("valor"), F.count(F.lit(1)).alias("linhas"), F.collect_set("data_referencia").alias("_datas"), F.collect_set("fonte").alias("_fontes"), F.countDistinct("municipio").alias("municipios"),
-    ]
-    sums = _views(_sourced(dataset)).groupBy("_scope", "_key", "_size").agg(*measures)
+    sums = scope_sums(dataset)
     joined = asked.join(sums, (F.col("escopo") == F.col("_scope")) & (F.col("_place") == F.col("_key")) & F.col("porte").eqNullSafe(F.col("_size")), "left")
     label = F.when(F.col("escopo") == "estado", state).when(F.col("escopo") == "regional", F.concat(F.lit("Regional "), F.col("_place"))).when(F.col("escopo") == "municipio", F.col("_place"))
     found = F.col("linhas").isNotNull()
@@ -162,12 +185,36 @@ def answer_questions(questions: DataFrame, dataset: DataFrame, state: str = STAT
     )
 
 
-def answer_details(answers: DataFrame, dataset: DataFrame) -> DataFrame:
-    """The rows of the dataset that each answer sums up: ``question_id`` and all columns of ``dataset``."""
+def _slice_of() -> Column:
     place = F.when(F.col("escopo") == "estado", "").when(F.col("escopo") == "regional", F.regexp_replace("escopo_label", "^Regional ", "")).otherwise(F.col("escopo_label"))
-    found = answers.where("encontrado").select("question_id", "escopo", place.alias("_place"), F.col("porte").alias("_asked"))
-    rows = _views(dataset)
-    return found.join(rows, (F.col("escopo") == F.col("_scope")) & (F.col("_place") == F.col("_key")) & F.col("_asked").eqNullSafe(F.col("_size"))).select("question_id", *[f"`{c}`" for c in dataset.columns])
+    return F.struct(F.col("escopo").alias("_scope"), place.alias("_key"), F.col("porte").alias("_size"))
+
+
+def answer_slices(answers: DataFrame) -> DataFrame:
+    """Which slice of the dataset each answer sums up: ``question_id, escopo, lugar, porte``; the state's place is empty."""
+    return answers.where("encontrado").select("question_id", _slice_of().alias("_s")).select("question_id", F.col("_s._scope").alias("escopo"), F.col("_s._key").alias("lugar"), F.col("_s._size").alias("porte"))
+
+
+def slice_details(answers: DataFrame, dataset: DataFrame) -> DataFrame:
+    """The rows of each slice that some answer sums up, once however many ask for it: ``_scope, _key, _size`` and all columns of ``dataset``.
+
+    Answers meet them by :func:`answer_slices`.
+    """
+    asked = answers.where("encontrado").select(_slice_of().alias("_s")).select("_s.*").distinct()
+    rows = _views(dataset).withColumnsRenamed({c: f"_of{c}" for c in ("_scope", "_key", "_size")})
+    same = (F.col("_scope") == F.col("_of_scope")) & (F.col("_key") == F.col("_of_key")) & F.col("_size").eqNullSafe(F.col("_of_size"))
+    return asked.join(rows, same).select("_scope", "_key", "_size", *[f"`{c}`" for c in dataset.columns])
+
+
+def answer_details(answers: DataFrame, dataset: DataFrame) -> DataFrame:
+    """The rows of the dataset that each answer sums up: ``question_id`` and all columns of ``dataset``.
+
+    As many rows as questions times those of their slices: for many questions take
+    :func:`slice_details`, which has each slice once.
+    """
+    members = answers.where("encontrado").select("question_id", _slice_of().alias("_s")).select("question_id", F.col("_s._scope").alias("_m_scope"), F.col("_s._key").alias("_m_key"), F.col("_s._size").alias("_m_size"))
+    same = (F.col("_scope") == F.col("_m_scope")) & (F.col("_key") == F.col("_m_key")) & F.col("_size").eqNullSafe(F.col("_m_size"))
+    return slice_details(answers, dataset).join(members, same).select("question_id", *[f"`{c}`" for c in dataset.columns])
 
 
 def size_label(size: Column, labels: dict[str, str] = SIZE_LABELS, default: str = DEFAULT_LABEL) -> Column:
@@ -180,6 +227,7 @@ def render_answers(answers: DataFrame, dataset: DataFrame) -> DataFrame:
 
     A ranking covers the state, or the regional office of the answer, even if a municipality was asked for.
     """
+    dataset = written(dataset, "dataset")
     shares = _breakdown_blocks(dataset)
     ranks = _ranking_blocks(dataset)
     office = F.when(F.col("escopo") == "regional", F.regexp_replace("escopo_label", "^Regional ", "")).otherwise("")

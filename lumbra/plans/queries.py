@@ -179,6 +179,23 @@ def answer_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.answer_details(A.answer_questions(questions(spark, sf_dir), data), data)
 
 
+@query(_ANSWERS + "SELECT a.question_id, a.escopo, CASE a.escopo WHEN 'estado' THEN '' ELSE regexp_replace(escopo_label, '^Regional ', '') END AS lugar, a.porte FROM answers a WHERE linhas > 0")
+def answer_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which slice of the dataset each answer sums up."""
+    return A.answer_slices(A.answer_questions(questions(spark, sf_dir), sourced(spark, sf_dir)))
+
+
+@query(
+    _ANSWERS
+    + """SELECT DISTINCT a.escopo AS _scope, CASE a.escopo WHEN 'estado' THEN '' ELSE regexp_replace(escopo_label, '^Regional ', '') END AS _key, a.porte AS _size, codigo_ibge, municipio, regional, s.porte, data_referencia, total, s.fonte
+FROM answers a JOIN slices s USING (question_id)"""
+)
+def slice_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each slice that answers sum up, each slice once."""
+    data = sourced(spark, sf_dir)
+    return A.slice_details(A.answer_questions(questions(spark, sf_dir), data), data)
+
+
 _TEXTS = (
     _ANSWERS.rstrip()
     + r""",

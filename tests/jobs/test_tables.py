@@ -212,6 +212,24 @@ def test_vectors(spark):
         bad.select(vectors.blended(F.col("v"), F.col("m"))).collect()
 
 
+def test_scope_sums_count_each_municipality_once(spark):
+    rng = random.Random(2)
+    rows = [(str(k), rng.choice([None, *(f"m{n}" for n in range(40))]), rng.choice([None, "Sul", "Norte"]), rng.choice([None, "ME", "MEI"]), rng.choice(["2025", "2026"]), rng.randrange(9), rng.choice(["f", "g"])) for k in range(600)]
+    data = spark.createDataFrame(rows, "codigo_ibge string, municipio string, regional string, porte string, data_referencia string, total long, fonte string").repartition(5)
+    want = {}
+    for _, town, office, size, date, total, source in rows:
+        for scope, key in (("municipio", town), ("regional", office), ("estado", "")):
+            for asked in {None, size}:
+                if key is not None:
+                    w = want.setdefault((scope, key, asked), [0, 0, set(), set(), set()])
+                    w[0], w[1] = w[0] + total, w[1] + 1
+                    w[2] |= {town} - {None}
+                    w[3].add(date)
+                    w[4].add(source)
+    got = {(r["_scope"], r["_key"], r["_size"]): (r["valor"], r["linhas"], r["municipios"], set(r["_datas"]), set(r["_fontes"])) for r in answers.scope_sums(data).collect()}
+    assert got == {k: (v, n, len(towns), dates, sources) for k, (v, n, towns, dates, sources) in want.items()}
+
+
 def test_nearest_chunks_filters_and_ties(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0], 2020, "Sul", None), (2, [0.0, 1.0], None, None, "em")], "question_id long, vetor array<double>, ano_min int, regional string, tema string")
     rows = [(1, [1.0, 0.0], 2021, None, "emprego"), (2, [2.0, 0.0], 2020, "Sul", None), (3, [1.0, 0.0], 2019, "Sul", "x"), (4, [1.0, 0.0], 2022, "Norte", "x"), (5, [0.0, 0.0], 2022, "Sul", "emprego"), (6, [0.0, 3.0], None, None, "tema")]
