@@ -735,6 +735,15 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distancia", F.round("distancia", 6))
 
 
+@query(_SEARCH)
+def vector_topk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with groups of vectors passed over that can't hold any of the nearest."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS question_id", "embedding AS vetor", "CASE WHEN vec_id % 3 = 0 THEN 2003 END AS ano_min", "CASE WHEN vec_id % 200 = 0 THEN 'r2' END AS regional")
+    chunks = rows.selectExpr("vec_id AS chunk_id", "embedding", "CAST(2000 + label % 7 AS INT) AS ano", "CASE WHEN label % 4 <> 3 THEN concat('r', label % 4) END AS regional")
+    return vectors.nearest_chunks_by_group(asked, chunks, max_distance=0.9).withColumn("distancia", F.round("distancia", 6))
+
+
 @query("SELECT a.vec_id, round(list_cosine_distance([x::DOUBLE FOR x IN a.embedding], [x::DOUBLE FOR x IN b.embedding]), 6) AS distancia FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cosine distance of every vector to the one after it."""

@@ -238,6 +238,26 @@ def test_nearest_chunks_filters_and_ties(spark):
     assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 6)]
 
 
+def test_groups_of_vectors_are_passed_over_and_none_is_missed(spark):
+    rng = random.Random(6)
+    middles = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(20)]
+    near = lambda m: [x + rng.gauss(0, 0.08) for x in m]
+    rows = [(k, near(middles[0] if k % 3 == 0 else rng.choice(middles)), 2000 + k % 9, rng.choice([None, "Sul", "Norte"])) for k in range(3000)]
+    rows += [(9000, [0.0] * 12, 2005, None), (9001, rows[5][1], 2008, None), (9002, rows[5][1], 2008, None)]
+    asked = [(k, near(rng.choice(middles)), rng.choice([None, 2004]), rng.choice([None, "Sul"])) for k in range(80)] + [(500, [0.0] * 12, None, None), (501, rows[5][1], None, None), (502, [-x for x in middles[3]], None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, ano int, regional string")
+    questions = spark.createDataFrame(asked, "question_id long, vetor array<double>, ano_min int, regional string")
+    for most in (None, 0.5):
+        met = []
+        got = vectors.nearest_chunks_by_group(questions, chunks, max_distance=most, groups=40, met=met).select("question_id", "posicao", "chunk_id", F.round("distancia", 9)).collect()
+        want = vectors.nearest_chunks(questions, chunks, max_distance=most).select("question_id", "posicao", "chunk_id", F.round("distancia", 9)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 400
+        products = sum(m.select(F.sum(F.size("c").cast("long") * F.size("q"))).first()[0] or 0 for m in met)
+        assert products < 0.6 * 3003 * 83
+    none = vectors.nearest_chunks_by_group(questions, chunks.limit(0))
+    assert none.collect() == [] and none.columns == ["question_id", "chunk_id", "distancia", "posicao"]
+
+
 def test_notes(spark):
     rows = [("a.md", "---\ntitle: Empresas ativas\ntags: [mei, porte]\n---\ncontagem de empresas"), ("b.md", "---\nstatus: Deprecated\n---\nempresas"), ("c.md", "turismo e hotelaria")]
     notes = retrieval.parse_notes(spark.createDataFrame(rows, "path string, conteudo string"), ["que"])
