@@ -1,16 +1,16 @@
-"""Column functions on text.  All stay inside the JVM, but for ``normalise(exact=True)``."""
+"""Column functions on text.  All stay inside the JVM."""
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .vocab import STOPWORDS
 
@@ -40,26 +40,71 @@ def strip_marks(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, *_bases("NFD")), r"\p{Mn}", "")).otherwise(text)
 
 
-def normalise(text: Column, exact: bool = False) -> Column:
-    """Without accents, in lower case, runs of white space as one space, trimmed; null stays null.
+def _ranges(kept: Callable[[str], bool]) -> str:
+    """A pattern's class of all characters that pass a test."""
+    codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and kept(chr(c))]
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
 
-    The built-in form treats characters of one base letter, as Latin, Greek and Cyrillic
-    have; ``exact`` decomposes all scripts, by a vectorised helper.
+
+@functools.cache
+def _marks() -> str:
+    return _ranges(lambda c: unicodedata.category(c) == "Mn")
+
+
+@functools.cache
+def _white() -> str:
+    return _ranges(str.isspace)
+
+
+@functools.cache
+def _parts() -> dict[str, str]:
+    """Characters, other than syllables of Hangul, that decompose into several that are no marks."""
+    out = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not "\uac00" <= c <= "\ud7a3" and unicodedata.decomposition(c):
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(base) != 1:
+                out[c] = base
+    return out
+
+
+def _decomposed(text: Column) -> Column:
+    """A text in which what decomposes into several characters has done so, without marks: Hangul by arithmetic, the rest by a map.
+
+    A syllable's number gives its lead, vowel and tail, of 19, 21 and 27 jamo that follow one another.
     """
-    if exact:
-        return _normalise_exact(text)
-    return F.trim(F.regexp_replace(F.lower(strip_marks(text)), r"(?U)\s+", " "))
+    parts = _parts()
+    jamo = lambda first, n: F.array(*[F.lit(chr(first + k)) for k in range(n)])
+    leads, vowels, tails = jamo(0x1100, 19), jamo(0x1161, 21), F.concat(F.array(F.lit("")), jamo(0x11A8, 27))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        at = lambda k: k.cast("int")
+        syllable = F.concat(F.get(leads, at(F.floor(n / 588))), F.get(vowels, at(F.floor(n % 588 / 28))), F.get(tails, at(n % 28)))
+        return F.when(n.between(0, 11171), syllable).otherwise(F.coalesce(F.from_json(F.lit(json.dumps(parts)), "map<string,string>")[c], c))
 
+    several = f"[\uac00-\ud7a3{''.join(parts)}]"
+    return F.when(text.rlike(several), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
-@F.pandas_udf(StringType())
-def _normalise_exact(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        kept = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-        return " ".join(kept.lower().split())
 
-    return texts.map(one, na_action="ignore")
+def normalise(text: Column, exact: bool = False) -> Column:
+    """Without accents, in lower case, runs of white space as one space, trimmed; null stays null.
+
+    The built-in form treats characters of one base letter, as Latin, Greek and Cyrillic
+    have; ``exact`` decomposes those of all scripts, also inside the JVM, and knows marks and
+    white space by this Python's tables, whatever Java's are.
+    """
+    if not exact:
+        return F.trim(F.regexp_replace(F.lower(strip_marks(text)), r"(?U)\s+", " "))
+    bare = F.regexp_replace(F.translate(_decomposed(text), *_bases("NFD")), f"[{_marks()}]", "")
+    stripped = F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(stripped), f"[{_white()}]+", " "))
 
 
 def ascii_name(text: Column) -> Column:

@@ -17,7 +17,7 @@ from ..operators import chunking, headers, index, retrieval, store, tfidf, valid
 from ..operators import indicators as I
 from ..sources import documents as S
 from ..sources import registry as R
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, written
 from ..sources.writer import write_documents
 from .roles import KEY, SQL, dataset, documents, questions, registry, regions, sourced, table, tidy, turns
 
@@ -332,6 +332,22 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
+@query(
+    """+ mine AS (SELECT 'd' || doc_id AS chave, sha256(text) AS h, sha256(source) AS b FROM documents),
+theirs AS (SELECT 'd' || CASE WHEN source = 'src7' AND lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END AS chave, CASE WHEN source = 'src3' THEN NULL ELSE sha256(text) END AS r FROM documents)
+SELECT coalesce(mine.chave, theirs.chave) AS chave, CASE WHEN mine.chave IS NULL THEN 'removido' WHEN theirs.chave IS NULL THEN 'enviado' ELSE 'atualizado' END AS status
+FROM mine FULL JOIN theirs ON mine.chave = theirs.chave WHERE r IS NULL OR mine.chave IS NULL OR r NOT IN (h, b)"""
+)
+def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What publishing must do where few documents changed, by trees of digests."""
+    docs = table(spark, sf_dir, "documents")
+    local = docs.selectExpr("concat('d', doc_id) AS chave", "sha2(source, 256) AS hash_bruto", "sha2(text, 256) AS conteudo_hash")
+    moved = "concat('d', CASE WHEN source = 'src7' AND lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END)"
+    remote = docs.selectExpr(f"{moved} AS chave", "CASE WHEN source = 'src3' THEN NULL ELSE sha2(text, 256) END AS remoto_hash")
+    trees = [written(S.digest_tree(d, c), "digests") for d, c in ((local, "hash_bruto"), (local, "conteudo_hash"), (remote, "remoto_hash"))]
+    return S.sync_changes(local, remote, trees[:2], trees[2], remove=True)
+
+
 @query(_SYNC + "SELECT status, count(*) AS quantidade FROM plan GROUP BY 1")
 def sync_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents publishing sends, updates, leaves and removes."""

@@ -92,3 +92,62 @@ def sync_plan(local: DataFrame, remote: DataFrame, force: bool = False, remove:
     )
     planned = both.select("chave", status.alias("status"))
     return planned if remove else planned.where("status <> 'removido'")
+
+
+#: Leaves of a tree of digests, and children of each node.
+LEAVES, FANOUT = 65_536, 16
+
+
+def digest_tree(rows: DataFrame, hash_col: str, leaves: int = LEAVES) -> DataFrame:
+    """``nivel, no, digesto, chaves`` of documents ``chave`` with a hash: digests of buckets of keys, and of ever larger groups of buckets.
+
+    A bucket's digest adds up hashes of its keys and their hashes, so partial sums in each task
+    are all that is shuffled; a node's is that of its children in order.  Level 0 has the
+    leaves, the last level one root.  Publish it beside what it describes.
+    """
+    row = F.struct(*[F.xxhash64(F.lit(seed), "chave", F.col(hash_col)).cast("decimal(38,0)").alias(f"h{seed}") for seed in (1, 2)])
+    leaf = rows.where(F.col("chave").isNotNull()).select(F.pmod(F.xxhash64("chave"), F.lit(leaves)).cast("int").alias("no"), row.alias("h"))
+    level = leaf.groupBy("no").agg(F.sum("h.h1").alias("a"), F.sum("h.h2").alias("b"), F.count(F.lit(1)).alias("chaves"))
+    level = level.select("no", F.sha2(F.concat_ws("|", "a", "b", "chaves"), 256).alias("digesto"), "chaves")
+    tree, number, width = level.withColumn("nivel", F.lit(0)), 0, leaves
+    while width > 1:
+        number, width = number + 1, -(-width // FANOUT)
+        children = F.array_sort(F.collect_list(F.struct("no", "digesto")))
+        level = level.groupBy(F.floor(F.col("no") / FANOUT).cast("int").alias("up")).agg(F.sha2(F.to_json(children), 256).alias("digesto"), F.sum("chaves").alias("chaves")).withColumnRenamed("up", "no")
+        tree = tree.unionByName(level.withColumn("nivel", F.lit(number)))
+    return tree.select("nivel", "no", "digesto", "chaves")
+
+
+def differing_leaves(mine: list[DataFrame], theirs: DataFrame, leaves: int = LEAVES) -> list[int]:
+    """Buckets in which the other side's tree equals none of ours, from the root down: below nodes that are equal nothing is read.
+
+    ``mine`` has a tree for each hash that counts as unchanged.  Levels are compared one at a
+    time, only below what differed above; numbers of nodes, ``leaves`` at most, go through the driver.
+    """
+    top, width = 0, leaves
+    while width > 1:
+        top, width = top + 1, -(-width // FANOUT)
+    open_: list[int] = [0]
+    for level in range(top, -1, -1):
+        at = lambda tree: tree.where((F.col("nivel") == level) & F.col("no").isin(open_)).select("no", "digesto")  # noqa: B023, E731
+        other = at(theirs).withColumnRenamed("digesto", "_theirs")
+        differs = None
+        for tree in mine:
+            joined = at(tree).join(other, "no", "full_outer").where(~F.col("digesto").eqNullSafe(F.col("_theirs"))).select("no")
+            differs = joined if differs is None else differs.join(joined, "no", "left_semi")
+        found = sorted(r[0] for r in differs.distinct().collect())
+        if not found or level == 0:
+            return found
+        open_ = [n * FANOUT + k for n in found for k in range(FANOUT)]
+    return open_
+
+
+def sync_changes(local: DataFrame, remote: DataFrame, mine: list[DataFrame], theirs: DataFrame, remove: bool = False, leaves: int = LEAVES) -> DataFrame:
+    """The rows of :func:`sync_plan` that are not ``inalterado``, by trees of digests: only keys of differing buckets are listed and joined.
+
+    ``mine`` are the trees of ``local`` by ``hash_bruto`` and by ``conteudo_hash``, ``theirs``
+    that of ``remote`` by ``remoto_hash``.
+    """
+    found = differing_leaves(mine, theirs, leaves)
+    inside = F.pmod(F.xxhash64("chave"), F.lit(leaves)).cast("int").isin(found) if found else F.lit(False)
+    return sync_plan(local.where(inside), remote.where(inside), remove=remove).where("status <> 'inalterado'")

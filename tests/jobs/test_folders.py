@@ -4,6 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumbra.sources import documents as S
 from lumbra.sources.writer import FolderWriter, place, write_documents
@@ -49,3 +50,21 @@ def test_empty_tables_and_modes(spark, tmp_path):
     assert S.list_documents(spark, root).count() == 0
     with pytest.raises(Exception, match="append"):
         empty.write.format("document_folder").mode("overwrite").save(root)
+
+
+def test_trees_of_digests_lead_to_changed_buckets(spark):
+    leaves = 256
+    docs = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("chave"), F.sha2(F.concat(F.lit("raw"), "id"), 256).alias("hash_bruto"), F.sha2(F.concat(F.lit("txt"), "id"), 256).alias("conteudo_hash"))
+    same = docs.select("chave", F.col("conteudo_hash").alias("remoto_hash"))
+    mine = [S.digest_tree(docs, c, leaves).cache() for c in ("hash_bruto", "conteudo_hash")]
+    tree = S.digest_tree(same.repartition(7), "remoto_hash", leaves)
+    assert {r["nivel"]: r["n"] for r in tree.groupBy("nivel").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 256, 1: 16, 2: 1}
+    assert tree.where("nivel = 2").first()["chaves"] == 3000
+    assert S.differing_leaves(mine, tree, leaves) == [] and S.sync_changes(docs, same, mine, tree, leaves=leaves).count() == 0
+    other = same.where("chave <> 'd7'").withColumn("remoto_hash", F.when(F.col("chave") == "d9", "x").when(F.col("chave") == "d11", None).otherwise(F.col("remoto_hash"))).unionByName(same.limit(1).withColumn("chave", F.lit("novo")))
+    changed = S.digest_tree(other, "remoto_hash", leaves)
+    found = S.differing_leaves(mine, changed, leaves)
+    keys = spark.createDataFrame([("d7",), ("d9",), ("d11",), ("novo",)], "chave string")
+    assert found == sorted({r[0] for r in keys.select(F.pmod(F.xxhash64("chave"), F.lit(leaves)).cast("int")).collect()})
+    plan = S.sync_changes(docs, other, mine, changed, remove=True, leaves=leaves)
+    assert {r["chave"]: r["status"] for r in plan.collect()} == {"d7": "enviado", "d9": "atualizado", "d11": "atualizado", "novo": "removido"}

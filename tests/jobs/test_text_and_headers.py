@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import unicodedata
 
 import yaml
@@ -202,6 +203,17 @@ def slow_paths(text, chunks):
     return out
 
 
+def test_exact_normalising_of_every_character(spark):
+    """As this Python's tables have it, inside the JVM; 40 characters a text, each between letters."""
+    plain = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower().split())
+    known = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(f"a{c}b" for c in known[k : k + 40]) for k in range(0, len(known), 40)] + [None, "", "각 값\u00a0Ü  x\x1cy"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.normalise(F.col("t"), exact=True).alias("n"))
+    got = {r["k"]: r["n"] for r in frame.collect()}
+    assert [k for k, t in enumerate(texts) if got[k] != (None if t is None else plain(t))] == []
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chunks_equal_rules_written_out(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 14)))
