@@ -24,15 +24,37 @@ def reply_json(reply: Column) -> Column:
     return F.when(valid(bare), bare).when(valid(inner), inner)
 
 
+def _said(value: Column) -> Column:
+    """A JSON value as text: names of constants as the jobs' replies are read, objects and lists as JSON."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
 def clean_metadata(text: Column) -> Column:
-    """Metadata from a JSON object: lists (a scalar is a list of one) of trimmed texts, blank scalars null."""
+    """Metadata from a JSON object: lists (a scalar is a list of one) of trimmed texts, blank scalars null.
+
+    The text is parsed once, as a variant, whatever the shapes of its fields: null, false,
+    zero, empty texts, lists and objects count as missing, in a list only blank items do.
+    Text that is no JSON gives no metadata.
+    """
+
+    def fields(v: Column) -> Column:
+        def field(name: str) -> Column:
+            return F.try_variant_get(v, f"$.{name}", "variant")
+
+        def told(x: Column) -> Column:
+            return F.coalesce(~_said(x).isin("None", "False", "0", "", "[]", "{}"), F.lit(False))
+
+        def listed(name: str) -> Column:
+            x = field(name)
+            items = F.transform(F.try_variant_get(x, "$", "array<variant>"), _said)
+            many = F.when(F.schema_of_variant(x).startswith("ARRAY"), items).when(told(x), F.array(_said(x)))
+            return F.coalesce(F.filter(F.transform(many, lambda i: strip(i)), lambda i: i != ""), F.array().cast("array<string>")).alias(name)
 
-    def listed(name: str) -> Column:
-        value = F.get_json_object(text, f"$.{name}")
-        many = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array_compact(F.array(value)))
-        return F.coalesce(F.filter(F.transform(many, lambda x: strip(x)), lambda x: x != ""), F.array().cast("array<string>")).alias(name)
+        return F.struct(*[F.nullif(strip(F.when(told(field(s)), _said(field(s)))), F.lit("")).alias(s) for s in SCALARS], *[listed(x) for x in LISTS])
 
-    return F.struct(*[F.nullif(strip(F.get_json_object(text, f"$.{s}")), F.lit("")).alias(s) for s in SCALARS], *[listed(x) for x in LISTS])
+    return F.transform(F.array(F.try_parse_json(text)), fields)[0]
 
 
 def metadata_json(metadata: Column) -> Column:

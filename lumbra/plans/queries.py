@@ -696,6 +696,35 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# replies of every shape: fenced, within talk, nested, with constants and numbers, cut short, none
+_SHAPED = """CASE doc_id % 8 WHEN 0 THEN concat('{"tipo_conteudo": "', lang, '", "palavras_chave": ["', source, '", null, true, 3, 2.5, ["', lang, '"], " "], "resumo": false}')
+  WHEN 1 THEN concat('```json', chr(10), '{"tipo_conteudo": ["', lang, '"], "indicadores": {"', source, '": 1}, "entidades": 0, "fontes_dados": ""}', chr(10), '```')
+  WHEN 2 THEN concat('Segue: {"intencao": ', doc_id, ', "perguntas_atendidas": "  ', source, '? ", "entidades": []} fim') WHEN 3 THEN concat('{"tipo_conteudo": "', lang)
+  WHEN 4 THEN '' WHEN 5 THEN concat('{"resumo": "', source, '", "resumo2": {"resumo": 1}, "indicadores": [{"a": "', lang, '"}, false]}') WHEN 6 THEN concat('["', lang, '"]') ELSE 'nada {a: b}' END"""
+_ITEM = "CASE json_type({0}) WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE {0}::VARCHAR WHEN 'true' THEN 'True' ELSE 'False' END ELSE json_extract_string({0}, '$') END"
+
+
+def _shape_sql(name: str, many: bool) -> str:
+    x = f"json_extract(j, '$.{name}')"
+    item = _ITEM.format(x)
+    told = f"{x} IS NOT NULL AND {item} NOT IN ('None', 'False', '0', '', '[]', '{{}}')"
+    if not many:
+        return f"CASE WHEN {told} THEN nullif(trim({item}), '') END AS {name}"
+    return f"array_to_string(list_filter([trim(i) FOR i IN CASE WHEN json_type({x}) = 'ARRAY' THEN [coalesce({_ITEM.format('i')}, 'None') FOR i IN from_json({x}, '[\"JSON\"]')] WHEN {told} THEN [{item}] ELSE [] END], lambda i: i <> ''), '|') AS {name}"
+
+
+@query(
+    f"""+ r AS (SELECT doc_id, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN x WHEN json_valid(y) THEN y END AS j FROM (SELECT doc_id, x, nullif(regexp_extract(x, '(?s)\\{{.*\\}}'), '') AS y FROM
+  (SELECT doc_id, regexp_replace(regexp_replace(trim({_SHAPED}), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS x FROM documents)))
+SELECT doc_id, {', '.join([_shape_sql(n, False) for n in tfidf.SCALARS] + [_shape_sql(n, True) for n in tfidf.LISTS])} FROM r"""
+)
+def metadata_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata from replies of every shape."""
+    replies = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_SHAPED} AS reply")
+    read = replies.select("doc_id", tfidf.clean_metadata(tfidf.reply_json(F.col("reply"))).alias("m"))
+    return read.select("doc_id", *[F.col(f"m.{c}") for c in tfidf.SCALARS], *[F.coalesce(F.array_join(F.col(f"m.{c}"), "|"), F.lit("")).alias(c) for c in tfidf.LISTS])
+
+
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_REPLY} AS reply")
     return replies.select("doc_id", tfidf.clean_metadata(tfidf.reply_json(F.col("reply"))).alias("m"))

@@ -102,6 +102,17 @@ def test_reply_json(spark):
     assert [r[0] for r in values(spark, rows, tfidf.reply_json(F.col("t")))] == ['{"a": 1}', '{"a": 1}', '{"a": 1}', None, None]
 
 
+def test_metadata_of_any_shape(spark):
+    """As a reader of parsed JSON has it: constants by their names, falsy scalars missing."""
+    rows = ['{"tipo_conteudo": " a ", "palavras_chave": [" x ", "", null, true, 0, {"k": 1}], "resumo": false, "intencao": 3}', '{"entidades": "só", "indicadores": {}, "fontes_dados": 0, "perguntas_atendidas": null}', "{", "[1]", "", None, '"texto"']
+    got = values(spark, rows, tfidf.clean_metadata(F.col("t")))
+    got = [r[0].asDict() if r[0] else None for r in got]
+    none = {c: None for c in tfidf.SCALARS} | {c: [] for c in tfidf.LISTS}
+    assert got[0] == none | {"tipo_conteudo": "a", "palavras_chave": ["x", "None", "True", "0", '{"k":1}'], "intencao": "3"}
+    assert got[1] == none | {"entidades": ["só"]}
+    assert all(g == none for g in got[2:])
+
+
 def test_diagnosis_of_each_fault(spark):
     good = "---\ntitle: T\nano: 2020\ntema: x\nregional: Sul\nfonte: f\ndata_referencia: 2020\n---\n# H\ntexto"
     rows = {
