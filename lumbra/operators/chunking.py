@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: From the strongest to the weakest place to split at, target length and overlap in characters.
 SEPARATORS = ["\n## ", "\n### ", "\n\n", "\n", ". ", " "]
 SIZE, OVERLAP = 1200, 200
@@ -151,13 +153,25 @@ def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
     return F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: F.trim(F.substr(text, k * step + 1, F.lit(size)))), lambda w: w != "")
 
 
+def _in_ranges(positions: DataFrame, headings: DataFrame) -> DataFrame:
+    """Headings and positions in one order of document and place, cut into ranges ``_part`` of about equal size, and written."""
+    marks = headings.select("doc", F.col("inicio").alias("posicao"), F.lit(0).alias("_asks"), "caminho")
+    asks = positions.select("doc", "posicao").distinct().withColumns({"_asks": F.lit(1), "caminho": F.lit(None).cast("string")})
+    return written(marks.unionByName(asks).repartitionByRange("doc", "posicao", "_asks").withColumn("_part", F.spark_partition_id()), "asof")
+
+
 def heading_asof(positions: DataFrame, headings: DataFrame) -> DataFrame:
     """The last heading at or before each position: both by document, headings with ``inicio, caminho``.
 
-    Both are put in one order per document, so each row is read once, however many there are.
+    Rows are cut into ranges, so a document of any size is spread over many; each range finds
+    the last heading among its own rows, and the last one of the ranges before, for the
+    documents that go on, comes from a table of one row per range and document.
     """
-    marks = headings.select("doc", F.col("inicio").alias("posicao"), F.lit(0).alias("_asks"), "caminho")
-    both = marks.unionByName(positions.select("doc", "posicao").distinct().withColumns({"_asks": F.lit(1), "caminho": F.lit(None).cast("string")}))
-    so_far = Window.partitionBy("doc").orderBy("posicao", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = both.withColumn("caminho", F.coalesce(F.last("caminho", ignorenulls=True).over(so_far), F.lit("")))
-    return last.where("_asks = 1").drop("_asks")
+    rows = _in_ranges(positions, headings)
+    here = Window.partitionBy("_part", "doc").orderBy("posicao", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("doc").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tails = rows.groupBy("_part", "doc").agg(F.max_by("caminho", F.when(F.col("_asks") == 0, F.col("posicao"))).alias("_tail"))
+    carried = tails.select("_part", F.col("doc").alias("_of"), F.last("_tail", ignorenulls=True).over(before).alias("_carried"))
+    own = rows.withColumn("_own", F.last("caminho", ignorenulls=True).over(here)).where("_asks = 1")
+    joined = own.join(carried.withColumnRenamed("_part", "_at"), (F.col("_part") == F.col("_at")) & F.col("doc").eqNullSafe(F.col("_of")), "left")
+    return joined.select("doc", "posicao", F.coalesce("_own", "_carried", F.lit("")).alias("caminho"))

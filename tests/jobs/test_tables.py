@@ -194,6 +194,27 @@ def test_chunks_and_headings_of_single_texts(spark):
     assert "Python" not in chunking.chunk_documents(rows.selectExpr("n AS chave", "'' AS titulo", "t AS body"))._jdf.queryExecution().toString()
 
 
+def test_headings_of_a_document_with_half_of_all_rows(spark):
+    rng = random.Random(9)
+    docs = [*["big"] * 6000, *(f"d{k % 300}" for k in range(6000))]
+    rng.shuffle(docs)
+    heads = [(d, rng.randrange(100_000), f"h{k}") for k, d in enumerate(docs) if rng.random() < 0.02] + [("only", 5, "x")]
+    heads = list({(d, at): (d, at, h) for d, at, h in heads}.values())
+    asked = [(d, rng.randrange(100_000)) for d in docs] + [(heads[0][0], heads[0][1]), ("none", 3), ("none", 3)]
+    positions, headings = spark.createDataFrame(asked, "doc string, posicao int"), spark.createDataFrame(heads, "doc string, inicio int, caminho string")
+    by = {}
+    for d, at, h in sorted(heads):
+        by.setdefault(d, []).append((at, h))
+    want = sorted({(d, at, next((h for start, h in reversed(by.get(d, [])) if start <= at), "")) for d, at in asked})
+    assert sorted(map(tuple, chunking.heading_asof(positions, headings).select("doc", "posicao", "caminho").collect())) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in chunking._in_ranges(positions, headings).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
 def test_weighted_terms(spark):
     rows = [(1, ["Saldo de empregos", "saldo", "SALDO"]), (2, ["turismo"]), (3, []), (4, [f"termo{n}" for n in range(40)])]
     chunks = spark.createDataFrame(rows, "k long, termos array<string>")
