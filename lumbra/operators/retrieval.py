@@ -105,14 +105,14 @@ def rank_notes(questions: DataFrame, notes: DataFrame, stopwords: list[str], lim
     through = rare.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = rare.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     first = (F.row_number().over(rare) == 1) | (2 * F.sum("_df").over(through) <= F.sum("_df").over(Window.partitionBy("question_id")))
-    asked = written(asked.join(lists, "token").select("question_id", "token", "w", first.alias("_first"), F.sum("w").over(onward).alias("_onward")), "asked-tokens")
+    asked = asked.join(lists, "token").select("question_id", "token", "w", first.alias("_first"), F.sum("w").over(onward).alias("_onward"))
 
     places = lambda tokens: tokens.select("question_id", "token", "w").join(weights, ["token", "w"]).select("question_id", "path", "w")
     begun = places(asked.where("_first"))
     beat = _least(_added(begun), limit)
     planned = written(asked.join(beat, "question_id", "left").withColumn("_joined", F.col("_first") | F.col("_least").isNull() | (F.col("_onward") >= F.col("_least"))), "planned-tokens")
     joined = places(planned.where("_joined"))
-    scores = written(_added(joined), "note-scores")
+    scores = _added(joined)
 
     left = planned.where("NOT _joined").groupBy("question_id").agg(F.sum("w").alias("_left"))
     hopeful = scores.join(left, "question_id", "left").join(_least(scores, limit), "question_id", "left")
