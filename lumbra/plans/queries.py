@@ -344,8 +344,8 @@ def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = docs.selectExpr("concat('d', doc_id) AS chave", "sha2(source, 256) AS hash_bruto", "sha2(text, 256) AS conteudo_hash")
     moved = "concat('d', CASE WHEN source = 'src7' AND lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END)"
     remote = docs.selectExpr(f"{moved} AS chave", "CASE WHEN source = 'src3' THEN NULL ELSE sha2(text, 256) END AS remoto_hash")
-    trees = [written(S.digest_tree(d, c), "digests") for d, c in ((local, "hash_bruto"), (local, "conteudo_hash"), (remote, "remoto_hash"))]
-    return S.sync_changes(local, remote, trees[:2], trees[2], remove=True)
+    trees = [written(S.digest_tree(d, c, leaves=4096), "digests") for d, c in ((local, "hash_bruto"), (local, "conteudo_hash"), (remote, "remoto_hash"))]
+    return S.sync_changes(local, remote, trees[:2], trees[2], remove=True, leaves=4096)
 
 
 @query(_SYNC + "SELECT status, count(*) AS quantidade FROM plan GROUP BY 1")

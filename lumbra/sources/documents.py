@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 MARKDOWN = r"(?i)\.(md|markdown)$"
 
 
@@ -95,7 +97,7 @@ def sync_plan(local: DataFrame, remote: DataFrame, force: bool = False, remove:
 
 
 #: Leaves of a tree of digests, and children of each node.
-LEAVES, FANOUT = 65_536, 16
+LEAVES, FANOUT = 65_536, 256
 
 
 def digest_tree(rows: DataFrame, hash_col: str, leaves: int = LEAVES) -> DataFrame:
@@ -108,7 +110,8 @@ def digest_tree(rows: DataFrame, hash_col: str, leaves: int = LEAVES) -> DataFra
     row = F.struct(*[F.xxhash64(F.lit(seed), "chave", F.col(hash_col)).cast("decimal(38,0)").alias(f"h{seed}") for seed in (1, 2)])
     leaf = rows.where(F.col("chave").isNotNull()).select(F.pmod(F.xxhash64("chave"), F.lit(leaves)).cast("int").alias("no"), row.alias("h"))
     level = leaf.groupBy("no").agg(F.sum("h.h1").alias("a"), F.sum("h.h2").alias("b"), F.count(F.lit(1)).alias("chaves"))
-    level = level.select("no", F.sha2(F.concat_ws("|", "a", "b", "chaves"), 256).alias("digesto"), "chaves")
+    # written, as every level above is made of it
+    level = written(level.select("no", F.sha2(F.concat_ws("|", "a", "b", "chaves"), 256).alias("digesto"), "chaves"), "digest-leaves")
     tree, number, width = level.withColumn("nivel", F.lit(0)), 0, leaves
     while width > 1:
         number, width = number + 1, -(-width // FANOUT)

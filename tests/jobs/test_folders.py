@@ -53,12 +53,13 @@ def test_empty_tables_and_modes(spark, tmp_path):
 
 
 def test_trees_of_digests_lead_to_changed_buckets(spark):
-    leaves = 256
+    leaves = 4096
     docs = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("chave"), F.sha2(F.concat(F.lit("raw"), "id"), 256).alias("hash_bruto"), F.sha2(F.concat(F.lit("txt"), "id"), 256).alias("conteudo_hash"))
     same = docs.select("chave", F.col("conteudo_hash").alias("remoto_hash"))
     mine = [S.digest_tree(docs, c, leaves).cache() for c in ("hash_bruto", "conteudo_hash")]
     tree = S.digest_tree(same.repartition(7), "remoto_hash", leaves)
-    assert {r["nivel"]: r["n"] for r in tree.groupBy("nivel").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 256, 1: 16, 2: 1}
+    got_leaves = docs.select(F.pmod(F.xxhash64("chave"), F.lit(leaves))).distinct().count()
+    assert {r["nivel"]: r["n"] for r in tree.groupBy("nivel").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: got_leaves, 1: 16, 2: 1}
     assert tree.where("nivel = 2").first()["chaves"] == 3000
     assert S.differing_leaves(mine, tree, leaves) == [] and S.sync_changes(docs, same, mine, tree, leaves=leaves).count() == 0
     other = same.where("chave <> 'd7'").withColumn("remoto_hash", F.when(F.col("chave") == "d9", "x").when(F.col("chave") == "d11", None).otherwise(F.col("remoto_hash"))).unionByName(same.limit(1).withColumn("chave", F.lit("novo")))
