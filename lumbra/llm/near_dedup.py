@@ -8,11 +8,11 @@ second signature, over the same shingles of weight 1, and are banded by both.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -105,9 +105,9 @@ def _both(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(s if len(s) > _BYTES else s + s for s in sigs), "<u2").reshape(-1, 2, REGISTERS)
 
 
-def _first_band(a: np.ndarray, b: np.ndarray) -> int:
-    """The first band in which two texts share a bucket, by whichever of their signatures."""
-    return int((a[:, None] == b[None, :]).reshape(-1, BANDS, ROWS).all(2).any(0).argmax())
+def _first_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which a text shares a bucket with each of others, by whichever of their signatures."""
+    return (a[None, :, None] == b[:, None, :]).reshape(len(b), -1, BANDS, ROWS).all(3).any(1).argmax(1)
 
 
 def short_signatures(signatures: np.ndarray) -> list[bytes]:
@@ -145,6 +145,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1.0 / (sum_x / x + sum_y / y)).sum()))
 
 
+#: Shingles whose common ones are counted by one product of matrices.
+_COLUMNS = 4096
+
+
+def _common(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How many elements each two of some sets have in common (n x n)."""
+    owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    _, at, held = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True, return_counts=True)
+    shared = held > 1
+    column, owner = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(shared.sum()), _COLUMNS):
+        some = slice(*np.searchsorted(column, (first, first + _COLUMNS)))
+        holds = np.zeros((len(sets), _COLUMNS), np.float32)
+        holds[owner[some], column[some] - first] = 1
+        total += holds @ holds.T
+    return total
+
+
+def _alike(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> Callable[[int, int], bool]:
+    """Whether two of some sets have a :func:`similarity` of ``threshold`` or above; sets without repeated elements need their common ones only."""
+    common, size = _common(sets), np.array([len(s[0]) for s in sets])
+    jaccard = common / (size[:, None] + size[None, :] - common)
+    repeats = [len(s[1]) > 0 and s[1].max() > 1 for s in sets]
+    return lambda i, j: bool(jaccard[i, j] >= threshold or ((repeats[i] or repeats[j]) and similarity(sets[i], sets[j]) >= threshold))
+
+
 def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, ``_th`` (hash of the text), ``tid`` (128-bit identity of its words) and ``sig``.
 
@@ -242,9 +271,10 @@ def _likely_in(group: list[tuple]) -> Iterator[tuple[int, int]]:
         keep = (same.mean(2).max(1) >= LIKELY) & (roots[i + 1 :] != roots[i])
         if x != y:
             keep &= side[i + 1 :] != side[i]
-        for j in np.flatnonzero(keep):
-            if _first_band(sigs[i], sigs[i + 1 + j]) == band:
-                yield i, i + 1 + int(j)
+        some = i + 1 + np.flatnonzero(keep)
+        if len(some):
+            for j in some[_first_bands(sigs[i], sigs[some]) == band].tolist():
+                yield i, j
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -263,18 +293,25 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 _ROW = ["bucket", "x", "y", "_own", "band", "tid", "root", "sig"]
 
 
-def _links_across(left: DataFrame, texts: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame | None:
-    """Links ``a, b`` between texts of different components in the same buckets (``bucket, band, tid, root``), or None.
+def _links_across(members: DataFrame, texts: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame | None:
+    """Links ``a, b`` between texts (``bucket, band, tid, root``) of different components in the same buckets, or None.
 
-    All pairs of a bucket are looked at by their registers, in blocks of bounded size: a
-    bucket of more texts than a block is dealt to several, and each two of them meet in a
-    group of their own.  Texts that have a likely partner there are then brought to the same
+    All pairs of different components in a bucket are looked at by their registers, in blocks
+    of bounded size: a bucket of more texts than a block is dealt to several, those of its
+    largest component to blocks of their own, and each two blocks, but for two of the largest
+    component, meet in a group of their own.  Texts that have a likely partner there are then brought to the same
     groups and compared exactly; pairs themselves are never written, and what a group has
     connected it doesn't compare again.
     """
-    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int")
-    dealt = left.join(sizes, "bucket").withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = parts.groupBy("bucket").agg(F.sum("_c").alias("_n"), F.max(F.struct("_c", "root")).alias("_most")).where("_n > _most._c")
+    one, most, blocks = F.col("_n") <= PART, F.col("_most._c"), lambda n: F.ceil(n / PART).cast("int")
+    rest = F.when(one, 1).otherwise(blocks(F.col("_n") - most))
+    sizes = materialise(sizes.select("bucket", F.col("_most.root").alias("_main"), rest.alias("_rest"), F.when(one, 0).otherwise(blocks(most)).alias("_more")), "bucket-blocks")
+    main, hashed = (F.col("root") == F.col("_main")) & (F.col("_more") > 0), F.xxhash64("tid")
+    own = F.when(main, F.col("_rest") + F.pmod(hashed, F.col("_more"))).otherwise(F.pmod(hashed, F.col("_rest"))).cast("int")
+    others = F.col("_rest") + F.when(main, 0).otherwise(F.col("_more"))
+    dealt = members.join(sizes.hint("shuffle_hash"), "bucket").withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), others - 1)))
     dealt = dealt.select("bucket", F.least("_own", "_k").alias("x"), F.greatest("_own", "_k").alias("y"), "_own", "band", "tid", "root")
     rows = dealt.join(texts.select("tid", "sig"), "tid").select(*_ROW).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "tid")
     kinds = [rows.schema[c].dataType.simpleString() for c in _ROW]
@@ -292,7 +329,10 @@ def _links_across(left: DataFrame, texts: DataFrame, bodies: DataFrame, threshol
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
+            pairs = list(_likely_in([r[:8] for r in group]))
             sets = [weighted_shingles(r[8]) for r in group]
+            # few pairs are compared one by one
+            alike = _alike(sets, threshold) if len(pairs) > len(sets) else lambda i, j, sets=sets: similarity(sets[i], sets[j]) >= threshold
             to: dict[bytes, bytes] = {}
 
             def root(node: bytes, to: dict[bytes, bytes] = to) -> bytes:
@@ -301,9 +341,9 @@ def _links_across(left: DataFrame, texts: DataFrame, bodies: DataFrame, threshol
                 return node
 
             links = []
-            for i, j in _likely_in([r[:8] for r in group]):
+            for i, j in pairs:
                 one, other = root(group[i][6]), root(group[j][6])
-                if one != other and similarity(sets[i], sets[j]) >= threshold:
+                if one != other and alike(i, j):
                     to[max(one, other)] = min(one, other)
                     links.append((group[i][5], group[j][5]))
             yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.binary()) for c in (0, 1)], ["a", "b"])
@@ -328,47 +368,52 @@ def _linked(docs: DataFrame, texts: DataFrame, threshold: float, id_col: str, te
     """
     keys = texts.where("sig IS NOT NULL").select("tid", F.inline(_buckets()))
     several = materialise(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
-    # hash joins throughout: no side is sorted, and plans don't change with the size of a side
-    found_in = materialise(keys.join(several.hint("shuffle_hash"), "bucket"), "found-in")
-    fame = materialise(found_in.groupBy("tid").agg((-F.sum("_n")).alias("_fame")), "fame")
-    texts = materialise(texts.select("tid", "_p", "sig").join(fame.hint("shuffle_hash"), "tid"), "found")
+    # hash joins throughout: no side is sorted, and plans don't change with the size of a side; a text has two keys a band at most
+    fame = (-F.sum("_n").over(Window.partitionBy("tid"))).alias("_fame")
+    members = materialise(keys.join(several.hint("shuffle_hash"), "bucket").select("bucket", "band", "tid", fame, F.col("tid").alias("root")), "members")
+    texts = materialise(texts.select("tid", "_p", "sig").join(members.select("tid").distinct().hint("shuffle_hash"), "tid", "left_semi"), "found")
     bodies = _texts_of(texts, docs, id_col, text_col)
-    left = materialise(found_in.join(fame.hint("shuffle_hash"), "tid").select("bucket", "band", "tid", "_fame", F.col("tid").alias("root")), "members")
     roots: DataFrame | None = None
-    n = left.count()
+    tops, n = _tops(members)
     while n:
-        who = F.struct("_fame", "tid", "root")
-        first = materialise(left.groupBy("bucket").agg(F.min(who).alias("_lead")), "leaders")
-        rest = left.join(first.hint("shuffle_hash"), "bucket").where(F.col("tid") != F.col("_lead.tid"))
+        rest = members.join(tops.hint("shuffle_hash"), "bucket").where(F.col("tid") != F.col("_lead.tid"))
         met = rest.where(F.col("root") != F.col("_lead.root")).select(F.col("_lead.tid").alias("leader"), "tid").distinct()
         likely = _likely(met, texts)
         if not likely.isEmpty():
             roots = _joined(roots, _verified(likely, bodies, threshold))
-        left, before = _mixed(rest.drop("_lead"), roots), n
-        n = left.count()
+        members, before = materialise(_rooted(rest.select("bucket", "band", "tid", "_fame", "root"), roots), "rest"), n
+        tops, n = _tops(members)
         if n > SHRINK * before:
-            more = _links_across(left, texts, bodies, threshold)
+            more = _links_across(members, texts, bodies, threshold)
             return roots if more is None else _joined(roots, more)
     return roots
 
 
+def _tops(members: DataFrame) -> tuple[DataFrame, int]:
+    """``bucket, _lead, _n`` (leader and members) of buckets in which several roots are left, and how many members these have.
+
+    Written, so that both sides of a join with it are plain shuffles, of which adaptive execution can split a large bucket.
+    """
+    lead = F.min(F.struct("_fame", "tid", "root")).alias("_lead")
+    tops = members.groupBy("bucket").agg(lead, F.count(F.lit(1)).alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
+    tops = materialise(tops.select("bucket", "_lead", "_n"), "tops")
+    return tops, tops.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members with their present roots."""
+    if roots is None:
+        return members
+    now = roots.select(F.col("node").alias("tid"), F.col("root").alias("_now"))
+    return members.join(now.hint("shuffle_hash"), "tid", "left").select("bucket", "band", "tid", "_fame", F.coalesce("_now", "root").alias("root"))
+
+
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """``node, root``: components of the roots so far and more links."""
     known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return connected_components(known)
 
 
-def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members with their present roots, of buckets in which several roots are left."""
-    if roots is not None:
-        now = roots.select(F.col("node").alias("tid"), F.col("root").alias("_now"))
-        members = members.join(now.hint("shuffle_hash"), "tid", "left").select("bucket", "band", "tid", "_fame", F.coalesce("_now", "root").alias("root"))
-    members = materialise(members, "rest")
-    # written, so that both sides of the join are plain shuffles, of which adaptive execution can split a large bucket
-    several = materialise(members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket"), "several")
-    return materialise(members.join(several.hint("shuffle_hash"), "bucket"), "mixed")
-
-
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, ``_th, class_id, class_size`` and ``_keep_th`` (the text hash of the one to keep)."""
     marks = _marks(docs, id_col, text_col)
