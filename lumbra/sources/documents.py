@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 MARKDOWN = r"(?i)\.(md|markdown)$"
+#: Partitions of Spark's readers that one task reads, one file after the other.
+TOGETHER = 32
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder, with ``below``, their path from there; as for all of Spark's readers, empty files and names that start with ``_`` or ``.`` are passed over."""
+    """Files below a folder, with ``below``, their path from there; as for all of Spark's readers, empty files and names that start with ``_`` or ``.`` are passed over.
+
+    Spark counts some MB for opening a file, so that a task would have a few dozen small
+    files at most and leave as many files of results as tasks: partitions are put together,
+    ``TOGETHER`` in each, as long as there are several tasks a core.
+    """
     lead = re.sub(r"\Afile:/+", "/", root).rstrip("/") + "/"
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("below", F.substring_index("path", lead, -1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    partitions = files.select("path").rdd.getNumPartitions()
+    fewer = max(8 * spark.sparkContext.defaultParallelism, partitions // TOGETHER)
+    return (files.coalesce(fewer) if fewer < partitions else files).withColumn("below", F.substring_index("path", lead, -1))
 
 
 def document_key(path: Column, prefix: str = "") -> Column:

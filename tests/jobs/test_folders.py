@@ -69,3 +69,13 @@ def test_trees_of_digests_lead_to_changed_buckets(spark):
     assert found == sorted({r[0] for r in keys.select(F.pmod(F.xxhash64("chave"), F.lit(leaves)).cast("int")).collect()})
     plan = S.sync_changes(docs, other, mine, changed, remove=True, leaves=leaves)
     assert {r["chave"]: r["status"] for r in plan.collect()} == {"d7": "enviado", "d9": "atualizado", "d11": "atualizado", "novo": "removido"}
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    root = f"{tmp_path}/many"
+    write_documents(spark.range(3000).selectExpr("concat('d', id % 7, '/', id, '.md') AS chave", "concat('texto ', id) AS conteudo"), root)
+    found = S.read_documents(spark, root)
+    # by Spark's own rule 3,000 files of a few bytes make 94 partitions or more
+    assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    assert {(r["chave"], r["conteudo"]) for r in found.collect()} == {(f"d{n % 7}/{n}.md", f"texto {n}") for n in range(3000)}
+    assert S.list_documents(spark, root).count() == 3000
