@@ -11,6 +11,8 @@ to all its places.  A worker remembers the ids of recent pieces.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +112,17 @@ class Encoder:
             return [t.id for t in self._model.tokenize(piece.translate(self._spelling))]
         return self._tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
 
+    def make_all(self, pieces: list[str]) -> Iterator[list[int]]:
+        """Ids of pieces, as :meth:`make` has them; plain ones are spelled together, since none holds a line end."""
+        if self._folds:
+            yield from map(self.make, pieces)
+            return
+        plain = [_PLAIN(p) is not None for p in pieces]
+        spelled = iter("\n".join(compress(pieces, plain)).translate(self._spelling).split("\n"))
+        tokenize = self._model.tokenize
+        for piece, is_plain in zip(pieces, plain, strict=True):
+            yield [t.id for t in tokenize(next(spelled))] if is_plain else self.make(piece)
+
     def _find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool each piece's ids start, and how many there are."""
         if self._used > _POOL:
@@ -122,8 +135,9 @@ class Encoder:
         if len(new):
             made: list[int] = []
             ends = []
-            for k in new.tolist():
-                made += self.make(pieces[k])
+            fresh = [pieces[k] for k in new.tolist()]
+            for ids in self.make_all(fresh):
+                made += ids
                 ends.append(len(made))
             size[new] = np.diff(np.array([0, *ends]))
             at[new] = self._used + np.array(ends) - size[new]
