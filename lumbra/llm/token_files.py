@@ -34,6 +34,8 @@ _HEAD = struct.Struct("<8sIIIIQQ")
 _MAGIC = b"REPAIR2\0"
 #: Ids after which a shard is closed (a document is never split, so one may hold more).
 SHARD_IDS = 1_000_000
+#: Slots of a worker's encoder, so that it starts afresh after some 160 MB of texts, and bytes of text encoded together.
+SLOTS, SLICE = 1 << 21, 4 << 20
 #: Pairs replaced in a round (more, if they occur at least half as often as the most frequent), and uses
 #: that a rule must have: it is written as two symbols and saves one a use, so from three on it pays.
 RULES, USES = 8192, 3
@@ -45,6 +47,13 @@ def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
 
 
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids at some places and after them, as one number each."""
+    keys = np.empty((len(at), 2), np.uint32)
+    keys[:, 1], keys[:, 0] = seq[at], seq[at + 1]
+    return keys.view(np.uint64).ravel()
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, uses: int = USES):
     """Compress ``ids`` by replacing frequent pairs of neighbours by new ids, until no pair has ``uses`` places.
 
@@ -62,14 +71,16 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, use
     while True:
         alive[-1:] = False
         at = np.flatnonzero(alive)
-        keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1] if len(at) else np.zeros(0, np.uint64)
-        free_at, free = at, keys
-        again = np.concatenate(([False], (keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1))) if len(at) else np.zeros(0, bool)
-        if again.any():  # of a run of one id, the first, third and so on
-            n = np.arange(len(at))
-            odd = (n - np.maximum.accumulate(np.where(again, 0, n))) % 2 == 0
-            free_at, free = at[odd], keys[odd]
-        inner = np.sort(free)
+        keys = _pairs(seq, at)
+        again = np.flatnonzero((keys[1:] == keys[:-1]) & (at[1:] == at[:-1] + 1)) + 1
+        odd = None
+        if len(again):  # of a run of one id, the first, third and so on
+            n = np.arange(len(again))
+            head = np.ones(len(again), bool)
+            head[1:] = again[1:] != again[:-1] + 1
+            odd = np.ones(len(at), bool)
+            odd[again[(n - np.maximum.accumulate(np.where(head, n, 0))) % 2 == 0]] = False
+        inner = np.sort(keys if odd is None else keys[odd])
         firsts = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1]))) if len(inner) else np.zeros(0, np.int64)
         counts = np.diff(np.append(firsts, len(inner)))
         often = np.flatnonzero(counts >= uses)
@@ -77,17 +88,21 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, use
             return seq, pairs, lengths, ends
         flags = np.zeros(1 << _OFTEN_BITS, bool)
         flags[_slot(inner[firsts[often]], _OFTEN_BITS)] = True
-        alive[at[~flags[_slot(keys, _OFTEN_BITS)]]] = False
+        stay = flags[_slot(keys, _OFTEN_BITS)]
+        alive[at] = stay
+        # chosen pairs are among those that stay
+        stay = np.flatnonzero(stay if odd is None else stay & odd)
+        at, keys = at[stay], keys[stay]
         often = often[np.argsort(-counts[often], kind="stable")]
         chosen = inner[firsts[often[: max(rules, int((counts[often] * 2 >= counts[often[0]]).sum()))]]]
         # a slot holds one pair; of those that meet in one, the most frequent stays
         table = np.full(1 << _RULE_BITS, -1, np.int32)
         order = np.arange(len(chosen))[::-1]
         table[_slot(chosen[order], _RULE_BITS)] = order
-        rule = table[_slot(free, _RULE_BITS)]
+        rule = table[_slot(keys, _RULE_BITS)]
         hit = np.flatnonzero(rule >= 0)
-        hit = hit[chosen[rule[hit]] == free[hit]]
-        at, rule = free_at[hit], rule[hit]
+        hit = hit[chosen[rule[hit]] == keys[hit]]
+        at, rule = at[hit], rule[hit]
         near = at[1:] == at[:-1] + 1
         won = np.ones(len(at), bool)
         won[1:] &= ~near | (rule[1:] < rule[:-1])
@@ -110,6 +125,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rules: int = RULES, use
         ends[at] = ends[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        stay = np.flatnonzero(stay)
         seq, ends, alive = seq[stay], ends[stay], alive[stay]
 
 
@@ -204,7 +220,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     ordered = docs.select(id_col, F.xxhash64(text).alias("_hash"), text.alias("_text")).repartitionByRange(*order).sortWithinPartitions(*order, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, shard = encoder(tokenizer, SLOTS), TaskContext.get().partitionId(), 0
         keys: list[pa.Array] = []
         held: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -219,7 +235,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), values, pa.array([pack_shard(np.concatenate(held), ends, base)], pa.binary())], ["part", "shard", "ids", "blob"]
             )
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             ids, at = enc.encode(batch.column(1), end_id)
             row = 0
             while row < batch.num_rows:

@@ -21,8 +21,8 @@ from xxhash import xxh3_128_digest
 #: A word of Latin letters, perhaps after one space, or signs without an apostrophe: one token
 #: group, whatever the vocabulary's splitting pattern.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+").fullmatch
-#: Slots of what a worker remembers, and ids at which it starts afresh.
-_SLOTS, _POOL = 1 << 20, 4 << 20
+#: Slots of what a worker remembers, unless told otherwise, and ids per slot at which it starts afresh.
+SLOTS, _POOL = 1 << 20, 4
 
 #: Kinds of bytes: white space, and that which isn't a space; letters; signs before which a word may be cut off
 #: (``|`` ends the names of special tokens).
@@ -86,11 +86,12 @@ def dealt(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    """Maps columns of texts to ids, by what it remembers of pieces."""
+    """Maps columns of texts to ids, by what it remembers of pieces in ``slots`` (a power of two)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, slots: int = SLOTS) -> None:
         from tokenizers import Tokenizer
 
+        self._slots = slots
         self._tokenizer = Tokenizer.from_file(path)
         self._model, split = self._tokenizer.model, self._tokenizer.pre_tokenizer.pre_tokenize_str
         self._folds = self._tokenizer.normalizer is not None and self._tokenizer.normalizer.normalize_str("A") == "a"
@@ -100,8 +101,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys = np.zeros((_SLOTS, 2), np.uint64)
-        self._at, self._size = np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
+        self._keys = np.zeros((self._slots, 2), np.uint64)
+        self._at, self._size = np.zeros(self._slots, np.int32), np.zeros(self._slots, np.int32)
         self._pool, self._used = np.zeros(1 << 16, np.uint32), 0
 
     def make(self, piece: str) -> list[int]:
@@ -125,10 +126,10 @@ class Encoder:
 
     def _find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool each piece's ids start, and how many there are."""
-        if self._used > _POOL:
+        if self._used > _POOL * self._slots:
             self._forget()
         keys = np.frombuffer(b"".join(map(xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
-        slots = (keys[:, 0] & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slots = (keys[:, 0] & np.uint64(self._slots - 1)).astype(np.int64)
         known = (self._keys[slots] == keys).all(1)
         at, size = self._at[slots].astype(np.int64), self._size[slots].astype(np.int64)
         new = np.flatnonzero(~known)
@@ -164,15 +165,20 @@ class Encoder:
         return ids, np.concatenate(([0], through[np.cumsum(counts)] + np.arange(1, len(texts) + 1)))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file; one for another file is forgotten."""
-    if path not in _encoders:
+def encoder(path: str, slots: int = SLOTS) -> Encoder:
+    """This worker's encoder for a vocabulary file; one for another file, or with other slots, is forgotten."""
+    if (path, slots) not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, slots] = Encoder(path, slots)
+    return _encoders[path, slots]
+
+
+def forget_encoder() -> None:
+    """Free this worker's encoder, before a step of another kind takes memory of its own."""
+    _encoders.clear()
 
 
 def vocabulary(name: str) -> str:

@@ -607,3 +607,36 @@ def test_queries_give_whole_tables(spark):
     for f in (registry.op4_near_dedup, registry.op6_quality, registry.op9_token_files):
         assert f(spark, SF).count() == n
     assert registry.op8_best_fit_packing(spark, SF).select("doc_id").distinct().count() == n
+
+
+def test_an_encoder_remembers_by_its_slots_and_is_forgotten():
+    from lumbra.llm import tokens
+
+    path = vocabulary("byte_bpe_50k.json")
+    words = pa.array([f"w{k:x} in{k:o}" for k in range(300)])
+    few, many = tokens.Encoder(path, 2), tokens.Encoder(path, 1 << 12)
+    (a, at), (b, to) = few.encode(words, 0), many.encode(words, 0)
+    assert a.tolist() == b.tolist() and at.tolist() == to.tolist()
+    asked = []
+    for enc in (few, many):
+        made, n = enc.make_all, []
+        enc.make_all = lambda p, made=made, n=n: (n.append(len(p)), made(p))[1]
+        assert enc.encode(words, 0)[0].tolist() == a.tolist()
+        asked.append(sum(n))
+    assert asked[1] < asked[0] / 4
+    assert tokens.encoder(path) is tokens.encoder(path) is not tokens.encoder(path, 1 << 12)
+    tokens.forget_encoder()
+    assert not tokens._encoders
+
+
+def test_pairs_of_runs_of_one_id():
+    from lumbra.llm.token_files import repair
+
+    # of a run, the first, third and so on places count, also where runs of different ids or documents meet
+    for docs in ([[7] * 9, [7] * 4, [7, 7]], [[5, 5, 5, 7, 7, 7, 7], [7, 5, 5, 5]], [[1, 2, 1, 2, 1, 2, 2, 2, 2, 2]]):
+        ids, ends = np.array(sum(docs, []), np.uint32), np.zeros(sum(map(len, docs)), bool)
+        ends[np.cumsum([len(d) for d in docs]) - 1] = True
+        got, starts = Shard(pack_shard(ids, ends, 10)).documents()
+        assert got.tolist() == ids.tolist() and np.diff(starts).tolist() == [len(d) for d in docs]
+    seq, pairs, _, _ = repair(np.full(8, 7, np.uint32), np.arange(8) == 7, 10)
+    assert pairs[0].tolist() == [7, 7] and len(seq) == 4
