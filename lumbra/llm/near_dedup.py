@@ -19,6 +19,7 @@ from xxhash import xxh3_128_digest
 from .batches import slices
 from .components import connected_components
 from .storage import materialise
+from .tokens import forget_encoder
 from .words import hash_words, mix, shingles, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -182,6 +183,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoder()  # a worker that has tokenised before needs its memory
         for batch in slices(batches, 2, TOGETHER):
             tids, sets = [], []
             for text in batch.column(2).to_pylist():

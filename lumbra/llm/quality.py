@@ -14,7 +14,7 @@ from xxhash import xxh3_64_intdigest
 
 from .batches import slices
 from .storage import materialise
-from .tokens import cut_at_spaces
+from .tokens import cut_at_spaces, forget_encoder
 
 #: Documents with a label that the classifiers are fitted on at most, unless told otherwise.
 MAX_LABELLED = 4000
@@ -23,6 +23,9 @@ ROUNDS, EXCHANGED, CERTAIN = 3, 400, 0.95
 #: A good document that the threshold costs weighs as much as so many bad ones that it rejects, by shares of their classes.
 WORTH = 4.0
 
+#: Bytes of texts, and rows, that are turned into views together: a row takes a kilobyte of floats several times over, however short its text.
+SLICE, ROWS = 512 << 10, 512
+
 TRIGRAMS, TEXT_EXTRA = 1024, 14
 SOURCES, LANGS, CROSSED, SIZES = 64, 16, 128, 24
 _TEXT, _PAGE = TRIGRAMS + TEXT_EXTRA, SOURCES + LANGS + CROSSED + SIZES + 2
@@ -218,6 +221,13 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange:
 _FIELDS = ("source", "lang", "n_chars")
 
 
+def _portions(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in portions of at most ``ROWS`` rows and ``SLICE`` bytes of text (or one row)."""
+    forget_encoder()  # a worker that has tokenised before needs its memory
+    for part in slices(batches, text_col, SLICE):
+        yield from (part.slice(k, ROWS) for k in range(0, part.num_rows, ROWS))
+
+
 def _views(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch's rows; metadata that it lacks counts as null."""
     names = batch.schema.names
@@ -246,7 +256,7 @@ def train_quality(
     fields = [text_col, *(c for c in _FIELDS if c in docs.columns and c != text_col)]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in _portions(batches, text_col):
             a, b = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32())) for x in _views(batch, text_col))
             yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), batch.column("_to"), a, b], ["_h", "_y", "_to", "a", "b"])
 
@@ -262,7 +272,7 @@ def train_quality(
 
     def exchange(models: list[Linear], many: list[int]) -> list[Given]:
         def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_col):
+            for batch in _portions(batches, text_col):
                 p = [_sigmoid(m.odds(x)) for m, x in zip(models, _views(batch, text_col), strict=True)]
                 some = pa.array(np.maximum(np.maximum(p[0], 1 - p[0]), np.maximum(p[1], 1 - p[1])) >= certain)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(float)) for x in p)], [id_col, "_p0", "_p1"]).filter(some)
@@ -306,7 +316,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in _portions(batches, text_col):
             a, b, both = model.scores(*_views(batch, text_col))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(s.astype(float)) for s in (a, b, both)), pa.array(both >= model.threshold)], [id_col, "text_score", "page_score", "score", "accepted"])
 
@@ -318,7 +328,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     """The rows of ``docs`` that the model accepts, all columns as they are; nulls, repeated rows and empty tables as in :func:`score_quality`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in _portions(batches, text_col):
             yield batch.filter(pa.array(model.scores(*_views(batch, text_col))[2] >= model.threshold))
 
     return docs.mapInArrow(run, docs.schema)

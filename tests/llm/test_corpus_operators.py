@@ -640,3 +640,16 @@ def test_pairs_of_runs_of_one_id():
         assert got.tolist() == ids.tolist() and np.diff(starts).tolist() == [len(d) for d in docs]
     seq, pairs, _, _ = repair(np.full(8, 7, np.uint32), np.arange(8) == 7, 10)
     assert pairs[0].tolist() == [7, 7] and len(seq) == 4
+
+
+def test_views_of_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array([f"short text {k}" * (1 + k % 9) for k in range(9000)])], ["doc_id", "text"])
+    parts = list(quality._portions([rows], "text"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows])) and max(p.num_rows for p in parts) <= quality.ROWS
+    tracemalloc.start()
+    views = [quality._views(p, "text")[0][:, 0].copy() for p in quality._portions([rows], "text")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and np.array_equal(np.concatenate(views), quality._views(rows, "text")[0][:, 0])
