@@ -132,14 +132,14 @@ def weighted_terms(
     both = weighed.unionByName(counted.select(*keys, "_terms", F.lit(None).cast(weighed.schema["_w"].dataType).alias("_w")))
     met = both.groupBy(*keys).agg(F.collect_list("_w").alias("_w"), F.first("_terms", ignorenulls=True).alias("_terms"))
 
-    def add(s: Column, x: Column) -> Column:
-        same = F.lower(x["term"])
-        picked = F.struct(F.concat(s["terms"], F.array(x["term"])).alias("terms"), F.concat(s["same"], F.array(same)).alias("same"))
-        return F.when((F.size(s["terms"]) < limit) & ~F.array_contains(s["same"], same), picked).otherwise(s)
+    def distinct(ordered: Column) -> Column:
+        # a fold would copy what it has found at every term; the few that are kept are looked up
+        lowered = F.transform(ordered, lambda x: F.lower(x["term"]))
+        kept = lambda low: F.transform(F.slice(F.array_distinct(low), 1, limit), lambda k: F.get(ordered, (F.array_position(low, k) - 1).cast("int"))["term"])
+        return F.transform(F.array(lowered), kept)[0]
 
     ordered = F.sort_array(F.transform("_w", lambda w: F.struct(w["by"].alias("by"), F.get(F.col("_terms"), w["pos"]).alias("term"))))
-    none = F.array().cast("array<string>")
-    best = F.aggregate(ordered, F.struct(none.alias("terms"), none.alias("same")), add, lambda s: s["terms"])
+    best = F.transform(F.array(ordered), distinct)[0]
     return met.select(*keys, F.array_join(best, ", ").alias("metadados_tfidf"))
 
 

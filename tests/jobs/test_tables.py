@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,3 +317,13 @@ def test_context_falls_back(spark):
     found = spark.createDataFrame([(1, 2, "B", "b"), (1, 1, "A", "a")], "question_id long, posicao int, referencia string, texto string")
     got = {r["question_id"]: r for r in retrieval.context_texts(asked, found).collect()}
     assert got[1]["contexto"] == "[1] A\na\n\n---\n\n[2] B\nb" and got[1]["fontes"] == "- A\n- B" and got[2]["resposta"] == retrieval.NOTHING_FOUND
+
+
+def test_weighted_terms_of_any_case_are_looked_up_not_folded(spark, capsys):
+    rare = [f"Rare{k:03d} word{k:03d}" for k in range(60)]
+    chunks = spark.createDataFrame([(1, ["Common", "COMMON", *rare, *(x.upper() for x in rare)]), (2, ["common"]), (3, []), (4, None)], "k int, termos array<string>")
+    weighed = tfidf.weighted_terms(chunks, ["k"], limit=7)
+    got = {r["k"]: r["metadados_tfidf"] for r in weighed.collect()}
+    assert got == {1: ", ".join(rare[:7]), 2: "common", 3: "", 4: ""}
+    weighed.explain(True)
+    assert not re.search(r"\baggregate\(", capsys.readouterr().out)
