@@ -187,8 +187,12 @@ def _to_bins(assigned: list[int]) -> Bins:
     return bins
 
 
+#: What is known of a shard before an epoch: its best packing, epochs without a gain, crossovers and those that made a better packing.
+_STATE = ["_had", "_idle", "_c", "_w"]
+
+
 def _evolve(shards: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """One epoch on every island (``_shard, _island, _items, _elites``).
+    """One epoch on every island (``_shard, _island, _items, _elites``, and ``_had, _idle, _c, _w``, which stay as they are).
 
     Adds ``_best`` (bin of each item), ``_bins`` (how many), ``_fit``, ``_open`` (whether fewer are thinkable) and
     ``_crossed, _won`` (crossovers, and those that made a better packing).
@@ -209,10 +213,10 @@ def _evolve(shards: DataFrame, capacity: int, epoch: int) -> DataFrame:
                 one = batch.slice(row, 1)
                 made = [pa.array([best], pa.list_(pa.int32())), pa.array([len(bins)], pa.int64()), pa.array([home.fitness(bins)[1]], pa.float64())]
                 made += [pa.array([len(bins) > home.least]), pa.array([home.crossed], pa.int64()), pa.array([home.won], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*one.columns[:3], *made], ["_shard", "_island", "_items", "_best", "_bins", "_fit", "_open", "_crossed", "_won"])
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], *one.columns[4:], *made], ["_shard", "_island", "_items", *_STATE, "_best", "_bins", "_fit", "_open", "_crossed", "_won"])
 
-    schema = f"_shard long, _island int, _items {shape}, _best array<int>, _bins long, _fit double, _open boolean, _crossed long, _won long"
-    return shards.select("_shard", "_island", "_items", "_elites").mapInArrow(run, schema)
+    schema = f"_shard long, _island int, _items {shape}, _had struct<_b:long,_f:double>, _idle int, _c long, _w long, _best array<int>, _bins long, _fit double, _open boolean, _crossed long, _won long"
+    return shards.select("_shard", "_island", "_items", "_elites", *_STATE).mapInArrow(run, schema)
 
 
 def _evolved(shards: DataFrame, capacity: int, number: int) -> DataFrame:
@@ -227,15 +231,15 @@ def _evolved(shards: DataFrame, capacity: int, number: int) -> DataFrame:
     done: DataFrame | None = None
     epoch = 0
     while True:
-        found = _evolve(spread(open_.select("_shard", "_items", "_elites")), capacity, epoch)
+        found = _evolve(spread(open_), capacity, epoch)
         rank = F.struct((-F.col("_bins")).alias("_b"), F.col("_fit").alias("_f"))
         met = found.groupBy("_shard").agg(
             F.max_by("_best", F.struct(rank, "_island")).alias("_best"), F.max(rank).alias("_now"), F.collect_list("_best").alias("_elites"), F.first("_items").alias("_items"),
             F.bool_and("_open").alias("_open"), F.sum("_crossed").alias("_crossed"), F.sum("_won").alias("_won"),
+            *[F.first(c).alias(c) for c in _STATE],  # the same on all islands; a join would be a broadcast of each epoch's
         )
-        state = met.join(open_.select("_shard", "_had", "_idle", "_c", "_w"), "_shard")
         gained = F.col("_had").isNull() | (F.col("_now") > F.col("_had"))
-        state = state.withColumns({"_idle": F.when(gained, 0).otherwise(F.col("_idle") + 1), "_c": F.col("_c") + F.col("_crossed"), "_w": F.col("_w") + F.col("_won")})
+        state = met.withColumns({"_idle": F.when(gained, 0).otherwise(F.col("_idle") + 1), "_c": F.col("_c") + F.col("_crossed"), "_w": F.col("_w") + F.col("_won")})
         state = materialise(state.select("_shard", "_items", "_best", "_elites", F.col("_now").alias("_had"), "_idle", "_c", "_w", (F.col("_open") & (F.col("_idle") < PATIENCE)).alias("_more")), f"packed-{number}-{epoch}")
         ended = state.where(~F.col("_more")).select("_shard", "_items", "_best", F.col("_c").alias("_crossed"), F.col("_w").alias("_won"))
         done = ended if done is None else done.unionByName(ended)

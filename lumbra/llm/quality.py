@@ -119,11 +119,31 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> Linear:
-    """Weighted logistic regression by accelerated gradient steps."""
+#: Rows that are multiplied, and columns whose spread is taken, together: the driver holds the features once, and copies of so many of them.
+_TILE, _STRIP = 256, 64
+
+
+def _times(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``z @ w`` in the precision of ``w``, without all of ``z`` in it."""
+    return np.concatenate([z[k : k + _TILE] @ w for k in range(0, len(z), _TILE)]) if len(z) else z @ w
+
+
+def _summed(z: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """``z.T @ gap`` in the precision of ``gap``, without all of ``z`` in it."""
+    out = np.zeros(z.shape[1], np.result_type(z, gap))
+    for k in range(0, len(z), _TILE):
+        out += z[k : k + _TILE].T @ gap[k : k + _TILE]
+    return out
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 300, spend: bool = False) -> Linear:
+    """Weighted logistic regression by accelerated gradient steps; with ``spend``, ``x`` itself is standardised, and no copy."""
     mean = x.mean(0)
-    scale = np.maximum(x.std(0), 1e-3)
-    z = ((x - mean) / scale).astype(np.float32)
+    spread = [x[:, k : k + _STRIP].std(0) for k in range(0, x.shape[1], _STRIP)]
+    scale = np.maximum(np.concatenate(spread), 1e-3)
+    z = np.subtract(x, mean, out=x if spend else None)
+    z /= scale
+    z = z.astype(np.float32, copy=False)
     w, b = np.zeros(z.shape[1], np.float32), float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
     weight = (weight / weight.sum()).astype(np.float32)
     # the curvature is at most a quarter of the largest eigenvalue, which a few power steps give
@@ -134,8 +154,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, s
     rate = 1 / (0.3 * (float(np.linalg.norm(z.T @ (weight * (z @ v)))) + 1) + ridge)
     seen_w, seen_b = w, b
     for t in range(steps):
-        gap = weight * (_sigmoid(z @ seen_w + seen_b) - y)
-        new_w, new_b = seen_w - rate * (z.T @ gap + ridge * seen_w), seen_b - rate * float(gap.sum())
+        gap = weight * (_sigmoid(_times(z, seen_w) + seen_b) - y)
+        new_w, new_b = seen_w - rate * (_summed(z, gap) + ridge * seen_w), seen_b - rate * float(gap.sum())
         pull = t / (t + 3)
         seen_w, seen_b = new_w + pull * (new_w - w), new_b + pull * (new_b - b)
         w, b = new_w, new_b
@@ -191,15 +211,19 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, exchange:
     ``exchange`` takes both models and how many bad and good documents to label, and returns
     what each view is given anew.
     """
-    learn = ~held
+    learn, n = ~held, int((~held).sum())
     given = [[(v[:0], y[:0])] for v in views]
     good = y[learn].mean()
     models: list[Linear] = []
     for r in range(rounds + 1):
         models = []
         for k in (0, 1):
-            x, told = (np.concatenate(part) for part in zip(*given[k], strict=True))
-            model = fit(np.concatenate([views[k][learn], x]), np.concatenate([y[learn], told]), np.concatenate([np.ones(learn.sum()), np.full(len(told), 0.5)]))
+            told = np.concatenate([t for _, t in given[k]])
+            x = np.empty((n + len(told), views[k].shape[1]), views[k].dtype)
+            np.take(views[k], np.flatnonzero(learn), axis=0, out=x[:n], mode="clip")  # any other mode makes a copy first
+            np.concatenate([v for v, _ in given[k]], out=x[n:])
+            model = fit(x, np.concatenate([y[learn], told]), np.concatenate([np.ones(n), np.full(len(told), 0.5)]), spend=True)
+            del x
             model.line = calibrate(model.odds(views[k][held]), y[held])
             models.append(model)
         if r == rounds:
@@ -257,15 +281,27 @@ def train_quality(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, text_col):
-            a, b = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32())) for x in _views(batch, text_col))
+            a, b = (pa.array([row.tobytes() for row in x], pa.binary()) for x in _views(batch, text_col))
             yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), batch.column("_to"), a, b], ["_h", "_y", "_to", "a", "b"])
 
     def fetch(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Hashes, ``_y, _to`` and both views of the documents of a bounded number of ids."""
+        """Hashes, ``_y, _to`` and both views of the documents of a bounded number of ids.
+
+        Written by the executors and fetched partition by partition, so that the driver's JVM never holds them all.
+        """
         rows = docs.select(id_col, *fields).join(F.broadcast(chosen), id_col).select(order.alias("_h"), "_y", "_to", *fields)
-        rows = rows.mapInArrow(features, "_h long, _y int, _to int, a array<float>, b array<float>").toArrow().sort_by([("_to", "ascending"), ("_h", "ascending"), ("_y", "ascending")])
-        x = [np.stack(rows[c].to_numpy()) if len(rows) else np.zeros((0, n), np.float32) for c, n in (("a", _TEXT), ("b", _PAGE))]
-        return rows["_h"].to_numpy(), rows["_y"].to_numpy(), rows["_to"].to_numpy(), x
+        rows = materialise(rows.mapInArrow(features, "_h long, _y int, _to int, a binary, b binary"), "features")
+        keys, a, b = [], bytearray(), bytearray()
+        for *key, text, page in rows.toLocalIterator():
+            keys.append(key)
+            a += text
+            b += page
+        h, y, to = np.array(keys, np.int64).reshape(-1, 3).T
+        at = np.lexsort((y, h, to))
+        x = [np.frombuffer(a, np.float32).reshape(-1, _TEXT)[at]]
+        del a
+        x.append(np.frombuffer(b, np.float32).reshape(-1, _PAGE)[at])
+        return h[at], y[at], to[at], x
 
     kind = docs.schema[id_col].dataType.simpleString()
     taken: list[set] = [set(), set()]

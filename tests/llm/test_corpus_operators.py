@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumbra.llm import quality, registry
+from lumbra.llm import packing, quality, registry
 from lumbra.llm.components import connected_components
 from lumbra.llm.near_dedup import REGISTERS, keep_one_of_each, near_duplicates, prob_minhash, similarity, weighted_shingles
 from lumbra.llm.packing import Island, _evolved, cut_pieces, least_bins, pack_documents, pack_pieces
@@ -204,6 +205,32 @@ def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
     assert seen == [5900, 5900]
 
 
+def test_quality_is_fitted_without_copies_of_the_features():
+    rng = np.random.default_rng(4)
+    x, y, weight = rng.random((3000, 600), dtype=np.float32), (rng.random(3000) < 0.5).astype(float), np.ones(3000)
+    plain = quality.fit(x.copy(), y, weight, steps=5)
+    # every step with whole matrices, written out
+    z = (x - x.mean(0)) / np.maximum(x.std(0), 1e-3)
+    w = np.concatenate([rng.random(598), [0.0, 1.0]])
+    assert np.allclose(quality._times(z, w), z.astype(float) @ w, rtol=0, atol=1e-9) and np.allclose(quality._summed(z, y), z.T.astype(float) @ y, rtol=0, atol=1e-9)
+    size = x.nbytes
+    tracemalloc.start()
+    spent = quality.fit(x, y, weight, steps=5, spend=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < size / 2 and np.array_equal(plain.weights, spent.weights) and plain.bias == spent.bias
+
+
+def test_quality_features_are_fetched_in_parts(spark, monkeypatch):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+    def whole(*_):
+        raise AssertionError("fetched as a whole")
+
+    monkeypatch.setattr(type(docs), "toArrow", whole)
+    assert len(train_quality(docs, labels, rounds=1).views) == 2
+
+
 def slow_text_view(text):
     """Features of one text, one after the other."""
     data, words = text.encode(), []
@@ -378,6 +405,19 @@ def test_evolution_beats_best_fit(spark):
         assert len(fill) < len(home.founder(False)) and r["_won"] > 0 and r["_crossed"] > r["_won"]
 
 
+def test_epochs_of_packing_join_nothing(spark, monkeypatch):
+    plans, real = [], packing.materialise
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(packing, "materialise", spy)
+    pieces = spark.createDataFrame([(k, x) for k, x in enumerate(triplets(random.Random(5), 60))], "doc_id long, length int")
+    assert pack_pieces(pieces, 1000, ["doc_id"]).count() == 180
+    assert len(plans) > 3 and not any("Join" in p for p in plans)
+
+
 def slow_least(lengths, capacity):
     """The bound with every threshold tried."""
     best = -(-sum(lengths) // capacity)
