@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folders
 from .scratch import written
 
 MARKDOWN = r"(?i)\.(md|markdown)$"
@@ -14,8 +15,28 @@ MARKDOWN = r"(?i)\.(md|markdown)$"
 TOGETHER = 32
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder, with ``below``, their path from there; as for all of Spark's readers, empty files and names that start with ``_`` or ``.`` are passed over.
+def _files(spark: SparkSession, root: str, wanted: Column, empty: bool, contents: bool) -> DataFrame:
+    """Files below a folder whose ``below``, their path from there, is wanted: ``path, below, length, modified`` (seconds), or ``below, content``.
+
+    Names that start with ``.`` are passed over, and empty files unless they are asked for.
+    Tasks list and read the folder, so that the driver's memory doesn't follow the number of
+    files; a root that they can't list by themselves goes through Spark's reader, which
+    passes over empty files in any case and over names that start with ``_``.
+    """
+    if not folders.reachable(spark, root):
+        return _by_reader(spark, root).where(wanted)
+    path = folders.local(root)
+    lead = "file:" + path if path else root.rstrip("/")
+    # a name may have bytes that are no text
+    below = F.make_valid_utf8(F.col("below").cast("string"))
+    files = folders.listed(spark, root).where(F.lit(empty) | (F.col("length") > 0)).withColumn("name", F.col("below")).withColumn("below", below).where(wanted)
+    if contents:
+        return folders.contents(files.select(F.col("name").alias("below"), "length"), root).withColumn("below", below)
+    return files.select(F.concat(F.lit(lead.rstrip("/") + "/"), "below").alias("path"), "below", "length", "modified")
+
+
+def _by_reader(spark: SparkSession, root: str) -> DataFrame:
+    """Files as Spark's reader lists them on the driver: ``path, below, length, modified, content``.
 
     Spark counts some MB for opening a file, so that a task would have a few dozen small
     files at most and leave as many files of results as tasks: partitions are put together,
@@ -25,7 +46,8 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     partitions = files.select("path").rdd.getNumPartitions()
     fewer = max(8 * spark.sparkContext.defaultParallelism, partitions // TOGETHER)
-    return (files.coalesce(fewer) if fewer < partitions else files).withColumn("below", F.substring_index("path", lead, -1))
+    together = files.coalesce(fewer) if fewer < partitions else files
+    return together.withColumn("below", F.substring_index("path", lead, -1)).withColumn("modified", F.unix_seconds("modificationTime"))
 
 
 def document_key(path: Column, prefix: str = "") -> Column:
@@ -43,12 +65,12 @@ def document_uri(base: str, key: Column, prefix: str = "") -> Column:
 
 def list_documents(spark: SparkSession, root: str, base: str = "", prefix: str = "") -> DataFrame:
     """Markdown files below a folder, at any depth: ``chave, origem_uri, etag, tamanho``; contents are not read."""
-    files = _files(spark, root).where(F.col("path").rlike(MARKDOWN))
+    files = _by_reader(spark, root).where(F.col("below").rlike(MARKDOWN))
     key = document_key(F.col("below"), prefix)
     return files.select(
         key.alias("chave"),
         (document_uri(base, key, prefix) if base else F.col("path")).alias("origem_uri"),
-        F.concat(F.lit("mtime-"), F.unix_seconds("modificationTime")).alias("etag"),
+        F.concat(F.lit("mtime-"), "modified").alias("etag"),
         F.col("length").alias("tamanho"),
     ).orderBy("chave")
 
@@ -58,18 +80,18 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"^\x{FEFF}+", "")
 
 
-def read_documents(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """Contents of Markdown files: ``chave, conteudo``, and hashes of the bytes and of the text, from one pass."""
-    files = _files(spark, root).where(F.col("path").rlike(MARKDOWN))
+def read_documents(spark: SparkSession, root: str, prefix: str = "", empty: bool = False) -> DataFrame:
+    """Contents of Markdown files: ``chave, conteudo``, and hashes of the bytes and of the text, from one pass.  With ``empty``, empty files too."""
+    files = _files(spark, root, F.col("below").rlike(MARKDOWN), empty, contents=True)
     text = decoded(F.col("content"))
     return files.select(
         document_key(F.col("below"), prefix).alias("chave"), text.alias("conteudo"), F.sha2("content", 256).alias("hash_bruto"), F.sha2(text, 256).alias("conteudo_hash")
     )
 
 
-def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """Rule notes: ``path, conteudo`` of ``*.md`` below a folder, without hidden paths and undecodable files."""
-    files = _files(spark, root).where(F.col("path").endswith(".md") & ~F.col("below").rlike(r"(^|/)\."))
+def read_notes(spark: SparkSession, root: str, empty: bool = False) -> DataFrame:
+    """Rule notes: ``path, conteudo`` of ``*.md`` below a folder, without hidden paths and undecodable files.  With ``empty``, empty files too."""
+    files = _files(spark, root, F.col("below").endswith(".md") & ~F.col("below").rlike(r"(^|/)\."), empty, contents=True)
     return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("below").alias("path"), F.col("content").cast("string").alias("conteudo"))
 
 

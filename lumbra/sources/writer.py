@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 NAME = "document_folder"
+#: How names of files begin that a task has not finished.
+UNFINISHED = re.compile("_[0-9a-f]{32}-")
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str]:
@@ -69,7 +71,7 @@ class FolderWriter(DataSourceArrowWriter):
                     if folder not in made:
                         system.create_dir(folder, recursive=True)
                         made.add(folder)
-                    # a leading underscore hides it from readers
+                    # a leading underscore hides it from Spark's readers, UNFINISHED from ours
                     pending[final] = pending.get(final) or posixpath.join(folder, f"_{uuid.uuid4().hex}-{name}"[:200])
                     with system.open_output_stream(pending[final]) as out:
                         out.write(content.as_buffer() or b"")

@@ -1,12 +1,14 @@
 """Folders of documents: what is written, one file per row, and what reading gives back."""
 
 import json
+import os
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumbra.sources import documents as S
+from lumbra.sources import folders
 from lumbra.sources.writer import FolderWriter, place, write_documents
 
 
@@ -79,3 +81,42 @@ def test_many_small_files_make_few_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
     assert {(r["chave"], r["conteudo"]) for r in found.collect()} == {(f"d{n % 7}/{n}.md", f"texto {n}") for n in range(3000)}
     assert S.list_documents(spark, root).count() == 3000
+
+
+def test_folders_are_walked_by_several_tasks(spark, tmp_path):
+    root = tmp_path / "tree"
+    for n in range(60):
+        path = root / f"a{n % 3}" / f"b{n % 5}" / "c" / f"{n}.md"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * n)
+    (root / ".oculta").mkdir()
+    (root / ".oculta" / "h.md").write_text("x")
+    (root / "gone.md").symlink_to(root / "nowhere")
+    (root / "_f3a9c1d2e4b5f6a7988796a5b4c3d2e1-new.md").write_text("unfinished")
+    (root / "_dois.md").write_text("x")
+    want = {(str(p.relative_to(root)).encode(), p.stat().st_size, int(p.stat().st_mtime)) for p in [*root.glob("a*/*/*/*.md"), root / "_dois.md"]}
+    for at_once in (1, 4, 1000):
+        assert sorted(tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in folders.listed(spark, str(root), at_once).collect()) == sorted(want)
+
+
+def test_names_that_are_no_text_are_read(spark, tmp_path):
+    with open(os.fsencode(str(tmp_path)) + b"/a\xff.md", "wb") as out:
+        out.write(b"nota")
+    assert [(r["path"], r["conteudo"]) for r in S.read_notes(spark, str(tmp_path)).collect()] == [("a\ufffd.md", "nota")]
+
+
+def test_roots_elsewhere_go_through_sparks_reader(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.md").write_text("nota")
+    assert folders.reachable(spark, str(tmp_path)) and not folders.reachable(spark, f"{tmp_path}/{{a,b}}")
+    assert [r["conteudo"] for r in S.read_notes(spark, f"{tmp_path}/{{a,b}}").collect()] == ["nota"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_notes(spark, f"{tmp_path}/none")
+
+
+def test_files_read_are_not_in_the_plan(spark, tmp_path):
+    root = f"{tmp_path}/planned"
+    write_documents(spark.range(300).selectExpr("concat('d', id % 7, '/', id, '.md') AS chave", "concat('texto ', id) AS conteudo"), root)
+    # a plan that names each file is held by the driver
+    for found in (S.read_notes(spark, root), S.read_documents(spark, root)):
+        assert len(found.inputFiles()) < 30 and found.count() == 300
