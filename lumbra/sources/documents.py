@@ -65,7 +65,7 @@ def document_uri(base: str, key: Column, prefix: str = "") -> Column:
 
 def list_documents(spark: SparkSession, root: str, base: str = "", prefix: str = "") -> DataFrame:
     """Markdown files below a folder, at any depth: ``chave, origem_uri, etag, tamanho``; contents are not read."""
-    files = _by_reader(spark, root).where(F.col("below").rlike(MARKDOWN))
+    files = _files(spark, root, F.col("below").rlike(MARKDOWN), empty=False, contents=False)
     key = document_key(F.col("below"), prefix)
     return files.select(
         key.alias("chave"),

@@ -120,3 +120,12 @@ def test_files_read_are_not_in_the_plan(spark, tmp_path):
     # a plan that names each file is held by the driver
     for found in (S.read_notes(spark, root), S.read_documents(spark, root)):
         assert len(found.inputFiles()) < 30 and found.count() == 300
+
+
+def test_a_listing_is_not_held_by_the_driver(spark, tmp_path):
+    root = f"{tmp_path}/listed"
+    write_documents(spark.range(300).selectExpr("concat('d', id % 7, '/', id, '.md') AS chave", "concat('texto ', id) AS conteudo"), root)
+    found = S.list_documents(spark, root)
+    assert len(found.inputFiles()) < 30
+    want = {(f"d{n % 7}/{n}.md", f"file:{root}/d{n % 7}/{n}.md", f"mtime-{int(Path(root, f'd{n % 7}/{n}.md').stat().st_mtime)}", len(f"texto {n}")) for n in range(300)}
+    assert {tuple(r) for r in found.collect()} == want and [r["chave"] for r in found.collect()] == sorted(w[0] for w in want)
