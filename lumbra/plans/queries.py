@@ -1113,13 +1113,13 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FOLDER + "SELECT k AS chave, sha256(t) AS conteudo_hash, sha256(b) AS hash_bruto, length(t) AS tamanho FROM arquivos WHERE kind NOT IN (3, 4)")
 def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contents of the Markdown files of a folder, with byte order marks and bad bytes."""
-    return S.read_documents(spark, _folder(spark, sf_dir)).select("chave", "conteudo_hash", "hash_bruto", F.length("conteudo").alias("tamanho"))
+    return S.read_documents(spark, _folder(spark, sf_dir), empty=True).select("chave", "conteudo_hash", "hash_bruto", F.length("conteudo").alias("tamanho"))
 
 
 @query(_FOLDER + "SELECT k AS path, sha256(b) AS resumo FROM arquivos WHERE kind NOT IN (1, 2, 3, 4) AND doc_id % 4 <> 2")
 def folder_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule notes of a folder: no hidden paths, none that can't be decoded."""
-    return S.read_notes(spark, _folder(spark, sf_dir)).select("path", F.sha2("conteudo", 256).alias("resumo"))
+    return S.read_notes(spark, _folder(spark, sf_dir), empty=True).select("path", F.sha2("conteudo", 256).alias("resumo"))
 
 
 @query(_RENDERED)

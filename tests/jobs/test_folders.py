@@ -129,3 +129,37 @@ def test_a_listing_is_not_held_by_the_driver(spark, tmp_path):
     assert len(found.inputFiles()) < 30
     want = {(f"d{n % 7}/{n}.md", f"file:{root}/d{n % 7}/{n}.md", f"mtime-{int(Path(root, f'd{n % 7}/{n}.md').stat().st_mtime)}", len(f"texto {n}")) for n in range(300)}
     assert {tuple(r) for r in found.collect()} == want and [r["chave"] for r in found.collect()] == sorted(w[0] for w in want)
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Tables of which documents have empty texts, byte order marks and names that Spark's readers hide."""
+    made = tmp_path_factory.mktemp("odd")
+    for table in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if table.name != "documents.parquet":
+            (made / table.name).symlink_to(table)
+    texts = ["", "um", "\n", "a\x00é", "um"]
+    rows = [(n, texts[n % 5], "en", ["src1", "_src2"][n % 11 == 0], 0) for n in range(-20, 400)]
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    pq.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema), made / "documents.parquet")
+    return str(made)
+
+
+def expected(odd, name):
+    import __spark_entry__
+
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as con:
+        for table in Path(odd).glob("*.parquet"):
+            con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
+        return sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["folder_documents", "folder_notes", "folder_rendered"])
+def test_empty_files_and_hidden_names_as_in_sql(spark, odd, name):
+    import __spark_entry__
+
+    assert sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, odd).collect()) == expected(odd, name)
