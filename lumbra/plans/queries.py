@@ -1106,7 +1106,7 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
 @query(_FOLDER + "SELECT regexp_replace(k, '^notas/', '') AS chave, 'https://exemplo.test/base/notas/' || regexp_replace(k, '^notas/', '') AS origem_uri, true AS com_etag, octet_length(b) AS tamanho FROM arquivos WHERE kind NOT IN (3, 4)")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown files of a folder, without their contents."""
-    found = S.list_documents(spark, _folder(spark, sf_dir), base="https://exemplo.test/base/", prefix="/notas/")
+    found = S.list_documents(spark, _folder(spark, sf_dir), base="https://exemplo.test/base/", prefix="/notas/", empty=True)
     return found.select("chave", "origem_uri", F.col("etag").rlike("^mtime-[0-9]+$").alias("com_etag"), "tamanho")
 
 

@@ -63,9 +63,9 @@ def document_uri(base: str, key: Column, prefix: str = "") -> Column:
     return F.concat_ws("/", *[F.lit(p) for p in parts], key)
 
 
-def list_documents(spark: SparkSession, root: str, base: str = "", prefix: str = "") -> DataFrame:
-    """Markdown files below a folder, at any depth: ``chave, origem_uri, etag, tamanho``; contents are not read."""
-    files = _files(spark, root, F.col("below").rlike(MARKDOWN), empty=False, contents=False)
+def list_documents(spark: SparkSession, root: str, base: str = "", prefix: str = "", empty: bool = False) -> DataFrame:
+    """Markdown files below a folder, at any depth: ``chave, origem_uri, etag, tamanho``; contents are not read.  With ``empty``, empty files too."""
+    files = _files(spark, root, F.col("below").rlike(MARKDOWN), empty, contents=False)
     key = document_key(F.col("below"), prefix)
     return files.select(
         key.alias("chave"),

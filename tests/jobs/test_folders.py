@@ -158,7 +158,7 @@ def expected(odd, name):
         return sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["folder_documents", "folder_notes", "folder_rendered"])
+@pytest.mark.parametrize("name", ["folder_documents", "folder_listing", "folder_notes", "folder_rendered"])
 def test_empty_files_and_hidden_names_as_in_sql(spark, odd, name):
     import __spark_entry__
 
